@@ -4,10 +4,14 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import packing, pfor
+    from . import digest, license_scan, mixing, packing, pfor, secret_scan
 
     return {
+        "op2_structural_secret_scan": secret_scan.op2_structural_secret_scan,
+        "op3_improbable_feature_digest": digest.op3_improbable_feature_digest,
+        "op5_subset_sum_mix": mixing.op5_subset_sum_mix,
         "op7_karmarkar_karp_packing": packing.op7_karmarkar_karp_packing,
+        "op9_license_signature_rules": license_scan.op9_license_signature_rules,
         "op10_patched_frame_of_reference": pfor.op10_patched_frame_of_reference,
     }
 
