@@ -4,13 +4,17 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import digest, license_scan, mixing, packing, pfor, secret_scan
+    from . import digest, lattice, license_scan, mixing, near_dedup, nearest, packing, pfor, quality, secret_scan
 
     return {
+        "op1_adaptive_dimension_scan": nearest.op1_adaptive_dimension_scan,
         "op2_structural_secret_scan": secret_scan.op2_structural_secret_scan,
         "op3_improbable_feature_digest": digest.op3_improbable_feature_digest,
+        "op4_bottom_k_near_dedup": near_dedup.op4_bottom_k_near_dedup,
         "op5_subset_sum_mix": mixing.op5_subset_sum_mix,
+        "op6_subword_lattice_likelihood": lattice.op6_subword_lattice_likelihood,
         "op7_karmarkar_karp_packing": packing.op7_karmarkar_karp_packing,
+        "op8_line_field_quality": quality.op8_line_field_quality,
         "op9_license_signature_rules": license_scan.op9_license_signature_rules,
         "op10_patched_frame_of_reference": pfor.op10_patched_frame_of_reference,
     }
