@@ -12,9 +12,10 @@ sets form a class; all later work is on classes. A class's sketch is its K small
   with the HUBS most typical ones (whose retained values are the most widely shared).
 * Union-sketch estimation (the K smallest of both sketches, and how many of them both hold) drops
   candidates; exact Jaccard on full sets verifies the rest.
-* Links make components by alternating large and small stars. Long lists whose classes are by then in
-  several components get a second round: members outside the list's largest component against all of other
-  components. So no link between different components is lost to the hubs, and no list is capped.
+* Links make components by alternating large and small stars. Members of long lists that are by then still in
+  several components meet once more by what sets them apart from their hub (see _beside_hubs), which finds
+  every link that the hubs can't show. So no link between different components is lost, no list is capped,
+  and no group is expanded into all its pairs.
 
 NEED for full sketches is the count that a pair of just the wanted similarity falls short of with a
 probability under 1e-6; for sets smaller than K it is exact.
@@ -133,12 +134,9 @@ def _candidates_checked(pairs: DataFrame, classes: DataFrame, percent: int) -> D
     return joined.mapInArrow(told, "a binary, b binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Of pairs those of the similarity on full sets. Sets are made anew from the texts of the classes
-    that occur: one document of each."""
-    pairs = written(pairs, "candidates")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    chosen = classes.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tkey").alias("rep_key")).join(wanted.hint("shuffle_hash"), "node", "left_semi")
+def _sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, own: the full set) of classes, made anew from the text of one document of each."""
+    chosen = classes.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tkey").alias("rep_key")).join(nodes.distinct().hint("shuffle_hash"), "node", "left_semi")
     text = docs.select(F.col(id_col).alias("rep_id"), F.xxhash64(text_of(text_col)).alias("rep_key"), text_of(text_col).alias("text"))
     on = text["rep_id"].eqNullSafe(chosen["rep_id"]) & (text["rep_key"] == chosen["rep_key"])
     texts = text.join(chosen.hint("shuffle_hash"), on).select(chosen["node"], "text")
@@ -147,8 +145,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_hashes(t, words) for t in batch.column(1).to_pylist()])], names=["node", "own"])
 
-    sets = texts.mapInArrow(told, "node binary, own array<long>").dropDuplicates(["node"])
-    sets = written(sets, "sets")
+    return written(texts.mapInArrow(told, "node binary, own array<long>").dropDuplicates(["node"]), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs those of the similarity on full sets."""
 
     def side(name: str) -> DataFrame:
         return sets.select(F.col("node").alias(name), F.col("own").alias(f"s{name}")).hint("shuffle_merge")
@@ -167,6 +168,46 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     return joined.mapInArrow(linked, "a binary, b binary")
 
 
+def _beside_hubs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) among the members (hub, node, root) of one hub's lists, of different roots, that can be
+    linked although one of them, x, isn't linked with the hub h.
+
+    Let D(x) be the symmetric difference of x and h; that of x and y is the one of D(x) and D(y). As x and h
+    fall short of similarity p and x and y don't, D(x) and D(y) share at least p / (1 + p) of D(y), whatever x.
+    So y need only be listed under its rarest members of D(y), all but that share and one; there every such
+    pair meets x's whole D(x), at its first common member, where enough must be left on both sides. In a
+    group of thousands of copies these rarest members are each copy's own changes."""
+
+    def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, apart, diffs = [], [], []
+            for x, h in zip(batch.column(3), batch.column(4), strict=True):
+                x, h = x.values.to_numpy(), h.values.to_numpy()
+                diff = np.setxor1d(x, h, assume_unique=True)
+                shared = (len(x) + len(h) - len(diff)) // 2
+                sizes.append(len(x)), diffs.append(diff.view(np.uint64)), apart.append(100 * shared < percent * (shared + len(diff)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sizes, pa.int64()), pa.array(apart, pa.bool_()), pa.array([len(d) for d in diffs], pa.int64()), _lists(diffs)], names=["hub", "node", "root", "size", "apart", "n", "diff"])
+
+    own = members.join(sets.select("node", F.col("own").alias("x")).hint("shuffle_merge"), "node").join(sets.select(F.col("node").alias("hub"), F.col("own").alias("h")).hint("shuffle_merge"), "hub")
+    rows = own.select("hub", "node", "root", "x", "h").mapInArrow(changes, "hub binary, node binary, root binary, size long, apart boolean, n long, diff array<long>")
+    rows = written(rows, "changes")
+    tokens = rows.select("hub", "node", "root", "size", "apart", "n", F.explode("diff").alias("value"))
+    often = tokens.groupBy("hub", "value").agg(F.count("*").alias("df"), F.count_if("apart").alias("apart_df")).where("df > 1 and apart_df > 0")
+    # values of one member alone come first in its order; only their number matters
+    place = Window.partitionBy("hub", "node").orderBy("df", "value")
+    shared = tokens.join(often.hint("shuffle_hash"), ["hub", "value"])
+    listed = shared.withColumn("place", F.row_number().over(place) + F.col("n") - F.count("*").over(Window.partitionBy("hub", "node")))
+    listed = written(listed.select("hub", "node", "root", "size", "apart", "n", "value", "place"), "change_lists")
+    side = lambda name, rows: rows.select("hub", "value", *(F.col(c).alias(f"{name}_{c}") for c in ("node", "root", "size", "n", "place")))
+    x = side("x", listed.where("apart"))
+    y = side("y", listed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0 + percent) - 1e-9) + 1))
+    least = (F.col("x_n") + F.col("y_n") - (F.col("x_size") + F.col("y_size")) * F.lit((100.0 - percent) / (100.0 + percent))) / 2 - 1e-9
+    left = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place")) + 1
+    on = (x["hub"] == y["hub"]) & (x["value"] == y["value"]) & (x["x_root"] != y["y_root"]) & (left >= least)
+    pairs = x.join(y.hint("shuffle_hash"), on)
+    return pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+
+
 def components(links: DataFrame, spark) -> DataFrame:
     """(node, root) of every linked node, by alternating large and small stars: each round is two
     groupings and two joins, until the stars stay as they are. root is the component's smallest node."""
@@ -220,19 +261,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     star = listed.join(long_lists.hint("shuffle_hash"), "value").select("node", F.explode(F.array_distinct(F.array("hub", "hub2"))).alias("hub")).where("node <> hub")
     star = star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     first = _candidates_checked(near.union(star).distinct(), classes, percent)
-    links = written(_verified(first, docs, classes, words, percent, id_col, text_col), "links")
+    first = written(first, "candidates")
+    ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    links = written(_verified(first, _sets(ends(first), docs, classes, words, id_col, text_col), percent), "links")
     roots = written(components(links, spark), "roots")
     if long_lists.limit(1).count():
-        # what the hubs left open: members of long lists in different components
-        placed = listed.join(long_lists.select("value").hint("shuffle_hash"), "value").join(roots.hint("shuffle_hash"), "node", "left").select("value", "node", F.coalesce("root", "node").alias("root"))
-        per_root = placed.groupBy("value", "root").agg(F.count("*").alias("n"))
-        open_lists = per_root.groupBy("value").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root"))["root"].alias("main")).where("roots > 1")
-        placed = written(placed.join(open_lists.select("value", "main").hint("shuffle_hash"), "value"), "open")
-        out = placed.where("root <> main").select("value", F.col("node").alias("x"), F.col("root").alias("rx"))
-        more = out.join(placed.select("value", F.col("node").alias("y"), F.col("root").alias("ry")).hint("shuffle_hash"), "value").where("rx <> ry")
-        more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        again = _verified(_candidates_checked(more, classes, percent), docs, classes, words, percent, id_col, text_col)
-        again = written(again, "more_links")
+        # long lists whose members are still in several components
+        placed = listed.join(long_lists.select("value", "hub").hint("shuffle_hash"), "value").join(roots.hint("shuffle_hash"), "node", "left").select("value", "hub", "node", F.coalesce("root", "node").alias("root"))
+        open_lists = placed.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("value")
+        members = written(placed.join(open_lists.hint("shuffle_hash"), "value").select("hub", "node", "root").distinct(), "members")
+        sets = _sets(members.select("node").union(members.select(F.col("hub").alias("node"))), docs, classes, words, id_col, text_col)
+        again = written(_verified(_beside_hubs(members, sets, percent), sets, percent), "more_links")
         if again.limit(1).count():
             roots = written(components(links.union(again), spark), "roots")
     # the smallest id of each component, over classes
