@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
-from .detect import Pack, dedup_detections, detect_high_risk, detect_privacy, detect_rules, masked_privacy, no_detections, primary_detection
+from .detect import Pack, dedup_detections, detect_high_risk, detect_privacy, detect_rules, no_detections, primary_detection, privacy
 from .normalize import normalize
 
 BLOCK, SANITIZE = 80, 40
@@ -148,7 +148,7 @@ def _guard(df: DataFrame, text: str, prefix: str, pack: Pack, semantic: Semantic
     df = df.withColumn(f"{prefix}norm", normalize(c("raw"), pack.maps))
     df = df.withColumn(f"{prefix}normalized_text", F.when(c("norm") == "", c("raw")).otherwise(c("norm")))
     own = dedup_detections(F.concat(detect_rules(c("norm"), pack), semantic(c("norm"))))
-    df = df.withColumn(f"{prefix}privacy", detect_privacy(c("raw"))).withColumn(f"{prefix}masked", masked_privacy(c("raw")))
+    df = df.withColumn(f"{prefix}pair", privacy(c("raw"))).withColumn(f"{prefix}masked", c("pair")["masked"]).withColumn(f"{prefix}privacy", detect_privacy(c("pair")["names"]))
     df = df.withColumn(f"{prefix}detections", F.concat(own, c("privacy"), detect_high_risk(c("normalized_text"))))
     df = df.withColumn(f"{prefix}risk_score", risk_score(c("detections")))
     df = df.withColumn(f"{prefix}risk_categories", F.array_sort(F.array_distinct(F.filter(F.transform(c("detections"), lambda d: d["category"]), lambda x: x != "normal"))))
@@ -158,7 +158,7 @@ def _guard(df: DataFrame, text: str, prefix: str, pack: Pack, semantic: Semantic
     # O4
     safe = F.when((F.regexp_replace(c("rewrite"), r"(?U)\s+", "") == "") | (c("rewrite") == c("raw")), V.REWRITE_GENERIC).otherwise(c("rewrite"))
     final = F.when(c("action") == "block", refusal_for(c("risk_categories"))).when(c("action") == "sanitize", safe).otherwise(c("raw"))
-    return df.withColumn(f"{prefix}final_text", final).withColumn(f"{prefix}risk_level", risk_level(c("risk_score"), block, sanitize_at)).drop(f"{prefix}norm", f"{prefix}privacy", f"{prefix}rewrite")
+    return df.withColumn(f"{prefix}final_text", final).withColumn(f"{prefix}risk_level", risk_level(c("risk_score"), block, sanitize_at)).drop(f"{prefix}norm", f"{prefix}pair", f"{prefix}privacy", f"{prefix}rewrite")
 
 
 OUTPUT = ("action", "risk_score", "risk_level", "risk_categories", "final_text", "normalized_text", "detections", "masked")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
+from .columns import let
 
 DETECTION = "struct<category:string,level:string,score:int,reason:string,source:string,matches:array<string>>"
 DETECTIONS = f"array<{DETECTION}>"
@@ -57,10 +58,10 @@ def contained(text: Column, words: Sequence[str]) -> Column:
 
 def detect_keywords(text: Column, lexicons: Lexicons) -> Column:
     """D1."""
-    return _kept([
-        detection(c, "high" if c in ("porn", "violence") else "medium", 80 if c in ("porn", "violence") else 55, f"matched {c} keyword lexicon", "keyword", contained(text, words))
+    return let(text, lambda t: _kept([
+        detection(c, "high" if c in ("porn", "violence") else "medium", 80 if c in ("porn", "violence") else 55, f"matched {c} keyword lexicon", "keyword", contained(t, words))
         for c, words in lexicons.items()
-    ])
+    ]))
 
 
 def detect_regex(text: Column, rules: Rules) -> Column:
@@ -79,27 +80,39 @@ def detect_rules(text: Column, pack: Pack) -> Column:
 def detect_high_risk(text: Column, phrases: Mapping[str, Sequence[str]] = V.HIGH_RISK) -> Column:
     """Phrases in the text without white space, lower case."""
     dense = F.lower(F.regexp_replace(text, r"(?U)\s+", ""))
-    found = [detection(c, "high", 90, "matched output high-risk phrase", "output_high_risk", F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(dense, F.lower(w)))) for c, words in phrases.items()]
-    return _kept(found)
+
+    def found(t: Column) -> Column:
+        return _kept([detection(c, "high", 90, "matched output high-risk phrase", "output_high_risk", F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(t, F.lower(w)))) for c, words in phrases.items()])
+
+    return let(dense, found)
+
+
+def privacy(text: Column, rules: Sequence[tuple[str, str, str]] = V.PRIVACY) -> Column:
+    """(masked, names): each rule's matches replaced by its mask, later rules see earlier masks; and the names of
+    the rules that changed the running text. One pass a rule; make it a column before taking both parts."""
+    table = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("pattern"), F.lit(m).alias("mask")) for n, p, m in rules])
+    start = F.struct(text.alias("masked"), F.array().cast("array<string>").alias("names"))
+
+    def step(acc: Column, r: Column) -> Column:
+        new = F.regexp_replace(acc["masked"], r["pattern"], r["mask"])
+        return F.struct(new.alias("masked"), F.when(new != acc["masked"], F.concat(acc["names"], F.array(r["name"]))).otherwise(acc["names"]).alias("names"))
+
+    return F.aggregate(table, start, step)
 
 
 def masked_privacy(text: Column, rules: Sequence[tuple[str, str, str]] = V.PRIVACY) -> Column:
-    """Each rule's matches replaced by its mask, later rules see earlier masks."""
+    """The masked text alone."""
     return reduce(lambda t, r: F.regexp_replace(t, r[1], r[2]), rules, text)
 
 
 def privacy_names(text: Column, rules: Sequence[tuple[str, str, str]] = V.PRIVACY) -> Column:
-    """The names of the rules that matched the running text."""
-    hits, at = [], text
-    for name, pattern, mask in rules:
-        hits.append(F.when(at.rlike(pattern), F.lit(name)))
-        at = F.regexp_replace(at, pattern, mask)
-    return F.array_compact(F.array(*hits))
+    """The names alone."""
+    return privacy(text, rules)["names"]
 
 
-def detect_privacy(text: Column, rules: Sequence[tuple[str, str, str]] = V.PRIVACY) -> Column:
-    """D6."""
-    return _kept([detection("privacy", "low", 45, "output contains personal sensitive information", "output_privacy_regex", privacy_names(text, rules))])
+def detect_privacy(names: Column) -> Column:
+    """From the names that D5 found."""
+    return _kept([detection("privacy", "low", 45, "output contains personal sensitive information", "output_privacy_regex", names)])
 
 
 def top_class(probs: Column) -> Column:

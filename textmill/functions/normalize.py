@@ -15,28 +15,40 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import characters, runs
 from .fixed_values import NO_STEP, NOISE
 
+
+def _kept_apart(udf):
+    """Marks a Python function so that the optimizer computes it once, as a column of its own, and never copies it into
+    later expressions (where lambdas can't hold it)."""
+    return udf.asNondeterministic()
+
+
 #: (source, target) pairs of a substitution map.
 Entries = Sequence[tuple[str, str]]
 
 
+@_kept_apart
 @F.arrow_udf("string")
 def strip_nfkc(texts: pa.Array) -> pa.Array:
     """Unicode-stripped text in compatibility form."""
     return pa.array([None if t is None else unicodedata.normalize("NFKC", t.strip()) for t in texts.to_pylist()], pa.string())
 
 
+@_kept_apart
 @F.arrow_udf("string")
 def nfkc(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
 
+@_kept_apart
 @F.arrow_udf("string")
 def casefold(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else t.casefold() for t in texts.to_pylist()], pa.string())
 
 
+@_kept_apart
 @F.arrow_udf("string")
 def nfkc_casefold(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFKC", t).casefold() for t in texts.to_pylist()], pa.string())
@@ -168,17 +180,16 @@ def map_match_counts(text: Column, entries: Entries) -> Column:
 def noise_removed(text: Column) -> Column:
     """(char, index) of each character that N5 drops: the pieces between them give their places."""
     marked = F.regexp_replace(text, f"({_MAIL})|({_DROPPED})", "$1\x00$2\x00")
-    pieces = F.split(marked, "\x00", -1)
     # pieces alternate kept text and dropped character; an address leaves an empty dropped one
+    pieces = F.transform(F.split(marked, "\x00", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<char:string,index:int>>").alias("found"))
 
-    def step(acc: Column, i: Column) -> Column:
-        piece = F.get(pieces, i)
-        hit = F.array(F.struct(piece.alias("char"), acc["at"].alias("index")))
-        found = F.when((i % 2 == 1) & (F.length(piece) > 0), F.concat(acc["found"], hit)).otherwise(acc["found"])
-        return F.struct((acc["at"] + F.length(piece)).alias("at"), found.alias("found"))
+    def step(acc: Column, p: Column) -> Column:
+        hit = F.array(F.struct(p["x"].alias("char"), acc["at"].alias("index")))
+        found = F.when((p["i"] % 2 == 1) & (F.length(p["x"]) > 0), F.concat(acc["found"], hit)).otherwise(acc["found"])
+        return F.struct((acc["at"] + F.length(p["x"])).alias("at"), found.alias("found"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(pieces) - 1), start, step, lambda acc: acc["found"])
+    return F.aggregate(pieces, start, step, lambda acc: acc["found"])
 
 
 def text_variants(text: Column) -> Column:
@@ -204,7 +215,7 @@ def folded_dense(text: Column) -> Column:
 
 def char_ngrams(dense: Column, n: int = 3) -> Column:
     """The set of n-grams of a dense text; a shorter one is its own; an empty one has none."""
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(dense) - n + 1), lambda i: F.substring(dense, i, F.lit(n))))
+    grams = F.array_distinct(runs(characters(dense), n, lambda a, b: F.concat(a, b)))
     return F.when(F.length(dense) == 0, F.array().cast("array<string>")).when(F.length(dense) < n, F.array(dense)).otherwise(grams)
 
 

@@ -15,25 +15,19 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textmill.functions.columns import characters, let, runs
 from textmill.functions.fixed_values import GATE_MARGIN, GATE_THRESHOLDS, LABELS, RISK_LABELS
 
 
 def word_ngrams(text: Column, low: int = 1, high: int = 2) -> Column:
     """Lower-case words of two or more letters or digits, and their sequences of up to `high` words."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    runs = [_runs(words, n) for n in range(low, high + 1)]
-    return F.flatten(F.array_compact(F.array(*runs)))
-
-
-def _runs(words: Column, n: int) -> Column:
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " ")))
+    return let(words, lambda w: F.flatten(F.array(*[runs(w, n, lambda a, b: F.concat_ws(" ", a, b)) if n > 1 else w for n in range(low, high + 1)])))
 
 
 def char_ngrams(text: Column, low: int = 2, high: int = 5) -> Column:
     """Character sequences of low to high characters."""
-    t = F.lower(text)
-    one = lambda n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n))))
-    return F.flatten(F.array_compact(F.array(*[one(n) for n in range(low, high + 1)])))
+    return let(characters(F.lower(text)), lambda c: F.flatten(F.array(*[runs(c, n, lambda a, b: F.concat(a, b)) for n in range(low, high + 1)])))
 
 
 def tfidf_stages(grams_col: str, out: str = "features", vocabulary: int = 1 << 18, min_df: float = 1.0, max_df: float = 1.0) -> list:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from textmill.plans import base, data_queries, text_queries  # noqa: F401
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+flagship = text_queries.flagship
 
 
-def queries():
-    return {}
+def queries() -> dict[str, base.Query]:
+    return dict(base.QUERIES)
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(base.ORACLES)

@@ -1,0 +1,422 @@
+"""Queries of normalization, detection, decision and output guard over the corpus."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textmill.functions import decide as R
+from textmill.functions import detect as D
+from textmill.functions import fixed_values as V
+from textmill.functions import normalize as N
+from textmill.plans.base import GATE_SQL, IP, LEXICONS, MAIL, MAPS, PACK, PLAIN_PACK, PROBS_SQL, RULES, number, probabilities, query, sql_list, sql_number, table
+
+ENTRIES = [("nd", "n"), ("tion", "shun"), ("the", "da"), ("shuns", "SHUNS")]
+CASCADE = "replace(replace(replace(replace(text, 'shuns', 'SHUNS'), 'tion', 'shun'), 'the', 'da'), 'nd', 'n')"
+FOLDED = "replace(lower(text), 'ß', 'ss')"
+
+
+def docs(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+
+
+def hashed(df, column, *more):
+    return df.select("doc_id", F.md5(column).alias("md5"), F.length(column).cast("long").alias("chars"), *more)
+
+
+@query("n1_norm_unicode")
+def n1(spark, sf):
+    return hashed(docs(spark, sf).withColumn("n", N.norm_unicode(F.col("text"))), "n")
+
+
+@query("n2_norm_case", "select doc_id, md5(t) as md5, length(t)::BIGINT as chars from (select doc_id, array_to_string([lower(x) for x in string_split(text, 'C++')], 'C++') as t from documents)")
+def n2(spark, sf):
+    return hashed(docs(spark, sf).withColumn("n", N.norm_case(F.col("text"))), "n")
+
+
+@query("n3_norm_map", f"select doc_id, md5(t) as md5, length(t)::BIGINT as chars from (select doc_id, {CASCADE} as t from documents)")
+def n3(spark, sf):
+    return hashed(docs(spark, sf).withColumn("n", N.norm_map(F.col("text"), ENTRIES)), "n")
+
+
+@query("n4_norm_token_map")
+def n4(spark, sf):
+    return hashed(docs(spark, sf).withColumn("n", N.norm_token_map(F.col("text"), [("that", "dat"), ("of", "ov"), ("is", "iz")])), "n")
+
+
+@query("n5_norm_noise")
+def n5(spark, sf):
+    return hashed(docs(spark, sf).withColumn("n", N.norm_noise(F.col("text"))), "n")
+
+
+@query("n6_norm_repeat")
+def n6(spark, sf):
+    return hashed(docs(spark, sf).withColumn("n", N.norm_repeat(F.col("text"))), "n")
+
+
+@query("n7_normalize")
+def n7(spark, sf):
+    return hashed(docs(spark, sf).withColumn("n", N.normalize(F.col("text"), MAPS)), "n")
+
+
+@query("n8_normalize_with_trace")
+def n8(spark, sf):
+    df = N.normalize_with_trace(docs(spark, sf), "text", MAPS)
+    return df.select("doc_id", F.md5("normalized").alias("md5"), F.array_join(F.transform("steps", lambda s: s["normalizer"]), ",").alias("changed"))
+
+
+@query("n9_map_match_counts", f"""with a as (select doc_id, text as t0, replace(text, 'shuns', 'SHUNS') as t1 from documents), b as (select *, replace(t1, 'tion', 'shun') as t2 from a), c as (select *, replace(t2, 'the', 'da') as t3 from b),
+m as (select doc_id, unnest([{{'source': 'shuns', 'count': (length(t0) - length(replace(t0, 'shuns', ''))) // 5}}, {{'source': 'tion', 'count': (length(t1) - length(replace(t1, 'tion', ''))) // 4}}, {{'source': 'the', 'count': (length(t2) - length(replace(t2, 'the', ''))) // 3}}, {{'source': 'nd', 'count': (length(t3) - length(replace(t3, 'nd', ''))) // 2}}]) as m from c)
+select doc_id, m.source as source, m.count::BIGINT as count from m where m.count > 0""")
+def n9(spark, sf):
+    df = docs(spark, sf).select("doc_id", F.explode(N.map_match_counts(F.col("text"), ENTRIES)).alias("m"))
+    return df.select("doc_id", F.col("m.source").alias("source"), F.col("m.count").cast("long").alias("count"))
+
+
+@query("n10_noise_removed")
+def n10(spark, sf):
+    return docs(spark, sf).select("doc_id", F.explode(N.noise_removed(F.col("text"))).alias("r")).select("doc_id", "r.char", F.col("r.index").alias("index"))
+
+
+@query("n11_text_variants", f"select doc_id, md5(text) as exact, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) as trimmed, md5(regexp_replace({FOLDED}, '^\\s+|\\s+$', '', 'g')) as casefolded, md5(regexp_replace({FOLDED}, '^\\s+|\\s+$', '', 'g')) as nfkc from documents")
+def n11(spark, sf):
+    df = docs(spark, sf).withColumn("v", N.text_variants(F.col("text")))
+    return df.select("doc_id", *(F.md5(f"v.{k}").alias(k) for k in ("exact", "trimmed", "casefolded", "nfkc")))
+
+
+@query("n12_equivalence_keys")
+def n12(spark, sf):
+    df = docs(spark, sf).withColumn("v", N.equivalence_keys(F.col("text"), MAPS))
+    return df.select("doc_id", *(F.md5(f"v.{k}").alias(k) for k in ("exact", "nfkc", "text_normalizer")))
+
+
+@query("n13_char_ngrams", f"with t as (select doc_id, regexp_replace({FOLDED}, '\\s+', '', 'g') as t from documents) select doc_id, case when length(t) = 0 then 0 when length(t) < 3 then 1 else len(list_distinct([substr(t, i::INT, 3) for i in range(1, length(t) - 1)])) end::BIGINT as grams from t")
+def n13(spark, sf):
+    df = docs(spark, sf).withColumn("dense", N.folded_dense(F.col("text")))
+    return df.select("doc_id", F.size(N.char_ngrams(F.col("dense"))).cast("long").alias("grams"))
+
+
+@query("n14_baseline_lower", "select doc_id, md5(lower(text)) as md5 from documents")
+def n14(spark, sf):
+    return docs(spark, sf).select("doc_id", F.md5(N.baseline_lower(F.col("text"))).alias("md5"))
+
+
+@query("n15_trace_lines")
+def n15(spark, sf):
+    df = N.normalize_with_trace(docs(spark, sf), "text", MAPS).withColumn("lines", N.trace_lines(F.col("steps")))
+    return df.select("doc_id", F.size("lines").alias("lines"), F.md5(F.array_join("lines", "\n")).alias("md5"))
+
+
+KEYWORD_SQL = "lex as (select * from (values " + ", ".join(f"('{c}', {i}, '{w}')" for c in sorted(LEXICONS) for i, w in enumerate(LEXICONS[c])) + ") t(category, pos, word))"
+#: Rule detections of the raw text: a row a (document, detection).
+FOUND_SQL = KEYWORD_SQL + f""", kw as (select doc_id, category, 'keyword' as source, case when category in ('porn','violence') then 80 else 55 end as score, string_agg(word, '|' order by pos) as matches, count(*) as n
+ from documents join lex on contains(text, word) group by doc_id, category),
+rx as (select doc_id, category, 'regex' as source, score, array_to_string(list_sort(list_distinct(m)), '|') as matches, len(list_distinct(m)) as n from (
+ {" union all ".join(f"select doc_id, '{c}' as category, {s} as score, regexp_extract_all(text, '{p}', 0, 'i') as m from documents" for c, p, _, s, _ in RULES)}) where len(m) > 0),
+found as (select * from kw union all select * from rx)"""
+
+
+@query("d1_detect_keywords", f"with {KEYWORD_SQL} select doc_id, category, case when category in ('porn','violence') then 80 else 55 end as score, string_agg(word, '|' order by pos) as matches from documents join lex on contains(text, word) group by doc_id, category")
+def d1(spark, sf):
+    df = docs(spark, sf).select("doc_id", F.explode(D.detect_keywords(F.col("text"), PLAIN_PACK.lexicons)).alias("d"))
+    return df.select("doc_id", "d.category", "d.score", F.array_join("d.matches", "|").alias("matches"))
+
+
+@query("d2_detect_regex", f"with {FOUND_SQL} select doc_id, category, score, matches from rx")
+def d2(spark, sf):
+    df = docs(spark, sf).select("doc_id", F.explode(D.detect_regex(F.col("text"), RULES)).alias("d"))
+    return df.select("doc_id", "d.category", "d.score", F.array_join(F.array_sort("d.matches"), "|").alias("matches"))
+
+
+@query("d3_detect_rules", f"with {FOUND_SQL} select source, category, count(*) as documents, sum(n)::BIGINT as matches, max(score) as score from found group by source, category")
+def d3(spark, sf):
+    df = docs(spark, sf).select(F.explode(D.detect_rules(F.col("text"), PLAIN_PACK)).alias("d"))
+    return df.groupBy("d.source", "d.category").agg(F.count("*").alias("documents"), F.sum(F.size("d.matches")).alias("matches"), F.max("d.score").alias("score"))
+
+
+PHRASES = {"ad": ["withthe", "Andthe"], "illegal": ["ofthe"], "self_harm": ["undder"]}
+
+
+@query("d4_detect_high_risk_phrases", "with p as (select * from (values " + ", ".join(f"('{c}', {i}, '{w}')" for c, ws in PHRASES.items() for i, w in enumerate(ws)) + ") t(category, pos, word)) select doc_id, category, string_agg(word, '|' order by pos) as matches from documents join p on contains(lower(regexp_replace(text, '\\s+', '', 'g')), lower(word)) group by doc_id, category")
+def d4(spark, sf):
+    df = docs(spark, sf).select("doc_id", F.explode(D.detect_high_risk(F.col("text"), PHRASES)).alias("d"))
+    return df.select("doc_id", "d.category", F.array_join("d.matches", "|").alias("matches"))
+
+
+@query("d5_mask_privacy")
+def d5(spark, sf):
+    df = docs(spark, sf).withColumn("p", D.privacy(F.col("text")))
+    return df.select("doc_id", F.array_join("p.names", ",").alias("names"), F.md5("p.masked").alias("md5"))
+
+
+SOME = tuple(r for r in V.PRIVACY if r[0] in ("email", "ip"))
+
+
+@query("d5_mask_mail_and_ip", f"with t as (select doc_id, text, regexp_replace(text, '{MAIL}', '[邮箱]', 'g') as t from documents) select doc_id, concat_ws(',', case when regexp_matches(text, '{MAIL}') then 'email' end, case when regexp_matches(t, '{IP}') then 'ip' end) as names, md5(regexp_replace(t, '{IP}', '[IP地址]', 'g')) as md5 from t")
+def d5b(spark, sf):
+    df = docs(spark, sf).withColumn("names", D.privacy_names(F.col("text"), SOME)).withColumn("masked", D.masked_privacy(F.col("text"), SOME))
+    return df.select("doc_id", F.array_join("names", ",").alias("names"), F.md5("masked").alias("md5"))
+
+
+@query("d6_detect_privacy")
+def d6(spark, sf):
+    return docs(spark, sf).select("doc_id", F.explode(D.detect_privacy(D.privacy_names(F.col("text")))).alias("d")).select("doc_id", "d.category", "d.score", F.array_join("d.matches", ",").alias("matches"))
+
+
+PASSED_SQL = f"with {PROBS_SQL}, passed as (select * from tops where top_label <> 'normal' and top_p >= {GATE_SQL} and top_p - p_normal >= 0.05)"
+
+
+@query("d7_semantic_gate", f"{PASSED_SQL} select doc_id, top_label as label, round(top_p, 9) as p, round(p_normal, 9) as normal_p from passed")
+def d7(spark, sf):
+    df = probabilities(spark, sf).withColumn("g", D.semantic_gate(F.col("probs"))).where("g is not null")
+    return df.select("doc_id", F.col("g.label").alias("label"), F.round("g.p", 9).alias("p"), F.round("g.normal_p", 9).alias("normal_p"))
+
+
+SEMANTIC_SQL = f"{PASSED_SQL}, base as (select *, case when top_label in ('porn','violence') then 85 else 70 end as b from passed), scored as (select doc_id, top_label as category, top_p, (case when top_p > 0.85 then least(b + 10, 100) when top_p < 0.6 then greatest(b - 10, 0) else b end)::INT as score from base)"
+
+
+@query("d8_semantic_detection", f"{SEMANTIC_SQL} select doc_id, category, score, case when score >= 80 then 'high' else 'medium' end as level from scored")
+def d8(spark, sf):
+    df = probabilities(spark, sf).select("doc_id", F.explode(D.semantic_detection(D.semantic_gate(F.col("probs")))).alias("d"))
+    return df.select("doc_id", "d.category", "d.score", "d.level")
+
+
+def rule_rows(spark, sf):
+    return docs(spark, sf).withColumn("detections", D.detect_rules(F.col("text"), PLAIN_PACK))
+
+
+@query("d9_dedup_detections", f"with {FOUND_SQL} select doc_id, count(*) as n from found group by doc_id")
+def d9(spark, sf):
+    df = rule_rows(spark, sf).withColumn("twice", F.concat("detections", "detections"))
+    return df.select("doc_id", F.size(D.dedup_detections(F.col("twice"))).cast("long").alias("n")).where("n > 0")
+
+
+@query("d10_explode_hits", f"with {FOUND_SQL} select source, category, match, count(*) as documents from (select source, category, unnest(string_split(matches, '|')) as match from found) group by all")
+def d10(spark, sf):
+    return D.explode_hits(rule_rows(spark, sf).select("doc_id", "detections")).groupBy("source", "category", "match").agg(F.count("*").alias("documents"))
+
+
+ORDERED_SQL = "row_number() over (partition by doc_id order by score desc, case source when 'keyword' then 0 else 1 end, category, score)"
+
+
+@query("d11_primary_detection", f"with {FOUND_SQL}, best as (select doc_id, score, category, source, row_number() over (partition by doc_id order by score desc, case source when 'keyword' then 0 else 1 end, category) as n from found) select d.doc_id, coalesce(b.category, 'normal') as category, coalesce(b.score, 0)::INT as score from documents d left join best b on b.doc_id = d.doc_id and b.n = 1")
+def d11(spark, sf):
+    df = rule_rows(spark, sf).withColumn("p", D.primary_detection(F.col("detections")))
+    return df.select("doc_id", F.col("p.category").alias("category"), F.col("p.score").cast("int").alias("score"))
+
+
+@query("d12_validate_requests", "with c as (select conv_id, turn, text, nullif(role, 'user') as reply from conversations) select coalesce(case when text is null or trim(regexp_replace(text, '\\s+', '', 'g')) = '' then 'invalid_request' when length(text) > 400 then 'text_too_long' end, 'valid') as status, count(*) as rows from c group by 1")
+def d12(spark, sf):
+    df = table(spark, sf, "conversations").withColumn("reply", F.nullif("role", F.lit("user")))
+    return D.validate_requests(df, "text", "reply", 400).groupBy(F.coalesce("error", F.lit("valid")).alias("status")).agg(F.count("*").alias("rows"))
+
+
+_SECRET = {n: p for n, p in V.SECRET_RULES}
+_KEY = r"(?i)\bapi[_-]?key\b\s*[:=]\s*[''\"]"
+
+
+@query("d13_secret_lines", "with l as (select doc_id as id, generate_subscripts(string_split(text, chr(10)), 1) as line, unnest(string_split(text, chr(10))) as t from documents) " + " union all ".join(f"select '{n}' as rule, id, line::BIGINT as line from l where regexp_matches(t, '{p}')" for n, p in _SECRET.items() if n != "hardcoded_api_key") + f" union all select 'hardcoded_api_key', id, line::BIGINT from l where regexp_matches(t, '{_KEY}[^''\"]{{12,}}[''\"]') and not regexp_matches(t, '{_KEY}(\\$|<|your-|replace-)')")
+def d13(spark, sf):
+    return D.secret_lines(docs(spark, sf), "doc_id", "text")
+
+
+SCENES = (("negation", ("not ", "nein")), ("quotation", ("'", "“")), ("education", ("leth", "ieren")), ("news", ("heat", "queau")))
+LABEL_RULES = (("normal", ("ention",)), ("violence", ("tionnd", "heat")), ("sensitive", ("undch", "éleau")))
+
+
+def _case(rules, otherwise):
+    return "case " + " ".join("when " + " or ".join("contains(text, '" + w.replace("'", "''") + "')" for w in ws) + f" then '{n}'" for n, ws in rules) + f" else {otherwise} end"
+
+
+@query("d14_scenario_of", f"select doc_id, case when lang <> 'en' then 'direct' else {_case(SCENES, chr(39) + 'contextual' + chr(39))} end as scenario from documents")
+def d14(spark, sf):
+    label = F.when(F.col("lang") != "en", "ad").otherwise("normal")
+    return docs(spark, sf).select("doc_id", D.scenario_of(F.col("text"), label, SCENES).alias("scenario"))
+
+
+@query("d15_resolve_label", f"select doc_id, {_case(LABEL_RULES, 'source')} as label from documents")
+def d15(spark, sf):
+    return docs(spark, sf).select("doc_id", D.resolve_label(F.col("text"), F.col("source"), LABEL_RULES).alias("label"))
+
+
+CJK = "后发网术学一二三四五"
+
+
+@query("d16_valid_map_entry", f"with e as (select event_id, translate((user_id % 100)::varchar, '0123456789', '{CJK}') as target, translate((event_id % 100)::varchar, '0123456789', '後發網術学六二三四五') as variant, case when event_id % 5 = 0 then 'glyph_variant' else 'visual_variant' end as kind, case when event_id % 11 = 0 then ' ' else 'r' end as rationale from events) select count(*) as entries, sum(case when length(variant) = length(target) and variant <> target and trim(rationale) <> '' and translate(target, '后发网术学', '後發網術學') <> variant then 1 else 0 end)::BIGINT as valid from e")
+def d16(spark, sf):
+    e = table(spark, sf, "events").select(
+        F.translate((F.col("user_id") % 100).cast("string"), "0123456789", CJK).alias("target"), F.translate((F.col("event_id") % 100).cast("string"), "0123456789", "後發網術学六二三四五").alias("variant"),
+        F.when(F.col("event_id") % 5 == 0, "glyph_variant").otherwise("visual_variant").alias("kind"), F.when(F.col("event_id") % 11 == 0, " ").otherwise("r").alias("rationale"),
+    )
+    return e.agg(F.count("*").alias("entries"), F.count_if(D.valid_variant_entry(F.col("variant"), F.col("target"), F.col("kind"), F.col("rationale"))).alias("valid"))
+
+
+@query("d17_confidence_bucket", "select case when event_id % 10 = 0 then lower(event_type) when (event_id % 100) / 100.0 >= 0.9 then 'high' when (event_id % 100) / 100.0 >= 0.8 then 'medium' else 'low' end as bucket, count(*) as n from events group by 1")
+def d17(spark, sf):
+    text = F.when(F.col("event_id") % 10 == 0, F.col("event_type")).otherwise(((F.col("event_id") % 100) / 100).cast("string"))
+    return table(spark, sf, "events").groupBy(D.confidence_bucket(text).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+SCORE_SQL = f"with {FOUND_SQL}, s as (select d.doc_id, coalesce(max(score), 0)::INT as score, coalesce(array_to_string(list_sort(list(distinct category) filter (category is not null)), ','), '') as categories from documents d left join found using (doc_id) group by d.doc_id)"
+
+
+@query("r1_risk_score", f"{SCORE_SQL} select doc_id, score as risk_score from s")
+def r1(spark, sf):
+    return rule_rows(spark, sf).select("doc_id", R.risk_score(F.col("detections")).alias("risk_score"))
+
+
+@query("r2_risk_level", f"{SCORE_SQL} select case when score >= 80 then 'high' when score >= 40 then 'medium' when score > 0 then 'low' else 'none' end as level, count(*) as documents from s group by 1")
+def r2(spark, sf):
+    return rule_rows(spark, sf).groupBy(R.risk_level(R.risk_score(F.col("detections"))).alias("level")).agg(F.count("*").alias("documents"))
+
+
+@query("r3_action_of", f"{SCORE_SQL} select doc_id, case when score >= 80 then 'block' when score >= 40 then 'sanitize' else 'pass' end as action from s")
+def r3(spark, sf):
+    return rule_rows(spark, sf).select("doc_id", R.action_of(R.risk_score(F.col("detections"))).alias("action"))
+
+
+@query("r4_risk_categories", f"{SCORE_SQL} select doc_id, categories from s")
+def r4(spark, sf):
+    return rule_rows(spark, sf).select("doc_id", F.array_join(R.risk_categories(F.col("detections")), ",").alias("categories"))
+
+
+WORDS = ["with the", "ention", "tion", "nd"]
+
+
+@query("r5_sanitize", "select doc_id, md5(replace(replace(replace(replace(text, 'with the', '***'), 'ention', '***'), 'tion', '***'), 'nd', '***')) as md5 from documents")
+def r5(spark, sf):
+    return docs(spark, sf).select("doc_id", F.md5(R.sanitize(F.col("text"), D.contained(F.col("text"), list(reversed(WORDS))))).alias("md5"))
+
+
+@query("r6_restore_comma", "select doc_id, md5(case when contains(o, '，') and not contains(o, ',') then replace(text, ',', '，') else text end) as md5 from (select doc_id, text, case when lang = 'en' then replace(text, ',', '，') else text end as o from documents)")
+def r6(spark, sf):
+    original = F.when(F.col("lang") == "en", F.replace("text", F.lit(","), F.lit("，"))).otherwise(F.col("text"))
+    return docs(spark, sf).select("doc_id", F.md5(R.restore_comma(F.col("text"), original)).alias("md5"))
+
+
+def verdicts(spark, sf):
+    return R.filter_text(docs(spark, sf), "text", PACK)
+
+
+@query("r7_recheck_rewrite")
+def r7(spark, sf):
+    return verdicts(spark, sf).where("rewrite_recheck is not null").select("doc_id", "action", "risk_level", F.size("rewrite_recheck.detections").alias("again"))
+
+
+@query("r8_filter_text")
+def r8(spark, sf):
+    return verdicts(spark, sf).select("doc_id", "stage", "action", "risk_score", "risk_level", F.array_join("risk_categories", ",").alias("risk_categories"), F.md5("normalized_text").alias("normalized"), F.md5("sanitized_text").alias("sanitized"))
+
+
+@query("r9_detect")
+def r9(spark, sf):
+    return R.detect(docs(spark, sf), "text", PACK).select("doc_id", "stage", "action", "risk_score", "risk_level", F.size("detections").alias("detections"))
+
+
+@query("r10_baseline_vs_enhanced")
+def r10(spark, sf):
+    return R.baseline_vs_enhanced(docs(spark, sf), "text", PACK).groupBy("baseline_action", "enhanced_action", "baseline_missed", "note").agg(F.count("*").alias("documents"))
+
+
+STATES = ["pass", "sanitize", "block"]
+
+
+def states(spark, sf):
+    pick = lambda at, words: F.get(F.array(*map(F.lit, words)), F.pmod(number(F.col("event_id"), at), F.lit(len(words))).cast("int"))
+    return table(spark, sf, "events").select("event_id", pick(1, STATES).alias("input_action"), pick(5, [*STATES, ""]).alias("o"), (F.pmod(number(F.col("event_id"), 9), F.lit(4)) == 0).alias("down")).withColumn("output_action", F.nullif("o", F.lit("")))
+
+
+STATES_SQL = f"s as (select event_id, {sql_list(STATES)}[({sql_number('event_id', 1)} % 3) + 1] as input_action, nullif({sql_list([*STATES, ''])}[({sql_number('event_id', 5)} % 4) + 1], '') as output_action, {sql_number('event_id', 9)} % 4 = 0 as down from events)"
+
+
+@query("r11_processing_strategy", f"with {STATES_SQL} select case when input_action = 'block' and down then '{V.STRATEGIES['rejected']}' when input_action = 'block' then '{V.STRATEGIES['block']}' when input_action = 'sanitize' then '{V.STRATEGIES['sanitize']}' else '{V.STRATEGIES['pass']}' end as strategy, count(*) as n from s group by 1")
+def r11(spark, sf):
+    return states(spark, sf).groupBy(R.processing_strategy(F.col("input_action"), F.col("down")).alias("strategy")).agg(F.count("*").alias("n"))
+
+
+@query("r12_turn_status", f"with {STATES_SQL} select case when input_action = 'block' then '{V.TURN_STATUS['input']}' when down then '{V.TURN_STATUS['error']}' when output_action is null then '{V.TURN_STATUS['none']}' when output_action <> 'pass' then '{V.TURN_STATUS['risky']}' else '{V.TURN_STATUS['passed']}' end as status, count(*) as n from s group by 1")
+def r12(spark, sf):
+    return states(spark, sf).groupBy(R.turn_status(F.col("input_action"), F.when(F.col("down"), "x"), F.col("output_action")).alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("o1_guard_output")
+def o1(spark, sf):
+    df = R.guard_output(docs(spark, sf), "text", PACK, recheck=False)
+    return df.select("doc_id", "action", "risk_score", "risk_level", F.array_join("risk_categories", ",").alias("risk_categories"), F.md5("final_text").alias("final"))
+
+
+REFUSAL_SQL = "case when n > 1 then '" + V.REFUSALS["mixed"] + "' when n = 0 then '" + V.REFUSAL_GENERIC + "' else coalesce(map {" + ", ".join(f"'{k}': '{v}'" for k, v in V.REFUSALS.items()) + "}[categories], '" + V.REFUSALS["mixed"] + "') end"
+
+
+@query("o2_refusal_for", f"{SCORE_SQL}, c as (select doc_id, categories, case when categories = '' then 0 else len(string_split(categories, ',')) end as n from s) select {REFUSAL_SQL} as refusal, count(*) as documents from c group by 1")
+def o2(spark, sf):
+    return rule_rows(spark, sf).groupBy(R.refusal_for(R.risk_categories(F.col("detections"))).alias("refusal")).agg(F.count("*").alias("documents"))
+
+
+KW_ONLY = {"ad": ["ention", "with the"], "violence": ["tionnd"]}
+
+
+@query("o3_sanitize_output", "select doc_id, md5(replace(replace(replace(text, 'with the', '[已过滤:广告引流]'), 'ention', '[已过滤:广告引流]'), 'tionnd', '[已过滤:暴力威胁]')) as md5 from documents")
+def o3(spark, sf):
+    found = D.detect_keywords(F.col("text"), KW_ONLY)
+    return docs(spark, sf).select("doc_id", F.md5(R.sanitize_output(F.col("text"), found)).alias("md5"))
+
+
+@query("o4_no_op_rewrite")
+def o4(spark, sf):
+    df = R.guard_output(docs(spark, sf), "text", PACK, recheck=False)
+    return df.where("rewritten").groupBy((F.col("final_text") == V.REWRITE_GENERIC).alias("generic")).agg(F.count("*").alias("documents"))
+
+
+@query("o5_recheck_output")
+def o5(spark, sf):
+    return R.guard_output(docs(spark, sf), "text", PACK).select("doc_id", "action", "rewritten", "rechecked_action", F.array_join("risk_categories", ",").alias("risk_categories"), F.md5("final_text").alias("final"))
+
+
+@query("o6_public_output")
+def o6(spark, sf):
+    df = R.public_output(R.guard_output(docs(spark, sf), "text", PACK))
+    return df.select("doc_id", "action", F.md5("normalized_text").alias("normalized"), F.to_json(F.transform("detections", lambda d: d["matches"])).alias("matches"))
+
+
+@query("o7_turn_pairs", "with w as (select conv_id, turn, role, text, lead(role) over (partition by conv_id order by turn) as r, lead(text) over (partition by conv_id order by turn) as t from conversations where role <> 'system') select conv_id, turn, md5(text) as message, case when r = 'assistant' then md5(t) end as reply from w where role = 'user'")
+def o7a(spark, sf):
+    return R.turn_pairs(table(spark, sf, "conversations")).select("conv_id", "turn", F.md5("message").alias("message"), F.md5("reply").alias("reply"))
+
+
+def turns(spark, sf):
+    return R.moderate_turns(R.turn_pairs(table(spark, sf, "conversations")), PACK)
+
+
+@query("o7_moderate_turns")
+def o7(spark, sf):
+    return turns(spark, sf).select("conv_id", "turn", "in_action", "out_action", "allowed", "service_error", "rewrite_changed", F.md5("final_reply").alias("final_reply"), F.md5("raw_reply").alias("raw_reply"))
+
+
+@query("o8_category_labels", "select coalesce(map {" + ", ".join(f"'{k}': '{v}'" for k, v in V.CATEGORY_LABELS.items()) + "}[c], c) as label, count(*) as n from (select ['ad','porn','normal','other'][(doc_id % 4) + 1] as c from documents) group by 1")
+def o8(spark, sf):
+    code = F.get(F.array(*map(F.lit, ("ad", "porn", "normal", "other"))), (F.col("doc_id") % 4).cast("int"))
+    return docs(spark, sf).groupBy(R.label_of(code).alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("o9_emit_turn_events")
+def o9(spark, sf):
+    return turn_events(spark, sf).groupBy("event_stage", "action", "reason", "result.action").agg(F.count("*").alias("events")).toDF("event_stage", "action", "reason", "result_action", "events")
+
+
+def turn_events(spark, sf):
+    return R.emit_turn_events(turns(spark, sf), F.timestamp_micros(F.col("conv_id") * 60_000_000))
+
+
+@query("o10_semantic_summary", f"{SEMANTIC_SQL} select d.doc_id, coalesce(category, 'normal') as category, round(case when score is null then 1.0 else score / 100.0 end, 6)::DOUBLE as score, round(case when score is null then 1.0 else greatest(0.0, 1.0 - score / 100.0) end, 6)::DOUBLE as normal from documents d left join scored using (doc_id)")
+def o10(spark, sf):
+    df = probabilities(spark, sf).select("doc_id", R.semantic_summary(D.semantic_detection(D.semantic_gate(F.col("probs")))).alias("s"))
+    return df.select("doc_id", F.col("s.category").alias("category"), F.round("s.score", 6).alias("score"), F.round("s.normal", 6).alias("normal"))
+
+
+def flagship(spark, sf):
+    """Documents normalized, masked, scored and counted by language and action."""
+    df = R.guard_output(docs(spark, sf), "text", PACK, recheck=False)
+    return df.groupBy("lang", "action").agg(F.count("*").alias("documents"), F.avg("risk_score").alias("mean_score")).orderBy("lang", "action")
+
+
+query("flagship")(flagship)
