@@ -14,6 +14,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .columns import characters, runs
 from .fixed_values import NO_STEP, NOISE
@@ -30,26 +31,26 @@ Entries = Sequence[tuple[str, str]]
 
 
 @_kept_apart
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def strip_nfkc(texts: pa.Array) -> pa.Array:
     """Unicode-stripped text in compatibility form."""
     return pa.array([None if t is None else unicodedata.normalize("NFKC", t.strip()) for t in texts.to_pylist()], pa.string())
 
 
 @_kept_apart
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def nfkc(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
 
 @_kept_apart
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def casefold(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else t.casefold() for t in texts.to_pylist()], pa.string())
 
 
 @_kept_apart
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def nfkc_casefold(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFKC", t).casefold() for t in texts.to_pylist()], pa.string())
 

@@ -118,7 +118,8 @@ def counts_by(events: DataFrame, dims: Collection[str] = DIMENSIONS, stage_col:
     ]
     pairs = r.select(F.explode(F.flatten(F.array_compact(F.array(*arrays)))).alias("p")).select("p.*")
     final = events.where(_field(events, stage_col, "string") == "final")
-    own = final.select(F.explode(F.array_compact(F.array(pair("stage", F.lit("final")), F.when(F.coalesce(F.col(action_col), F.lit("")) != "", pair("final_action", F.col(action_col)))))).alias("p")).select("p.*")
+    final_action = _field(events, action_col, "string")
+    own = final.select(F.explode(F.array_compact(F.array(pair("stage", F.lit("final")), F.when(F.coalesce(final_action, F.lit("")) != "", pair("final_action", final_action))))).alias("p")).select("p.*")
     return pairs.unionByName(own).where(F.col("dimension").isin(*dims)).groupBy("dimension", "name").agg(F.count("*").alias("count"))
 
 

@@ -30,11 +30,11 @@ def char_ngrams(text: Column, low: int = 2, high: int = 5) -> Column:
     return let(characters(F.lower(text)), lambda c: F.flatten(F.array(*[runs(c, n, lambda a, b: F.concat(a, b)) for n in range(low, high + 1)])))
 
 
-def tfidf_stages(grams_col: str, out: str = "features", vocabulary: int = 1 << 18, min_df: float = 1.0, max_df: float = 1.0) -> list:
+def tfidf_stages(grams_col: str, out: str = "features", vocabulary: int = 1 << 18, min_df: float = 1.0, max_df: float | None = None) -> list:
     """M1: counts, inverse document frequency plus 1 (as tf * idf and tf side by side, so that the linear model sees
     their sum's scale), unit length. Spark's idf is ln((n + 1) / (df + 1))."""
     return [
-        CountVectorizer(inputCol=grams_col, outputCol="_tf", vocabSize=vocabulary, minDF=min_df, maxDF=max_df),
+        CountVectorizer(inputCol=grams_col, outputCol="_tf", vocabSize=vocabulary, minDF=min_df, **({} if max_df is None else {"maxDF": max_df})),
         IDF(inputCol="_tf", outputCol="_idf"),
         VectorAssembler(inputCols=["_idf", "_tf"], outputCol="_both"),
         Normalizer(inputCol="_both", outputCol=out, p=2.0),
@@ -49,7 +49,7 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(table), label)  # a row a label
 
 
-def train_classifier(df: DataFrame, text: str, label: str, kind: str = "char", c: float = 1.0, max_iter: int = 100, vocabulary: int = 1 << 16, min_df: float = 1.0, max_df: float = 1.0) -> PipelineModel:
+def train_classifier(df: DataFrame, text: str, label: str, kind: str = "char", c: float = 1.0, max_iter: int = 100, vocabulary: int = 1 << 16, min_df: float = 1.0, max_df: float | None = None) -> PipelineModel:
     """M2 (and, with kind="word", M3): multinomial logistic regression with balanced weights."""
     grams = char_ngrams(F.col(text)) if kind == "char" else word_ngrams(F.col(text))
     rows = balanced_weights(df.select(F.col(text), F.col(label)), label).withColumn("_grams", grams)

@@ -100,7 +100,7 @@ def derived_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.when(score < 40, F.array().cast("array<struct<category:string,source:string,matches:array<string>>>")).when(F.pmod(n, F.lit(7)) == 0, F.array(one, both)).otherwise(F.array(one))
     level = F.when(F.pmod(n, F.lit(4)) != 0, F.when(score >= 80, "high").when(score >= 40, "medium").otherwise("low"))
     result = F.struct(F.when(F.pmod(n, F.lit(6)) != 0, stage).alias("stage"), action.alias("action"), score.alias("risk_score"), level.alias("risk_level"), F.array().cast("array<string>").alias("risk_categories"), (score >= 80).alias("blocked"), F.lit(None).cast("boolean").alias("rewritten"), found.alias("detections"))
-    return e.select("event_id", F.col("ts").alias("time"), stage.alias("event_stage"), F.when(stage == "final", action).alias("action"), F.col("event_type").alias("input"), F.when(stage != "final", result).alias("result"))
+    return e.select("event_id", F.col("ts").cast("timestamp").alias("time"), stage.alias("event_stage"), F.when(stage == "final", action).alias("action"), F.col("event_type").alias("input"), F.when(stage != "final", result).alias("result"))
 
 
 EVENTS_SQL = """e0 as (select event_id, ts, event_type, ['input','output','final'][(event_id % 3) + 1] as stage, event_id % 101 as score from events),

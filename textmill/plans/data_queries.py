@@ -803,7 +803,8 @@ def s2(spark, sf):
     bad = F.col("user_id") % 7 == 0
     rules = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("name"), F.col("event_type").alias("category"), F.when(bad, "(").otherwise(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("pattern")).distinct()
     path = place(spark, "rules")
-    rules.write.json(path)
+    # a rule file is one small array
+    rules.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).write.text(path)
     return S.read_regex_rules(spark, path).groupBy("category").agg(F.count("*").alias("rules"))
 
 
