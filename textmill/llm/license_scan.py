@@ -151,16 +151,17 @@ def _matches(joined: Column, rule: Column) -> Column:
     pattern = F.concat(F.lit("(?<![^ ])(?:"), rule["pattern"], F.lit(")(?![^ ])"))
     count = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
     hits, gaps = F.regexp_extract_all(joined, pattern, F.lit(0)), F.split(joined, pattern, -1)
+    # one more gap than hits; the last one has none and is left out
+    sizes = F.filter(F.zip_with(gaps, hits, lambda g, h: F.struct(count(g).alias("gap"), count(h).alias("hit"))), lambda x: x["hit"].isNotNull())
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("found"))
 
-    def step(acc: Column, i: Column) -> Column:
-        at = acc["at"] + count(F.get(gaps, i))
-        stop = at + count(F.get(hits, i))
-        return F.struct(stop.alias("at"), F.concat(acc["found"], F.array(F.struct(at.alias("start"), stop.alias("stop")))).alias("found"))
+    def step(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + x["gap"]
+        stop = begin + x["hit"]
+        return F.struct(stop.alias("at"), F.concat(acc["found"], F.array(F.struct(begin.alias("start"), stop.alias("stop")))).alias("found"))
 
-    found = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), start, step, lambda acc: acc["found"])
-    made = F.transform(found, lambda x: F.struct(x["start"], x["stop"], rule["priority"].alias("priority"), rule["label"].alias("label"), rule["confidence"].alias("confidence")))
-    return F.when(F.size(hits) > 0, made)
+    found = F.aggregate(sizes, start, step, lambda acc: acc["found"])
+    return F.transform(found, lambda x: F.struct(x["start"], x["stop"], rule["priority"].alias("priority"), rule["label"].alias("label"), rule["confidence"].alias("confidence")))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,7 +187,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tried = F.filter(table_of_rules, lambda r: F.array_contains(F.col("distinct"), r["key"]))
     rows = rows.withColumn("base", F.when(F.col("words").isNotNull(), base).otherwise(F.array().cast("array<struct<start:bigint,label:string>>")))
     rows = rows.withColumn("distinct", distinct)
-    found = F.flatten(F.filter(F.transform(tried, lambda r: _matches(F.col("joined"), r)), lambda x: x.isNotNull()))
+    found = F.flatten(F.transform(tried, lambda r: _matches(F.col("joined"), r)))
     rows = rows.withColumn("found", F.when(F.col("words").isNotNull(), found))
     # within another: of a higher priority, or longer and of the same
     inside = lambda x, y: (y["start"] <= x["start"]) & (y["stop"] >= x["stop"]) & ((y["priority"] > x["priority"]) | ((y["priority"] == x["priority"]) & (y["stop"] - y["start"] > x["stop"] - x["start"])))
