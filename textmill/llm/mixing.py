@@ -3,8 +3,8 @@
 A source's target is made of whole passes over it (at most MAX_TIMES in all) and a rest. The rest is
 fitted with whole documents: documents are counted by exact length; every length first gets its share
 of the rest rounded down; what then is left is filled by bounded-knapsack dynamic programming over
-the leftover counts, so that the source's taken words come as near to the target as whole documents
-allow. Which documents of a length are taken goes by a seeded hash of their ids, bucket by
+the leftover counts, so that the source's taken words come as near to the target as these
+documents allow. Which documents of a length are taken goes by a seeded hash of their ids, bucket by
 bucket, so that no group of equal lengths is ever ranked in one task.
 """
 
@@ -51,9 +51,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_tim
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many of each length to take so that their sum comes nearest to the budget.
 
-    Lengths are distinct and positive. Shares rounded down leave a rest; more documents are taken
-    from the longest leftover length that fits until the rest is below twice the largest length;
-    the rest is then fitted by bounded knapsack on a bit set of reachable sums."""
+    Lengths are distinct and positive. Shares rounded down leave a rest; documents are taken, the longest
+    first, or given back, one of each of the shortest lengths, until the rest is about twice the largest length; it is then fitted by bounded knapsack
+    on a bit set of reachable sums, over all documents not yet taken."""
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
@@ -61,12 +61,20 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     rest = budget - int((lengths * taken).sum())
     order = np.argsort(lengths)[::-1]
     span = 2 * int(lengths.max())
+    if total <= 8 * span:  # small enough for all of it
+        taken[:], rest = 0, budget
+        span = max(span, rest)
     for i in order:
         if rest <= span:
             break
         more = min(int(counts[i] - taken[i]), (rest - span) // int(lengths[i]) + 1)
         taken[i] += more
         rest -= more * int(lengths[i])
+    while rest < span and taken.any():
+        for i in order[::-1]:
+            if taken[i] and rest < span:
+                taken[i] -= 1
+                rest += int(lengths[i])
     top = max(0, rest) + int(lengths.max())
     reach, steps, mask = 1, [], (1 << (top + 1)) - 1
     for i in order[::-1]:
