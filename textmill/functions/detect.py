@@ -94,8 +94,10 @@ def privacy(text: Column, rules: Sequence[tuple[str, str, str]] = V.PRIVACY) ->
     start = F.struct(text.alias("masked"), F.array().cast("array<string>").alias("names"))
 
     def step(acc: Column, r: Column) -> Column:
-        new = F.regexp_replace(acc["masked"], r["pattern"], r["mask"])
-        return F.struct(new.alias("masked"), F.when(new != acc["masked"], F.concat(acc["names"], F.array(r["name"]))).otherwise(acc["names"]).alias("names"))
+        def taken(new: Column) -> Column:
+            return F.struct(new.alias("masked"), F.when(new != acc["masked"], F.concat(acc["names"], F.array(r["name"]))).otherwise(acc["names"]).alias("names"))
+
+        return let(F.regexp_replace(acc["masked"], r["pattern"], r["mask"]), taken)
 
     return F.aggregate(table, start, step)
 

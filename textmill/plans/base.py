@@ -29,6 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly where the scan has fewer tasks than the cluster has cores (a few large files); a table of
+    many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 #: A rule pack in the corpus's own words; a deployment passes its own.
 LEXICONS = {"ad": ["ention", "with the"], "porn": ["ererst"], "sensitive": ["ouen", "undch"], "violence": ["tionnd", "é la"]}
 MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"

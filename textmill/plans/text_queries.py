@@ -8,7 +8,7 @@ from textmill.functions import decide as R
 from textmill.functions import detect as D
 from textmill.functions import fixed_values as V
 from textmill.functions import normalize as N
-from textmill.plans.base import GATE_SQL, IP, LEXICONS, MAIL, MAPS, PACK, PLAIN_PACK, PROBS_SQL, RULES, number, probabilities, query, sql_list, sql_number, table
+from textmill.plans.base import GATE_SQL, IP, LEXICONS, MAIL, MAPS, PACK, PLAIN_PACK, PROBS_SQL, RULES, number, probabilities, query, spread, sql_list, sql_number, table
 
 ENTRIES = [("nd", "n"), ("tion", "shun"), ("the", "da"), ("shuns", "SHUNS")]
 CASCADE = "replace(replace(replace(replace(text, 'shuns', 'SHUNS'), 'tion', 'shun'), 'the', 'da'), 'nd', 'n')"
@@ -16,7 +16,7 @@ FOLDED = "replace(lower(text), 'ß', 'ss')"
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    return spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def hashed(df, column, *more):
