@@ -272,6 +272,26 @@ def test_quality_learns_lines(spark):
     assert len(held) > 10 and np.mean(held) > 0.95
 
 
+def test_quality_learns_what_stands_after_many_lines(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("etaoinshr"), rng.integers(2, 8)))
+    plain = lambda n: [" ".join(word() for _ in range(6)).capitalize() + "." for _ in range(n)]
+    spam = lambda n: [" | ".join(word().upper() + "!!" for _ in range(4)) for _ in range(n)]
+    rows = [(i, "\n".join(plain(66) + (plain(66) if i % 2 else spam(66))), i % 2) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    model = quality.train(docs, labels.where(~quality.held_out()))
+    got = quality.score_quality(docs.withColumn("held", quality.held_out()), model).where("held").collect()
+    assert len(got) > 5 and all((r["score"] >= 0.5) == bool(r["doc_id"] % 2) for r in got)
+    # summed in tasks, the same field
+    monkeypatch.setattr(quality, "STEPS", 5)
+    own = quality.train(docs, labels)
+    monkeypatch.setattr(quality, "LOCAL_BYTES", 0)
+    monkeypatch.setattr(quality, "PART_BYTES", 1 << 17)
+    spread = quality.train(docs, labels)
+    assert all(own[k] == pytest.approx(spread[k], abs=1e-9) for k in own)
+
+
 def test_quality_edges(docs, none, spark):
     labels = spark.createDataFrame([(5, 1), (11, 0), (None, 1), (3, None)], "doc_id long, quality int")
     model = quality.train(docs, labels)
