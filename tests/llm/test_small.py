@@ -326,6 +326,49 @@ def test_licenses(docs, none):
     assert got[0]["n_words"] == 0 and got[7]["n_words"] == 80 and got[5]["detections"] == [] and license_scan.scan_licenses(none).count() == 0
 
 
+def examples(pattern):
+    """All texts that a pattern matches; a repetition stands at its fewest and once."""
+    from re import _parser as parser
+
+    def texts(nodes):
+        out = [""]
+        for op, arg in nodes:
+            kind = str(op)
+            if kind == "LITERAL":
+                own = [chr(arg)]
+            elif kind == "ANY":
+                own = [" "]
+            elif kind == "IN":
+                own = [chr(v) for k, x in arg for v in ((x,) if str(k) == "LITERAL" else range(x[0], x[1] + 1))]
+            elif kind == "BRANCH":
+                own = [t for branch in arg[1] for t in texts(branch)]
+            elif kind == "SUBPATTERN":
+                own = texts(arg[3])
+            elif kind == "MAX_REPEAT":
+                own = ([""] if arg[0] == 0 else []) + texts(arg[2])
+            else:
+                raise ValueError(kind)
+            out = [a + b for a in out for b in own]
+        return out
+
+    return texts(parser.parse(pattern))
+
+
+def test_license_rules_pass_their_own_gates(spark):
+    named = [(label, keys, t) for label, keys, pattern in license_scan.FAMILIES for t in examples(pattern)]
+    other = [(label, keys, t) for label, keys, pattern, *_ in license_scan.OTHERS for t in examples(pattern)]
+    assert [x for x in named + other if not set(x[1].split()) & set(x[2].split())] == []
+    # every name under one template, one name under up to some sixty examples of each template, and all other rules
+    first = [examples(t.replace("{}", "0bsd")) for t, *_ in license_scan.TEMPLATES]
+    rows = [(label, f"spdx license identifier {t}") for label, _, t in named] + [("bsd-0", t) for ts in first for t in ts[:: max(1, len(ts) // 60)]]
+    rows += [(label, t) for label, _, t in other]
+    rows += [("gpl-3", "Licensed under GPLv3"), ("gpl-2", "SPDX-License-Identifier: GPLv2"), ("bsd-0", "the Zero-Clause BSD license"), ("lgpl-3", "Licensed under the LGPLv3."), ("agpl-3", "released under AGPLv3"), ("lgpl-2", "License: LGPLv2.1+")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: {d["label"] for d in r["detections"]} for r in license_scan.scan_licenses(df).collect()}
+    missed = [(label, t, got[i]) for i, (label, t) in enumerate(rows) if label not in got[i]]
+    assert missed == []
+
+
 def test_license_suppression(spark):
     texts = ["Licensed under CC BY-NC-SA 4.0", "SPDX-License-Identifier: Apache-2.0", "the GNU General Public License, version 3.", "nothing under the sun", "mit mit mit"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

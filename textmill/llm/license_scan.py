@@ -1,9 +1,9 @@
 """License scan by ordered signature rules, with DataFrame functions alone.
 
-A rule is a regular expression over a text's words (lower case, one blank between two words) with a
-keyword, a priority, a label and a confidence. Rules are written as templates over a table of license
+A rule is a regular expression over a text's words (lower case, one blank between two words) with
+keywords, a priority, a label and a confidence. Rules are written as templates over a table of license
 families, which makes some three hundred. A text is looked at only if it holds literal
-words that every rule needs; a rule is tried only if the text has its keyword among its words. Every match is an
+words that every rule needs; a rule is tried only if the text has one of its keywords among its words. Every match is an
 interval of words. A match within an interval of a higher priority, or within a longer one of the same
 priority, is suppressed. Base phrases are found exactly as stated and are never suppressed.
 
@@ -23,28 +23,29 @@ WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Base phrases and their labels (fixed values).
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Families: label, keyword (one word), and the name as a regular expression of words.
+#: Families: label, keywords (whatever the name matches has one of them as a whole word), and the name as a
+#: regular expression of words.
 FAMILIES = (
     ("mit", "mit", "mit"),
     ("apache-1", "apache", "apache(?: software)?(?: license)?(?: version)? 1 [01]"),
     ("apache-2", "apache", "apache(?: software)?(?: license)?(?: version)? 2(?: 0)?"),
-    ("gpl-1", "gpl", "(?:gnu )?gpl(?: version)?(?: v)? ?v?1(?: 0)?"),
-    ("gpl-2", "gpl", "(?:gnu )?gpl(?: version)?(?: v)? ?v?2(?: 0)?"),
-    ("gpl-3", "gpl", "(?:gnu )?gpl(?: version)?(?: v)? ?v?3(?: 0)?"),
+    ("gpl-1", "gpl gplv1 gpl1", "(?:gnu )?gpl(?: version)?(?: v)? ?v?1(?: 0)?"),
+    ("gpl-2", "gpl gplv2 gpl2", "(?:gnu )?gpl(?: version)?(?: v)? ?v?2(?: 0)?"),
+    ("gpl-3", "gpl gplv3 gpl3", "(?:gnu )?gpl(?: version)?(?: v)? ?v?3(?: 0)?"),
     ("gpl-1", "general", "(?:gnu )?general public license(?: as published by the free software foundation)?(?: version)? v?1(?: 0)?"),
     ("gpl-2", "general", "(?:gnu )?general public license(?: as published by the free software foundation)?(?: version)? v?2(?: 0)?"),
     ("gpl-3", "general", "(?:gnu )?general public license(?: as published by the free software foundation)?(?: version)? v?3(?: 0)?"),
-    ("lgpl-2", "lgpl", "(?:gnu )?lgpl(?: version)? v?2(?: [01])?"),
-    ("lgpl-3", "lgpl", "(?:gnu )?lgpl(?: version)? v?3(?: 0)?"),
+    ("lgpl-2", "lgpl lgplv2 lgpl2", "(?:gnu )?lgpl(?: version)?(?: v)? ?v?2(?: [01])?"),
+    ("lgpl-3", "lgpl lgplv3 lgpl3", "(?:gnu )?lgpl(?: version)?(?: v)? ?v?3(?: 0)?"),
     ("lgpl-2", "lesser", "(?:gnu )?lesser general public license(?: version)? v?2(?: [01])?"),
     ("lgpl-3", "lesser", "(?:gnu )?lesser general public license(?: version)? v?3(?: 0)?"),
-    ("agpl-3", "agpl", "(?:gnu )?agpl(?: version)? v?3(?: 0)?"),
+    ("agpl-3", "agpl agplv3 agpl3", "(?:gnu )?agpl(?: version)?(?: v)? ?v?3(?: 0)?"),
     ("agpl-3", "affero", "(?:gnu )?affero general public license(?: version)?(?: v?3(?: 0)?)?"),
     ("fdl-1", "documentation", "(?:gnu )?free documentation license(?: version)?(?: 1 [123])?"),
     ("bsd-2", "bsd", "(?:simplified bsd|bsd 2(?: clause)?|2 clause bsd|two clause bsd)"),
     ("bsd-3", "bsd", "(?:(?:new|modified|revised) bsd|bsd 3(?: clause)?|3 clause bsd|three clause bsd)"),
     ("bsd-4", "bsd", "(?:original bsd|bsd 4(?: clause)?|4 clause bsd|four clause bsd)"),
-    ("bsd-0", "0bsd", "(?:0bsd|zero clause bsd)"),
+    ("bsd-0", "0bsd bsd", "(?:0bsd|zero clause bsd)"),
     ("bsd", "bsd", "bsd(?: style)?"),
     ("isc", "isc", "isc"),
     ("mpl-1", "mozilla", "mozilla public(?: license)?(?: version)? 1 [01]"),
@@ -95,7 +96,7 @@ TEMPLATES = (
     ("licen[cs]e {}", 2, 0.8),
     ("{} licen[cs]e", 2, 0.75),
 )
-#: Rules that aren't a family's: label, keyword, pattern, priority, confidence.
+#: Rules that aren't a family's: label, keywords, pattern, priority, confidence.
 OTHERS = (
     ("mit", "granted", "permission is hereby granted free of charge to any person obtaining a copy", 4, 1.0),
     ("isc", "granted", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 4, 1.0),
@@ -113,7 +114,7 @@ OTHERS = (
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
-    """(label, keyword, pattern, priority, confidence) of every rule, in order."""
+    """(label, keywords, pattern, priority, confidence) of every rule, in order."""
     made = [(label, key, t.replace("{}", f"(?:{name})"), priority, confidence) for t, priority, confidence in TEMPLATES for label, key, name in FAMILIES]
     return [*made, *OTHERS]
 
@@ -171,7 +172,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A null or empty text has no words. Repeated rows and null ids are kept, extra columns ignored; an
     empty table gives no row. Equal intervals of equal priority all stand."""
     text = text_of(text_col)
-    table_of_rules = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(k).alias("key"), F.lit(p).alias("pattern"), F.lit(o).alias("priority"), F.lit(c).alias("confidence")) for a, k, p, o, c in rules()])
+    table_of_rules = F.array(*[F.struct(F.lit(a).alias("label"), F.array(*map(F.lit, k.split(" "))).alias("keys"), F.lit(p).alias("pattern"), F.lit(o).alias("priority"), F.lit(c).alias("confidence")) for a, k, p, o, c in rules()])
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     rows = rows.withColumn("n_words", F.regexp_count("text", F.lit(WORDS)).cast("long"))
     # without lower(): that would also change other letters; only gated texts are rewritten
@@ -183,10 +184,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return F.transform(_places(F.col("words"), phrase), lambda i: F.struct(i.cast("long").alias("start"), F.lit(label).alias("label")))
 
     base = F.concat(*[placed(phrase, label) for phrase, label in BASE])
-    distinct = F.array_distinct("words")
-    tried = F.filter(table_of_rules, lambda r: F.array_contains(F.col("distinct"), r["key"]))
+    known = sorted({w for _, k, *_ in rules() for w in k.split(" ")})
+    tried = F.filter(table_of_rules, lambda r: F.arrays_overlap(F.col("known"), r["keys"]))
     rows = rows.withColumn("base", F.when(F.col("words").isNotNull(), base).otherwise(F.array().cast("array<struct<start:bigint,label:string>>")))
-    rows = rows.withColumn("distinct", distinct)
+    rows = rows.withColumn("known", F.array_intersect("words", F.array(*map(F.lit, known))))
     found = F.flatten(F.transform(tried, lambda r: _matches(F.col("joined"), r)))
     rows = rows.withColumn("found", F.when(F.col("words").isNotNull(), found))
     # within another: of a higher priority, or longer and of the same
