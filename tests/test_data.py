@@ -148,3 +148,18 @@ def test_sources(spark, tmp_path):
     with pytest.raises(ValueError, match="label"):
         (tmp_path / "t.csv").write_text("﻿text\nx\n", encoding="utf-8")
         S.read_table_csv(spark, str(tmp_path / "t.csv"), ["text", "label"])
+
+
+def test_stream_counts_hold_every_window(spark, sf_dir):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{sf_dir}/events.parquet')")
+    want = con.execute(entry.oracle_sql()["t2_event_counts_stream"])
+    names = [c[0] for c in want.description]
+    rows = sorted(map(repr, want.fetchall()))
+    got = entry.queries()["t2_event_counts_stream"](spark, sf_dir)
+    assert got.columns == names and sorted(repr(tuple(r)) for r in got.collect()) == rows
+    assert len(rows) > 2

@@ -922,9 +922,13 @@ def t1(spark, sf):
     return out.groupBy("in_action", "out_action", "allowed").agg(F.count("*").alias("turns"))
 
 
-@query("t2_event_counts_stream")
+@query("t2_event_counts_stream", f"with {EVENTS_SQL} select date_trunc('day', ts)::TIMESTAMP as window_start, stage, count(*) as results, count(*) filter (action = 'block') as blocked, count(*) filter (action = 'sanitize') as rewritten, sum(rule_hits)::BIGINT as rule_hits, sum(semantic_hits)::BIGINT as semantic_hits from r where ts is not null group by all")
 def t2(spark, sf):
-    return run_stream(T.event_counts_stream(as_stream(derived_events(spark, sf), "events"), window="1 day"), "counts")
+    counts = T.event_counts_stream(as_stream(derived_events(spark, sf), "events"), window="1 day")
+    path = place(spark, "counts")
+    q = T.keyed_sink(counts, path, f"{path}-state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return T.latest(spark, path, counts.schema, ("window_start", "stage"))
 
 
 @query("t3_since_stream", "select event_type, count(*) as events from events where ts >= timestamp '2024-01-10' group by event_type")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Collection
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textmill.functions.decide import Semantic, moderate_turns, no_semantic
 from textmill.functions.detect import Pack
@@ -26,6 +29,21 @@ def event_counts_stream(events: DataFrame, time_col: str = "time", window: str =
     ).select(F.col("window.start").alias("window_start"), "stage", "results", "blocked", "rewritten", "rule_hits", "semantic_hits")
 
 
+def keyed_sink(counts: DataFrame, path: str, checkpoint: str):
+    """A writer of every change of a count, open windows included. A batch is a folder of its own, which a repeated
+    batch replaces; latest() reads the table."""
+    put = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    return counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put)
+
+
+def latest(spark: SparkSession, path: str, schema: T.StructType, keys: Collection[str]) -> DataFrame:
+    """The row of each key that the last batch with the key wrote to a keyed sink."""
+    rows = spark.read.schema(schema.add("batch", "long")).parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+    return last.select(*keys, *(F.col(f"last.{c}").alias(c) for c in rest))
+
+
 def since_stream(events: DataFrame, since: Column, time_col: str = "time") -> DataFrame:
     """T3."""
     return events.where(F.col(time_col).try_cast("timestamp") >= since)
