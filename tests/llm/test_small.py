@@ -63,6 +63,23 @@ def test_secret_structure():
     assert secret_scan.scan("secret:token: abcdefgh") == []
 
 
+def test_secrets_behind_another_encoding():
+    import base64
+
+    body = bytes([0x30, 90]) + bytes([2, 1, 0]) + bytes([4, 85]) + bytes(85)
+    run = base64.b64encode(body).decode()
+    pem = f"-----BEGIN PRIVATE KEY-----\n{run[:64]}\n{run[64:]}\n-----END PRIVATE KEY-----\n"
+    escaped = pem.strip().replace("\n", "\\n")
+    assert secret_scan.scan(f'{{"private_key": "{escaped}"}}') == [("pem", 17, 17 + len(escaped), True)]
+    for text in (pem, "\n" + pem):
+        twice = base64.b64encode(text.encode()).decode()
+        assert secret_scan.scan(f"tls: {twice}") == [("key", 5, 5 + len(twice), True)]
+    upper = body.hex().upper()
+    assert ("hexkey", 2, 2 + len(upper), True) in secret_scan.scan(f"k {upper} ") and upper not in secret_scan.masked(f"k {upper} ")
+    assert [x[0] for x in secret_scan.scan(f"k {body.hex()}")] == ["hex"]
+    assert not any(x[3] for x in secret_scan.scan(f"k {'AB' * 40} {base64.b64encode(b'-----BEGIN nothing of it' * 4).decode()}"))
+
+
 def test_digest(docs, none, spark):
     rows = [(i, t or "") for i, t, _ in TEXTS]
     rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0)))

@@ -2,7 +2,7 @@
 
 Candidates come from patterns over each whole text; a candidate counts as confirmed once its own
 structure has been read: base64 or hex is decoded and must be a DER key encoding whose nested lengths
-tile it exactly, or an OpenSSH key whose length-prefixed fields do; a signed token must have a base64url
+tile it exactly, or an OpenSSH key whose length-prefixed fields do, or a PEM text with such a body; a signed token must have a base64url
 JSON header that names an algorithm. Confirmed candidates that no base kind names are reported as
 spans of their own kinds; the base kinds (assign, access, hex) are always reported, with a mark
 where their structure was confirmed too.
@@ -22,13 +22,16 @@ from pyspark.sql import functions as F
 from .common import table, text_of
 
 #: Kinds in the order in which spans of one start are listed.
-KINDS = ("assign", "access", "hex", "pem", "key", "token")
+KINDS = ("assign", "access", "hex", "pem", "key", "token", "hexkey")
 
 _NAMES = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{24,}")
-_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+_HEX_RUN = re.compile(rb"[0-9a-fA-F]{48,}")
+#: A body's line ends may be escaped, as in a JSON string.
+_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:[A-Za-z0-9+/=\s]++|\\++[nrt])++)-----END \1-----")
+_PEM_GAP = re.compile(rb"\\+[nrt]|\s+")
 _TOKEN = re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _BASE64 = re.compile(rb"[A-Za-z0-9+/]{40,}={0,2}")
 
@@ -67,6 +70,16 @@ def is_key(data: bytes) -> bool:
     return len(data) >= 24 and data[0] == 0x30 and der_tiles(data) and len(data) > 4 and (data[2 + max(0, data[1] & 0x7F if data[1] & 0x80 else 0)] in (0x02, 0x30, 0x06))
 
 
+def is_pem(body: bytes) -> bool:
+    """Whether a PEM body, its line ends left out, decodes to a key."""
+    return bool(data := decoded(_PEM_GAP.sub(b"", body))) and is_key(data)
+
+
+def holds_key(data: bytes) -> bool:
+    """A key, or PEM text with one."""
+    return is_key(data) or (b"-----BEGIN " in data and any(is_pem(m[2]) for m in _PEM.finditer(data)))
+
+
 def decoded(run: bytes) -> bytes | None:
     """Base64 of either alphabet, padded or not; None where it isn't."""
     body = run.rstrip(b"=").replace(b"-", b"+").replace(b"_", b"/")
@@ -90,9 +103,9 @@ def has_structure(run: bytes) -> bool:
     """Whether a base64 or hex run, or a part after its name, decodes to a key or is a signed token."""
     if run.startswith(b"eyJ") and b"." in run:
         return is_token(run)
-    if len(run) % 2 == 0 and re.fullmatch(rb"[0-9a-fA-F]+", run) and is_key(binascii.unhexlify(run)):
+    if len(run) % 2 == 0 and re.fullmatch(rb"[0-9a-fA-F]+", run) and holds_key(binascii.unhexlify(run)):
         return True
-    return len(run) >= 40 and (data := decoded(run)) is not None and is_key(data)
+    return len(run) >= 40 and (data := decoded(run)) is not None and holds_key(data)
 
 
 def scan(text: str) -> list[tuple[str, int, int, bool]]:
@@ -112,13 +125,16 @@ def scan(text: str) -> list[tuple[str, int, int, bool]]:
         found.append((m.start(), 2, m.end(), has_structure(m[0])))
     if b"-----BEGIN " in raw:
         for m in _PEM.finditer(raw):
-            data = decoded(b"".join(m[2].split()))
-            if data and is_key(data):
+            if is_pem(m[2]):
                 found.append((m.start(), 3, m.end(), True))
     inside = [(s, e) for s, k, e, _ in found if k == 3]
     for m in _BASE64.finditer(raw):
-        if m[0][:1] in b"MbL" and not any(s <= m.start() < e for s, e in inside) and (data := decoded(m[0])) and is_key(data):
+        if not any(s <= m.start() < e for s, e in inside) and (data := decoded(m[0])) and holds_key(data):
             found.append((m.start(), 4, m.end(), True))
+    plain = {(s, e) for s, k, e, _ in found if k == 2}
+    for m in _HEX_RUN.finditer(raw):
+        if m.span() not in plain and has_structure(m[0]):
+            found.append((m.start(), 6, m.end(), True))
     if b"eyJ" in raw:
         for m in _TOKEN.finditer(raw):
             if is_token(m[0]):
