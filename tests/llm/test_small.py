@@ -417,3 +417,13 @@ def test_neighbours(spark):
     assert nearest.search(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
     few = nearest.search(spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 3.0]), (2, [1.0, 3.0])], "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in sorted(few)] == [(0, 1, 1, 1.0), (0, 2, 2, 1.0)]
+
+
+def test_repeated_rows_take_one_place(spark):
+    salts = {}
+    for r in spark.range(1, 400).select("id", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).collect():
+        salts.setdefault(r["salt"], []).append(r["id"])
+    a, b = next(sorted(v)[:2] for v in salts.values() if len(v) > 1)
+    rows = [(a, [1.0, 2.0])] * 12 + [(b, [1.0, 2.0]), (1000, [1.0, 2.0]), (1001, [4.0, 6.0])]
+    got = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 1000).collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(got)] == [(1, a, 0.0), (2, b, 0.0), (3, 1001, 5.0)]

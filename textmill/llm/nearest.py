@@ -118,7 +118,8 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str =
     spark, keys = rows.sparkSession, ["h1", "h2"]
     # the k + 1 smallest ids of each distinct vector: first within salts, so no vector is one group
     salted = Window.partitionBy("h1", "h2", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")
-    few = own.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= k + 1)
+    once = own.dropDuplicates([*keys, "vec_id"])  # repeated rows would fill a salt's places
+    few = once.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= k + 1)
     few = few.withColumn("r", F.dense_rank().over(Window.partitionBy(*keys).orderBy("vec_id"))).where(F.col("r") <= k + 1)
     vectors = written(few.groupBy(*keys).agg(F.any_value("v").alias("v"), F.sort_array(F.collect_set("vec_id")).alias("ids")), "vectors")
     queries = written(own.where(is_query).select("vec_id", *keys, "v"), "queries")
