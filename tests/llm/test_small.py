@@ -207,7 +207,7 @@ def encoder():
     return Tokenizer.from_file(tokens.default_path())
 
 
-def test_word_cache_equals_whole_text():
+def test_short_way_equals_whole_text():
     import random
 
     rng, tok = random.Random(4), encoder()
@@ -248,6 +248,38 @@ def test_differencing_is_near_equal():
     assert packing.windows_of([]) == [] and packing.differencing([], 2) == [[], []] and packing.windows_of([3000, 3000]) in ([[0], [1]], [[1], [0]])
 
 
+def test_differencing_equals_dense_states():
+    """Against states with a number for every window."""
+
+    def dense(sizes, ways):
+        states = [([s] + [0] * (ways - 1), i) for i, s in enumerate(sizes)]
+        while len(states) > 1:
+            states.sort(key=lambda x: (-(x[0][0] - x[0][-1]), x[1]))
+            (a, i), (b, j) = states[:2]
+            sums = sorted((x + y for x, y in zip(a, reversed(b))), reverse=True)
+            states = [*states[2:], ([x - sums[-1] for x in sums], min(i, j))]
+        return states[0][0][0]
+
+    rng = np.random.default_rng(3)
+    for ways in (1, 2, 3, 7, 30):
+        sizes = rng.integers(1, 60, 25).tolist()
+        sums = [sum(sizes[i] for i in w) for w in packing.differencing(sizes, ways)]
+        assert len(sums) == ways and sum(sums) == sum(sizes) and max(sums) - min(sums) == dense(sizes, ways)
+
+
+def test_many_tiny_documents_in_bounded_groups():
+    packer = packing._Packer(1, 4096, False)
+    for i in range(200_000):
+        packer.add(i, (2).to_bytes(4, "little") * (1 + i % 2))
+        assert len(packer.slices) < packing.GROUP_SLICES
+    packer.close()
+    got = packer.take().to_pydict()
+    used = Counter()
+    for s, n in zip(got["sequence_id"], got["length"]):
+        used[s] += n
+    assert sum(used.values()) == 300_000 and max(used.values()) <= 4096 and len(used) <= 300_000 // 4096 + 26 and len(got["doc_id"]) == 200_000
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 1023, 1024, 1025, 5000])
 def test_blocks_round_trip(n):
     rng = np.random.default_rng(n)

@@ -1,23 +1,28 @@
-"""Token ids of whole texts by a public tokenizer file, with a per-worker cache of words.
+"""Token ids of whole texts by a public tokenizer file.
 
-The tokenizer drops white space, so no token crosses one, and its normalisation works within
-a run of other characters. Each distinct run is therefore encoded once per worker and reused; the
-ids equal those of encoding the whole text (held by a test on random Unicode).
+The tokenizer drops white space, so no token crosses one, and its normalisation works within a run of
+other characters. Plain runs (Western European letters, digits, ASCII marks) are cut into the file's own pieces here and
+merged by piece_encoder; others go through the tokenizer itself. The ids equal those of encoding the
+whole text (held by a test on random Unicode). Nothing is kept between texts.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
 
 import public_tokenizers
 
-#: Runs kept per worker; past it the cache starts anew (about 200 bytes each).
-CACHE_RUNS = 900_000
 END_ID = 2
-#: Runs of these characters need no Unicode normalisation, lower-case one to one, and hold no
-#: contraction; letters, digits and the rest are then the pieces the tokenizer's own pattern makes.
-PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
-PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Characters encoded at once; a longer text is cut at white space.
+LONG = 1 << 20
+#: Runs of these characters need no Unicode normalisation and lower-case one to one. PIECE is the file's own
+#: pattern on them.
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+PLAIN_TEXT = re.compile(r"[!-~À-ÖØ-öø-ÿ \t\n\r\x0b\x0c]*")
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 \t\n\r\x0b\x0c]+")
+SPACE = re.compile(r"[ \t\n\r\x0b\x0c]")
 
 
 def default_path() -> str:
@@ -32,6 +37,41 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def piece_encoder(path: str):
+    """A tiktoken encoding of pieces, each ended by a zero byte in place of the file's word end; None if the
+    file allows none.
+
+    It merges any two neighbours whose joined string is a token, the earliest token first; the file's model
+    merges listed pairs in their order. Both are one if tokens are numbered in the order of their merges and each token's
+    string, encoded alone by the file's merges, gives that token: whenever two neighbours join to a token and
+    no earlier merge is left within them, they are then the very pair listed for it."""
+    import tiktoken
+    from tokenizers import Tokenizer, models
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    ends, vocab = model.get("end_of_word_suffix"), model["vocab"]
+    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model.get("merges", [])]
+    if model["type"] != "BPE" or not ends or model.get("ignore_merges") or model.get("dropout"):
+        return None
+    order = [vocab[a + b] for a, b in merges]
+    bare, whole = models.BPE(vocab, merges), Tokenizer.from_file(path).model
+    letters, ranks = {c: b for b, c in enumerate(byte_letters())}, {}
+    for token, i in vocab.items():
+        final = token.endswith(ends) and token != ends
+        text = token[: -len(ends)] if final else token
+        if any(c not in letters for c in text):
+            return None
+        got = (whole if final else bare).tokenize(text)
+        if len(got) != 1 or got[0].id != i:
+            return None
+        ranks[bytes(letters[c] for c in text) + b"\0" * final] = i
+    singles = [i for t, i in ranks.items() if len(t.removesuffix(b"\0")) <= 1 and t != b"\0\0"]
+    if order != sorted(order) or max(singles) > min(order, default=1 << 31) or len(ranks) != len(vocab):
+        return None
+    return tiktoken.Encoding("pieces", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+
+
 class WordEncoder:
     """Encodes texts to ids as little-endian unsigned 32-bit bytes. The short way for plain runs
     holds for files with this normaliser and pattern (lower case, white space dropped)."""
@@ -41,10 +81,7 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.letters = byte_letters()
-        self.runs: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.tokenizer, self.pieces = Tokenizer.from_file(path), piece_encoder(path)
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -53,32 +90,30 @@ class WordEncoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _piece(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-        got = self.pieces[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(shown)])
-        return got
-
-    def _run(self, run: bytes) -> bytes:
-        text = run.decode("utf-8")
-        if PLAIN.fullmatch(text) and "<|" not in text:
-            known = self.pieces
-            return b"".join([known.get(p) or self._piece(p) for p in PIECE.findall(text.lower())])
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+    def _plain(self, text: str) -> list[int]:
+        found = PIECE.findall(text.lower())
+        return self.pieces.encode_ordinary("\0".join(found) + "\0") if found else []
+
+    def _ids(self, text: str) -> list[int]:
+        if not self.pieces or "<|" in text:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        if PLAIN_TEXT.fullmatch(text):
+            return self._plain(text)
+        ids, plain = [], []
+        for run in SPACE.split(text):
+            if PLAIN.fullmatch(run):
+                plain.append(run)
+            elif run:
+                ids += self._plain(" ".join(plain))
+                ids += self.tokenizer.encode(run, add_special_tokens=False).ids
+                plain = []
+        return ids + self._plain(" ".join(plain))
 
     def encode(self, text: str, end_id: int = END_ID) -> bytes:
         """ids of the text (no special tokens added), then end_id. An empty text has the end alone."""
-        runs, known = text.encode("utf-8").split(), self.runs
-        end = end_id.to_bytes(4, "little")
-        try:
-            return b"".join([known[r] for r in runs]) + end
-        except KeyError:
-            pass
-        if len(known) > CACHE_RUNS:
-            known.clear()
-        if len(self.pieces) > CACHE_RUNS:
-            self.pieces.clear()
-        for r in runs:
-            if r not in known:
-                known[r] = self._run(r)
-        return b"".join([known[r] for r in runs]) + end
+        out, at = [], 0
+        while len(text) - at > LONG and (cut := SPACE.search(text, at + LONG)):
+            out.append(array("I", self._ids(text[at : cut.start()])).tobytes())
+            at = cut.end()
+        out.append(array("I", self._ids(text[at:])).tobytes())
+        return b"".join([*out, end_id.to_bytes(4, "little")])
