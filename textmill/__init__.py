@@ -7,10 +7,15 @@ import tempfile
 import zipfile
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch: whole texts, of which Spark's default of 10,000 would take tens of MB per worker and direction.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark) -> None:
-    """Sends this package to the Python workers, once per application."""
+    """Sends this package to the Python workers, once per application, and makes Arrow batches small where
+    the session has Spark's default."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "1000")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
