@@ -341,6 +341,15 @@ def test_quality_learns_what_stands_after_many_lines(spark, monkeypatch):
     assert all(own[k] == pytest.approx(spread[k], abs=1e-9) for k in own)
 
 
+def test_quality_depends_on_the_text_alone(monkeypatch):
+    size, rng = 3 * len(quality.OWN) + 1, np.random.default_rng(1)
+    model = {"mean": np.zeros(size), "spread": np.ones(size), "weight": rng.normal(size=size), "trans": np.eye(2), "scale": np.array([0.0, 1.0])}
+    texts = [(t or "").encode() for _, t, _ in TEXTS]
+    together = quality.scores(texts, model)
+    monkeypatch.setattr(quality, "BUFFER", 1)
+    assert np.allclose(together, quality.scores(texts, model), atol=1e-12)
+
+
 def test_quality_edges(docs, none, spark):
     labels = spark.createDataFrame([(5, 1), (11, 0), (None, 1), (3, None)], "doc_id long, quality int")
     model = quality.train(docs, labels)
