@@ -1,17 +1,20 @@
 """Secret scan with structural confirmation.
 
-Candidates come from patterns over each whole text; a candidate counts as confirmed once its own
-structure has been read: base64 or hex is decoded and must be a DER key encoding whose nested lengths
-tile it exactly, or an OpenSSH key whose length-prefixed fields do, or a PEM text with such a body; a signed token must have a base64url
-JSON header that names an algorithm. Confirmed candidates that no base kind names are reported as
-spans of their own kinds; the base kinds (assign, access, hex) are always reported, with a mark
-where their structure was confirmed too.
+Candidates come from patterns over each whole text; a candidate counts as confirmed once its own structure has
+been read. Base64 of either alphabet (wrapped, indented or with escaped line ends), hex in either case and PEM bodies are
+decoded and must be a private key: a DER structure whose nested lengths tile it and whose fields are those of PKCS#1, PKCS#8
+(plain or encrypted), SEC1, DSA or PKCS#12; an OpenSSH or OpenPGP private key; or PEM text with one. Public keys and certificates
+are no secrets. A PEM body encrypted by its header lines must name its cipher and be whole blocks. A signed token
+must have a JSON header that names an algorithm, a JSON payload and a signature as long as that algorithm's. Confirmed candidates
+that no base kind names are reported as spans of their own kinds; the base kinds (assign, access, hex) are
+always reported, with a mark where their structure was confirmed too.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
 import re
 
@@ -29,79 +32,229 @@ _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{24,}")
 _HEX_RUN = re.compile(rb"[0-9a-fA-F]{48,}")
-#: A body's line ends may be escaped, as in a JSON string.
-_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:[A-Za-z0-9+/=\s]++|\\++[nrt])++)-----END \1-----")
+#: A line end, as it is or escaped (as in a JSON string), with indents.
+_GAP = rb"[ \t]*+(?:\r?\n|\\+[nrt])[ \t]*+"
+_PEM_BEGIN = re.compile(rb"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----")
+_PEM_HEADER = re.compile(rb"(?:\s|\\+[nrt])*+[A-Za-z][A-Za-z0-9-]*: ?([^\r\n\\]*)")
 _PEM_GAP = re.compile(rb"\\+[nrt]|\s+")
+_DEK = re.compile(rb"DEK-Info: ?(?:AES-(?:128|192|256)-CBC,([0-9A-Fa-f]{32})|DES-(?:EDE3-)?CBC,([0-9A-Fa-f]{16}))")
 _TOKEN = re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_BASE64 = re.compile(rb"[A-Za-z0-9+/]{40,}={0,2}")
+#: Where base64 of a DER sequence or of an OpenSSH key starts, or that of PEM text goes on (its BEGIN at each of the three
+#: places that a byte can have), and what may follow.
+_BASE64_START = re.compile(rb"(?<![A-Za-z0-9])(?:M[A-P](?=[A-Za-z0-9+/_-]{20})|b3BlbnNzaC1rZXktdjE)|LS0tLS1CRUdJTi|0tLS0tQkVHSU4g|tLS0tLUJFR0lOI")
+_BASE64_RUN = re.compile(rb"[A-Za-z0-9+/_-]++(?:" + _GAP + rb"[A-Za-z0-9+/_-]++)*+={0,2}")
+_ALPHABET = bytes.maketrans(b"-_", b"+/")
+_LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+#: Bytes of a signature by algorithm; RSA's are at least as long as a 512-bit modulus (fixed values).
+_SIGNATURES = {"HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES256K": 64, "ES384": 96, "ES512": 132, "EdDSA": 64}
 
 FINDING = "array<struct<kind:string,start:long,stop:long,confirmed:boolean>>"
 
 
-def der_tiles(data: bytes, depth: int = 0) -> bool:
-    """Whether data is a run of DER elements whose lengths tile it, constructed ones likewise."""
-    at, size = 0, len(data)
-    while at < size:
-        if at + 2 > size or depth > 12:
-            return False
+def der_items(data: bytes, start: int = 0, stop: int | None = None) -> list[tuple[int, int, int]] | None:
+    """(tag, start, stop of the content) of the DER elements that tile data[start:stop]; None if none do."""
+    at, stop, items = start, len(data) if stop is None else stop, []
+    while at < stop:
+        if at + 2 > stop:
+            return None
         tag, n = data[at], data[at + 1]
         at += 2
         if n & 0x80:
             k = n & 0x7F
-            if not 1 <= k <= 4 or at + k > size:
-                return False
+            if not 1 <= k <= 4 or at + k > stop:
+                return None
             n = int.from_bytes(data[at : at + k], "big")
             at += k
-        if tag & 0x1F == 0x1F or at + n > size or (tag & 0x20 and not der_tiles(data[at : at + n], depth + 1)):
-            return False
+        if tag & 0x1F == 0x1F or at + n > stop:
+            return None
+        items.append((tag, at, at + n))
         at += n
+    return items
+
+
+def der_tiles(data: bytes, start: int = 0, stop: int | None = None) -> bool:
+    """Whether DER elements tile data, and those of every constructed element likewise, however deep."""
+    open_spans = [(start, len(data) if stop is None else stop)]
+    while open_spans:
+        items = der_items(data, *open_spans.pop())
+        if items is None:
+            return False
+        open_spans += [(a, b) for tag, a, b in items if tag & 0x20]
     return True
 
 
+def der_size(head: bytes) -> int:
+    """Bytes of the DER element that head begins with, 0 if it can't be read."""
+    if len(head) < 2 or head[1] == 0x80 or head[1] > 0x84:
+        return 0
+    k = head[1] & 0x7F if head[1] & 0x80 else 0
+    return 2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1])
+
+
+def is_der_key(data: bytes) -> bool:
+    """One DER sequence with the fields of a private key."""
+    if len(data) < 24 or data[0] != 0x30 or der_size(data) != len(data) or not der_tiles(data):
+        return False
+    (_, a, b), = der_items(data)
+    items = der_items(data, a, b) or []
+    tags = [t for t, _, _ in items]
+    version = data[items[0][1] : items[0][2]] if items and items[0][0] == 0x02 else None
+    if version is None:  # encrypted PKCS#8: what encrypts it, then the octets
+        inner = der_items(data, *items[0][1:]) if tags == [0x30, 0x04] else None
+        return bool(inner) and inner[0][0] == 0x06 and items[1][2] - items[1][1] >= 16
+    if tags[:3] == [0x02, 0x30, 0x04] and version in (b"\0", b"\1"):  # PKCS#8
+        inner = der_items(data, *items[1][1:])
+        return bool(inner) and inner[0][0] == 0x06 and items[2][2] > items[2][1]
+    if tags[:2] == [0x02, 0x04] and version == b"\1":  # SEC1
+        return items[1][2] - items[1][1] >= 16 and set(tags[2:]) <= {0xA0, 0xA1}
+    if version == b"\3" and tags[:2] == [0x02, 0x30]:  # PKCS#12
+        inner = der_items(data, *items[1][1:])
+        return bool(inner) and inner[0][0] == 0x06
+    # PKCS#1 (nine numbers, ten with other primes) and DSA (six)
+    return version in (b"\0", b"\1") and set(tags[:9]) == {0x02} and (len(tags) in (6, 9) or (len(tags) == 10 and tags[9] == 0x30)) and all(e > s for _, s, e in items)
+
+
+def is_openssh_key(data: bytes) -> bool:
+    """cipher, key derivation, its options, number of keys, each public key, then the private part: all tile."""
+    if not data.startswith(b"openssh-key-v1\0"):
+        return False
+    at, fields = 15, 3
+    while fields:
+        if at + 4 > len(data):
+            return False
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+        fields -= 1
+    if at + 4 > len(data):
+        return False
+    keys = int.from_bytes(data[at : at + 4], "big")
+    at += 4
+    if not 1 <= keys <= 16:
+        return False
+    for _ in range(keys + 1):
+        if at + 4 > len(data):
+            return False
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at <= len(data)
+
+
+def is_pgp_key(data: bytes) -> bool:
+    """An OpenPGP packet of a secret key whose length lies within the data."""
+    if len(data) < 8 or not data[0] & 0x80:
+        return False
+    if data[0] & 0x40:
+        tag, n = data[0] & 0x3F, data[1] if data[1] < 192 else (data[1] - 192 << 8) + data[2] + 192 if data[1] < 224 else int.from_bytes(data[2:6], "big") if data[1] == 255 else 0
+        at = 2 if data[1] < 192 else 3 if data[1] < 224 else 6
+    else:
+        k = 1 << (data[0] & 3)
+        tag, n, at = data[0] >> 2 & 0x0F, int.from_bytes(data[1 : 1 + k], "big") if k < 8 else 0, 1 + k
+    return tag == 5 and 0 < n <= len(data) - at and data[at] in (3, 4, 5, 6)
+
+
 def is_key(data: bytes) -> bool:
-    """A DER sequence that starts with a version or object or nested sequence, or an OpenSSH key."""
-    if data.startswith(b"openssh-key-v1\0"):
-        at = 15
-        for _ in range(3):  # cipher, key derivation, its options
-            if at + 4 > len(data):
-                return False
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-        return at + 4 <= len(data) and 1 <= int.from_bytes(data[at : at + 4], "big") <= 16
-    return len(data) >= 24 and data[0] == 0x30 and der_tiles(data) and len(data) > 4 and (data[2 + max(0, data[1] & 0x7F if data[1] & 0x80 else 0)] in (0x02, 0x30, 0x06))
+    """A private key in DER or OpenSSH form."""
+    return is_der_key(data) or is_openssh_key(data)
+
+
+def is_private_pem(body: bytes) -> bool:
+    """Whether what stands between a private key's BEGIN and END lines is one: header lines, then base64."""
+    at, headers = 0, []
+    while m := _PEM_HEADER.match(body, at):
+        headers.append(m[0])
+        at = m.end()
+    text = _PEM_GAP.sub(b"", body[at:])
+    if len(text) > 5 and text[-5:-4] == b"=" and not text.endswith(b"="):  # OpenPGP's checksum
+        return bool(data := decoded(text[:-5])) and is_pgp_key(data)
+    data = decoded(text)
+    if not data:
+        return False
+    if any(b"ENCRYPTED" in h for h in headers):
+        cipher = _DEK.search(b"\n".join(headers))
+        return bool(cipher) and len(data) >= 32 and len(data) % (16 if cipher[1] else 8) == 0
+    return is_key(data) or is_pgp_key(data)
 
 
-def is_pem(body: bytes) -> bool:
-    """Whether a PEM body, its line ends left out, decodes to a key."""
-    return bool(data := decoded(_PEM_GAP.sub(b"", body))) and is_key(data)
+def pem_spans(raw: bytes) -> list[tuple[int, int]]:
+    """(start, stop) of the private keys in PEM form; each text is read once."""
+    found = []
+    for m in _PEM_BEGIN.finditer(raw):
+        end = raw.find(b"-----", m.end())
+        mark = b"-----END " + m[1] + b"-----"
+        if end >= 0 and raw.startswith(mark, end) and is_private_pem(raw[m.end() : end]):
+            found.append((m.start(), end + len(mark)))
+    return found
 
 
 def holds_key(data: bytes) -> bool:
-    """A key, or PEM text with one."""
-    return is_key(data) or (b"-----BEGIN " in data and any(is_pem(m[2]) for m in _PEM.finditer(data)))
+    """A private key, or PEM text with one."""
+    return is_key(data) or (b"-----BEGIN " in data and bool(pem_spans(data)))
 
 
 def decoded(run: bytes) -> bytes | None:
     """Base64 of either alphabet, padded or not; None where it isn't."""
-    body = run.rstrip(b"=").replace(b"-", b"+").replace(b"_", b"/")
+    body = run.rstrip(b"=").translate(_ALPHABET)
     try:
         return base64.b64decode(body + b"=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
 
 
+def base64_spans(raw: bytes) -> list[tuple[int, int]]:
+    """(start, stop) of keys in base64. A DER key's own length says where it stops."""
+    found, at = [], 0
+    for m in _BASE64_START.finditer(raw):
+        if m.start() < at:
+            continue
+        start = m.start()
+        if m[0].startswith(b"M"):
+            head = decoded(raw[m.start() : m.start() + 12])
+            size = der_size(head) if head else 0
+            # the first field is a number or a sequence
+            if not head or not 24 <= size <= 1 << 20 or head[min(size, 2 + (head[1] & 0x7F if head[1] & 0x80 else 0))] not in (0x02, 0x30):
+                continue
+            run = _BASE64_RUN.match(raw, m.start(), m.start() + 2 * size + 4096)
+            chars, stop, body = -(-size * 4 // 3), m.start(), []
+            for part in re.finditer(rb"[A-Za-z0-9+/_-]+|(" + _GAP + rb")", run[0]):
+                if part[1] is None:
+                    body.append(part[0][: chars])
+                    chars, stop = chars - len(body[-1]), m.start() + part.start() + len(body[-1])
+                if not chars:
+                    break
+            data = decoded(b"".join(body)) if not chars else None
+            if not data or not is_der_key(data[:size]):
+                continue
+            stop += len(re.match(rb"={0,2}", raw[stop : stop + 2])[0])
+        else:
+            if not m[0].startswith(b"b3"):
+                start = at + len(raw[at:start].rstrip(_LETTERS))
+            run = _BASE64_RUN.match(raw, start)
+            data = decoded(_PEM_GAP.sub(b"", run[0]))
+            stop = at = run.end()
+            if not data or not holds_key(data):
+                continue
+        found.append((start, stop))
+        at = stop
+    return found
+
+
 def is_token(run: bytes) -> bool:
-    """A signed token: its header is a JSON object that names an algorithm."""
-    head = decoded(run.split(b".", 1)[0])
+    """A signed token: a JSON header that names an algorithm, a JSON payload, and a signature of that
+    algorithm's length (others: 16 bytes or more)."""
+    head, payload, signature = (decoded(x) for x in run.split(b".", 2))
     try:
-        found = json.loads(head) if head else None
+        found, said = json.loads(head or b""), json.loads(payload or b"")
     except (ValueError, RecursionError):
         return False
-    return isinstance(found, dict) and isinstance(found.get("alg"), str)
+    if not isinstance(found, dict) or not isinstance(said, dict) or not isinstance(found.get("alg"), str) or not signature:
+        return False
+    want = _SIGNATURES.get(found["alg"])
+    if found["alg"] == "EdDSA":
+        return len(signature) in (64, 114)
+    return len(signature) == want if want else len(signature) >= (64 if found["alg"][:2] in ("RS", "PS") else 16)
 
 
 def has_structure(run: bytes) -> bool:
     """Whether a base64 or hex run, or a part after its name, decodes to a key or is a signed token."""
-    if run.startswith(b"eyJ") and b"." in run:
+    if run.startswith(b"eyJ") and run.count(b".") >= 2:
         return is_token(run)
     if len(run) % 2 == 0 and re.fullmatch(rb"[0-9a-fA-F]+", run) and holds_key(binascii.unhexlify(run)):
         return True
@@ -124,13 +277,12 @@ def scan(text: str) -> list[tuple[str, int, int, bool]]:
     for m in _HEX.finditer(raw):
         found.append((m.start(), 2, m.end(), has_structure(m[0])))
     if b"-----BEGIN " in raw:
-        for m in _PEM.finditer(raw):
-            if is_pem(m[2]):
-                found.append((m.start(), 3, m.end(), True))
+        found += [(s, 3, e, True) for s, e in pem_spans(raw)]
     inside = [(s, e) for s, k, e, _ in found if k == 3]
-    for m in _BASE64.finditer(raw):
-        if not any(s <= m.start() < e for s, e in inside) and (data := decoded(m[0])) and holds_key(data):
-            found.append((m.start(), 4, m.end(), True))
+    for s, e in base64_spans(raw):
+        i = bisect.bisect_right(inside, (s, len(raw))) - 1
+        if i < 0 or s >= inside[i][1]:
+            found.append((s, 4, e, True))
     plain = {(s, e) for s, k, e, _ in found if k == 2}
     for m in _HEX_RUN.finditer(raw):
         if m.span() not in plain and has_structure(m[0]):
