@@ -5,11 +5,11 @@ of an existing public vocabulary in many ways; its probability is the sum over a
 product of the pieces' unigram probabilities, found by forward recursion in log space. Pieces hold no
 inner word start, so the whole text's lattice factors at word starts. A character that no piece holds goes
 by its byte pieces. The pieces' scores start from the vocabulary's own order and are fitted to all
-training words by expectation-maximisation (forward-backward); the end is one more symbol.
+training words by expectation-maximisation (forward-backward) until a round gains little; the end is one more symbol.
 
-Every distinct word of the corpus is scored once. Documents are dealt to blocks of bounded size; the
-distinct words of each block are joined with the word table by word, and the scores go back to
-their block. No table of all words is ever sent to every task.
+Every distinct word of the corpus is counted and scored once. The scores of the TOP most frequent words, a table of
+bounded size, are sent to the tasks that read the texts; a text's other words go through one join with the word table, as
+pairs of hashes. No text is shuffled.
 """
 
 from __future__ import annotations
@@ -19,22 +19,25 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import portions, table, text_of, written
+from .common import chunks, table, text_of, written
 
 START = "▁"
-#: Characters per block, and rounds of fitting.
-BLOCK_CHARS = 6_000_000
-ROUNDS = 2
-#: Longer words take the plain recursion; shorter ones go together, all of one length at once.
-SHORT, TOGETHER = 40, 4096
+#: EM stops after the round whose words had gained less in mean log10 probability than this since the round before.
+GAIN = 0.02
+#: Longer words take the plain recursion; shorter ones go together, all of one length at once, so many that their
+#: edges number about EDGES.
+SHORT, EDGES = 64, 1 << 18
+#: Words of the table that every task gets (24 bytes each), bytes of text worked on at once, and words counted before they are given out.
+TOP, BUFFER, COUNTED = 1 << 18, 1 << 19, 1 << 17
 _ODD = 0x9E3779B97F4A7C15
 _BACK = pow(_ODD, -1, 1 << 64)
+_ODD2 = 0xD1342543DE82EF95
 
 
 class Pieces:
@@ -43,11 +46,33 @@ class Pieces:
     def __init__(self, pieces: list[str], bytes_at: list[int], logs: np.ndarray):
         self.pieces, self.bytes_at, self.logs = pieces, np.array(bytes_at), logs
         self.longest = max(len(p) for p in pieces)
-        own = [i for i in range(len(pieces)) if i not in set(bytes_at)]
+        taken = set(bytes_at)
+        own = [i for i in range(len(pieces)) if i not in taken]
         self.index = {pieces[i]: i for i in own}
-        hashed = np.array([self._hash(pieces[i]) for i in own], np.uint64)
+        # a single character's hash is a small number: the product spreads it over all bits
+        hashed = np.array([self._hash(pieces[i]) for i in own], np.uint64) * np.uint64(_ODD)
         order = np.argsort(hashed)
-        self.hashes, self.ids = hashed[order], np.array(own)[order]
+        # found by the first bits of their hash; the end is a mark that no hash reaches twice
+        self.hashes, self.ids = np.append(hashed[order], np.uint64(0)), np.append(np.array(own)[order], -1)
+        self.first = np.searchsorted(hashed[order], np.arange((1 << 18) + 1, dtype=np.uint64)[:-1] << np.uint64(46)).astype(np.int32)
+        self.most = int(np.bincount((hashed >> np.uint64(46)).astype(np.int64)).max(initial=0))
+
+    def with_logs(self, logs: np.ndarray) -> Pieces:
+        """The same vocabulary with other scores."""
+        new = object.__new__(Pieces)
+        new.__dict__ = self.__dict__ | {"logs": logs}
+        return new
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The piece of each hash, -1 where none is."""
+        h = h * np.uint64(_ODD)
+        at = self.first[(h >> np.uint64(46)).astype(np.int64)]
+        last = len(self.hashes) - 1
+        out = np.where(self.hashes[at] == h, self.ids[at], -1)
+        for k in range(1, self.most):
+            more = np.minimum(at + k, last)
+            out = np.where(self.hashes[more] == h, self.ids[more], out)
+        return out
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -73,143 +98,212 @@ class Pieces:
         return cls(pieces, bytes_at, np.log(weight / weight.sum() * 0.9))
 
 
-def _edges(words: list[str], own: Pieces) -> tuple[np.ndarray, dict]:
-    """Code points (with the start mark) of words of one length, and for each (i, j) the piece ids of
-    characters i to j, -1 where none is."""
-    n = len(words[0]) + 1
-    points = np.frombuffer((START + START.join(words)).encode("utf-32-le"), np.uint32).reshape(len(words), n)
-    up = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, _ODD, np.uint64)]))
-    back = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, _BACK, np.uint64)]))
-    total = np.concatenate([np.zeros((len(words), 1), np.uint64), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[:n], axis=1)], axis=1)
-    edges = {}
-    for i in range(n):
-        for j in range(i + 1, min(n, i + own.longest) + 1):
-            h = (total[:, j] - total[:, i]) * back[i]
-            at = np.minimum(np.searchsorted(own.hashes, h), len(own.hashes) - 1)
-            found = own.hashes[at] == h
-            if j == i + 1 or found.any():
-                edges[i, j] = np.where(found, own.ids[at], -1)
-    return points, edges
-
-
-def _byte_logs(points: np.ndarray, own: Pieces) -> np.ndarray:
-    """Log probability of characters as byte pieces."""
-    return np.array([own.logs[own.bytes_at[list(chr(c).encode("utf-8"))]].sum() for c in points.tolist()])
-
-
-def _forward(words: list[str], own: Pieces, points: np.ndarray, edges: dict) -> tuple[np.ndarray, dict]:
-    n = points.shape[1]
-    alpha, logs = np.full((n + 1, len(words)), -np.inf), {}
-    alpha[0] = 0
-    for (i, j), ids in edges.items():
-        lp = np.where(ids >= 0, own.logs[ids], -np.inf)
-        if j == i + 1 and (none := ids < 0).any():
-            lp[none] = _byte_logs(points[none, i], own)
-        logs[i, j] = lp
-    for j in range(1, n + 1):
-        for i in range(max(0, j - own.longest), j):
-            if (i, j) in logs:
-                alpha[j] = np.logaddexp(alpha[j], alpha[i] + logs[i, j])
-    return alpha, logs
-
-
-def _plain(word: str, own: Pieces) -> float:
-    """The same recursion for one long word, in time and memory linear in its length."""
-    text = START + word
-    alpha = [0.0] + [-math.inf] * len(text)
+class _Lattice:
+    """The lattices of words of one length: for each edge (from character i to j) every word's piece and its log."""
+
+    def __init__(self, words: list[str], own: Pieces):
+        self.own, n = own, len(words[0]) + 1
+        points = np.frombuffer((START + START.join(words)).encode("utf-32-le"), np.uint32).reshape(len(words), n)
+        up = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, _ODD, np.uint64)]))
+        back = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, _BACK, np.uint64)]))
+        total = np.concatenate([np.zeros((len(words), 1), np.uint64), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[:n], axis=1)], axis=1).T.copy()
+        self.n, self.i, self.j = n, *np.array([(i, j) for j in range(1, n + 1) for i in range(max(0, j - own.longest), j)]).T
+        self.ids = own.find((total[self.j] - total[self.i]) * back[self.i][:, None])
+        self.logs = np.where(self.ids >= 0, own.logs[self.ids], -np.inf)
+        # single characters without a piece go by their bytes
+        self.single = np.flatnonzero(self.j - self.i == 1)
+        self.edge, self.word = np.nonzero(self.ids[self.single] < 0)
+        self.chars, self.which = np.unique(points[self.word, self.i[self.single][self.edge]], return_inverse=True)
+        self.spelled = [own.bytes_at[list(chr(c).encode("utf-8"))] for c in self.chars.tolist()]
+        if len(self.chars):
+            self.logs[self.single[self.edge], self.word] = np.array([own.logs[b].sum() for b in self.spelled])[self.which]
+
+    def forward(self) -> np.ndarray:
+        """Log probability of reaching each character, over all ways."""
+        alpha = np.full((self.n + 1, self.logs.shape[1]), -np.inf)
+        alpha[0] = 0
+        for j in range(1, self.n + 1):
+            into = np.flatnonzero(self.j == j)
+            alpha[j] = _log_sum(alpha[self.i[into]] + self.logs[into])
+        return alpha
+
+    def uses(self, times: np.ndarray, total: np.ndarray) -> float:
+        """Adds to total the expected uses of each piece, each word as often as its times; gives the log likelihood."""
+        alpha = self.forward()
+        beta = np.full_like(alpha, -np.inf)
+        beta[self.n] = 0
+        for i in range(self.n - 1, -1, -1):
+            out = np.flatnonzero(self.i == i)
+            beta[i] = _log_sum(self.logs[out] + beta[self.j[out]])
+        use = np.exp(alpha[self.i] + self.logs + beta[self.j] - alpha[self.n]) * times
+        known = self.ids >= 0
+        total += np.bincount(self.ids[known], use[known], len(total))
+        spelled = np.bincount(self.which, use[self.single[self.edge], self.word], len(self.chars))
+        for b, u in zip(self.spelled, spelled, strict=True):
+            np.add.at(total, b, u)
+        return float((alpha[self.n] * times).sum())
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    """log of the sum of exponentials over the first axis."""
+    top = x.max(axis=0)
+    return top + np.log(np.exp(x - top).sum(axis=0))
+
+
+def _long_edges(text: str, own: Pieces) -> Iterator[tuple[int, int, list[int], float]]:
+    """(i, j, pieces, log) of one long word's edges, by j."""
     for j in range(1, len(text) + 1):
-        best = []
         for i in range(max(0, j - own.longest), j):
             k = own.index.get(text[i:j])
             if k is not None:
-                best.append(alpha[i] + own.logs[k])
+                yield i, j, [k], float(own.logs[k])
             elif i == j - 1:
-                best.append(alpha[i] + float(_byte_logs(np.array([ord(text[i])]), own)[0]))
-        top = max(best)
-        alpha[j] = top + math.log(sum(math.exp(b - top) for b in best))
-    return alpha[-1]
+                spelled = own.bytes_at[list(text[i].encode("utf-8"))]
+                yield i, j, spelled.tolist(), float(own.logs[spelled].sum())
+
+
+def _logadd(a: float, b: float) -> float:
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
+
+def _long_forward(text: str, own: Pieces) -> list[float]:
+    """The same recursion for one long word, in time and memory linear in its length."""
+    alpha = [0.0] + [-math.inf] * len(text)
+    for i, j, _, lp in _long_edges(text, own):
+        alpha[j] = _logadd(alpha[j], alpha[i] + lp)
+    return alpha
 
 
-def _batches(words: list[str]) -> Iterator[list[int]]:
-    """Positions of words of one length, TOGETHER at most; none of the long ones."""
+def _long_uses(text: str, own: Pieces, times: float, total: np.ndarray) -> float:
+    alpha, edges = _long_forward(text, own), list(_long_edges(text, own))
+    beta = [-math.inf] * len(text) + [0.0]
+    for i, j, pieces, lp in reversed(edges):
+        use = math.exp(alpha[i] + lp + beta[j] - alpha[-1]) * times if beta[j] > -math.inf else 0.0
+        for k in pieces:
+            total[k] += use
+        beta[i] = _logadd(beta[i], lp + beta[j])
+    return alpha[-1] * times
+
+
+def _batches(words: list[str], own: Pieces) -> Iterator[list[int]]:
+    """Positions of words of one length; none of the long ones."""
     by: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         if len(w) <= SHORT:
             by.setdefault(len(w), []).append(i)
-    for group in by.values():
-        for s in range(0, len(group), TOGETHER):
-            yield group[s : s + TOGETHER]
+    for n, group in by.items():
+        step = max(16, EDGES // ((n + 1) * min(n + 1, own.longest)))
+        for s in range(0, len(group), step):
+            yield group[s : s + step]
 
 
 def word_logs(words: list[str], own: Pieces) -> np.ndarray:
     """Natural log probability of each word, over all its segmentations."""
     out = np.empty(len(words))
-    for group in _batches(words):
-        part = [words[i] for i in group]
-        alpha, _ = _forward(part, own, *_edges(part, own))
-        out[group] = alpha[-1]
+    for group in _batches(words, own):
+        out[group] = _Lattice([words[i] for i in group], own).forward()[-1]
     for i, w in enumerate(words):
         if len(w) > SHORT:
-            out[i] = _plain(w, own)
+            out[i] = _long_forward(START + w, own)[-1]
     return out
 
 
-def expected(words: list[str], counts: np.ndarray, own: Pieces) -> np.ndarray:
-    """Expected uses of each piece in the words, each as often as its count. Long words (over SHORT
-    characters) count by their pieces of SHORT characters."""
-    total = np.zeros(len(own.pieces))
-    cut, weights = [], []
-    for w, c in zip(words, counts.tolist(), strict=True):
-        for s in range(0, max(len(w), 1), SHORT):
-            cut.append(w[s : s + SHORT])
-            weights.append(c)
-    weight = np.array(weights, float)
-    for group in _batches(cut):
-        part, times = [cut[i] for i in group], weight[group]
-        points, edges = _edges(part, own)
-        alpha, logs = _forward(part, own, points, edges)
-        n = points.shape[1]
-        beta = np.full((n + 1, len(part)), -np.inf)
-        beta[n] = 0
-        for i in range(n - 1, -1, -1):
-            for j in range(i + 1, min(n, i + own.longest) + 1):
-                if (i, j) in logs:
-                    beta[i] = np.logaddexp(beta[i], logs[i, j] + beta[j])
-        for (i, j), lp in logs.items():
-            use = np.exp(alpha[i] + lp + beta[j] - alpha[n]) * times
-            ids = edges[i, j]
-            known = ids >= 0
-            total += np.bincount(ids[known], use[known], len(total))
-            if j == i + 1:
-                for k in np.flatnonzero(~known):
-                    np.add.at(total, own.bytes_at[list(chr(points[k, i]).encode("utf-8"))], use[k])
-    return total
-
-
-def fitted(counts: DataFrame, own: Pieces, ends: int, rounds: int = ROUNDS) -> tuple[Pieces, float]:
-    """Scores fitted to the training words (word, c); and the end's log probability. What comes back to
-    the driver each round is one number a piece."""
+def expected(words: list[str], counts: np.ndarray, own: Pieces) -> tuple[np.ndarray, float]:
+    """Expected uses of each piece in the words, each as often as its count, and the words' log likelihood."""
+    total, likelihood = np.zeros(len(own.pieces)), 0.0
+    weight = np.asarray(counts, float)
+    for group in _batches(words, own):
+        likelihood += _Lattice([words[i] for i in group], own).uses(weight[group], total)
+    for i, w in enumerate(words):
+        if len(w) > SHORT:
+            likelihood += _long_uses(START + w, own, float(weight[i]), total)
+    return total, likelihood
+
+
+def fitted(counts: DataFrame, own: Pieces, ends: int, tokens: int, gain: float = GAIN) -> tuple[Pieces, float]:
+    """Scores fitted to the training words (word, c; tokens in all); and the end's log probability. What comes back to
+    the driver each round is one number a piece, and the likelihood."""
     spark = counts.sparkSession
-    end_log = math.log(0.1)
-    for _ in range(rounds):
+    end_log, before = math.log(0.1), -math.inf
+    while True:
         shared = spark.sparkContext.broadcast(own)  # the vocabulary: its size doesn't follow the corpus
 
         def step(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(shared.value.pieces))
+            total, likelihood = np.zeros(len(shared.value.pieces)), 0.0
             for batch in batches:
-                total += expected(batch.column(0).to_pylist(), batch.column(1).to_numpy(), shared.value)
+                uses, own_likelihood = expected(batch.column(0).to_pylist(), batch.column(1).to_numpy(), shared.value)
+                total += uses
+                likelihood += own_likelihood
             at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["piece", "uses"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([likelihood, *total[at].tolist()], pa.float64())], names=["piece", "uses"])
 
-        uses = np.zeros(len(own.pieces))
+        uses, likelihood = np.zeros(len(own.pieces)), 0.0
         for r in counts.where("c > 0").select("word", "c").mapInArrow(step, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():
-            uses[r["piece"]] = r["uses"]
+            if r["piece"] < 0:
+                likelihood = r["uses"] / tokens / math.log(10)
+            else:
+                uses[r["piece"]] = r["uses"]
         # a little of the first order keeps unseen pieces possible
         weight = uses + 0.01 * max(1.0, uses.sum() / 1e4) * np.exp(own.logs) + 1e-9
         whole = weight.sum() + max(ends, 1)
-        own = Pieces(own.pieces, own.bytes_at.tolist(), np.log(weight / whole))
-        end_log = math.log(max(ends, 1) / whole)
-    return own, end_log
+        own, end_log = own.with_logs(np.log(weight / whole)), math.log(max(ends, 1) / whole)
+        if likelihood - before < gain:
+            return own, end_log
+        before = likelihood
+
+
+#: Lower case of ASCII letters, and which bytes are white space.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _powers(odd: int, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, odd, np.uint64)]))
+
+
+_POWERS = {}
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and two 64-bit hashes of each word of a buffer, in lower case."""
+    buf = _LOWER[np.frombuffer(raw, np.uint8)]
+    gap = np.concatenate([[True], _SPACE[buf], [True]])
+    start = np.flatnonzero(gap[:-2] & ~gap[1:-1])
+    stop = np.flatnonzero(~gap[1:-1] & gap[2:]) + 1
+    value, hashes = buf.astype(np.uint64) + np.uint64(1), []
+    for odd in (_ODD, _ODD2):
+        if len(_POWERS.get(odd, ((),))[0]) <= len(buf):
+            _POWERS[odd] = (_powers(odd, len(buf)), _powers(pow(odd, -1, 1 << 64), len(buf)))
+        up, back = _POWERS[odd]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * up[: len(buf)])])
+        hashes.append((total[stop] - total[start]) * back[start] ^ (stop - start).astype(np.uint64) << np.uint64(44))
+    return start, *hashes
+
+
+def count_words(docs: DataFrame, held_out, text_col: str) -> DataFrame:
+    """(word, c): every distinct word and how often it stands in training rows. A task gives out counts of at most
+    about COUNTED words at a time."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learned, every = Counter(), set()
+
+        def out() -> pa.RecordBatch:
+            words = [*learned, *(w for w in every if w not in learned)]
+            return pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8") for w in words], pa.string()), pa.array([learned[w] for w in words], pa.int64())], names=["word", "n"])
+
+        for batch in batches:
+            for held, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                (every if held else learned).update(text.as_py().encode("utf-8").lower().split())
+                if len(learned) + len(every) > COUNTED:
+                    yield out()
+                    learned, every = Counter(), set()
+        yield out()
+
+    rows = docs.select(held_out.alias("held"), text_of(text_col).alias("text")).mapInArrow(counted, "word string, n long")
+    return rows.groupBy("word").agg(F.sum("n").alias("c"))
 
 
 def lattice_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", pieces: str | None = None) -> DataFrame:
@@ -217,55 +311,63 @@ def lattice_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
 
     held_out is a Column of docs: true rows take no part in learning. A null text is empty: its only token
     is the end. Repeated rows and null ids are kept and each counts. Extra columns are ignored. An empty table
-    gives no row; without training rows all counts are 0 and the pieces keep their first scores."""
-    blocks = portions(docs, F.length(text_of(text_col)) + 1, BLOCK_CHARS)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), text_of(text_col).alias("text"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-
-    def words_of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        every, learned = set(), Counter()
-        for text, held in zip(pdf["text"], pdf["held_out"], strict=True):
-            words = text.encode("utf-8").lower().split()
-            if held:
-                every.update(words)
-            else:
-                learned.update(words)
-        every.update(learned)
-        words = list(every)
-        return pd.DataFrame({"block": key[0], "word": [w.decode("utf-8") for w in words], "n": [learned[w] for w in words]})
-
-    in_block = written(rows.groupBy("block").applyInPandas(words_of, "block long, word string, n long"), "block_words")
-    counts = written(in_block.groupBy("word").agg(F.sum("n").alias("c")), "words")
+    gives no row; without training rows all counts are 0 and the pieces keep their first scores. A very long text is read
+    whole by one task, some 60 bytes a byte; a very long word takes time in proportion to its length."""
+    counts = written(count_words(docs, held_out, text_col), "words")
     seen = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0)).alias("v")).first()
     ends = docs.where(~held_out).count()
     n, v = seen["n"] + ends, seen["v"] + (ends > 0)
     own, end_log = Pieces.load(pieces or public_tokenizers.path("piece_bpe_32k.model")), math.log(0.1)
     if seen["n"]:
-        own, end_log = fitted(counts, own, ends)
-    shared = rows.sparkSession.sparkContext.broadcast(own)
+        own, end_log = fitted(counts, own, ends, seen["n"])
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(own)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(word_logs(batch.column(0).to_pylist(), shared.value) / math.log(10))], names=["word", "c", "log"])
-
-    lexicon = counts.select("word", "c").mapInArrow(scored, "word string, c long, log double")
-    known = in_block.select("block", "word").join(lexicon.hint("shuffle_hash"), "word").select("block", "word", "c", "log")
-
-    def documents(key: tuple, pdf: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        at = {w.encode("utf-8"): i for i, w in enumerate(words["word"])}
-        c, logs = words["c"].to_numpy(np.int64), words["log"].to_numpy(float)
+            words = batch.column(0).to_pylist()
+            _, h1, h2 = word_hashes(" ".join(words).encode("utf-8"))
+            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch.column(1), pa.array(word_logs(words, shared.value) / math.log(10))], names=["h1", "h2", "c", "log"])
+
+    lexicon = written(counts.mapInArrow(scored, "h1 long, h2 long, c long, log double"), "lexicon")
+    top = lexicon.orderBy(F.desc("c"), "h1", "h2").limit(TOP).toArrow()
+    h1, h2, c, logs = (top.column(k).to_numpy() for k in ("h1", "h2", "c", "log"))
+    order = np.argsort(h1.view(np.uint64))
+    # at most TOP words
+    known = spark.sparkContext.broadcast((h1.view(np.uint64)[order], h2.view(np.uint64)[order], c[order], logs[order]))
+    base_end, log_end = math.log10((ends + 1) / (n + v + 1)), end_log / math.log(10)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h1, h2, c, logs = known.value
         base = np.log10((c + 1) / (n + v + 1))
-        out = []
-        for doc_id, held, text in zip(pdf["doc_id"], pdf["held_out"], pdf["text"], strict=True):
-            own_words = [at[w] for w in text.encode("utf-8").lower().split()]
-            i = np.array(own_words, np.int64)
-            out.append((doc_id, held, len(i) + 1, int((c[i] > 0).sum()) + (ends > 0), n, float(base[i].sum()) + math.log10((ends + 1) / (n + v + 1)), float(logs[i].sum()) + end_log / math.log(10)))
-        got = pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-        got["doc_id"] = pd.array([None if x is None or x != x else int(x) for x in got["doc_id"]], dtype="Int64")
-        return got
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(documents, schema)
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            texts = [t.encode("utf-8") for t in batch.column(2).to_pylist()]
+            for a, b in chunks(texts, [len(t) for t in texts], BUFFER):
+                start, w1, w2 = word_hashes(b"\n".join(texts[a:b]))
+                ends_at = np.cumsum([len(t) + 1 for t in texts[a:b]])
+                doc = np.searchsorted(ends_at, start, side="right")
+                at = np.minimum(np.searchsorted(h1, w1), max(len(h1) - 1, 0))
+                hit = (h1[at] == w1) & (h2[at] == w2) if len(h1) else np.zeros(len(w1), bool)
+                size, d, i = b - a, doc[hit], at[hit]
+                rare = np.concatenate([[0], np.cumsum(np.bincount(doc[~hit], minlength=size))]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(rare), pa.array(w[~hit].view(np.int64))) for w in (w1, w2)]
+                sums = [np.bincount(doc, minlength=size) + 1, np.bincount(d, c[i] > 0, size).astype(np.int64) + (ends > 0), np.bincount(d, base[i], size) + base_end, np.bincount(d, logs[i], size) + log_end]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + size)), *(batch.column(k)[a:b] for k in (0, 1)), *map(pa.array, sums), *lists], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "log", "r1", "r2"])
+                row += size
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), text_of(text_col).alias("text"))
+    # the rows' numbers hold once the table is written
+    part = written(rows.mapInArrow(read, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, log double, r1 array<long>, r2 array<long>"), "read")
+    rare = part.where(F.size("r1") > 0).select("row", F.explode(F.arrays_zip("r1", "r2")).alias("w")).select("row", F.col("w.r1").alias("h1"), F.col("w.r2").alias("h2"))
+    base = F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))
+    more = (
+        rare.join(lexicon.hint("shuffle_merge"), ["h1", "h2"]).groupBy("row")
+        .agg(F.count_if(F.col("c") > 0).alias("more_known"), F.sum(base).alias("more_base"), F.sum("log").alias("more_log"))
+    )
+    out = part.drop("r1", "r2").join(more.hint("shuffle_hash"), "row", "left")
+    plus = lambda name, more: (F.col(name) + F.coalesce(more, F.lit(0))).alias
+    return out.select("doc_id", "held_out", "n_tokens", plus("n_known", F.col("more_known"))("n_known"), F.lit(n).cast("long").alias("train_tokens"), plus("base", F.col("more_base"))("base_score"), plus("log", F.col("more_log"))("score"))
 
 
 def op6_subword_lattice_likelihood(spark, sf_dir: str) -> DataFrame:
