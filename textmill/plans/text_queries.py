@@ -8,6 +8,7 @@ from textmill.functions import decide as R
 from textmill.functions import detect as D
 from textmill.functions import fixed_values as V
 from textmill.functions import normalize as N
+from textmill.plans import text_sql as Q
 from textmill.plans.base import GATE_SQL, IP, LEXICONS, MAIL, MAPS, PACK, PLAIN_PACK, PROBS_SQL, RULES, number, probabilities, query, spread, sql_list, sql_number, table
 
 ENTRIES = [("nd", "n"), ("tion", "shun"), ("the", "da"), ("shuns", "SHUNS")]
@@ -23,7 +24,11 @@ def hashed(df, column, *more):
     return df.select("doc_id", F.md5(column).alias("md5"), F.length(column).cast("long").alias("chars"), *more)
 
 
-@query("n1_norm_unicode")
+def hashed_sql(expression):
+    return f"select doc_id, md5(t) as md5, length(t)::BIGINT as chars from (select doc_id, {expression} as t from documents)"
+
+
+@query("n1_norm_unicode", hashed_sql(Q.unicode_form("text")))
 def n1(spark, sf):
     return hashed(docs(spark, sf).withColumn("n", N.norm_unicode(F.col("text"))), "n")
 
@@ -38,27 +43,35 @@ def n3(spark, sf):
     return hashed(docs(spark, sf).withColumn("n", N.norm_map(F.col("text"), ENTRIES)), "n")
 
 
-@query("n4_norm_token_map")
+TOKENS = [("that", "dat"), ("of", "ov"), ("is", "iz")]
+
+
+@query("n4_norm_token_map", hashed_sql(Q.tokens_mapped("text", TOKENS)))
 def n4(spark, sf):
-    return hashed(docs(spark, sf).withColumn("n", N.norm_token_map(F.col("text"), [("that", "dat"), ("of", "ov"), ("is", "iz")])), "n")
+    return hashed(docs(spark, sf).withColumn("n", N.norm_token_map(F.col("text"), TOKENS)), "n")
 
 
-@query("n5_norm_noise")
+@query("n5_norm_noise", hashed_sql(Q.without_noise("text")))
 def n5(spark, sf):
     return hashed(docs(spark, sf).withColumn("n", N.norm_noise(F.col("text"))), "n")
 
 
-@query("n6_norm_repeat")
+@query("n6_norm_repeat", "with c as (select doc_id, regexp_extract_all(text, '(?s).') as c from documents) select doc_id, md5(t) as md5, length(t)::BIGINT as chars from (select doc_id, " + Q.cut_repeats("c") + " as t from c)")
 def n6(spark, sf):
     return hashed(docs(spark, sf).withColumn("n", N.norm_repeat(F.col("text"))), "n")
 
 
-@query("n7_normalize")
+@query("n7_normalize", f"with {Q.normalized('documents')} select doc_id, md5(n_t11) as md5, length(n_t11)::BIGINT as chars from n")
 def n7(spark, sf):
     return hashed(docs(spark, sf).withColumn("n", N.normalize(F.col("text"), MAPS)), "n")
 
 
-@query("n8_normalize_with_trace")
+def _steps_sql(row):
+    texts = ["text", *(f"n_t{i}" for i in range(1, len(Q.STEPS) + 1))]
+    return ", ".join(f"case when {a} <> {b} then {row(name, a, b)} end" for name, a, b in zip(Q.STEPS, texts, texts[1:], strict=False))
+
+
+@query("n8_normalize_with_trace", f"with {Q.normalized('documents')} select doc_id, md5(n_t11) as md5, concat_ws(',', {_steps_sql(lambda name, a, b: chr(39) + name + chr(39))}) as changed from n")
 def n8(spark, sf):
     df = N.normalize_with_trace(docs(spark, sf), "text", MAPS)
     return df.select("doc_id", F.md5("normalized").alias("md5"), F.array_join(F.transform("steps", lambda s: s["normalizer"]), ",").alias("changed"))
@@ -83,7 +96,7 @@ def n11(spark, sf):
     return df.select("doc_id", *(F.md5(f"v.{k}").alias(k) for k in ("exact", "trimmed", "casefolded", "nfkc")))
 
 
-@query("n12_equivalence_keys")
+@query("n12_equivalence_keys", f"with {Q.normalized('documents')} select doc_id, md5(text) as exact, md5(nfc_normalize(text)) as nfkc, md5(n_t11) as text_normalizer from n")
 def n12(spark, sf):
     df = docs(spark, sf).withColumn("v", N.equivalence_keys(F.col("text"), MAPS))
     return df.select("doc_id", *(F.md5(f"v.{k}").alias(k) for k in ("exact", "nfkc", "text_normalizer")))
@@ -100,7 +113,7 @@ def n14(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(N.baseline_lower(F.col("text"))).alias("md5"))
 
 
-@query("n15_trace_lines")
+@query("n15_trace_lines", f"with {Q.normalized('documents')}, l as (select doc_id, list_filter([{_steps_sql(lambda name, a, b: f'{chr(39)}{name}: {chr(39)} || {a} || {chr(39)} -> {chr(39)} || {b}')}], lambda x: x is not null) as l from n) select doc_id, greatest(len(l), 1)::INT as lines, md5(case when len(l) = 0 then {Q.quoted(V.NO_STEP)} else array_to_string(l, chr(10)) end) as md5 from l")
 def n15(spark, sf):
     df = N.normalize_with_trace(docs(spark, sf), "text", MAPS).withColumn("lines", N.trace_lines(F.col("steps")))
     return df.select("doc_id", F.size("lines").alias("lines"), F.md5(F.array_join("lines", "\n")).alias("md5"))
@@ -142,7 +155,7 @@ def d4(spark, sf):
     return df.select("doc_id", "d.category", F.array_join("d.matches", "|").alias("matches"))
 
 
-@query("d5_mask_privacy")
+@query("d5_mask_privacy", f"with {Q.privacy('documents')} select doc_id, p_names as names, md5(p_masked) as md5 from p")
 def d5(spark, sf):
     df = docs(spark, sf).withColumn("p", D.privacy(F.col("text")))
     return df.select("doc_id", F.array_join("p.names", ",").alias("names"), F.md5("p.masked").alias("md5"))
@@ -157,7 +170,7 @@ def d5b(spark, sf):
     return df.select("doc_id", F.array_join("names", ",").alias("names"), F.md5("masked").alias("md5"))
 
 
-@query("d6_detect_privacy")
+@query("d6_detect_privacy", f"with {Q.privacy('documents')} select doc_id, 'privacy' as category, 45::INT as score, p_names as matches from p where p_names <> ''")
 def d6(spark, sf):
     return docs(spark, sf).select("doc_id", F.explode(D.detect_privacy(D.privacy_names(F.col("text")))).alias("d")).select("doc_id", "d.category", "d.score", F.array_join("d.matches", ",").alias("matches"))
 
@@ -297,22 +310,28 @@ def verdicts(spark, sf):
     return R.filter_text(docs(spark, sf), "text", PACK)
 
 
-@query("r7_recheck_rewrite")
+VERDICT_SQL = f"with {Q.verdict('documents')}"
+
+
+@query("r7_recheck_rewrite", f"{VERDICT_SQL} select doc_id, action, risk_level, again::INT as again from v where rewritten is not null")
 def r7(spark, sf):
     return verdicts(spark, sf).where("rewrite_recheck is not null").select("doc_id", "action", "risk_level", F.size("rewrite_recheck.detections").alias("again"))
 
 
-@query("r8_filter_text")
+@query("r8_filter_text", f"{VERDICT_SQL} select doc_id, 'input' as stage, action, risk_score, risk_level, risk_categories, md5(normalized) as normalized, md5(sanitized) as sanitized from v")
 def r8(spark, sf):
     return verdicts(spark, sf).select("doc_id", "stage", "action", "risk_score", "risk_level", F.array_join("risk_categories", ",").alias("risk_categories"), F.md5("normalized_text").alias("normalized"), F.md5("sanitized_text").alias("sanitized"))
 
 
-@query("r9_detect")
+@query("r9_detect", f"{VERDICT_SQL} select doc_id, 'detect' as stage, action, risk_score, risk_level, detections::INT as detections from v")
 def r9(spark, sf):
     return R.detect(docs(spark, sf), "text", PACK).select("doc_id", "stage", "action", "risk_score", "risk_level", F.size("detections").alias("detections"))
 
 
-@query("r10_baseline_vs_enhanced")
+@query("r10_baseline_vs_enhanced", f"""{VERDICT_SQL}, low as (select doc_id, lower(text) as low from documents), {Q.found('low', 'low', 'fb')}, b as (select doc_id, coalesce(max(score), 0) as base from documents left join fb using (doc_id) group by doc_id),
+c as (select case when base >= 80 then 'block' when base >= 40 then 'sanitize' else 'pass' end as baseline_action, action as enhanced_action from v join b using (doc_id)),
+d as (select *, baseline_action = 'pass' and enhanced_action <> 'pass' as baseline_missed from c)
+select *, case when baseline_missed then '{V.NOTES['recovered']}' when baseline_action <> 'pass' and enhanced_action = 'pass' then '{V.NOTES['relaxed']}' when baseline_action <> enhanced_action then '{V.NOTES['changed']}' else '{V.NOTES['same']}' end as note, count(*) as documents from d group by all""")
 def r10(spark, sf):
     return R.baseline_vs_enhanced(docs(spark, sf), "text", PACK).groupBy("baseline_action", "enhanced_action", "baseline_missed", "note").agg(F.count("*").alias("documents"))
 
@@ -338,7 +357,11 @@ def r12(spark, sf):
     return states(spark, sf).groupBy(R.turn_status(F.col("input_action"), F.when(F.col("down"), "x"), F.col("output_action")).alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("o1_guard_output")
+GUARD_SQL = f"with {Q.guard('documents', 'text', 'g')}"
+GUARDED_SQL = f"with {Q.guarded('documents', 'text')}"
+
+
+@query("o1_guard_output", f"{GUARD_SQL} select doc_id, g_action as action, g_score as risk_score, g_level as risk_level, array_to_string(g_cats, ',') as risk_categories, md5(g_final) as final from g")
 def o1(spark, sf):
     df = R.guard_output(docs(spark, sf), "text", PACK, recheck=False)
     return df.select("doc_id", "action", "risk_score", "risk_level", F.array_join("risk_categories", ",").alias("risk_categories"), F.md5("final_text").alias("final"))
@@ -361,21 +384,24 @@ def o3(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(R.sanitize_output(F.col("text"), found)).alias("md5"))
 
 
-@query("o4_no_op_rewrite")
+@query("o4_no_op_rewrite", f"{GUARD_SQL} select g_final = {Q.quoted(V.REWRITE_GENERIC)} as generic, count(*) as documents from g where g_action = 'sanitize' group by 1")
 def o4(spark, sf):
     df = R.guard_output(docs(spark, sf), "text", PACK, recheck=False)
     return df.where("rewritten").groupBy((F.col("final_text") == V.REWRITE_GENERIC).alias("generic")).agg(F.count("*").alias("documents"))
 
 
-@query("o5_recheck_output")
+@query("o5_recheck_output", f"{GUARDED_SQL} select doc_id, action, rewritten, rechecked as rechecked_action, array_to_string(cats, ',') as risk_categories, md5(final) as final from gg")
 def o5(spark, sf):
     return R.guard_output(docs(spark, sf), "text", PACK).select("doc_id", "action", "rewritten", "rechecked_action", F.array_join("risk_categories", ",").alias("risk_categories"), F.md5("final_text").alias("final"))
 
 
-@query("o6_public_output")
+@query("o6_public_output", f"""{GUARDED_SQL}, every as (select doc_id, seq, matches from gf union all select doc_id, 99, string_split(g_names, ',') from g where g_names <> ''),
+shown as (select doc_id, string_agg(case when action <> 'pass' then '[REDACTED]' else array_to_string(matches, '|') end, ';' order by seq) as m from every join gg using (doc_id) group by doc_id)
+select doc_id, action, md5(case when action = 'pass' then g_normalized end) as normalized, md5(case when action = 'pass' then gp_masked end) as masked, coalesce(m, '') as matches from gg left join shown using (doc_id)""")
 def o6(spark, sf):
     df = R.public_output(R.guard_output(docs(spark, sf), "text", PACK))
-    return df.select("doc_id", "action", F.md5("normalized_text").alias("normalized"), F.to_json(F.transform("detections", lambda d: d["matches"])).alias("matches"))
+    shown = F.array_join(F.transform("detections", lambda d: F.array_join(d["matches"], "|")), ";")
+    return df.select("doc_id", "action", F.md5("normalized_text").alias("normalized"), F.md5("masked").alias("masked"), shown.alias("matches"))
 
 
 @query("o7_turn_pairs", "with w as (select conv_id, turn, role, text, lead(role) over (partition by conv_id order by turn) as r, lead(text) over (partition by conv_id order by turn) as t from conversations where role <> 'system') select conv_id, turn, md5(text) as message, case when r = 'assistant' then md5(t) end as reply from w where role = 'user'")
@@ -387,7 +413,17 @@ def turns(spark, sf):
     return R.moderate_turns(R.turn_pairs(table(spark, sf, "conversations")), PACK)
 
 
-@query("o7_moderate_turns")
+TURNS_SQL = f"""with w0 as (select conv_id, turn, role, text, lead(role) over (partition by conv_id order by turn) as r, lead(text) over (partition by conv_id order by turn) as x from conversations where role <> 'system'),
+t0 as (select conv_id, turn, text as message, case when r = 'assistant' then x end as reply, conv_id || '-' || turn as key from w0 where role = 'user'),
+{Q.verdict('t0', 'message', 'key')},
+t1 as (select t0.*, v.action as in_action, sanitized, case when v.action <> 'block' then reply end as heard from t0 join v using (key)),
+{Q.guarded('t1', 'heard', 'key')},
+t2 as (select t1.*, gg.action as out_action, gg.final as out_final, t1.in_action = 'block' as blocked, t1.in_action <> 'block' and t1.reply is null as down, coalesce(nullif(t1.sanitized, ''), t1.message) as safe from t1 left join gg using (key)),
+tt as (select conv_id, turn, in_action, out_action, blocked, down, coalesce(out_action <> 'block', false) as allowed, case when down then 'llm_unavailable' end as service_error, not blocked and safe <> message as rewrite_changed,
+ case when blocked then {Q.quoted(V.INPUT_BLOCKED)} when down then {Q.quoted(V.SERVICE_DOWN)} else out_final end as final_reply, case when out_action = 'pass' then heard end as raw_reply from t2)"""
+
+
+@query("o7_moderate_turns", f"{TURNS_SQL} select conv_id, turn, in_action, out_action, allowed, service_error, rewrite_changed, md5(final_reply) as final_reply, md5(raw_reply) as raw_reply from tt")
 def o7(spark, sf):
     return turns(spark, sf).select("conv_id", "turn", "in_action", "out_action", "allowed", "service_error", "rewrite_changed", F.md5("final_reply").alias("final_reply"), F.md5("raw_reply").alias("raw_reply"))
 
@@ -398,7 +434,11 @@ def o8(spark, sf):
     return docs(spark, sf).groupBy(R.label_of(code).alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("o9_emit_turn_events")
+EVENT_ROWS_SQL = f"""{TURNS_SQL}, ev as (select 'input' as event_stage, null::VARCHAR as action, null::VARCHAR as reason, in_action as result_action from tt union all select 'output', null, null, out_action from tt where not blocked and not down
+ union all select 'final', case when blocked then 'block' when down then 'service_error' else out_action end, case when blocked then 'input_block' when down then 'llm_unavailable' end, null from tt)"""
+
+
+@query("o9_emit_turn_events", f"{EVENT_ROWS_SQL} select *, count(*) as events from ev group by all")
 def o9(spark, sf):
     return turn_events(spark, sf).groupBy("event_stage", "action", "reason", "result.action").agg(F.count("*").alias("events")).toDF("event_stage", "action", "reason", "result_action", "events")
 
@@ -414,9 +454,9 @@ def o10(spark, sf):
 
 
 def flagship(spark, sf):
-    """Documents normalized, masked, scored and counted by language and action."""
-    df = R.guard_output(docs(spark, sf), "text", PACK, recheck=False)
+    """Documents normalized, masked, scored, rewritten and checked again, counted by language and final action."""
+    df = R.guard_output(docs(spark, sf), "text", PACK)
     return df.groupBy("lang", "action").agg(F.count("*").alias("documents"), F.avg("risk_score").alias("mean_score")).orderBy("lang", "action")
 
 
-query("flagship")(flagship)
+query("flagship", f"{GUARDED_SQL} select lang, action, count(*) as documents, avg(g_score) as mean_score from gg group by lang, action")(flagship)
