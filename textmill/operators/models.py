@@ -10,19 +10,23 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, Normalizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.functions.columns import characters, let, runs
 from textmill.functions.fixed_values import GATE_MARGIN, GATE_THRESHOLDS, LABELS, RISK_LABELS
 
 
+#: Features that hashed n-grams share: a model of k labels has k times twice as many weights, on the driver too.
+HASHED = 1 << 18
+
+
 def word_ngrams(text: Column, low: int = 1, high: int = 2) -> Column:
     """Lower-case words of two or more letters or digits, and their sequences of up to `high` words."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    return let(words, lambda w: F.flatten(F.array(*[runs(w, n, lambda a, b: F.concat_ws(" ", a, b)) if n > 1 else w for n in range(low, high + 1)])))
+    return let(words, lambda w: F.flatten(F.array(*[runs(w, n, lambda a, b: F.concat(a, F.lit(" "), b)) if n > 1 else w for n in range(low, high + 1)])))
 
 
 def char_ngrams(text: Column, low: int = 2, high: int = 5) -> Column:
@@ -30,11 +34,28 @@ def char_ngrams(text: Column, low: int = 2, high: int = 5) -> Column:
     return let(characters(F.lower(text)), lambda c: F.flatten(F.array(*[runs(c, n, lambda a, b: F.concat(a, b)) for n in range(low, high + 1)])))
 
 
-def tfidf_stages(grams_col: str, out: str = "features", vocabulary: int = 1 << 18, min_df: float = 1.0, max_df: float | None = None) -> list:
-    """M1: counts, inverse document frequency plus 1 (as tf * idf and tf side by side, so that the linear model sees
+def tfidf_table(df: DataFrame, id_col: str, grams: Column) -> DataFrame:
+    """M1 as a table, of every n-gram there is: (id, gram, tf, df, weight), weight = tf * (ln((1 + n) / (1 + df)) + 1) scaled to
+    unit length within a row. No vocabulary is held anywhere; a gram that most rows have is a skewed key, which the
+    merge join splits at run time."""
+    rows = df.select(F.col(id_col).alias("id"), grams.alias("grams"))
+    tf = rows.select("id", F.explode("grams").alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("tf"))
+    often = tf.groupBy("gram").agg(F.count("*").alias("df"))
+    n = rows.agg(F.count("*").alias("n"))  # one row
+    weight = F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
+    made = tf.join(often.hint("shuffle_merge"), "gram").crossJoin(F.broadcast(n)).withColumn("w", weight)
+    return made.select("id", "gram", "tf", "df", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))).alias("weight"))
+
+
+def tfidf_stages(grams_col: str, out: str = "features", vocabulary: int | None = None, min_df: float = 1.0, max_df: float | None = None) -> list:
+    """M1 as features: without a vocabulary size every n-gram counts, hashed to one of HASHED features; with one the most
+    frequent do. Counts, inverse document frequency plus 1 (as tf * idf and tf side by side, so that the linear model sees
     their sum's scale), unit length. Spark's idf is ln((n + 1) / (df + 1))."""
+    counts = HashingTF(inputCol=grams_col, outputCol="_tf", numFeatures=HASHED)
+    if vocabulary is not None:
+        counts = CountVectorizer(inputCol=grams_col, outputCol="_tf", vocabSize=vocabulary, minDF=min_df, **({} if max_df is None else {"maxDF": max_df}))
     return [
-        CountVectorizer(inputCol=grams_col, outputCol="_tf", vocabSize=vocabulary, minDF=min_df, **({} if max_df is None else {"maxDF": max_df})),
+        counts,
         IDF(inputCol="_tf", outputCol="_idf"),
         VectorAssembler(inputCols=["_idf", "_tf"], outputCol="_both"),
         Normalizer(inputCol="_both", outputCol=out, p=2.0),
@@ -49,13 +70,14 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(table), label)  # a row a label
 
 
-def train_classifier(df: DataFrame, text: str, label: str, kind: str = "char", c: float = 1.0, max_iter: int = 100, vocabulary: int = 1 << 16, min_df: float = 1.0, max_df: float | None = None) -> PipelineModel:
-    """M2 (and, with kind="word", M3): multinomial logistic regression with balanced weights."""
+def train_classifier(df: DataFrame, text: str, label: str, kind: str = "char", c: float = 1.0, max_iter: int = 100, vocabulary: int | None = None, min_df: float = 1.0, max_df: float | None = None) -> PipelineModel:
+    """M2 (and, with kind="word", M3): multinomial logistic regression with balanced weights over the labels that occur; rows
+    without a label are left out."""
     grams = char_ngrams(F.col(text)) if kind == "char" else word_ngrams(F.col(text))
-    rows = balanced_weights(df.select(F.col(text), F.col(label)), label).withColumn("_grams", grams)
+    rows = balanced_weights(df.select(F.col(text), F.col(label)).where(F.col(label).isNotNull()), label).withColumn("_grams", grams)
     weight = rows.agg(F.sum("weight")).first()[0] or 1.0
     model = LogisticRegression(featuresCol="features", labelCol="_label", weightCol="weight", family="multinomial", regParam=1.0 / (c * weight), standardization=False, maxIter=max_iter)
-    index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep")
+    index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="error")
     return Pipeline(stages=[index, *tfidf_stages("_grams", vocabulary=vocabulary, min_df=min_df, max_df=max_df), model]).fit(rows)
 
 

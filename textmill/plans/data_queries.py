@@ -36,7 +36,18 @@ def stored(df, name: str = "t"):
 # ---- audit events
 
 
-@query("a1_redact")
+def _redacted_sql():
+    from textmill.plans.text_queries import TURNS_SQL
+
+    hidden = lambda n: f"'[' || array_to_string(list_transform(range({n}), lambda x: '[\"[REDACTED]\"]'), ',') || ']'"
+    return f"""{TURNS_SQL}, kn as (select key, count(*) as n from gf group by key), found_out as (select g.key, coalesce(n, 0) + (g_names <> '')::INT as n from g left join kn using (key)), found_in as (select key, detections as n from v),
+rows as (select tt.*, i.n as in_n, o.n as out_n from tt join found_in i on i.key = tt.conv_id || '-' || tt.turn left join found_out o on o.key = tt.conv_id || '-' || tt.turn)
+select conv_id, turn, 0 as seq, '[REDACTED]' as input, null::VARCHAR as raw_reply, null::VARCHAR as final_reply, {hidden('in_n')} as matches, in_action as action from rows
+union all select conv_id, turn, 1, null, '[REDACTED]', null, {hidden('out_n')}, out_action from rows where not blocked and not down
+union all select conv_id, turn, 2, null, null, case when not blocked and not down then '[REDACTED]' end, null, null from rows"""
+
+
+@query("a1_redact", _redacted_sql())
 def a1(spark, sf):
     df = A.redact(turn_events(spark, sf))
     return df.select("conv_id", "turn", "seq", "input", "raw_reply", "final_reply", F.to_json(F.transform("result.detections", lambda d: d["matches"])).alias("matches"), F.col("result.action").alias("action"))
@@ -389,10 +400,17 @@ def j16(spark, sf):
     return J.eliminated_rows(first.select("sample_id", "source"), first, "sample_id", "review_status", (0, 1, 2))
 
 
-@query("j17_frozen_rows_unchanged", "select true as unchanged")
+@query("j17_frozen_rows_unchanged", """with kinds as (select * from (values ('as it was'), ('one text changed'), ('a row gone')) t(kind)),
+a as (select kind, doc_id, case when kind = 'one text changed' and doc_id = (select max(doc_id) from documents) then text || '!' else text end as text from kinds, documents where kind <> 'a row gone' or doc_id <> (select min(doc_id) from documents)),
+same as (select kind, count(*) = (select count(*) from documents) and count(*) = count(d.doc_id) as unchanged from a left join documents d on d.doc_id = a.doc_id and coalesce(d.text, '') = coalesce(a.text, '') group by kind) select * from same""")
 def j17(spark, sf):
-    d = table(spark, sf, "documents")
-    return C.same_content(d, d.repartition(5), "doc_id", "text")
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    ends = d.agg(F.max("doc_id").alias("last"), F.min("doc_id").alias("first"))
+    e = d.join(F.broadcast(ends))  # one row
+    changed = e.withColumn("text", F.when(F.col("doc_id") == F.col("last"), F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    cases = {"as it was": d.repartition(5), "one text changed": changed, "a row gone": e.where("doc_id <> first")}
+    made = [C.same_content(d, after, "doc_id", "text").withColumn("kind", F.lit(kind)) for kind, after in cases.items()]
+    return made[0].unionByName(made[1]).unionByName(made[2])
 
 
 # ---- selection
@@ -570,10 +588,13 @@ def g3(spark, sf):
     return df.withColumn("c", made).where("c is not null").select("doc_id", F.md5("c.text").alias("text"), F.col("c.note").alias("note"))
 
 
-@query("g4_obfuscate_phone")
+_PHONE = "(^|[^0-9])(1[3-9][0-9]{9})($|[^0-9])"
+
+
+@query("g4_obfuscate_phone", f"with t as (select doc_id, substr(text, 1, 40) || ' 138' || lpad(doc_id::VARCHAR, 8, '0') || ' ' || text as t from documents), m as (select *, regexp_extract(t, '{_PHONE}', 2) as m from t) select doc_id, md5(regexp_replace(t, '{_PHONE}', '\\1' || array_to_string(regexp_extract_all(m, '.'), '-') || '\\3')) as text from m where m <> ''")
 def g4(spark, sf):
     df = seeds(spark, sf).withColumn("text", F.concat(F.substring("text", 1, 40), F.lit(" 138"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(" "), F.col("text")))
-    return df.select("doc_id", G.obfuscate_phone(F.col("text")).alias("c")).where("c is not null").select("doc_id", F.substring("c.text", 1, 80).alias("head"))
+    return df.select("doc_id", G.obfuscate_phone(F.col("text")).alias("c")).where("c is not null").select("doc_id", F.md5("c.text").alias("text"))
 
 
 @query("g5_obfuscate_url", "select page_id, replace(regexp_replace(url, '^http', 'hxxp'), '.', '[.]') as url from pages")
@@ -652,28 +673,27 @@ def g16(spark, sf):
 # ---- models
 
 
-@query("m1_tfidf_features")
+@query("m1_tfidf_features", """with w as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') as w from documents), g as (select doc_id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) as g from w),
+tf as (select doc_id, g, count(*) as tf from g group by all), often as (select g, count(*) as df from tf group by g), k as (select count(*) as n from documents),
+x as (select doc_id, tf, df, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) as w from tf join often using (g), k), y as (select *, w / sqrt(sum(w * w) over (partition by doc_id)) as weight from x)
+select doc_id, count(*) as features, sum(tf)::BIGINT as grams, sum(df)::BIGINT as dfs, round(sum(weight), 6) as total, round(max(weight), 6) as most from y group by doc_id""")
 def m1(spark, sf):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.functions import vector_to_array
-
-    rows = table(spark, sf, "documents").select("doc_id", M.word_ngrams(F.col("text")).alias("grams"))
-    out = Pipeline(stages=M.tfidf_stages("grams", vocabulary=4096, min_df=2.0)).fit(rows).transform(rows)
-    return out.select("doc_id", F.round(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm2"))
+    t = M.tfidf_table(table(spark, sf, "documents"), "doc_id", M.word_ngrams(F.col("text")))
+    return t.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("features"), F.sum("tf").alias("grams"), F.sum("df").alias("dfs"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("most"))
 
 
 @query("m2_train_score")
 def m2(spark, sf):
     d = labelled(spark, sf).where("label <> ''")
-    model = M.train_classifier(d, "text", "label", "char", max_iter=10, vocabulary=4096, min_df=2.0)
-    out = M.score_table(model, d, "text").select("label", D.top_class(F.col("probs"))["label"].alias("predicted"))
-    return M.classification_metrics(out, "label", "predicted").select("samples", F.round("accuracy", 2).alias("accuracy"))
+    model = M.train_classifier(d, "text", "label", "char")
+    out = M.score_table(model, d, "text").withColumn("top", D.top_class(F.col("probs")))
+    return out.select("doc_id", "label", F.col("top.label").alias("predicted"), F.round("top.p", 3).alias("p"))
 
 
 @query("m3_train_legacy")
 def m3(spark, sf):
     d = labelled(spark, sf).where("label <> ''")
-    out = M.score_table(M.train_legacy(d, "text", "label", 10), d, "text", "word").select("label", D.top_class(F.col("probs"))["label"].alias("predicted"))
+    out = M.score_table(M.train_legacy(d, "text", "label"), d, "text", "word").select("label", D.top_class(F.col("probs"))["label"].alias("predicted"))
     return M.confusion_counts(out, "label", "predicted")
 
 
@@ -687,15 +707,26 @@ PRED_SQL = f"with {PROBS_SQL}, pr as (select *, case when top_label <> 'normal'
 PER_SQL = f", pc as (select label, (select count(*) from pr where true_label = label) as support, (select count(*) from pr where predicted = label) as called, (select count(*) from pr where predicted = label and true_label = label) as hits from (select unnest({sql_list(LABELS)}) as label)), pf as (select *, coalesce(hits / nullif(called, 0)::DOUBLE, 0) as p, coalesce(hits / nullif(support, 0)::DOUBLE, 0) as r, coalesce(2.0 * hits / nullif(called + support, 0), 0)::DOUBLE as f from pc)"
 
 
-@query("m4_select_model", "select 'b' as name, 0.5::DOUBLE as macro_f1, 0.7::DOUBLE as accuracy")
+def _model_sql(name, column):
+    of = f"(select count(*) from pr where true_label = label and {column} = label)"
+    return f"select '{name}' as name, round(avg(coalesce(2.0 * {of} / nullif((select count(*) from pr where true_label = label) + (select count(*) from pr where {column} = label), 0), 0)), 9)::DOUBLE as macro_f1, round((select count(*) from pr where true_label = {column}) / (select count(*) from pr)::DOUBLE, 9) as accuracy from (select unnest({sql_list(LABELS)}) as label)"
+
+
+@query("m4_select_model", f"{PRED_SQL}, models as ({_model_sql('argmax', 'top_label')} union all {_model_sql('gated', 'predicted')} union all {_model_sql('gated_again', 'predicted')}) select * from models order by macro_f1 desc, accuracy desc, name limit 1")
 def m4(spark, sf):
-    n = table(spark, sf, "documents").select(F.explode(F.array(*[F.struct(F.lit(a).alias("name"), F.lit(b).alias("macro_f1"), F.lit(c).alias("accuracy")) for a, b, c in (("a", 0.5, 0.6), ("c", 0.5, 0.7), ("b", 0.5, 0.7))])).alias("m")).select("m.*")
-    return M.select_model(n.distinct())
+    """Three ways to decide, the last equal to the second, by what they get right on all documents."""
+    p = predictions(spark, sf)
+    one = lambda name, column: M.classification_metrics(p, "true_label", column).select(F.lit(name).alias("name"), F.round("macro_f1", 9).alias("macro_f1"), F.round("accuracy", 9).alias("accuracy"))
+    return M.select_model(one("argmax", "top_label").unionByName(one("gated", "predicted")).unionByName(one("gated_again", "predicted")))
 
 
-@query("m5_score_order", f"{PRED_SQL} select doc_id, top_label, round(top_p, 9) as top_p from pr")
+@query("m5_score_table", "select d.doc_id, (select array_to_string(list_sort(list(distinct lang)), ',') from documents) as labels, 1.0::DOUBLE as total, true as between from documents d")
 def m5(spark, sf):
-    return predictions(spark, sf).select("doc_id", "top_label", F.round("top_p", 9).alias("top_p"))
+    """Every document scored by a model of its language: labels in order, probabilities of 0 to 1 that sum up to 1."""
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    out = M.score_table(M.train_legacy(d, "text", "lang"), d, "text", "word")
+    p = F.transform("probs", lambda x: x["p"])
+    return out.select("doc_id", F.array_join(F.transform("probs", lambda x: x["label"]), ",").alias("labels"), F.round(F.aggregate(p, F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.forall(p, lambda x: (x >= 0) & (x <= 1)).alias("between"))
 
 
 @query("m6_per_class_metrics", f"{PRED_SQL}{PER_SQL} select label, round(p, 9) as precision, round(r, 9) as recall, round(f, 9) as f1, support, called, hits from pf")
@@ -728,7 +759,15 @@ def m9(spark, sf):
     return M.action_metrics(df, "e", "a").select(*(F.round(c, 9).alias(c) for c in ("action_accuracy", "block_recall", "sanitize_recall")))
 
 
-@query("m10_evaluate_modes")
+def _modes_sql():
+    from textmill.plans.text_queries import FOUND_SQL, SEMANTIC_SQL
+
+    return f"""{SEMANTIC_SQL}, {FOUND_SQL}, al as (select doc_id, category, source, score, true as rule from found union all select doc_id, category, 'semantic_ml', score, false from scored),
+md as (select unnest(['rule_only', 'semantic_only', 'combined']) as mode), k as (select mode, doc_id, category, score, row_number() over (partition by mode, doc_id order by score desc, category, source) as place from md join al on mode = 'combined' or (mode = 'rule_only') = rule)
+select mode, true_label, coalesce(category, 'normal') as predicted, case when score >= 80 then 'block' when score >= 40 then 'sanitize' else 'pass' end as action, count(*) as n from (select mode, doc_id, true_label from md, probs) left join (select * from k where place = 1) using (mode, doc_id) group by all"""
+
+
+@query("m10_evaluate_modes", _modes_sql())
 def m10(spark, sf):
     sem = probabilities(spark, sf).select("doc_id", "true_label", D.semantic_detection(D.semantic_gate(F.col("probs"))).alias("semantic"))
     df = rule_rows(spark, sf).select("doc_id", F.col("detections").alias("rule")).join(sem, "doc_id")
@@ -861,7 +900,13 @@ def s9(spark, sf):
     return S.sample_union({"documents": (table(spark, sf, "documents"), "doc_id", "lang", ("text",), "test"), "benchmark": (b, "item_id", "label", ("empty", "text"), "evaluation")}).groupBy("source", "set_type").agg(F.count("*").alias("rows"))
 
 
-@query("s10_write_events")
+def _turns_sql(rest):
+    from textmill.plans.text_queries import EVENT_ROWS_SQL
+
+    return f"{EVENT_ROWS_SQL} {rest}"
+
+
+@query("s10_write_events", _turns_sql("select event_stage, case when event_stage = 'input' then '[REDACTED]' end as input, count(*) as events from ev group by all"))
 def s10(spark, sf):
     path = place(spark, "log")
     S.write_events(turn_events(spark, sf).drop("time"), path)
@@ -912,7 +957,7 @@ def as_stream(df, name: str):
     return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
-@query("t1_moderate_stream")
+@query("t1_moderate_stream", _turns_sql("select in_action, out_action, allowed, count(*) as turns from tt group by all"))
 def t1(spark, sf):
     from textmill.functions.decide import turn_pairs
     from textmill.plans.base import PACK
