@@ -1,8 +1,7 @@
 """Improbable-feature digests: similarity fingerprints of whole texts.
 
-Every 64-byte window of a text has a collision entropy (order 2: from the sum of squared counts of its
-bytes' low five bits).
-Prose has a typical entropy; the farther a window's is from it the rarer the window, except that
+Every 64-byte window of a text has a collision entropy (order 2: from the sum of the squared counts of its
+bytes). Prose has a typical entropy; the farther a window's is from it the rarer the window, except that
 windows of low entropy (runs, padding) rank last. A window is a feature if its rank is the best within
 RADIUS windows on either side, ties by a hash of its bytes. Features in text order go into a chain of
 Bloom filters, FEATURES_MAX to a filter. Two digests are compared filter by filter: the overlap of set
@@ -26,14 +25,16 @@ from .common import chunks, portions, table, text_of
 WINDOW = 64
 #: Below WINDOW, so that windows of neighbouring texts in one buffer never compete.
 RADIUS = 31
-#: Typical sum of squared byte counts of a 64-byte window of prose, and from where it counts as low entropy.
-TYPICAL, LOW = 410, 700
+#: Typical sum of squared byte counts of a 64-byte window of prose, and from where it counts as low entropy. They are fixed
+#: numbers, not taken from a corpus, so that digests of different days can be compared.
+TYPICAL, LOW = 380, 700
 FILTER_BITS, HASHES, FEATURES_MAX = 2048, 5, 160
 #: Bytes worked on at once: small against a CPU's cache.
 BUFFER = 1 << 18
 #: Characters per partition of the ordered table.
 PART_CHARS = 6_000_000
-PARTS_MAX = 1024
+#: Buckets that one small driver table can describe; beyond, partitions grow (they are streamed).
+PARTS_MAX = 1 << 16
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -45,18 +46,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def squares(buf: np.ndarray) -> np.ndarray:
-    """The sum of squared counts of each window of the buffer, bytes counted by their low five bits: of
-    letters these are the same in either case, and a third of the work of 256 values."""
-    out = np.zeros(len(buf) - WINDOW + 1, np.uint16)
-    low = buf & 31
-    for v in range(32):
-        c = (low == v).view(np.uint8)
-        step = 1
-        while step < WINDOW:  # sums over twice as many bytes each time
-            c = c[:-step] + c[step:]
-            step *= 2
-        out += np.multiply(c, c, dtype=np.uint16)
-    return out
+    """The sum of squared byte counts of each window of the buffer: WINDOW and twice the pairs of equal bytes in it. The
+    next window has those of its new last byte more and those of the old first byte less."""
+    n = len(buf)
+    ahead, behind = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
+    for d in range(1, WINDOW):
+        same = (buf[:-d] == buf[d:]).view(np.uint8)
+        ahead[:-d] += same
+        behind[d:] += same
+    first = np.bincount(buf[:WINDOW], minlength=256)
+    steps = behind[WINDOW:].astype(np.int32) - ahead[: n - WINDOW]
+    # the old first byte may equal the new last one, WINDOW places on: not within WINDOW - 1, so neither counts it
+    return np.concatenate([[int((first * first).sum())], int((first * first).sum()) + 2 * np.cumsum(steps)]).astype(np.int32)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +80,7 @@ def features(texts: list[bytes]) -> list[np.ndarray]:
     buf = np.frombuffer(b"".join(texts), np.uint8)
     if len(buf) < WINDOW:
         return out
-    sq = squares(buf).astype(np.int32)
+    sq = squares(buf)
     n = len(sq)
     rare = np.abs(sq - TYPICAL)
     rare[sq >= LOW] = 0
@@ -184,20 +185,32 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ], names=names)
 
 
+def _not_above(cuts: list[float], x):
+    """How many of the sorted cuts are not above x: first among every so many of them, then within one run."""
+    if not cuts:
+        return F.lit(0)
+    run = max(1, int(len(cuts) ** 0.5))
+    numbers = lambda values: "array(" + ", ".join(f"{c!r}D" for c in values) + ")"
+    runs = [cuts[i : i + run] for i in range(0, len(cuts), run)]
+    first = F.size(F.filter(F.expr(numbers([r[0] for r in runs])), lambda c: c <= x))
+    own = F.get(F.expr("array(" + ", ".join(map(numbers, runs)) + ")"), first - 1)
+    return F.when(first == 0, 0).otherwise((first - 1) * run + F.size(F.filter(own, lambda c: c <= x)))
+
+
 def neighbour_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text, of its edited text and their likeness, and that to the next document.
 
     Documents go by descending doc_id, null last, equal ids by text; after the last comes the first. A null
     text is empty. One document alone is its own next. An empty table gives no row.
 
-    Tasks stream their rows, so larger parts (there are at most PARTS_MAX) only sort more. Texts are shuffled once, by buckets of consecutive ids; the first document of each bucket also goes
+    Tasks stream their rows, so larger parts only sort more. Texts are shuffled once, by buckets of consecutive ids; the first document of each bucket also goes
     to the bucket before as a guest, found by one small aggregate, one row a bucket."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     parts = min(PARTS_MAX, portions(docs, F.length(text_of(text_col)) + 1, PART_CHARS))
     place = F.coalesce(F.col("doc_id").cast("double"), F.lit(-1e300))
-    cuts = sorted({x for x in own.select(place.alias("p")).agg(F.percentile_approx("p", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or []}) if parts > 1 else []
+    cuts = sorted({x for x in own.select(place.alias("p")).agg(F.percentile_approx("p", [i / parts for i in range(1, parts)], max(10_000, 20 * parts))).first()[0] or []}) if parts > 1 else []
     # bucket 0 holds the largest ids
-    bucket = F.lit(len(cuts)) - (F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= place)) if cuts else F.lit(0))
+    bucket = F.lit(len(cuts)) - _not_above(cuts, place)
     own = own.withColumn("bucket", bucket)
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")
     heads = {r["bucket"]: r["head"]["doc_id"] for r in own.groupBy("bucket").agg(F.max(order).alias("head")).collect()}
@@ -205,10 +218,12 @@ def neighbour_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     home = F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest")))
     if used:
         # the first bucket's head is also the guest of the last; all rows of a head's id go, the first serves
-        before = F.create_map(*[F.lit(x) for i, b in enumerate(used) for x in (b, used[i - 1])])
-        head = F.create_map(*[F.lit(x) for b in used for x in (b, heads[b])])
-        guest = F.array(F.struct(before[F.col("bucket")].alias("bucket"), F.lit(True).alias("guest")))
-        home = F.when(head[F.col("bucket")].eqNullSafe(F.col("doc_id")), F.concat(home, guest)).otherwise(home)
+        before = dict(zip(used, [used[-1], *used[:-1]], strict=True))
+        at = lambda values, kind: F.get(F.expr("array(" + ", ".join("null" if v is None else f"{v}L" for v in values) + ")").cast(f"array<{kind}>"), F.col("bucket"))
+        every = range(len(cuts) + 1)
+        guest = F.array(F.struct(at([before.get(b) for b in every], "int").alias("bucket"), F.lit(True).alias("guest")))
+        head = F.when(at([None if b not in heads else int(heads[b] is None) for b in every], "int") == 1, F.col("doc_id").isNull()).otherwise(at([heads.get(b) for b in every], "long") == F.col("doc_id"))
+        home = F.when(F.coalesce(head, F.lit(False)), F.concat(home, guest)).otherwise(home)
     dealt = own.withColumn("to", F.explode(home)).select(F.col("to.bucket").alias("bucket"), "doc_id", F.col("to.guest").alias("guest"), "text")
     dealt = dealt.repartition(max(parts, 1), "bucket").sortWithinPartitions("bucket", "guest", F.desc_nulls_last("doc_id"), F.desc(F.xxhash64("text")), F.desc(F.md5("text")))
     return dealt.mapInArrow(_compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
