@@ -21,6 +21,8 @@ WEIGHTS = (1, 2, 3)
 MAX_TIMES = 3
 #: Buckets by which documents of one source and length are counted and chosen.
 BUCKETS = 512
+#: The knapsack fits a rest of about so many of a source's longest documents.
+SPAN = 16
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_times: int = MAX_TIMES) -> DataFrame:
@@ -52,18 +54,15 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many of each length to take so that their sum comes nearest to the budget.
 
     Lengths are distinct and positive. Shares rounded down leave a rest; documents are taken, the longest
-    first, or given back, one of each of the shortest lengths, until the rest is about twice the largest length; it is then fitted by bounded knapsack
-    on a bit set of reachable sums, over all documents not yet taken."""
+    first, or given back, one of each of the shortest lengths, until the rest is about SPAN times the largest length (or all of a
+    small source is given back); it is then fitted by bounded knapsack on a bit set of reachable sums, over all documents not yet taken."""
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
     taken = (counts * (budget / total)).astype(np.int64)
     rest = budget - int((lengths * taken).sum())
     order = np.argsort(lengths)[::-1]
-    span = 2 * int(lengths.max())
-    if total <= 8 * span:  # small enough for all of it
-        taken[:], rest = 0, budget
-        span = max(span, rest)
+    span = SPAN * int(lengths.max())
     for i in order:
         if rest <= span:
             break
