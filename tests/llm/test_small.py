@@ -174,6 +174,21 @@ def test_digest(docs, none, spark):
     assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"aba").hexdigest()
 
 
+def test_digest_over_many_buckets(docs, monkeypatch):
+    """Cut into many runs of ids, the rows stay."""
+    order = lambda rows: sorted(map(str, rows))
+    want = order(digest.neighbour_digests(docs).where("doc_id is null or doc_id <> 9").collect())
+    monkeypatch.setattr(digest, "PART_CHARS", 2000)
+    assert order(digest.neighbour_digests(docs).where("doc_id is null or doc_id <> 9").collect()) == want
+
+
+def test_windows_counts_against_brute_force():
+    rng = np.random.default_rng(1)
+    for n in (64, 65, 300):
+        buf = rng.integers(97, 110, n).astype(np.uint8)
+        assert digest.squares(buf).tolist() == [int((np.bincount(buf[i : i + 64]) ** 2).sum()) for i in range(n - 63)]
+
+
 def test_digest_is_local():
     """A text's digest doesn't depend on what shares its buffer."""
     rng = np.random.default_rng(0)
@@ -389,8 +404,8 @@ def test_blocks_round_trip(n):
     for ids in (rng.integers(0, 50_000, n), np.full(n, 7), rng.integers(0, 2**32, n), np.where(rng.random(n) < 0.05, 2**31, rng.integers(0, 9, n))):
         ids = ids.astype("<u4")
         data = pfor.encode_shard([5], [ids.tobytes()])
-        doc_ids, counts, got = pfor.decode_shard(data + b"\n")
-        assert (got == ids).all() and doc_ids.tolist() == [5] and counts.tolist() == [n]
+        doc_ids, counts, got, unnamed = pfor.decode_shard(data + b"\n")
+        assert (got == ids).all() and unnamed == 0 and doc_ids.tolist() == [5] and counts.tolist() == [n]
     with pytest.raises(ValueError):
         pfor.decode_shard(b"nothing")
 
@@ -405,6 +420,9 @@ def test_files(docs, none, spark):
         ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids"]) == (None if i == -1 else i, at, len(ids), ids) and r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
         at += len(ids)
+    lowest = shared_path(spark, "ids")
+    pfor.write_ids(spark.createDataFrame([(-(2**63), "a"), (None, "b"), (0, "c")], "doc_id long, text string"), lowest)
+    assert [(r["doc_id"], r["start"]) for r in sorted(pfor.read_ids(spark, lowest).collect(), key=lambda r: r["start"])] == [(None, 0), (-(2**63), 2), (0, 4)]
     empty = shared_path(spark, "ids")
     pfor.write_ids(none, empty)
     assert pfor.read_ids(spark, empty).count() == 0

@@ -2,8 +2,8 @@
 
 A shard file holds the documents of one interval of doc_ids, at most SHARD_IDS ids or one document:
 
-    magic b"TMPF1\\n", then six little-endian unsigned 64-bit numbers: documents, ids, blocks, ids a
-    block, bytes of the block data, bytes of the whole file;
+    magic b"TMPF2\\n", then seven little-endian unsigned 64-bit numbers: documents, ids, blocks, ids a
+    block, bytes of the block data, bytes of the whole file, and how many documents, the first ones, have no doc_id;
     documents x (signed 64-bit doc_id, unsigned 64-bit ids of it);
     blocks x unsigned 64-bit start of the block in the block data;
     block data. A block: unsigned 32-bit minimum, 8-bit width, 16-bit count of exceptions, then its
@@ -28,15 +28,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import portions, shared_path, table, text_of
+from .common import portions, shared_path, table, text_of, written
 
-MAGIC = b"TMPF1\n"
+MAGIC = b"TMPF2\n"
 BLOCK_IDS = 1024
 PERCENTILE = 0.9
 SHARD_IDS = 2_000_000
 #: Characters per partition of the ordered table.
 PART_CHARS = 8_000_000
-_HEAD = struct.Struct("<6Q")
+_HEAD = struct.Struct("<7Q")
 _BLOCK = struct.Struct("<IBH")
 
 
@@ -99,40 +99,29 @@ def decode_blocks(data: bytes, starts: np.ndarray, ids: int, block_ids: int = BL
     return out
 
 
-def encode_shard(doc_ids: list[int], ids: list[bytes], block_ids: int = BLOCK_IDS) -> bytes:
-    """A whole file: each document's ids are little-endian unsigned 32-bit bytes."""
+def encode_shard(doc_ids: list[int | None], ids: list[bytes], block_ids: int = BLOCK_IDS) -> bytes:
+    """A whole file: each document's ids are little-endian unsigned 32-bit bytes. Documents without a doc_id come first."""
     flat = np.frombuffer(b"".join(ids), "<u4")
     blocks = encode_blocks(flat, block_ids)
     starts = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype("<u8")
     index = np.empty((len(doc_ids), 2), "<i8")
-    index[:, 0], index[:, 1] = doc_ids, [len(x) // 4 for x in ids]
+    index[:, 0], index[:, 1] = [d or 0 for d in doc_ids], [len(x) // 4 for x in ids]
     size = len(MAGIC) + _HEAD.size + index.nbytes + 8 * len(blocks) + int(starts[-1])
-    return b"".join((MAGIC, _HEAD.pack(len(doc_ids), len(flat), len(blocks), block_ids, int(starts[-1]), size), index.tobytes(), starts[:-1].tobytes(), *blocks))
+    return b"".join((MAGIC, _HEAD.pack(len(doc_ids), len(flat), len(blocks), block_ids, int(starts[-1]), size, doc_ids.count(None)), index.tobytes(), starts[:-1].tobytes(), *blocks))
 
 
-def decode_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc_ids, counts, and the ids of all documents one after another."""
+def decode_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """doc_ids, counts, the ids of all documents one after another, and how many of the first documents have no doc_id."""
     if data[: len(MAGIC)] != MAGIC:
         raise ValueError("not a shard file")
-    docs, ids, blocks, block_ids, _, size = _HEAD.unpack_from(data, len(MAGIC))
+    docs, ids, blocks, block_ids, _, size, unnamed = _HEAD.unpack_from(data, len(MAGIC))
     if len(data) < size:
         raise ValueError("the shard file is cut short")
     at = len(MAGIC) + _HEAD.size
     index = np.frombuffer(data, "<i8", 2 * docs, at).reshape(-1, 2)
     at += index.nbytes
     starts = np.frombuffer(data, "<u8", blocks, at)
-    return index[:, 0], index[:, 1], decode_blocks(data[at + 8 * blocks : size], starts, ids, block_ids)
-
-
-def shard_span(data: bytes) -> tuple[int, int, int]:
-    """ids, first and last doc_id, from the header and index alone."""
-    docs, ids, *_ = _HEAD.unpack_from(data, len(MAGIC))
-    first, last = (int(np.frombuffer(data, "<i8", 1, len(MAGIC) + _HEAD.size + 16 * k)[0]) for k in (0, docs - 1))
-    return ids, first, last
-
-
-#: The doc_id that files carry for null; such documents come first.
-NULL_ID = -(2**63)
+    return index[:, 0], index[:, 1], decode_blocks(data[at + 8 * blocks : size], starts, ids, block_ids), unnamed
 
 
 def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = tokens.END_ID, shard_ids: int = SHARD_IDS) -> None:
@@ -140,7 +129,7 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     Equal doc_ids go by their text. A null text is empty; a null doc_id comes first."""
     vocabulary = tokenizer or tokens.default_path()
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_of(text_col).alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     parts = portions(docs, F.length(text_of(text_col)) + 1, PART_CHARS)
     ordered = own.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
@@ -167,33 +156,30 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """One row per document of the files: doc_id, start (ids of all documents before it), n_tokens,
-    ids_crc32 and, if asked for, ids. Starts come from the totals of the shards before, one row a shard."""
+    ids_crc32 and, if asked for, ids. Each file is decoded once into a table of a few numbers a document; starts come from the
+    totals of the shards before, one row a shard."""
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                doc_ids, counts, ids = decode_shard(data.as_py())
+                doc_ids, counts, ids, unnamed = decode_shard(data.as_py())
                 ends = np.cumsum(counts)
                 raw = memoryview(ids.astype("<u4", copy=False).tobytes())
                 sums = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-                cols = [pa.array([name] * len(doc_ids)), pa.array(np.arange(len(doc_ids))), pa.array(doc_ids), pa.array(ends - counts), pa.array(counts), pa.array(sums, pa.int64())]
+                pos = np.arange(len(doc_ids))
+                cols = [pa.array([name] * len(doc_ids)), pa.array(pos), pa.array(doc_ids, mask=pos < unnamed), pa.array(ends - counts), pa.array(counts), pa.array(sums, pa.int64())]
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int64))))
-                yield pa.RecordBatch.from_arrays(cols, names=["shard", "pos", "id", "own_start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
-
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids, first, last = shard_span(data.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first]), pa.array([last]), pa.array([ids], pa.int64())], names=["shard", "first_id", "last_id", "ids"])
+                yield pa.RecordBatch.from_arrays(cols, names=["shard", "pos", "doc_id", "own_start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
-    rows = files.mapInArrow(decoded, "shard string, pos long, id long, own_start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
-    totals = files.mapInArrow(heads, "shard string, first_id long, last_id long, ids long")
-    # one row a shard of 2 million ids; within a run of equal ids the writer's file order holds
-    starts = totals.select("shard", F.coalesce(F.sum("ids").over(Window.orderBy("first_id", "last_id", "shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    out = rows.join(starts.hint("shuffle_hash"), "shard").select(F.expr(f"if(id = {NULL_ID}L, null, id)").alias("doc_id"), (F.col("before") + F.col("own_start")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
-    return out
+    rows = written(files.mapInArrow(decoded, "shard string, pos long, doc_id long, own_start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids), "decoded")
+    # within a run of equal ids the writer's file order holds
+    place = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id")
+    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("ids"), F.min(place).alias("first"), F.max(place).alias("last"))
+    # one row a shard of 2 million ids
+    starts = totals.select("shard", F.coalesce(F.sum("ids").over(Window.orderBy("first", "last", "shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return rows.join(starts.hint("shuffle_hash"), "shard").select("doc_id", (F.col("before") + F.col("own_start")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def op10_patched_frame_of_reference(spark, sf_dir: str) -> DataFrame:
