@@ -35,6 +35,8 @@ GAIN = 0.02
 SHORT, EDGES = 64, 1 << 18
 #: Words of the table that every task gets (24 bytes each), bytes of text worked on at once, and words counted before they are given out.
 TOP, BUFFER, COUNTED = 1 << 18, 1 << 19, 1 << 17
+#: Words whose lattices are made in one go.
+GATHERED = 1 << 15
 _ODD = 0x9E3779B97F4A7C15
 _BACK = pow(_ODD, -1, 1 << 64)
 _ODD2 = 0xD1342543DE82EF95
@@ -222,6 +224,18 @@ def expected(words: list[str], counts: np.ndarray, own: Pieces) -> tuple[np.ndar
     return total, likelihood
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches together, as long as they have GATHERED rows or fewer: words of one length go together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= GATHERED:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def fitted(counts: DataFrame, own: Pieces, ends: int, tokens: int, gain: float = GAIN) -> tuple[Pieces, float]:
     """Scores fitted to the training words (word, c; tokens in all); and the end's log probability. What comes back to
     the driver each round is one number a piece, and the likelihood."""
@@ -232,7 +246,7 @@ def fitted(counts: DataFrame, own: Pieces, ends: int, tokens: int, gain: float =
 
         def step(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             total, likelihood = np.zeros(len(shared.value.pieces)), 0.0
-            for batch in batches:
+            for batch in gathered(batches):
                 uses, own_likelihood = expected(batch.column(0).to_pylist(), batch.column(1).to_numpy(), shared.value)
                 total += uses
                 likelihood += own_likelihood
@@ -324,10 +338,10 @@ def lattice_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
     shared = spark.sparkContext.broadcast(own)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches):
             words = batch.column(0).to_pylist()
             _, h1, h2 = word_hashes(" ".join(words).encode("utf-8"))
-            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch.column(1), pa.array(word_logs(words, shared.value) / math.log(10))], names=["h1", "h2", "c", "log"])
+            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch.column(1).combine_chunks(), pa.array(word_logs(words, shared.value) / math.log(10))], names=["h1", "h2", "c", "log"])
 
     lexicon = written(counts.mapInArrow(scored, "h1 long, h2 long, c long, log double"), "lexicon")
     top = lexicon.orderBy(F.desc("c"), "h1", "h2").limit(TOP).toArrow()
