@@ -18,7 +18,8 @@ sets form a class; all later work is on classes. A class's sketch is its K small
   and no group is expanded into all its pairs.
 
 NEED for full sketches is the count that a pair of just the wanted similarity falls short of with a
-probability under 1e-6; for sets smaller than K it is exact.
+probability under 1e-6; for sets smaller than K it is exact. With exact=True sketches hold whole sets, so that no pair at
+all can be missed, at the cost of longer lists.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from .common import table, text_of, written
 K = 64
 LIST_SMALL, HUBS = 12, 2
 MISS = 1e-6
+#: Classes (of some 100 bytes in memory) that are sent to every task that reads texts.
+SENT = 1 << 18
 
 
 def least_shared(k: int, percent: int, miss: float = MISS) -> int:
@@ -83,14 +86,14 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
 
 
-def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+def sketches(docs: DataFrame, words: int, id_col: str, text_col: str, k: int | None = K) -> DataFrame:
     """doc_id, tkey (a hash of the text), n_shingles, node (a 128-bit hash of the set, null if empty), sketch."""
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_hashes(t, words) for t in batch.column(2).to_pylist()]
             nodes = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), _lists([s[:K] for s in sets])], names=["doc_id", "tkey", "n_shingles", "node", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), _lists([s[:k] for s in sets])], names=["doc_id", "tkey", "n_shingles", "node", "sketch"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("tkey"), text_of(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -136,10 +139,12 @@ def _candidates_checked(pairs: DataFrame, classes: DataFrame, percent: int) -> D
 
 def _sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """(node, own: the full set) of classes, made anew from the text of one document of each."""
-    chosen = classes.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tkey").alias("rep_key")).join(nodes.distinct().hint("shuffle_hash"), "node", "left_semi")
+    chosen = written(classes.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tkey").alias("rep_key")).join(nodes.distinct().hint("shuffle_hash"), "node", "left_semi"), "chosen")
+    # few classes are sent to the texts; many meet them in a shuffle
+    few = chosen.count() <= SENT
     text = docs.select(F.col(id_col).alias("rep_id"), F.xxhash64(text_of(text_col)).alias("rep_key"), text_of(text_col).alias("text"))
     on = text["rep_id"].eqNullSafe(chosen["rep_id"]) & (text["rep_key"] == chosen["rep_key"])
-    texts = text.join(chosen.hint("shuffle_hash"), on).select(chosen["node"], "text")
+    texts = text.join(F.broadcast(chosen) if few else chosen.hint("shuffle_merge"), on).select(chosen["node"], "text")
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,29 +234,31 @@ def components(links: DataFrame, spark) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and tkey (a hash of the row's text) of every row.
 
     Rows are linked at a Jaccard similarity of percent or more. component_id is the smallest doc_id that
     links reach, null only if all are null. kept marks that row (of equal rows, all). A row without
     words is linked with nothing and kept. Equal ids with different texts aren't linked by that. An empty
-    table gives no row; extra columns are ignored."""
+    table gives no row; extra columns are ignored. exact compares whole sets (see above). A text is read whole by one task."""
     spark = docs.sparkSession
-    own = written(sketches(docs, words, id_col, text_col), "sketches")
+    own = written(sketches(docs, words, id_col, text_col, None if exact else K), "sketches")
     classes = own.where("node is not null").groupBy("node").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tkey")).alias("rep"), F.any_value("sketch").alias("sketch"), F.any_value("n_shingles").alias("size"))
     classes = written(classes, "classes")
     # lists: values of two classes or more; each class under its rarest ones
     values = classes.select("node", "size", F.explode("sketch").alias("value"))
-    held = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    needs = F.element_at(F.array(*[F.lit(need(s, percent)) for s in range(1, K + 1)]), F.least("size", F.lit(K)).cast("int"))
+    # a table of its own, so that the join may split the rows of a value that many classes hold
+    held = written(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "held")
+    retained = F.col("size") if exact else F.least("size", F.lit(K))
+    needs = F.floor((F.col("size") * percent + 99) / 100) if exact else F.element_at(F.array(*[F.lit(need(s, percent)) for s in range(1, K + 1)]), retained.cast("int"))
     by_class = Window.partitionBy("node")
     listed = (
         values.join(held.hint("shuffle_hash"), "value")
         .withColumn("place", F.row_number().over(by_class.orderBy("df", "value")))
         .withColumn("spread", F.sum("df").over(by_class))
-        .withColumn("alone", F.least("size", F.lit(K)) - F.count("*").over(by_class))
-        .where(F.col("alone") + F.col("place") <= F.least("size", F.lit(K)) - needs + 1)
+        .withColumn("alone", retained - F.count("*").over(by_class))
+        .where(F.col("alone") + F.col("place") <= retained - needs + 1)
         .select("value", "node", "spread")
     )
     listed = written(listed, "lists")
@@ -262,8 +269,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     long_lists = count.where(F.col("n") > LIST_SMALL)
     star = listed.join(long_lists.hint("shuffle_hash"), "value").select("node", F.explode(F.array_distinct(F.array("hub", "hub2"))).alias("hub")).where("node <> hub")
     star = star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    first = _candidates_checked(near.union(star).distinct(), classes, percent)
-    first = written(first, "candidates")
+    first = near.union(star).distinct()
+    first = written(first if exact else _candidates_checked(first, classes, percent), "candidates")
     ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
     links = written(_verified(first, _sets(ends(first), docs, classes, words, id_col, text_col), percent), "links")
     roots = written(components(links, spark), "roots")
