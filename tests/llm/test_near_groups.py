@@ -22,7 +22,8 @@ def test_groups_of_near_copies(spark):
                 else:
                     own.insert(at, word())
             rows.append((len(rows), " ".join(own)))
-    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got, whole = ({r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, 3, 85, exact=exact).collect()} for exact in (False, True))
     sets = {i: set(near_dedup.shingle_hashes(t, 3).tolist()) for i, t in rows}
     parent = {i: i for i in sets}
 
@@ -37,4 +38,4 @@ def test_groups_of_near_copies(spark):
             if 100 * n >= 85 * (len(sets[x]) + len(sets[y]) - n):
                 a, b = find(x), find(y)
                 parent[max(a, b)] = min(a, b)
-    assert got == {i: find(i) for i in sets}
+    assert got == whole == {i: find(i) for i in sets}

@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 K = 10
-SAMPLE, LISTS_MAX = 16_384, 1024
-#: Share of the lists probed, at least PROBES. The share is set for vectors without cluster structure, where
-#: a tenth of the lists holds half of the true neighbours; measured recall is then 0.96.
-PROBES, PROBE_SHARE = 16, 0.6
-PART = 8192
+SAMPLE = 16_384
+#: Lists probed: at least PROBES, and as many as hold TARGET of the nearest neighbours of TRIALS sample vectors within the sample.
+#: Neighbours among all vectors are nearer, so they lie in fewer lists. Clustered vectors need few lists; those without structure most.
+PROBES, TARGET, TRIALS = 16, 0.97, 512
+#: Vectors and queries that one task holds of a list.
+PART, ASKS = 8192, 8192
 #: Dimensions per block, vectors per tile, and the test's width: larger abandons less.
 BLOCK, TILE, WIDTH = 16, 1024, 2.1
 
@@ -64,6 +65,21 @@ def fit_centroids(sample: np.ndarray, lists: int, rounds: int = 12, seed: int =
     return centroids
 
 
+def fitted_probes(sample: np.ndarray, centroids: np.ndarray, own: np.ndarray, k: int = K, target: float = TARGET, trials: int = TRIALS) -> int:
+    """How many lists, nearest first, hold the target share of the trial vectors' k nearest others in the sample."""
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return len(centroids)
+    # spread over the sample, which is in order of hashes
+    q = sample[np.linspace(0, len(sample) - 1, min(trials, len(sample))).astype(np.int64)]
+    d = (sample * sample).sum(axis=1) - 2 * q @ sample.T
+    near = np.argpartition(d, k, axis=1)[:, : k + 1]  # the vector itself among them: in the first list mostly
+    place = np.empty((len(q), len(centroids)), np.int64)
+    np.put_along_axis(place, nearest_centroids(q, centroids, len(centroids)), np.arange(len(centroids))[None, :], axis=1)
+    at = np.sort(np.take_along_axis(place, own[near], axis=1).ravel())
+    return int(at[min(len(at) - 1, int(np.ceil(target * len(at))))]) + 1
+
+
 def scan_part(x: np.ndarray, rotated: np.ndarray, q: np.ndarray, rotated_q: np.ndarray, bound: float, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k nearest rows found for one query, and their exact distances. bound: a distance within which
     k vectors of the whole index are known to lie."""
@@ -129,10 +145,13 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str =
     if not count:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     chosen = np.array([r["v"] for r in vectors.select("v", *keys).orderBy(*keys).limit(sample).collect()])
-    lists = max(1, min(LISTS_MAX, int(count**0.5), len(chosen) // 8))
-    probes = min(lists, max(PROBES, int(lists * PROBE_SHARE)))
-    turn = rotation(chosen.shape[1])
-    index = spark.sparkContext.broadcast((centroids := fit_centroids(chosen, lists), turn, chosen, nearest_centroids(chosen, centroids, 1)[:, 0]))  # at most `sample` vectors
+    lists = max(1, min(int(count**0.5), len(chosen) // 8))  # as many as a sample can fit
+    turn, centroids = rotation(chosen.shape[1]), fit_centroids(chosen, lists)
+    chosen_list = nearest_centroids(chosen, centroids, 1)[:, 0]
+    probes = min(lists, max(PROBES, fitted_probes(chosen, centroids, chosen_list, k)))
+    index = spark.sparkContext.broadcast((centroids, turn, chosen, chosen_list))  # at most `sample` vectors
+    # a list's queries go in blocks, each of which meets every part of the list
+    blocks = int(wanted.count() * probes / lists / ASKS) + 1
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,9 +183,9 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str =
                 at = pa.array([r[0] for r in rows_at], pa.int64())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), pa.array([r[1] for r in rows_at], pa.int64()), pa.array([r[2] for r in rows_at], pa.int64()), pa.array(bound[[r[0] - s for r in rows_at]])], names=["h1", "h2", "v", "list", "part", "bound"])
 
-    asked = wanted.mapInArrow(probed, "h1 long, h2 long, v array<double>, list long, part long, bound double")
+    asked = wanted.mapInArrow(probed, "h1 long, h2 long, v array<double>, list long, part long, bound double").withColumn("block", F.pmod("h2", F.lit(blocks)))
     n_parts = F.element_at(F.create_map(*[F.lit(x) for pair in parts.items() for x in pair]), F.col("list"))
-    placed = placed.withColumn("part", F.pmod("h1", n_parts).cast("long"))
+    placed = placed.withColumn("part", F.pmod("h1", n_parts).cast("long")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def scanned(key: tuple, held: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -179,7 +198,7 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str =
                 out += [(a, b, float(d), ids[j]) for j, d in zip(at.tolist(), dist.tolist(), strict=True)]
         return pd.DataFrame(out, columns=["h1", "h2", "score", "ids"])
 
-    found = placed.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInPandas(scanned, "h1 long, h2 long, score double, ids array<long>")
+    found = placed.groupBy("list", "part", "block").cogroup(asked.groupBy("list", "part", "block")).applyInPandas(scanned, "h1 long, h2 long, score double, ids array<long>")
     by_query = Window.partitionBy(*keys)
     best = (
         found.withColumn("r", F.row_number().over(by_query.orderBy("score", F.get("ids", F.lit(0))))).where(F.col("r") <= k + 1)
