@@ -65,9 +65,9 @@ def detect_keywords(text: Column, lexicons: Lexicons) -> Column:
 
 
 def detect_regex(text: Column, rules: Rules) -> Column:
-    """Distinct matches in the order seen, letters in either case."""
+    """Distinct matches in the order seen, letters in either case; what a rule leaves out has a default."""
     return _kept([
-        detection(category or "unknown", level or "medium", 60 if score is None else score, reason, "regex", F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?iU){pattern}"), F.lit(0))))
+        detection(category or "unknown", level or "medium", 60 if score is None else score, reason or V.REGEX_REASON, "regex", F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?iU){pattern}"), F.lit(0))))
         for category, pattern, level, score, reason in rules
     ])
 

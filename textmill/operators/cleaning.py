@@ -142,6 +142,18 @@ def data_manifest(df: DataFrame, label: str = "label", split: str = "split") ->
     return df.cube(F.col(label).alias("label"), F.col(split).alias("split")).agg(F.count("*").alias("count"))
 
 
+def dedup_steps(df: DataFrame, normalized: str, text: str = "text", label: str = "label") -> DataFrame:
+    """One row of what C9 did: rows in, conflict groups and rows, exact and normalized-equal rows dropped, rows kept.
+    Groups are counted by key, never listed."""
+    groups = df.groupBy(F.col(normalized).alias("_key")).agg(F.count("*").alias("n"), F.count_distinct(F.col(text)).alias("texts"), F.count_distinct(F.col(label)).alias("labels"))
+    one = F.col("labels") <= 1
+    total = lambda value, cond: F.coalesce(F.sum(F.when(cond, value)), F.lit(0))
+    return groups.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count_if(~one).alias("conflict_groups"), total(F.col("n"), ~one).alias("conflict_rows"),
+        total(F.col("n") - F.col("texts"), one).alias("exact_duplicates"), total(F.col("texts") - 1, one).alias("normalized_duplicates"), F.count_if(one).alias("kept"),
+    )
+
+
 def source_profile(files: DataFrame) -> DataFrame:
     """C14: of binaryFile rows: path, content hash, lines and lines that aren't blank."""
     text = F.col("content").cast("string")
@@ -149,11 +161,18 @@ def source_profile(files: DataFrame) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"), F.when(F.length("content") == 0, 0).otherwise(F.size(lines)).cast("long").alias("lines"), F.size(F.filter(lines, lambda x: trim(x) != "")).cast("long").alias("nonblank_lines"))
 
 
-def content_fingerprint(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One hash of all (id, text) rows, whatever their order: each bucket of ids is hashed in order, then
-    the bucket hashes are; the second step sees one short row a bucket."""
+def content_fingerprint(df: DataFrame, id_col: str, text_col: str, ids: DataFrame | None = None) -> DataFrame:
+    """One hash of all (id, text) rows, or of those whose ids are given (an absent one is an error), whatever their
+    order: each of a million buckets is hashed in order, then each 256th of the buckets, then these hashes."""
+    if ids is not None:
+        wanted = ids.select(id_col).distinct()
+        absent = wanted.join(df.select(id_col), id_col, "left_anti").count()
+        if absent:
+            raise ValueError(f"{absent} ids are absent")
+        df = df.join(wanted.hint("shuffle_hash"), id_col, "left_semi")
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.sha2(F.concat(F.col(id_col).cast("string"), F.lit("\t"), F.coalesce(F.col(text_col), F.lit(""))), 256).alias("h"))
-    part = rows.groupBy(F.substring("h", 1, 3).alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("h"), F.count("*").alias("n"))
+    part = rows.groupBy(F.substring("h", 1, 5).alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("h"), F.count("*").alias("n"))
+    part = part.groupBy(F.substring("bucket", 1, 2).alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("bucket", "h")))["h"], "\n"), 256).alias("h"), F.sum("n").alias("n"))
     return part.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("bucket", "h")))["h"], "\n"), 256).alias("fingerprint"), F.sum("n").alias("rows"))
 
 

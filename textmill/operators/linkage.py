@@ -143,33 +143,50 @@ def review_agreement(first: DataFrame, second: DataFrame, id_col: str = "sample_
     return got.crossJoin(unknown).crossJoin(faults).withColumn("rate", F.round(rate, 6))  # one row each
 
 
-def review_disagreements(first: DataFrame, second: DataFrame, id_col: str = "sample_id", status: str = "review_status", notes: str = "notes") -> DataFrame:
-    """J13."""
-    a = first.select(id_col, F.col(status).alias("first_status"), F.col(notes).alias("first_notes"))
+def review_disagreements(first: DataFrame, second: DataFrame, id_col: str = "sample_id", status: str = "review_status", notes: str = "notes", carry: Sequence[str] = ()) -> DataFrame:
+    """Rows with different status, both notes, and the columns named in carry (text, label, expected action) of
+    the first review."""
+    a = first.select(id_col, *carry, F.col(status).alias("first_status"), F.col(notes).alias("first_notes"))
     b = second.select(id_col, F.col(status).alias("second_status"), F.col(notes).alias("second_notes"))
     return a.join(b, id_col).where("first_status <> second_status")
 
 
 def version_diff(old: DataFrame, new: DataFrame, id_col: str, columns: Sequence[str]) -> DataFrame:
-    """(id, change_type, reason): added, removed, changed (with the columns) or unchanged."""
+    """(id, change_type, reason, old_ and new_ of each column): added, removed, changed (with the columns) or unchanged."""
     a = old.select(F.col(id_col).alias("_id"), F.struct(*columns).alias("_a"))
     b = new.select(F.col(id_col).alias("_jd"), F.struct(*columns).alias("_b"))
     both = a.join(b, F.col("_id") == F.col("_jd"), "full_outer")
     changed = F.array_compact(F.array(*[F.when(~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")), F.lit(c)) for c in columns]))
     kind = F.when(F.col("_id").isNull(), "added").when(F.col("_jd").isNull(), "removed").when(F.size(changed) > 0, "changed").otherwise("unchanged")
-    return both.select(F.coalesce("_id", "_jd").alias("id"), kind.alias("change_type"), F.when(kind == "changed", F.array_join(changed, "|")).otherwise("").alias("reason"))
+    return both.select(F.coalesce("_id", "_jd").alias("id"), kind.alias("change_type"), F.when(kind == "changed", F.array_join(changed, "|")).otherwise("").alias("reason"), *(F.col(f"{s}.{c}").alias(f"{n}_{c}") for n, s in (("old", "_a"), ("new", "_b")) for c in columns))
 
 
-def _numbered(df: DataFrame, strata: Sequence[str], order: Sequence[str]) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*strata).orderBy(*order)))
+def version_counts(diff: DataFrame) -> DataFrame:
+    """One row: added, removed, changed, unchanged and retained_total (in both versions)."""
+    n = lambda kind: F.count_if(F.col("change_type") == kind)
+    return diff.agg(*(n(k).alias(k) for k in ("added", "removed", "changed", "unchanged")), (n("changed") + n("unchanged")).alias("retained_total"))
 
 
 def replace_rows(df: DataFrame, eliminated: DataFrame, replacements: DataFrame, id_col: str, strata: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Eliminated rows swapped one for one, within each stratum in order of id; the new table, and the manifest
-    (old_id, new_id, strata). Only the eliminated rows are numbered."""
-    out = _numbered(df.join(eliminated.select(id_col).distinct(), id_col, "left_semi"), strata, [id_col])
-    new = _numbered(replacements, strata, [id_col])
-    manifest = out.select(F.col(id_col).alias("old_id"), *strata, "_n").join(new.select(F.col(id_col).alias("new_id"), *strata, "_n"), [*strata, "_n"]).select("old_id", "new_id", *strata)
+    """Eliminated rows swapped one for one, within each stratum (null is one) in order of id; the new table, and the manifest
+    (old_id, new_id, strata). A stratum with fewer replacements than eliminated rows, or a new id that a kept row has, is an
+    error: two small aggregates are looked at here. Of the replacements only as many are ranked as the largest
+    stratum needs."""
+    gone = df.join(eliminated.select(id_col).distinct(), id_col, "left_semi")
+    keys = [F.coalesce(F.concat(F.lit("s"), F.col(c).cast("string")), F.lit("n")).alias(f"_k{i}") for i, c in enumerate(strata)]
+    names = [f"_k{i}" for i in range(len(strata))]
+    wanted = gone.groupBy(*keys).agg(F.count("*").alias("_out"))  # a row a stratum
+    there = replacements.groupBy(*keys).agg(F.count("*").alias("_in"))
+    short = wanted.join(there.hint("shuffle_hash"), names, "left").agg(F.max("_out").alias("most"), F.count_if(F.col("_out") > F.coalesce("_in", F.lit(0))).alias("short")).first()
+    if short["short"]:
+        raise ValueError(f"{short['short']} strata have too few replacements")
+    order = Window.partitionBy(*names).orderBy(id_col)
+    out = gone.select("*", *keys).withColumn("_n", F.row_number().over(order))
+    new = replacements.select("*", *keys).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= (short["most"] or 0))
+    manifest = out.select(F.col(id_col).alias("old_id"), *strata, *names, "_n").join(new.select(F.col(id_col).alias("new_id"), *names, "_n").hint("shuffle_hash"), [*names, "_n"]).select("old_id", "new_id", *strata)
+    taken_ids = manifest.select(F.col("new_id").alias(id_col)).join(df.select(id_col), id_col, "left_semi").join(gone.select(id_col), id_col, "left_anti")
+    if taken_ids.limit(1).count():
+        raise ValueError("a replacement has the id of a kept row")
     kept = df.join(manifest.select(F.col("old_id").alias(id_col)), id_col, "left_anti")
     taken = replacements.join(manifest.select(F.col("new_id").alias(id_col)), id_col, "left_semi")
     return kept.unionByName(taken, allowMissingColumns=True), manifest

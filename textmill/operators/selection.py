@@ -249,12 +249,35 @@ def number_replacements(df: DataFrame, strata: Sequence[str], id_col: str, prefi
     return rows.withColumn("source_reference", F.concat_ws(":", F.lit(prefix), *strata, F.format_string("%04d", F.col("_n")))).drop("_n", "_size")
 
 
+def replacement_faults(df: DataFrame, strata: Sequence[str], id_col: str, expected: DataFrame, forbidden: DataFrame) -> DataFrame:
+    """One row: strata whose count isn't the expected one (strata, expected), repeated ids, ids that are
+    forbidden, and whether none of these is."""
+    got = df.groupBy(*strata).agg(F.count("*").alias("_got"))  # a row a stratum
+    wrong = got.join(expected.hint("shuffle_hash"), [*strata], "full_outer").agg(F.count_if(~F.coalesce("_got", F.lit(0)).eqNullSafe(F.coalesce("expected", F.lit(0)))).alias("wrong_strata"))
+    repeated = df.groupBy(id_col).count().agg(F.count_if(F.col("count") > 1).alias("repeated_ids"))
+    shared = df.join(forbidden.select(id_col).distinct().hint("shuffle_hash"), id_col, "left_semi").agg(F.count("*").alias("forbidden_ids"))
+    out = wrong.crossJoin(repeated).crossJoin(shared)  # one row each
+    return out.withColumn("valid", (F.col("wrong_strata") == 0) & (F.col("repeated_ids") == 0) & (F.col("forbidden_ids") == 0))
+
+
 def structure_metadata(df: DataFrame, lookup: Mapping[str, str], kind: str, default: str) -> DataFrame:
     """Adds linkage_reason, the kind's text or the default."""
     table = F.create_map(*[F.lit(x) for kv in lookup.items() for x in kv])
     return df.withColumn("linkage_reason", F.coalesce(table[F.col(kind)], F.lit(default)))
 
 
+def coverage_rows(df: DataFrame, dims: Sequence[str], targets: Mapping[str, Mapping[str, int]], duplicates: DataFrame, leakage: DataFrame) -> DataFrame:
+    """P19's rows, and by name what is short of the targets of a dimension, and how many duplicates and leaked
+    rows two other reports list: (dimension, name, count)."""
+    out = evaluation_coverage(df, dims)
+    cells = [F.struct(F.lit(d).alias("of"), F.lit(n).alias("name"), F.lit(t).cast("long").alias("target")) for d, ts in targets.items() for n, t in ts.items()]
+    dim = df.sparkSession.range(1).select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    got = out.select(F.col("dimension").alias("of"), "name", "count")
+    short = dim.join(F.broadcast(got), ["of", "name"], "left").select(F.concat(F.lit("shortfall_"), "of").alias("dimension"), "name", F.greatest(F.lit(0), F.col("target") - F.coalesce("count", F.lit(0))).alias("count"))  # a row a target
+    rest = [report.agg(F.lit(name).alias("dimension"), F.lit("all").alias("name"), F.count("*").alias("count")) for name, report in (("duplicates", duplicates), ("leakage", leakage))]
+    return out.unionByName(short).unionByName(rest[0]).unionByName(rest[1])
+
+
 def evaluation_coverage(df: DataFrame, dims: Sequence[str]) -> DataFrame:
     """(dimension, name, count) of several columns in one grouping."""
     pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("name")) for d in dims])

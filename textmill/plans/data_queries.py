@@ -225,6 +225,18 @@ def c13(spark, sf):
     return C.data_manifest(split_docs(spark, sf), "lang")
 
 
+@query("c13_dedup_steps", "with g as (select lower(text) as k, count(*) as n, count(distinct text) as texts, count(distinct lang) as labels from documents group by 1) select sum(n)::BIGINT as rows, count(*) filter (labels > 1) as conflict_groups, coalesce(sum(n) filter (labels > 1), 0)::BIGINT as conflict_rows, coalesce(sum(n - texts) filter (labels <= 1), 0)::BIGINT as exact_duplicates, coalesce(sum(texts - 1) filter (labels <= 1), 0)::BIGINT as normalized_duplicates, count(*) filter (labels <= 1) as kept from g")
+def c13b(spark, sf):
+    return C.dedup_steps(table(spark, sf, "documents").withColumn("k", F.lower("text")), "k", "text", "lang")
+
+
+@query("c15_fingerprint_of_ids", "with r as (select sha256(doc_id::varchar || chr(9) || coalesce(text, '')) as h from documents where doc_id % 2 = 0), q as (select substr(h, 1, 5) as bucket, sha256(array_to_string(list_sort(list(h)), chr(10))) as h, count(*) as n from r group by 1), p as (select substr(bucket, 1, 2) as bucket, sha256(array_to_string(list(h order by bucket), chr(10))) as h, sum(n) as n from q group by 1) select sha256(array_to_string(list(h order by bucket), chr(10))) as fingerprint, sum(n)::BIGINT as rows from p")
+def c15b(spark, sf):
+    """The frozen rows are those of even ids; all rows are read."""
+    d = table(spark, sf, "documents")
+    return C.content_fingerprint(d, "doc_id", "text", d.where("doc_id % 2 = 0").select("doc_id"))
+
+
 @query("c14_source_profile", "select source, count(*) as lines, count(*) filter (trim(line) <> '') as nonblank_lines from (select source, unnest(string_split(text, chr(10))) as line from documents) group by source")
 def c14(spark, sf):
     # each source's texts as files of lines, profiled file by file
@@ -234,7 +246,7 @@ def c14(spark, sf):
     return files.groupBy(F.regexp_extract("path", "source=([^/]*)", 1).alias("source")).agg(F.sum("lines").alias("lines"), F.sum("nonblank_lines").alias("nonblank_lines"))
 
 
-@query("c15_content_fingerprint", "with r as (select doc_id::varchar as id, sha256(doc_id::varchar || chr(9) || coalesce(text, '')) as h from documents), p as (select substr(h, 1, 3) as bucket, sha256(array_to_string(list_sort(list(h)), chr(10))) as h, count(*) as n from r group by 1) select sha256(array_to_string(list(h order by bucket), chr(10))) as fingerprint, sum(n)::BIGINT as rows from p")
+@query("c15_content_fingerprint", "with r as (select doc_id::varchar as id, sha256(doc_id::varchar || chr(9) || coalesce(text, '')) as h from documents), q as (select substr(h, 1, 5) as bucket, sha256(array_to_string(list_sort(list(h)), chr(10))) as h, count(*) as n from r group by 1), p as (select substr(bucket, 1, 2) as bucket, sha256(array_to_string(list(h order by bucket), chr(10))) as h, sum(n) as n from q group by 1) select sha256(array_to_string(list(h order by bucket), chr(10))) as fingerprint, sum(n)::BIGINT as rows from p")
 def c15(spark, sf):
     return C.content_fingerprint(table(spark, sf, "documents"), "doc_id", "text")
 
@@ -362,19 +374,32 @@ def j12(spark, sf):
     return J.review_agreement(*reviews(spark, sf))
 
 
-@query("j13_review_disagreements", f"with {REVIEWS} select sample_id, s1 as first_status, n1 as first_notes, s2 as second_status, n2 as second_notes from j where s1 <> s2")
+@query("j13_review_disagreements", f"with {REVIEWS} select sample_id, source, n1 as lang, s1 as first_status, n1 as first_notes, s2 as second_status, n2 as second_notes from j where s1 <> s2")
 def j13(spark, sf):
-    return J.review_disagreements(*reviews(spark, sf))
+    first, second = reviews(spark, sf)
+    return J.review_disagreements(first.withColumn("lang", F.col("notes")), second, carry=("source", "lang"))
 
 
-@query("j14_version_diff", "with o as (select doc_id as id, lang, source from documents where lang <> 'fr'), n as (select doc_id as id, case when source = 'src3' then 'xx' else lang end as lang, source from documents where source <> 'src5'), f as (select coalesce(o.id, n.id) as id, o.id as oi, n.id as ni, o.lang as ol, n.lang as nl from o full join n on o.id = n.id) select id, case when oi is null then 'added' when ni is null then 'removed' when ol <> nl then 'changed' else 'unchanged' end as change_type, case when oi is not null and ni is not null and ol <> nl then 'lang' else '' end as reason from f")
-def j14(spark, sf):
+VERSIONS = "o as (select doc_id as id, lang, source from documents where lang <> 'fr'), n as (select doc_id as id, case when source = 'src3' then 'xx' else lang end as lang, source from documents where source <> 'src5'), f as (select coalesce(o.id, n.id) as id, o.id as oi, n.id as ni, o.lang as ol, n.lang as nl, o.source as os, n.source as ns from o full join n on o.id = n.id), g as (select id, case when oi is null then 'added' when ni is null then 'removed' when ol <> nl then 'changed' else 'unchanged' end as change_type, case when oi is not null and ni is not null and ol <> nl then 'lang' else '' end as reason, ol as old_lang, os as old_source, nl as new_lang, ns as new_source from f)"
+
+
+def versions(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", "source")
     old = d.where("lang <> 'fr'")
     new = d.where("source <> 'src5'").withColumn("lang", F.when(F.col("source") == "src3", "xx").otherwise(F.col("lang")))
     return J.version_diff(old, new, "id", ["lang", "source"])
 
 
+@query("j14_version_diff", f"with {VERSIONS} select * from g")
+def j14(spark, sf):
+    return versions(spark, sf)
+
+
+@query("j14_version_counts", f"with {VERSIONS} select count(*) filter (change_type = 'added') as added, count(*) filter (change_type = 'removed') as removed, count(*) filter (change_type = 'changed') as changed, count(*) filter (change_type = 'unchanged') as unchanged, count(*) filter (change_type in ('changed', 'unchanged')) as retained_total from g")
+def j14b(spark, sf):
+    return J.version_counts(versions(spark, sf))
+
+
 REPLACE = "e as (select doc_id, lang, row_number() over (partition by lang order by doc_id) as n from documents where source = 'src4'), r as (select event_id + 1000000 as new_id, ['en','de','fr','es'][(event_id % 4) + 1] as lang, row_number() over (partition by event_id % 4 order by event_id) as n from events), m as (select e.doc_id as old_id, new_id, lang from e join r using (lang, n))"
 
 
@@ -536,6 +561,13 @@ def p17(spark, sf):
     return P.number_replacements(table(spark, sf, "documents").select("doc_id", "lang"), ["lang"], "doc_id").select("doc_id", "source_reference")
 
 
+@query("p17_replacement_faults", "with g as (select lang, count(*) as n from documents group by lang) select (select count(*) from g where lang in ('de', 'fr')) as wrong_strata, 0::BIGINT as repeated_ids, (select count(*) from documents where source = 'src2') as forbidden_ids, false as valid")
+def p17b(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source")
+    expected = d.groupBy("lang").agg((F.count("*") + F.when(F.col("lang").isin("de", "fr"), 1).otherwise(0)).alias("expected"))
+    return P.replacement_faults(d, ["lang"], "doc_id", expected, d.where("source = 'src2'"))
+
+
 @query("p18_structure_metadata", "select coalesce(map {'en': 'english', 'de': 'german'}[lang], 'other') as linkage_reason, count(*) as rows from documents group by 1")
 def p18(spark, sf):
     return P.structure_metadata(table(spark, sf, "documents"), {"en": "english", "de": "german"}, "lang", "other").groupBy("linkage_reason").agg(F.count("*").alias("rows"))
@@ -546,6 +578,15 @@ def p19(spark, sf):
     return P.evaluation_coverage(table(spark, sf, "documents"), ["lang", "source"])
 
 
+@query("p19_coverage_rows", f"""with {SIDES}, lk as (select distinct ev.id from ev join tr on ev.k = tr.k), c as (select 'lang' as dimension, lang as name, count(*) as count from documents group by lang)
+select * from c union all select 'shortfall_lang', t.lang, greatest(0, t.target - coalesce(count, 0))::BIGINT from (values ('en', 900), ('de', 900), ('xx', 3)) t(lang, target) left join c on c.name = t.lang
+union all select 'duplicates', 'all', count(*) from (select 1 from documents group by text having count(*) > 1) union all select 'leakage', 'all', count(*) from lk""")
+def p19b(spark, sf):
+    d = table(spark, sf, "documents")
+    train, ev = sides(spark, sf)
+    return P.coverage_rows(d, ["lang"], {"lang": {"en": 900, "de": 900, "xx": 3}}, d.groupBy("text").count().where("count > 1"), J.find_leakage(train, ev, keys()).select("eval_id").distinct())
+
+
 # ---- disguise
 
 WORDS = {"en": ("tion", "heat", "the"), "de": ("undch", "ver"), "fr": ("eau", "tion"), "es": ("ción", "mente")}
