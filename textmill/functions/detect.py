@@ -90,16 +90,15 @@ def detect_high_risk(text: Column, phrases: Mapping[str, Sequence[str]] = V.HIGH
 def privacy(text: Column, rules: Sequence[tuple[str, str, str]] = V.PRIVACY) -> Column:
     """(masked, names): each rule's matches replaced by its mask, later rules see earlier masks; and the names of
     the rules that changed the running text. One pass a rule; make it a column before taking both parts."""
-    table = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("pattern"), F.lit(m).alias("mask")) for n, p, m in rules])
-    start = F.struct(text.alias("masked"), F.array().cast("array<string>").alias("names"))
 
-    def step(acc: Column, r: Column) -> Column:
-        def taken(new: Column) -> Column:
-            return F.struct(new.alias("masked"), F.when(new != acc["masked"], F.concat(acc["names"], F.array(r["name"]))).otherwise(acc["names"]).alias("names"))
+    def step(i: int, at: Column, names: list[Column]) -> Column:
+        if i == len(rules):
+            return F.struct(at.alias("masked"), F.array_compact(F.array(F.lit(None).cast("string"), *names)).alias("names"))
+        name, pattern, mask = rules[i]
+        # a literal pattern is compiled once a task
+        return let(F.regexp_replace(at, F.lit(pattern), F.lit(mask)), lambda new: step(i + 1, new, [*names, F.when(new != at, F.lit(name))]))
 
-        return let(F.regexp_replace(acc["masked"], r["pattern"], r["mask"]), taken)
-
-    return F.aggregate(table, start, step)
+    return step(0, text, [])
 
 
 def masked_privacy(text: Column, rules: Sequence[tuple[str, str, str]] = V.PRIVACY) -> Column:

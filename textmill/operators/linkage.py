@@ -28,10 +28,10 @@ def find_leakage(train: DataFrame, evaluation: DataFrame, keys: Keys, id_col: st
     left = stacked(train.select(F.col(id_col).alias("train_id"), F.col(label_col).alias("train_label"), "*"), keys, ("train_id", "train_label"))
     right = stacked(evaluation.select(F.col(id_col).alias("eval_id"), F.col(label_col).alias("eval_label"), "*"), keys, ("eval_id", "eval_label"))
     if pairs:
-        found = right.join(left.drop("rank"), ["match_type", "key"])
+        found = right.join(left.drop("rank").hint("shuffle_merge"), ["match_type", "key"])
         return found.groupBy("eval_id", "train_id").agg(F.min(F.struct("rank", "match_type", "train_label", "eval_label")).alias("m")).select("train_id", "eval_id", "m.match_type", "m.train_label", "m.eval_label")
     first = left.groupBy("match_type", "key").agg(F.min(F.struct("train_id", "train_label")).alias("t"), F.count("*").alias("train_rows"))
-    found = right.join(first, ["match_type", "key"]).groupBy("eval_id", "eval_label").agg(F.min(F.struct("rank", "match_type", "t", "train_rows")).alias("m"))
+    found = right.join(first.hint("shuffle_merge"), ["match_type", "key"]).groupBy("eval_id", "eval_label").agg(F.min(F.struct("rank", "match_type", "t", "train_rows")).alias("m"))
     return found.select("eval_id", "m.match_type", F.col("m.t.train_id").alias("train_id"), "m.train_rows", "eval_label", F.col("m.t.train_label").alias("train_label"))
 
 
@@ -46,7 +46,7 @@ def internal_duplicates(df: DataFrame, keys: Keys, id_col: str = "id") -> DataFr
 
 def leakage_by_set(found: DataFrame, evaluation: DataFrame, id_col: str, set_col: str) -> DataFrame:
     """Leaking evaluation rows per set."""
-    return found.select("eval_id").distinct().join(evaluation.select(F.col(id_col).alias("eval_id"), F.col(set_col).alias("set_type")), "eval_id").groupBy("set_type").agg(F.count("*").alias("leaks"))
+    return found.select("eval_id").distinct().join(evaluation.select(F.col(id_col).alias("eval_id"), F.col(set_col).alias("set_type")).hint("shuffle_merge"), "eval_id").groupBy("set_type").agg(F.count("*").alias("leaks"))
 
 
 def overlap(candidates: DataFrame, references: DataFrame, keys: Keys, id_col: str = "id", label_col: str = "label", source_col: str = "source") -> DataFrame:
@@ -55,7 +55,7 @@ def overlap(candidates: DataFrame, references: DataFrame, keys: Keys, id_col: st
     left = stacked(candidates.select(F.col(id_col).alias("candidate_id"), F.col(label_col).alias("candidate_label"), "*"), keys, ("candidate_id", "candidate_label"))
     right = stacked(references.select(F.col(id_col).alias("reference_id"), F.col(label_col).alias("reference_label"), F.col(source_col).alias("reference_source"), "*"), keys, ("reference_id", "reference_label", "reference_source"))
     first = right.groupBy("match_type", "key").agg(F.min(F.struct("reference_id", "reference_label", "reference_source")).alias("r"), F.count("*").alias("references"), F.collect_set("reference_label").alias("labels"))
-    return left.join(first, ["match_type", "key"]).select("match_type", "candidate_id", "candidate_label", F.col("r.reference_id").alias("reference_id"), F.col("r.reference_source").alias("reference_source"), "references", F.exists("labels", lambda x: x != F.col("candidate_label")).alias("label_conflict"))
+    return left.join(first.hint("shuffle_merge"), ["match_type", "key"]).select("match_type", "candidate_id", "candidate_label", F.col("r.reference_id").alias("reference_id"), F.col("r.reference_source").alias("reference_source"), "references", F.exists("labels", lambda x: x != F.col("candidate_label")).alias("label_conflict"))
 
 
 def internal_overlap(df: DataFrame, keys: Keys, id_col: str = "id", label_col: str = "label") -> DataFrame:

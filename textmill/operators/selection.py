@@ -82,43 +82,56 @@ def random_stratified_split(df: DataFrame, label: str, id_col: str, test_share:
     return rows.withColumn("split", F.when(F.col("_n") <= F.round(F.col("_size") * test_share), "test").otherwise("train")).drop("_n", "_size")
 
 
+#: P5 looks at so many times the quota first, and at all rows of a label beyond WHOLE.
+FIRST, WHOLE = 8, 1 << 20
+
+
 def quota_unique_select(df: DataFrame, keys: Sequence[str], label: str, quotas: Mapping[str, int], order: str, write=None) -> DataFrame:
     """P5: in order of labels (as in quotas) and `order`, rows none of whose keys an earlier selected row has,
     up to each label's quota.
 
     A skipped row reserves nothing, so this is a fixpoint: a row that is the earliest undecided one of each of its
-    keys is selected; undecided rows that share a key with a selected one go; and so on. write stores a table
-    between rounds (default: checkpoint)."""
+    keys is selected; undecided rows that share a key with a selected one go; and so on. What is selected among a label's first
+    rows doesn't depend on later ones, so only FIRST times the quota are looked at, and more only if they don't fill it. write
+    stores a table between rounds (default: checkpoint)."""
     write = write or (lambda x: x.checkpoint())
     kind = [F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in keys]
-    taken = None  # (kind, key) of selected rows
-    chosen = None
-    for name, quota in quotas.items():
-        left = df.where((F.col(label) == name) & F.col(order).isNotNull())
+    stacked = lambda rows, *keep: rows.select(*keep, F.explode(F.array(*kind)).alias("_k")).select(*keep, "_k.*")
+
+    def selected(left: DataFrame, taken: DataFrame | None) -> DataFrame | None:
+        """All that is selected of these rows, given the (kind, key) of rows selected before."""
         own = None
         while True:
-            rows = left.select(order, F.explode(F.array(*kind)).alias("_k")).select(order, "_k.*")
             if taken is not None:
-                bad = rows.join(taken, ["kind", "key"], "left_semi").select(order).distinct()
-                left = write(left.join(bad, order, "left_anti"))
-                rows = left.select(order, F.explode(F.array(*kind)).alias("_k")).select(order, "_k.*")
+                bad = stacked(left, order).join(taken.hint("shuffle_merge"), ["kind", "key"], "left_semi").select(order).distinct()
+                left = write(left.join(bad.hint("shuffle_merge"), order, "left_anti"))
+            rows = stacked(left, order)
             first = rows.groupBy("kind", "key").agg(F.min(order).alias("_first"))
-            good = rows.join(first, ["kind", "key"]).groupBy(order).agg(F.bool_and(F.col(order) == F.col("_first")).alias("_ok")).where("_ok").select(order)
-            good = write(good)
+            good = write(rows.join(first.hint("shuffle_merge"), ["kind", "key"]).groupBy(order).agg(F.bool_and(F.col(order) == F.col("_first")).alias("_ok")).where("_ok").select(order))
             if not good.limit(1).count():
-                break
-            picked = left.join(good, order, "left_semi")
-            own = picked if own is None else own.unionByName(picked)
-            own = write(own)
-            new = picked.select(F.explode(F.array(*kind)).alias("_k")).select("_k.*").distinct()
+                return own
+            picked = left.join(good.hint("shuffle_merge"), order, "left_semi")
+            own = write(picked if own is None else own.unionByName(picked))
+            new = stacked(picked).distinct()
             taken = write(new if taken is None else taken.union(new).distinct())
-            left = write(left.join(good, order, "left_anti"))
+            left = write(left.join(good.hint("shuffle_merge"), order, "left_anti"))
+
+    taken = chosen = None
+    for name, quota in quotas.items():
+        of_label, ahead = df.where((F.col(label) == name) & F.col(order).isNotNull()), FIRST * max(quota, 1)
+        while True:
+            whole = ahead > WHOLE
+            part = of_label if whole else write(of_label.orderBy(order).limit(ahead))
+            own = selected(part, taken)
+            if whole or (own is not None and own.count() >= quota) or part.count() < ahead:
+                break
+            ahead *= FIRST
         if own is None:
             continue
         # rows past the quota reserve nothing for later labels
         kept = write(own.orderBy(order).limit(quota))
         chosen = kept if chosen is None else write(chosen.unionByName(kept))
-        taken = write(chosen.select(F.explode(F.array(*kind)).alias("_k")).select("_k.*").distinct())
+        taken = write(stacked(chosen).distinct())
     return df.limit(0) if chosen is None else chosen
 
 
