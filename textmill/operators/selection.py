@@ -155,10 +155,11 @@ def oversample(df: DataFrame, label: str, target: int, seed: int = 42) -> DataFr
 def template_augment(words: DataFrame, word: str, label: str, templates: Sequence[str], affixes: Sequence[tuple[str, str]], most: int = 50, seed: int = 42) -> DataFrame:
     """The first `most` words (by seeded hash) of each class in every template ({} stands for the word), with a
     prefix and suffix chosen by hash: (label, word, text). A class adds at most `most` x templates rows."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), word), word)
+    drawn = lambda *parts: F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *parts))
+    order = Window.partitionBy(label).orderBy(drawn(F.col(word)), word)
     top = words.select(label, word).distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
     row = top.select(label, word, F.explode(F.array(*map(F.lit, templates))).alias("_t"))
-    pick = F.element_at(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in affixes]), (F.pmod(F.xxhash64(F.lit(seed), word, "_t"), F.lit(len(affixes))) + 1).cast("int"))
+    pick = F.element_at(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in affixes]), (F.conv(F.substring(drawn(F.col(word), F.col("_t")), 1, 4), 16, 10).cast("int") % len(affixes) + 1).cast("int"))
     return row.withColumn("_p", pick).select(F.col(label).alias("label"), F.col(word).alias("word"), F.replace("_t", F.lit("{}"), F.concat("_p.a", F.col(word), F.col("_p.b"))).alias("text"))
 
 

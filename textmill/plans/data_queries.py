@@ -487,7 +487,9 @@ def p7(spark, sf):
     return P.oversample(table(spark, sf, "documents").select("doc_id", "lang"), "lang", 400).groupBy("doc_id", "lang").agg(F.count("*").alias("copies"))
 
 
-@query("p8_template_augment")
+@query("p8_template_augment", """with w as (select distinct lang as label, unnest(string_split_regex(lower(text), '\\s+')) as word from documents), t as (select * from (select *, row_number() over (partition by label order by md5('42' || chr(31) || word), word) as n from w where length(word) > 3) where n <= 50),
+r as (select label, word, unnest(['say {}', '{} again', 'no {} here']) as t from t), p as (select *, ('0x' || substr(md5('42' || chr(31) || word || chr(31) || t), 1, 4))::INT % 3 as p from r)
+select label, word, replace(t, '{}', ['', 'the ', ''][p + 1] || word || ['', '', '!'][p + 1]) as text from p""")
 def p8(spark, sf):
     words = table(spark, sf, "documents").select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("length(word) > 3")
     return P.template_augment(words, "word", "lang", ["say {}", "{} again", "no {} here"], [("", ""), ("the ", ""), ("", "!")])
@@ -526,7 +528,12 @@ def structures(spark, sf):
     )
 
 
-@query("p12_structure_gates")
+@query("p12_structure_gates", f"""with s as (select doc_id, lang, text, substr(text, 3, 5) as f, case when substr(text, 3, 5) = '' then text else replace(text, substr(text, 3, 5), '***') end as r, substr(text, 1, 20) as sig, {sql_number('doc_id', 1)} % 6 as st, {sql_number('doc_id', 5)} % 3 = 2 as last, {sql_number('doc_id', 9)} % 4 as op, {sql_number('doc_id', 13)} % 50 = 0 as obvious from documents),
+a as (select count(*) as rows, count(*) filter (f = '' or not contains(text, f)) as missing_fragment, count(*) filter (trim(r) = '' or r = text or (f <> '' and contains(r, f))) as invalid_rewrite, count(*) filter (contains(text, 'please')) as meta_phrases, count(*) filter (obvious) as flag_obvious from s),
+b as (select coalesce(sum(c - 1), 0)::BIGINT as repeated_signatures from (select count(*) as c from s group by sig having count(*) > 1)),
+g as (select lang, st, count(*) as c, count(*) filter (last) as e from s group by all), o as (select lang, count(distinct op) as ops from s group by lang),
+l as (select bool_and(x.structures >= 4 and ops >= 3 and top / n::DOUBLE <= 0.4 and ends / n::DOUBLE <= 0.4) as label_gates from (select lang, max(c) as top, sum(c) as n, sum(e) as ends, count(*) as structures from g group by lang) x join o using (lang))
+select *, missing_fragment = 0 and invalid_rewrite = 0 and meta_phrases = 0 and repeated_signatures = 0 and flag_obvious = 0 and label_gates as passed from a, b, l""")
 def p12(spark, sf):
     return P.structure_gates(structures(spark, sf), meta=["please"], flags=["obvious"])
 
