@@ -36,10 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, and is
-    computed once however often it is read."""
-    path = f"{shared_dir(df.sparkSession)}/textmill-{uuid.uuid4().hex}/{name}"
+    computed once however often it is read. Results may be read from it lazily, so it goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/textmill-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
