@@ -231,6 +231,25 @@ def load_partition(df: DataFrame, name: str, split: str = "evaluation_split", st
     return own
 
 
+def case_regression(cases: DataFrame, moderate, baseline: Column, default_reply: str, message: str = "message", reply: str = "reply", expected_action: str = "expected_action", expected_output: str = "expected_output_action", expected_category: str | None = None, expected_baseline: str | None = None) -> DataFrame:
+    """Each case moderated with its own reply, or default_reply where it has none, and compared with what it expects:
+    adds the verdict's columns, baseline_action, baseline_missed, action_matches, output_matches and, where columns for them
+    are named, category_matches (the expected one is among the found; none found is normal) and baseline_matches.
+    moderate is O7 with its rule pack: DataFrame -> DataFrame."""
+    df = moderate(cases.withColumn(reply, F.coalesce(F.col(reply), F.lit(default_reply)))).withColumn("baseline_action", baseline)
+    found = F.col("in_risk_categories")
+    new = {
+        "baseline_missed": (F.col("baseline_action") == "pass") & (F.col("in_action") != "pass"),
+        "action_matches": F.col(expected_action).eqNullSafe(F.col("in_action")),
+        "output_matches": F.col(expected_output).eqNullSafe(F.col("out_action")),
+    }
+    if expected_category:
+        new["category_matches"] = F.array_contains(found, F.col(expected_category)) | ((F.size(found) == 0) & (F.col(expected_category) == "normal"))
+    if expected_baseline:
+        new["baseline_matches"] = F.col(expected_baseline).eqNullSafe(F.col("baseline_action"))
+    return df.withColumns(new)
+
+
 def case_metrics(df: DataFrame, demo: str = "demo_only", expected_action: str = "expected_action", action: str = "in_action", expected_output: str = "expected_output_action", output: str = "out_action", missed: str = "baseline_missed") -> DataFrame:
     """Match rates over rows that aren't demos, or over all if every one is."""
     if demo in df.columns:

@@ -856,13 +856,35 @@ def m14(spark, sf):
     return M.load_partition(d, "test", "split", label="lang", labels=("en", "de", "fr", "es")).groupBy(F.col("lang").alias("label")).agg(F.count("*").alias("rows"))
 
 
-@query("m15_case_regression")
+SAFE_REPLY = "of course"
+
+
+def _cases_sql():
+    from textmill.plans import text_sql as Q
+
+    return f"""with w0 as (select conv_id, turn, role, text, lead(role) over (partition by conv_id order by turn) as r, lead(text) over (partition by conv_id order by turn) as x from conversations where role <> 'system'),
+t0 as (select conv_id, turn, text as message, coalesce(case when r = 'assistant' then x end, '{SAFE_REPLY}') as reply, conv_id || '-' || turn as key, case when turn % 4 = 0 then 'block' else 'pass' end as expected_action, case when turn % 3 = 0 then 'ad' else 'normal' end as expected_category from w0 where role = 'user'),
+{Q.verdict('t0', 'message', 'key')},
+t1 as (select t0.*, v.action as in_action, risk_categories as in_cats, case when v.action <> 'block' then reply end as heard from t0 join v using (key)),
+{Q.guarded('t1', 'heard', 'key')},
+low as (select key, lower(message) as low from t0), {Q.found('low', 'low', 'fb', 'key')}, base as (select key, coalesce(max(score), 0) as score from t0 left join fb using (key) group by key),
+c as (select t1.conv_id, t1.turn, t1.expected_action, t1.expected_category, t1.in_action, t1.in_cats, gg.action as out_action, case when score >= 80 then 'block' when score >= 40 then 'sanitize' else 'pass' end as baseline_action from t1 join base using (key) left join gg using (key))
+select conv_id, turn, in_action, out_action, baseline_action, baseline_action = 'pass' and in_action <> 'pass' as baseline_missed, expected_action = in_action as action_matches, out_action is not distinct from 'pass' as output_matches,
+ list_contains(string_split(in_cats, ','), expected_category) or (in_cats = '' and expected_category = 'normal') as category_matches, baseline_action = 'pass' as baseline_matches from c"""
+
+
+@query("m15_case_regression", _cases_sql())
 def m15(spark, sf):
-    from textmill.plans.text_queries import turns
+    from textmill.functions import decide as R
+    from textmill.plans.base import PACK
 
-    cases = turns(spark, sf).withColumn("expected_action", F.when(F.col("in_risk_score") >= 55, "block").otherwise("pass")).withColumn("expected_output_action", F.lit("pass"))
-    cases = cases.withColumn("demo_only", F.col("turn") > 1).withColumn("baseline_missed", F.col("in_action") == "sanitize")
-    return M.case_metrics(cases).select("cases", *(F.round(c, 6).alias(c) for c in ("action_match", "output_match", "risk_match")), "baseline_missed")
+    turn = F.col("turn")
+    cases = R.turn_pairs(table(spark, sf, "conversations")).withColumns({
+        "expected_action": F.when(turn % 4 == 0, "block").otherwise("pass"), "expected_category": F.when(turn % 3 == 0, "ad").otherwise("normal"), "expected_output_action": F.lit("pass"), "expected_baseline": F.lit("pass"),
+    })
+    baseline = R.action_of(R.risk_score(D.detect_rules(F.lower("message"), PACK)))
+    out = M.case_regression(cases, lambda df: R.moderate_turns(df, PACK), baseline, SAFE_REPLY, expected_category="expected_category", expected_baseline="expected_baseline")
+    return out.select("conv_id", "turn", "in_action", "out_action", "baseline_action", "baseline_missed", "action_matches", "output_matches", "category_matches", "baseline_matches")
 
 
 @query("m16_case_metrics", f"with s as (select {sql_list(['pass', 'sanitize', 'block'])}[({sql_number('event_id', 1)} % 3) + 1] as e, {sql_list(['pass', 'sanitize', 'block'])}[({sql_number('event_id', 5)} % 3) + 1] as a, event_id % 3 = 0 as demo from events), r as (select * from s where not demo) select count(*) as cases, round(count(*) filter (e = a) / count(*)::DOUBLE, 9) as action_match, round(count(*) filter (a = a) / count(*)::DOUBLE, 9) as output_match, round(count(*) filter (e <> 'pass' and a <> 'pass') / count(*) filter (e <> 'pass')::DOUBLE, 9) as risk_match, count(*) filter (e = 'block') as baseline_missed from r")
