@@ -58,7 +58,7 @@ def vectors(n, dim, seed, hot=0):
 def test_topk(spark, n, dim, hot, lists, part, lane):
     rows = vectors(n, dim, n + dim, hot)
     df = spark.createDataFrame([(i, v, "x", 1.0) for i, v in rows], "vec_id long, embedding array<double>, list string, score double").repartition(3)
-    got = topk.search(df, F.col("id") % 10 == 0, lists=lists, part=part, lane=lane, k=4)
+    got = topk.search(df, F.col("id") % 10 == 0, lists=lists, part=part, lane=lane, k=4, gather=1 + n % 8)
     assert got.columns == ["query_id", "rank", "vec_id", "score"]
     assert sorted(map(tuple, got.collect())) == brute_topk(rows, lambda i: i % 10 == 0, 4)
 

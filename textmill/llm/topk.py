@@ -28,6 +28,8 @@ from .common import table, written
 
 K = 5
 LISTS = 2
+#: Local scores that phase 1 gathers of each query and list (k + 1 at least): more make the cutoff higher and phase 2 smaller.
+GATHER = 32
 #: Candidates of a part and queries of a lane: what a task holds; queries scored at once.
 PART, LANE, TILE = 65_536, 16_384, 64
 KEYS = ["q1", "q2", "c1", "c2"]
@@ -100,7 +102,7 @@ def whole_scores(pairs: DataFrame, vectors: DataFrame, queries: DataFrame) -> Da
     return both.select(*KEYS, "first", "x", "y").mapInArrow(dotted, "q1 long, q2 long, c1 long, c2 long, first long, score long")
 
 
-def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: float = 256.0, lists: int = LISTS, part: int = PART, lane: int = LANE) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: float = 256.0, lists: int = LISTS, part: int = PART, lane: int = LANE, gather: int = GATHER) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k highest inner products (all, if fewer) of each query, ties to the smaller
     id, over vectors of integers floor(scale * x).
 
@@ -109,6 +111,7 @@ def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
     or non-finite components and rows without an id don't. Components that a shorter vector lacks are 0. An empty table gives
     no row; scores that may exceed 64 bits are an error. Other columns are not read."""
     spark, g = rows.sparkSession, k + 1  # a query may find itself
+    gather = max(gather, g)
     own = written(quantized(rows, id_col, vector_col, scale).dropDuplicates(["h1", "h2", "id"]), "vectors")
     # the g smallest ids of each distinct vector: first within salts, so that no vector is one group
     salted = Window.partitionBy("h1", "h2", F.pmod(F.xxhash64("id"), F.lit(SALTS))).orderBy("id")
@@ -145,16 +148,16 @@ def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
 
     def highest(_list: int, _asks: pa.Table):
         def choose(s: np.ndarray, _t: int):
-            if s.shape[1] <= g:
+            if s.shape[1] <= gather:
                 return tuple(x.ravel() for x in np.indices(s.shape))
-            at = np.argpartition(s, s.shape[1] - g, axis=1)[:, -g:]
-            return np.repeat(np.arange(len(s)), g), at.ravel()
+            at = np.argpartition(s, s.shape[1] - gather, axis=1)[:, -gather:]
+            return np.repeat(np.arange(len(s)), gather), at.ravel()
 
         return choose
 
     # phase 1
     by_list = Window.partitionBy("q1", "q2", "list").orderBy(F.desc("score"))
-    gathered = over_lists(queries, highest).withColumn("r", F.row_number().over(by_list)).where(F.col("r") <= g).groupBy(*KEYS).agg(F.any_value("first").alias("first"))
+    gathered = over_lists(queries, highest).withColumn("r", F.row_number().over(by_list)).where(F.col("r") <= gather).groupBy(*KEYS).agg(F.any_value("first").alias("first"))
     by_score = Window.partitionBy("q1", "q2").orderBy(F.desc("score"))
     best = whole_scores(gathered, vectors, queries).withColumn("r", F.row_number().over(by_score)).where(F.col("r") == g).select("q1", "q2", F.col("score").alias("cut"))
 
