@@ -1,4 +1,4 @@
-"""Text classifiers on Spark ML, thresholds and evaluation metrics.
+"""Text classifiers on exact tf-idf features, thresholds and evaluation metrics.
 
 Metrics are arithmetic over one grouping by (actual, predicted): at most one row a pair of labels.
 """
@@ -6,60 +6,19 @@ Metrics are arithmetic over one grouping by (actual, predicted): at most one row
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, Normalizer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.functions.columns import characters, let, runs
 from textmill.functions.fixed_values import GATE_MARGIN, GATE_THRESHOLDS, LABELS, RISK_LABELS
-
-
-#: Features that hashed n-grams share: a model of k labels has k times twice as many weights, on the driver too.
-HASHED = 1 << 18
-
-
-def word_ngrams(text: Column, low: int = 1, high: int = 2) -> Column:
-    """Lower-case words of two or more letters or digits, and their sequences of up to `high` words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    return let(words, lambda w: F.flatten(F.array(*[runs(w, n, lambda a, b: F.concat(a, F.lit(" "), b)) if n > 1 else w for n in range(low, high + 1)])))
-
-
-def char_ngrams(text: Column, low: int = 2, high: int = 5) -> Column:
-    """Character sequences of low to high characters."""
-    return let(characters(F.lower(text)), lambda c: F.flatten(F.array(*[runs(c, n, lambda a, b: F.concat(a, b)) for n in range(low, high + 1)])))
-
-
-def tfidf_table(df: DataFrame, id_col: str, grams: Column) -> DataFrame:
-    """M1 as a table, of every n-gram there is: (id, gram, tf, df, weight), weight = tf * (ln((1 + n) / (1 + df)) + 1) scaled to
-    unit length within a row. No vocabulary is held anywhere; a gram that most rows have is a skewed key, which the
-    merge join splits at run time."""
-    rows = df.select(F.col(id_col).alias("id"), grams.alias("grams"))
-    tf = rows.select("id", F.explode("grams").alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("tf"))
-    often = tf.groupBy("gram").agg(F.count("*").alias("df"))
-    n = rows.agg(F.count("*").alias("n"))  # one row
-    weight = F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    made = tf.join(often.hint("shuffle_merge"), "gram").crossJoin(F.broadcast(n)).withColumn("w", weight)
-    return made.select("id", "gram", "tf", "df", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))).alias("weight"))
-
-
-def tfidf_stages(grams_col: str, out: str = "features", vocabulary: int | None = None, min_df: float = 1.0, max_df: float | None = None) -> list:
-    """M1 as features: without a vocabulary size every n-gram counts, hashed to one of HASHED features; with one the most
-    frequent do. Counts, inverse document frequency plus 1 (as tf * idf and tf side by side, so that the linear model sees
-    their sum's scale), unit length. Spark's idf is ln((n + 1) / (df + 1))."""
-    counts = HashingTF(inputCol=grams_col, outputCol="_tf", numFeatures=HASHED)
-    if vocabulary is not None:
-        counts = CountVectorizer(inputCol=grams_col, outputCol="_tf", vocabSize=vocabulary, minDF=min_df, **({} if max_df is None else {"maxDF": max_df}))
-    return [
-        counts,
-        IDF(inputCol="_tf", outputCol="_idf"),
-        VectorAssembler(inputCols=["_idf", "_tf"], outputCol="_both"),
-        Normalizer(inputCol="_both", outputCol=out, p=2.0),
-    ]
+from textmill.operators.features import Dictionary, feature_rows, fit_dictionary, gram_counts, grams_of
+from textmill.operators.tables import stored
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
@@ -70,29 +29,83 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(table), label)  # a row a label
 
 
-def train_classifier(df: DataFrame, text: str, label: str, kind: str = "char", c: float = 1.0, max_iter: int = 100, vocabulary: int | None = None, min_df: float = 1.0, max_df: float | None = None) -> PipelineModel:
-    """M2 (and, with kind="word", M3): multinomial logistic regression with balanced weights over the labels that occur; rows
-    without a label are left out."""
-    grams = char_ngrams(F.col(text)) if kind == "char" else word_ngrams(F.col(text))
-    rows = balanced_weights(df.select(F.col(text), F.col(label)).where(F.col(label).isNotNull()), label).withColumn("_grams", grams)
-    weight = rows.agg(F.sum("weight")).first()[0] or 1.0
-    model = LogisticRegression(featuresCol="features", labelCol="_label", weightCol="weight", family="multinomial", regParam=1.0 / (c * weight), standardization=False, maxIter=max_iter)
-    index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="error")
-    return Pipeline(stages=[index, *tfidf_stages("_grams", vocabulary=vocabulary, min_df=min_df, max_df=max_df), model]).fit(rows)
-
-
-def train_legacy(df: DataFrame, text: str, label: str, max_iter: int = 100) -> PipelineModel:
+@dataclass
+class TextModel:
+    """A linear model over tf-idf features: kind of n-grams, labels in ascending order, dictionary, a row of coefficients a label
+    (over the dictionary's indices) and an intercept each. Of two labels the first has zeros."""
+
+    kind: str
+    labels: list[str]
+    words: Dictionary
+    coefficients: np.ndarray
+    intercepts: np.ndarray
+    rounds: int = 0
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """df as a stored table whose rows have a key of their own."""
+    return stored(df.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def train_classifier(df: DataFrame, text: str, label: str, kind: str = "char", c: float = 1.0, max_iter: int = 2000, vocabulary: int | None = None, min_df: int = 1, max_df: float = 1.0, tol: float = 1e-6) -> TextModel:
+    """M2 (and, with kind="word", M3): logistic regression on exact tf-idf features with balanced weights over the labels that
+    occur: C times the weighted log loss plus half the squared coefficients; multinomial, or binomial for two labels. Rows
+    without a label are left out; texts without n-grams count with no feature. The driver holds the coefficients: labels times
+    n-grams of the dictionary."""
+    rows = keyed(df.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label")).where(F.col(label).isNotNull()))
+    labels = sorted(r["label"] for r in rows.select("label").distinct().collect())  # a row a label
+    if len(labels) < 2:
+        raise ValueError(f"training needs two labels, not {labels}")
+    counts = gram_counts(rows, "_row", grams_of(kind, F.col("text")))
+    words = fit_dictionary(counts, rows.count(), min_df, max_df, vocabulary)
+    size = max(words.size, 1)
+    # no built-in function makes a sparse vector; a call a text
+    vector = F.udf(lambda i, w: Vectors.sparse(size, i or [], w or []), VectorUDT())
+    made = balanced_weights(rows.select("_row", "label"), "label").join(feature_rows(counts, words).withColumnRenamed("id", "_row").hint("merge"), "_row", "left")
+    number = F.array_position(F.array(*map(F.lit, labels)), F.col("label")) - 1
+    points = stored(made.select("weight", number.cast("double").alias("number"), vector("indices", "weights").alias("features")))
+    total = points.agg(F.sum("weight")).first()[0]
+    family = "binomial" if len(labels) == 2 else "multinomial"
+    # a block of rows at least as large as the coefficients, which each block's gradient has the size of
+    block = max(1.0, 32e-6 * size * len(labels))
+    fitted = LogisticRegression(maxBlockSizeInMB=block, labelCol="number", weightCol="weight", family=family, regParam=1.0 / (c * total), standardization=False, maxIter=max_iter, tol=tol).fit(points)
+    coefficients, intercepts = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
+    if family == "binomial":
+        coefficients, intercepts = np.vstack([np.zeros_like(coefficients), coefficients]), np.concatenate([[0.0], intercepts])
+    return TextModel(kind, labels, words, coefficients, intercepts, fitted.summary.totalIterations)
+
+
+def train_legacy(df: DataFrame, text: str, label: str, max_iter: int = 1000, tol: float = 1e-6) -> TextModel:
     """M3: words and pairs, at most 10,000 of those in 2 texts or more and at most 80 percent, C = 10."""
-    return train_classifier(df, text, label, "word", 10.0, max_iter, 10_000, 2.0, 0.8)
-
-
-def score_table(model: PipelineModel, df: DataFrame, text: str, kind: str = "char") -> DataFrame:
-    """M5: adds probs, the array of (label, p) of the labels in alphabetical order."""
-    labels = model.stages[0].labels
-    grams = char_ngrams(F.col(text)) if kind == "char" else word_ngrams(F.col(text))
-    out = PipelineModel(model.stages[1:]).transform(df.withColumn("_grams", grams)).withColumn("_p", vector_to_array("probability"))
-    probs = F.array(*[F.struct(F.lit(n).alias("label"), F.get("_p", F.lit(i)).alias("p")) for i, n in enumerate(labels)])
-    return out.withColumn("probs", probs).select(*df.columns, "probs")
+    return train_classifier(df, text, label, "word", 10.0, max_iter, 10_000, 2, 0.8, tol)
+
+
+def score_table(model: TextModel, df: DataFrame, text: str) -> DataFrame:
+    """M5: adds probs, the array of (label, p) of the labels in ascending order. A text without a known n-gram (null and empty
+    ones too) has the intercepts' probabilities."""
+    rows = keyed(df)
+    feats = feature_rows(gram_counts(rows, "_row", grams_of(model.kind, F.col(text))), model.words).withColumnRenamed("id", "_row")
+    sent = df.sparkSession.sparkContext.broadcast((model.coefficients, model.intercepts))  # as large as the model
+
+    @F.pandas_udf("array<double>")
+    def likely(indices: pd.Series, weights: pd.Series) -> pd.Series:
+        w, b = sent.value
+        out = []
+        for i, x in zip(indices, weights, strict=True):
+            margin = b if i is None else b + w[:, i] @ x
+            e = np.exp(margin - margin.max())
+            out.append(e / e.sum())
+        return pd.Series(out)
+
+    scored = rows.join(feats.hint("merge"), "_row", "left").withColumn("_p", likely("indices", "weights"))
+    probs = F.array(*[F.struct(F.lit(n).alias("label"), F.get("_p", F.lit(i)).alias("p")) for i, n in enumerate(model.labels)])
+    return scored.withColumn("probs", probs).select(*df.columns, "probs")
+
+
+def ranked(probs: Column) -> Column:
+    """M5: probs by falling p, ties by label: the record of a scored row."""
+    order = F.array_sort(F.transform(probs, lambda x: F.struct((-x["p"]).alias("n"), x["label"].alias("label"), x["p"].alias("p"))))
+    return F.transform(order, lambda x: F.struct(x["label"].alias("label"), x["p"].alias("p")))
 
 
 def select_model(metrics: DataFrame) -> DataFrame:

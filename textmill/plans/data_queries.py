@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-
+import numpy as np
 from pyspark.sql import functions as F
 
 from textmill.functions import detect as D
@@ -14,25 +13,15 @@ from textmill.operators import audit_log as A
 from textmill.operators import cleaning as C
 from textmill.operators import linkage as J
 from textmill.operators import models as M
+from textmill.operators import features as X
 from textmill.operators import selection as P
+from textmill.operators.tables import place, stored
 from textmill.plans.base import CLASSES, DOCS_SQL, EVENTS_SQL, PROBS_SQL, derived_events, labelled, number, probabilities, query, sql_list, sql_number, table
 from textmill.plans.text_queries import SCORE_SQL, rule_rows, turn_events
 from textmill.sources import text_sources as S
 from textmill.streaming import streams as T
 
 
-def place(spark, name: str) -> str:
-    """A new folder for files that a query writes and reads: beside the checkpoints, else in the warehouse."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{at.rstrip('/')}/textmill-{uuid.uuid4().hex}/{name}"
-
-
-def stored(df, name: str = "t"):
-    path = place(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 # ---- audit events
 
 
@@ -721,28 +710,72 @@ def g16(spark, sf):
 # ---- models
 
 
-@query("m1_tfidf_features", """with w as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') as w from documents), g as (select doc_id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) as g from w),
-tf as (select doc_id, g, count(*) as tf from g group by all), often as (select g, count(*) as df from tf group by g), k as (select count(*) as n from documents),
-x as (select doc_id, tf, df, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) as w from tf join often using (g), k), y as (select *, w / sqrt(sum(w * w) over (partition by doc_id)) as weight from x)
-select doc_id, count(*) as features, sum(tf)::BIGINT as grams, sum(df)::BIGINT as dfs, round(sum(weight), 6) as total, round(max(weight), 6) as most from y group by doc_id""")
+def tfidf_sql(grams: str, fit: str = "true", keep: str = "true", most: int | None = None) -> str:
+    """CTEs up to `y` (doc_id, g, i, tf, df, weight): the dictionary from the documents where `fit`, the weights of all."""
+    return f"""w as (select doc_id, {fit} as fit, {grams} as gs from docs), g as (select doc_id, fit, unnest(gs) as g from w),
+tf as (select doc_id, fit, g, count(*) as tf from g group by all), k as (select count(*) as n from w where fit),
+o as (select g, count(*) as df, sum(tf) as total from tf where fit group by g), kept as (select g, df, n from o, k where {keep} order by total desc, g {f"limit {most}" if most else ""}),
+often as (select g, df, ln((1 + n) / (1 + df)::DOUBLE) + 1 as idf, row_number() over (order by g) - 1 as i from kept),
+x as (select doc_id, g, i, tf, df, tf * idf as w from tf join often using (g)), y as (select *, w / sqrt(sum(w * w) over (partition by doc_id)) as weight from x)"""
+
+
+WORD_GRAMS = "(select list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) from (select regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') as w))"
+CHAR_GRAMS = "(select list_concat([t[i:i + 1] for i in range(1, length(t))], [t[i:i + 2] for i in range(1, length(t) - 1)], [t[i:i + 3] for i in range(1, length(t) - 2)], [t[i:i + 4] for i in range(1, length(t) - 3)]) from (select regexp_replace(lower(text), '\\s\\s+', ' ', 'g') as t))"
+FEATURE_SUMS = "count(*) as features, sum(tf)::BIGINT as grams, sum(df)::BIGINT as dfs, round(sum(weight), 6) as total, round(max(weight), 6) as most, round(sum(weight * (i % 1009)), 4) as placed"
+#: Documents that classifiers learn from; the others are held out.
+LEARN_SQL = f"label <> '' and {sql_number('doc_id', 33)} % 5 <> 0"
+
+
+def learn():
+    return (F.col("label") != "") & (F.pmod(number(F.col("doc_id"), 33), F.lit(5)) != 0)
+
+
+def feature_sums(t):
+    w = F.col("weight")
+    return t.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("features"), F.sum("tf").alias("grams"), F.sum("df").alias("dfs"), F.round(F.sum(w), 6).alias("total"), F.round(F.max(w), 6).alias("most"), F.round(F.sum(w * (F.col("index") % 1009)), 4).alias("placed"))
+
+
+@query("m1_tfidf_features", f"with {DOCS_SQL}, {tfidf_sql(WORD_GRAMS)} select doc_id, {FEATURE_SUMS} from y group by doc_id")
 def m1(spark, sf):
-    t = M.tfidf_table(table(spark, sf, "documents"), "doc_id", M.word_ngrams(F.col("text")))
-    return t.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("features"), F.sum("tf").alias("grams"), F.sum("df").alias("dfs"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("most"))
+    return feature_sums(X.tfidf_table(table(spark, sf, "documents"), "doc_id", X.word_ngrams(F.col("text"))))
+
+
+@query("m2_features", f"with {DOCS_SQL}, {tfidf_sql(CHAR_GRAMS, LEARN_SQL)} select doc_id, {FEATURE_SUMS} from y join docs using (doc_id) where label <> '' group by doc_id")
+def m2_features(spark, sf):
+    """The features that m2 trains and scores on: the dictionary of the learning rows, the weights of all labelled ones."""
+    d = labelled(spark, sf).where("label <> ''")
+    own = d.where(learn())
+    words = X.fit_dictionary(X.gram_counts(own, "doc_id", X.char_ngrams(F.col("text"))), own.count())
+    return feature_sums(X.weighted(X.gram_counts(d, "doc_id", X.char_ngrams(F.col("text"))), words))
+
+
+LEGACY = (2, 0.8, 10_000)
+LEGACY_KEEP = "df >= 2 and df <= 0.8::DOUBLE * n"
+
+
+@query("m3_features", f"with {DOCS_SQL}, {tfidf_sql(WORD_GRAMS, LEARN_SQL, LEGACY_KEEP, 10_000)} select doc_id, {FEATURE_SUMS} from y join docs using (doc_id) where label <> '' group by doc_id")
+def m3_features(spark, sf):
+    d = labelled(spark, sf).where("label <> ''")
+    own = d.where(learn())
+    words = X.fit_dictionary(X.gram_counts(own, "doc_id", X.word_ngrams(F.col("text"))), own.count(), *LEGACY)
+    return feature_sums(X.weighted(X.gram_counts(d, "doc_id", X.word_ngrams(F.col("text"))), words))
+
+
+def judged(spark, sf, train):
+    """Every labelled document by a model that learned from those that aren't held out."""
+    d = labelled(spark, sf).where("label <> ''")
+    out = M.score_table(train(d.where(learn())), d, "text").withColumn("top", F.get(M.ranked(F.col("probs")), F.lit(0)))
+    return out.select("doc_id", "label", (~learn()).alias("held_out"), F.col("top.label").alias("predicted"), F.round("top.p", 3).alias("p"))
 
 
 @query("m2_train_score")
 def m2(spark, sf):
-    d = labelled(spark, sf).where("label <> ''")
-    model = M.train_classifier(d, "text", "label", "char")
-    out = M.score_table(model, d, "text").withColumn("top", D.top_class(F.col("probs")))
-    return out.select("doc_id", "label", F.col("top.label").alias("predicted"), F.round("top.p", 3).alias("p"))
+    return judged(spark, sf, lambda d: M.train_classifier(d, "text", "label", "char", max_iter=40))
 
 
 @query("m3_train_legacy")
 def m3(spark, sf):
-    d = labelled(spark, sf).where("label <> ''")
-    out = M.score_table(M.train_legacy(d, "text", "label"), d, "text", "word").select("label", D.top_class(F.col("probs"))["label"].alias("predicted"))
-    return M.confusion_counts(out, "label", "predicted")
+    return judged(spark, sf, lambda d: M.train_legacy(d, "text", "label"))
 
 
 def predictions(spark, sf):
@@ -768,13 +801,24 @@ def m4(spark, sf):
     return M.select_model(one("argmax", "top_label").unionByName(one("gated", "predicted")).unionByName(one("gated_again", "predicted")))
 
 
-@query("m5_score_table", "select d.doc_id, (select array_to_string(list_sort(list(distinct lang)), ',') from documents) as labels, 1.0::DOUBLE as total, true as between from documents d")
+def _gram_number(g: str, k: int) -> str:
+    return f"(({sql_number(g, 1 + 4 * k)} - 32768) / 8192.0::DOUBLE)"
+
+
+@query("m5_score_table", f"""with {DOCS_SQL}, {tfidf_sql(WORD_GRAMS, "true", LEGACY_KEEP, 10_000)},
+s as (select doc_id, {", ".join(f"sum(weight * {_gram_number('g', k)}) as s{k}" for k in range(5))} from y group by doc_id),
+m as (select d.doc_id, {", ".join(f"{k / 10} + coalesce(s{k}, 0) as m{k}" for k in range(5))} from docs d left join s using (doc_id)), e as (select *, exp(m0) + exp(m1) + exp(m2) + exp(m3) + exp(m4) as z from m),
+p as (select doc_id, unnest([{", ".join(f"{{'label': '{c}', 'p': exp(m{k}) / z}}" for k, c in enumerate(sorted(CLASSES)))}], recursive := true) from e)
+select doc_id, string_agg(label, '>' order by p desc, label) as ranked, round(max(p), 6) as top_p, round(sum(case when label = 'normal' then p end), 6) as normal_p from p group by doc_id""")
 def m5(spark, sf):
-    """Every document scored by a model of its language: labels in order, probabilities of 0 to 1 that sum up to 1."""
-    d = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    out = M.score_table(M.train_legacy(d, "text", "lang"), d, "text", "word")
-    p = F.transform("probs", lambda x: x["p"])
-    return out.select("doc_id", F.array_join(F.transform("probs", lambda x: x["label"]), ",").alias("labels"), F.round(F.aggregate(p, F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.forall(p, lambda x: (x >= 0) & (x <= 1)).alias("between"))
+    """Every document scored by a given model: coefficients of the legacy features from the n-grams' hashes."""
+    d = table(spark, sf, "documents")
+    words = X.fit_dictionary(X.gram_counts(d, "doc_id", X.word_ngrams(F.col("text"))), d.count(), *LEGACY)
+    given = words.table.select("index", *(((number(F.col("gram"), 1 + 4 * k) - 32768) / F.lit(8192.0)).alias(f"c{k}") for k in range(5))).orderBy("index").collect()  # the model's size
+    weights = np.array([[r[f"c{k}"] for r in given] for k in range(5)])
+    out = M.score_table(M.TextModel("word", sorted(CLASSES), words, weights, np.arange(5) / 10), d.select("doc_id", "text"), "text").withColumn("ranked", M.ranked(F.col("probs")))
+    normal = F.get(F.filter("probs", lambda x: x["label"] == "normal"), F.lit(0))["p"]
+    return out.select("doc_id", F.array_join(F.transform("ranked", lambda x: x["label"]), ">").alias("ranked"), F.round(F.get("ranked", F.lit(0))["p"], 6).alias("top_p"), F.round(normal, 6).alias("normal_p"))
 
 
 @query("m6_per_class_metrics", f"{PRED_SQL}{PER_SQL} select label, round(p, 9) as precision, round(r, 9) as recall, round(f, 9) as f1, support, called, hits from pf")
