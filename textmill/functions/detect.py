@@ -7,13 +7,14 @@ Rule packs are arguments. Null text has no detections.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
+from .automaton import FEW, found_words
 from .columns import let
 
 DETECTION = "struct<category:string,level:string,score:int,reason:string,source:string,matches:array<string>>"
@@ -56,12 +57,18 @@ def contained(text: Column, words: Sequence[str]) -> Column:
     return F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
 
 
+def each_contained(text: Column, groups: Sequence[Sequence[str]], body: Callable[[list[Column]], Column]) -> Column:
+    """body of a column a group: the words of the group that the text contains. Few words are literals, more go through one
+    automaton."""
+    if sum(map(len, groups)) <= FEW:
+        return let(text, lambda t: body([contained(t, words) for words in groups]))
+    return let(found_words(text, groups), lambda found: body([F.get(found, F.lit(i)) for i in range(len(groups))]))
+
+
 def detect_keywords(text: Column, lexicons: Lexicons) -> Column:
     """D1."""
-    return let(text, lambda t: _kept([
-        detection(c, "high" if c in ("porn", "violence") else "medium", 80 if c in ("porn", "violence") else 55, f"matched {c} keyword lexicon", "keyword", contained(t, words))
-        for c, words in lexicons.items()
-    ]))
+    made = lambda c, found: detection(c, "high" if c in ("porn", "violence") else "medium", 80 if c in ("porn", "violence") else 55, f"matched {c} keyword lexicon", "keyword", found)
+    return each_contained(text, list(lexicons.values()), lambda found: _kept([made(c, f) for c, f in zip(lexicons, found, strict=True)]))
 
 
 def detect_regex(text: Column, rules: Rules) -> Column:
@@ -81,10 +88,17 @@ def detect_high_risk(text: Column, phrases: Mapping[str, Sequence[str]] = V.HIGH
     """Phrases in the text without white space, lower case."""
     dense = F.lower(F.regexp_replace(text, r"(?U)\s+", ""))
 
-    def found(t: Column) -> Column:
-        return _kept([detection(c, "high", 90, "matched output high-risk phrase", "output_high_risk", F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(t, F.lower(w)))) for c, words in phrases.items()])
+    lower = [[w.lower() for w in words] for words in phrases.values()]
+
+    def shown(words: Sequence[str], low: Sequence[str], found: Column) -> Column:
+        """The phrases as they are given, of those found in lower case."""
+        if list(words) == list(low):
+            return found
+        table = F.create_map(*[F.lit(x) for pair in zip(low, words, strict=True) for x in pair])
+        return F.transform(found, lambda w: table[w])
 
-    return let(dense, found)
+    made = lambda c, words, low, found: detection(c, "high", 90, "matched output high-risk phrase", "output_high_risk", shown(words, low, found))
+    return each_contained(dense, lower, lambda found: _kept([made(*x) for x in zip(phrases, phrases.values(), lower, found, strict=True)]))
 
 
 def privacy(text: Column, rules: Sequence[tuple[str, str, str]] = V.PRIVACY) -> Column:

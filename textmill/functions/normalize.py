@@ -16,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .automaton import FEW, cascade
 from .columns import characters, runs
 from .fixed_values import NO_STEP, NOISE
 
@@ -82,6 +83,8 @@ def norm_map(text: Column, entries: Entries) -> Column:
     """Literal replacement, entry after entry, so that results cascade."""
     if not entries:
         return text
+    if len(entries) > FEW:
+        return cascade(text, ordered(entries))["text"]
     return F.aggregate(_literal(entries), text, lambda acc, e: F.replace(acc, e["s"], e["t"]))
 
 
@@ -168,6 +171,8 @@ def normalize_with_trace(df, text_col: str, maps: Maps, out: str = "normalized",
 
 def map_match_counts(text: Column, entries: Entries) -> Column:
     """(source, target, count) of entries that fired, counted at their place in the cascade."""
+    if len(entries) > FEW:
+        return cascade(text, ordered(entries))["matches"]
     start = F.struct(text.alias("text"), F.array().cast("array<struct<source:string,target:string,count:int>>").alias("matches"))
 
     def step(acc: Column, e: Column) -> Column:

@@ -140,6 +140,29 @@ def d1(spark, sf):
     return df.select("doc_id", "d.category", "d.score", F.array_join("d.matches", "|").alias("matches"))
 
 
+#: A large lexicon in the corpus's own words: those of the benchmark's texts, dealt to four categories by their length.
+WORDS_SQL = "bw as (select distinct unnest(regexp_extract_all(text, '[a-z]{4,}')) as word from benchmark)"
+CATEGORIES = sorted(LEXICONS)
+
+
+def benchmark_words(spark, sf):
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{4,}"), F.lit(0))).alias("w")).distinct()
+    return sorted(r["w"] for r in words.collect())  # a rule pack
+
+
+@query("d1_large_lexicon", f"with {WORDS_SQL}, lex as (select word, {sql_list(CATEGORIES)}[(length(word) % 4) + 1] as category from bw) select doc_id, category, count(*) as n, md5(string_agg(word, '|' order by word)) as matches from documents join lex on contains(text, word) group by doc_id, category")
+def d1_large(spark, sf):
+    words = benchmark_words(spark, sf)
+    lexicons = {c: [w for w in words if len(w) % 4 == i] for i, c in enumerate(CATEGORIES)}
+    df = docs(spark, sf).select("doc_id", F.explode(D.detect_keywords(F.col("text"), lexicons)).alias("d"))
+    return df.select("doc_id", "d.category", F.size("d.matches").cast("long").alias("n"), F.md5(F.array_join("d.matches", "|")).alias("matches"))
+
+
+@query("n3_large_map", f"with {WORDS_SQL}, l as (select list(word order by length(word) desc, word) as ws from bw), r as (select doc_id, list_reduce(list_concat([text], ws), lambda a, w: replace(a, w, reverse(w) || '_')) as t from documents, l) select doc_id, md5(t) as md5, length(t)::BIGINT as chars from r")
+def n3_large(spark, sf):
+    return hashed(docs(spark, sf).withColumn("n", N.norm_map(F.col("text"), [(w, w[::-1] + "_") for w in benchmark_words(spark, sf)])), "n")
+
+
 @query("d2_detect_regex", f"with {FOUND_SQL} select doc_id, category, score, matches from rx")
 def d2(spark, sf):
     df = docs(spark, sf).select("doc_id", F.explode(D.detect_regex(F.col("text"), RULES)).alias("d"))
