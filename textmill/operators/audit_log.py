@@ -106,9 +106,9 @@ def event_stats(events: DataFrame, since: Column | None = None, time_col: str =
 DIMENSIONS = ("stage", "action", "input_action", "output_action", "final_action", "risk_level", "category", "category_detection")
 
 
-def counts_by(events: DataFrame, dims: Collection[str] = DIMENSIONS, stage_col: str = "event_stage", action_col: str = "action") -> DataFrame:
-    """(dimension, name, count), all dimensions in one grouping."""
-    r = event_results(events, stage_col)
+def dimension_rows(events: DataFrame, keep: Collection[str] = (), stage_col: str = "event_stage", action_col: str = "action") -> DataFrame:
+    """(keep, dimension, name): a row for each count that an event adds to."""
+    r = event_results(events, stage_col, keep)
     pair = lambda d, n: F.struct(F.lit(d).alias("dimension"), n.alias("name"))
     arrays = [
         F.array(pair("stage", F.col("stage")), pair("action", F.col("action")), pair("risk_level", F.col("risk_level"))),
@@ -116,11 +116,36 @@ def counts_by(events: DataFrame, dims: Collection[str] = DIMENSIONS, stage_col:
         F.transform("categories", lambda c: pair("category", c)),
         F.transform("detection_categories", lambda c: pair("category_detection", c)),
     ]
-    pairs = r.select(F.explode(F.flatten(F.array_compact(F.array(*arrays)))).alias("p")).select("p.*")
+    pairs = r.select(*keep, F.explode(F.flatten(F.array_compact(F.array(*arrays)))).alias("p")).select(*keep, "p.*")
     final = events.where(_field(events, stage_col, "string") == "final")
     final_action = _field(events, action_col, "string")
-    own = final.select(F.explode(F.array_compact(F.array(pair("stage", F.lit("final")), F.when(F.coalesce(final_action, F.lit("")) != "", pair("final_action", final_action))))).alias("p")).select("p.*")
-    return pairs.unionByName(own).where(F.col("dimension").isin(*dims)).groupBy("dimension", "name").agg(F.count("*").alias("count"))
+    own = final.select(*keep, F.explode(F.array_compact(F.array(pair("stage", F.lit("final")), F.when(F.coalesce(final_action, F.lit("")) != "", pair("final_action", final_action))))).alias("p")).select(*keep, "p.*")
+    return pairs.unionByName(own)
+
+
+def counts_by(events: DataFrame, dims: Collection[str] = DIMENSIONS, stage_col: str = "event_stage", action_col: str = "action") -> DataFrame:
+    """(dimension, name, count), all dimensions in one grouping."""
+    pairs = dimension_rows(events, (), stage_col, action_col)
+    return pairs.where(F.col("dimension").isin(*dims)).groupBy("dimension", "name").agg(F.count("*").alias("count"))
+
+
+#: A3's counters, in order.
+SCALARS = ("total_events", "blocked", "rewritten", "rule_hit_count", "semantic_hit_count", "joint_rule_semantic_hit_count", "input_detection_count", "output_detection_count")
+
+
+def counter_rows(events: DataFrame, keep: Collection[str] = (), stage_col: str = "event_stage", action_col: str = "action") -> DataFrame:
+    """(keep, dimension, name, n) whose sums are A4's counts, and A3's counters in the dimension counter."""
+    r = event_results(events, stage_col, keep)
+    c = lambda name: F.col(name).cast("long")
+    values = (
+        c("blocked"), c("rewritten"), c("rule_hits"), c("semantic_hits"), ((F.col("rule_hits") > 0) & (F.col("semantic_hits") > 0)).cast("long"),
+        F.when(F.col("stage") == "input", F.col("detections")).otherwise(0), F.when(F.col("stage") == "output", F.col("detections")).otherwise(0),
+    )
+    sums = r.groupBy(*keep).agg(*(F.sum(v).alias(n) for n, v in zip(SCALARS[1:], values, strict=True)))
+    total = events.groupBy(*keep).agg(F.count("*").alias("total_events"))
+    long = lambda df, names: df.select(*keep, F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("n")) for n in names])).alias("x")).select(*keep, F.lit("counter").alias("dimension"), "x.name", "x.n")
+    rows = dimension_rows(events, keep, stage_col, action_col).withColumn("n", F.lit(1).cast("long"))
+    return rows.unionByName(long(sums, SCALARS[1:])).unionByName(long(total, SCALARS[:1]))
 
 
 def stats_long(events: DataFrame, **kwargs) -> DataFrame:

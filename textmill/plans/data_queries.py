@@ -19,7 +19,10 @@ from textmill.operators.tables import place, stored
 from textmill.plans.base import CLASSES, DOCS_SQL, EVENTS_SQL, PROBS_SQL, derived_events, labelled, number, probabilities, query, sql_list, sql_number, table
 from textmill.plans.text_queries import SCORE_SQL, rule_rows, turn_events
 from textmill.sources import text_sources as S
+from textmill.streaming import cells as K
 from textmill.streaming import streams as T
+from textmill.streaming.cells import CellTable
+from textmill.streaming.turns import keyed_state, turn_pairs_stream
 
 
 # ---- audit events
@@ -1081,6 +1084,48 @@ def t1(spark, sf):
     return out.groupBy("in_action", "out_action", "allowed").agg(F.count("*").alias("turns"))
 
 
+def in_batches(df, name: str, part, batches: int):
+    """df as a stream of so many micro-batches, rows dealt in order of the number `part`."""
+    path = place(df.sparkSession, name)
+    for b in range(batches):
+        df.where(part == b).coalesce(1).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("t1_turn_pairs_stream", "with w as (select conv_id, turn, role, text, lead(role) over (partition by conv_id order by turn) as r, lead(text) over (partition by conv_id order by turn) as t from conversations where role <> 'system') select conv_id, turn, md5(text) as message, case when r = 'assistant' then md5(t) end as reply from w where role = 'user'")
+def t1_pairs(spark, sf):
+    """Conversations split over micro-batches turn by turn; a last row far ahead in time lets every turn that waits time out."""
+    time = F.timestamp_micros((F.col("turn") * 3600 + 86_400 + F.pmod(F.col("conv_id"), F.lit(3600))) * 1_000_000)
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text", time.alias("time"), F.least(F.col("turn"), F.lit(3)).alias("part"))
+    clock = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("system").alias("role"), F.lit("").alias("text"), F.timestamp_micros(F.lit(4_000_000_000_000_000)).alias("time"), F.lit(4).cast("long").alias("part"))
+    stream = in_batches(c.unionByName(clock), "turns", F.col("part"), 5)
+    with keyed_state(spark):
+        out = run_stream(turn_pairs_stream(stream, wait="1000 days", late="1 hour"), "pairs")
+    return out.select("conv_id", "turn", F.md5("message").alias("message"), F.md5("reply").alias("reply"))
+
+
+def kept_cells(spark, sf):
+    """The cell table of all events, which come in six micro-batches, added up after three."""
+    path = place(spark, "cells")
+    cells = CellTable(spark, path, compact=3)
+    stream = in_batches(derived_events(spark, sf), "in", F.pmod(F.col("event_id"), F.lit(6)), 6)
+    cells.writer(stream, f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    return cells.cells()
+
+
+SINCE = "2024-01-10 07:30:11"
+
+
+@query("t2_stats_from_cells", f"with {EVENTS_SQL} select (select count(*) from e where ts >= timestamp '{SINCE}') as total_events, {STATS} from r where ts >= timestamp '{SINCE}'")
+def t2_stats(spark, sf):
+    return K.stats(K.since(kept_cells(spark, sf), F.lit(SINCE).cast("timestamp"), derived_events(spark, sf)))
+
+
+@query("t2_counts_from_cells", f"with {EVENTS_SQL}, l as ({LONG}) select dimension, name, count(*) as count from l group by all")
+def t2_counts(spark, sf):
+    return K.counts(kept_cells(spark, sf))
+
+
 @query("t2_event_counts_stream", f"with {EVENTS_SQL} select date_trunc('day', ts)::TIMESTAMP as window_start, stage, count(*) as results, count(*) filter (action = 'block') as blocked, count(*) filter (action = 'sanitize') as rewritten, sum(rule_hits)::BIGINT as rule_hits, sum(semantic_hits)::BIGINT as semantic_hits from r where ts is not null group by all")
 def t2(spark, sf):
     counts = T.event_counts_stream(as_stream(derived_events(spark, sf), "events"), window="1 day")
