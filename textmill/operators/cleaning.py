@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textmill.functions.fixed_values import LABELS
 from textmill.functions.normalize import trim
+from textmill.sources.lines import text_lines
 
 UNIT = "\x1f"
 
@@ -154,11 +155,16 @@ def dedup_steps(df: DataFrame, normalized: str, text: str = "text", label: str =
     )
 
 
-def source_profile(files: DataFrame) -> DataFrame:
-    """C14: of binaryFile rows: path, content hash, lines and lines that aren't blank."""
-    text = F.col("content").cast("string")
-    lines = F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n", -1)
-    return files.select("path", F.sha2("content", 256).alias("sha256"), F.when(F.length("content") == 0, 0).otherwise(F.size(lines)).cast("long").alias("lines"), F.size(F.filter(lines, lambda x: trim(x) != "")).cast("long").alias("nonblank_lines"))
+def source_profile(spark: SparkSession, path: str, pattern: str | None = None, most: int = 1 << 30) -> DataFrame:
+    """C14: path, bytes, sha256 of the content, lines and lines that aren't blank of each file. Lines are counted by byte ranges;
+    only the hash needs a whole file in one task, so files of more than `most` bytes have none (null). Spark's readers pass
+    empty files over, so these aren't listed."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path).withColumn("file", F.col("_metadata.file_path"))
+    hashes = files.where(F.col("length") <= most).select("file", F.sha2("content", 256).alias("sha256"))
+    lines = text_lines(spark, path, pattern, recursive=True).groupBy("file").agg(F.count("*").alias("lines"), F.count_if(trim(F.col("value")) != "").alias("nonblank_lines"))
+    out = files.select("file", F.col("length").alias("bytes")).join(hashes.hint("merge"), "file", "left").join(lines.hint("merge"), "file", "left")
+    return out.select(F.col("file").alias("path"), "bytes", "sha256", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("nonblank_lines", F.lit(0)).alias("nonblank_lines"))
 
 
 def content_fingerprint(df: DataFrame, id_col: str, text_col: str, ids: DataFrame | None = None) -> DataFrame:

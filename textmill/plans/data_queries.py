@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from textmill.operators.tables import place, stored
 from textmill.plans.base import CLASSES, DOCS_SQL, EVENTS_SQL, PROBS_SQL, derived_events, labelled, number, probabilities, query, sql_list, sql_number, table
 from textmill.plans.text_queries import SCORE_SQL, rule_rows, turn_events
 from textmill.sources import text_sources as S
+from textmill.sources.event_log import EventLog
 from textmill.streaming import cells as K
 from textmill.streaming import streams as T
 from textmill.streaming.cells import CellTable
@@ -118,6 +121,24 @@ def a11(spark, sf):
     return A.retention_filter(table(spark, sf, "events"), F.lit("2024-01-20").cast("timestamp"), 7, "ts").groupBy("event_type").agg(F.count("*").alias("events"))
 
 
+@query("a11_expiring_log", "select event_type, count(*) as events, min(date_trunc('day', ts))::DATE::VARCHAR as first_day from events where ts >= timestamp '2024-01-20' - interval 7 day group by event_type")
+def a11_log(spark, sf):
+    """Events appended to a log of day partitions in two writes, the second of which drops the expired days, and read again."""
+    log = EventLog(spark, place(spark, "log"), "time string, event_type string", 7)
+    e = table(spark, sf, "events").select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("time"), "event_type", F.col("event_id") % 2 == 0).toDF("time", "event_type", "even")
+    days = [dt.datetime(2024, 1, d, tzinfo=dt.UTC) for d in (10, 20)]
+    log.append(e.where("even").drop("even"), days[0])
+    log.append(e.where("not even").drop("even"), days[1])
+    return log.read(now=days[1]).groupBy("event_type").agg(F.count("*").alias("events"), F.substring(F.min("time"), 1, 10).alias("first_day"))
+
+
+@query("s7_pruned_log", "select event_type, count(*) as events from events where ts >= timestamp '2024-01-05 13:00:00' group by event_type")
+def s7_log(spark, sf):
+    log = EventLog(spark, place(spark, "log"), "time string, event_type string")
+    log.append(table(spark, sf, "events").select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("time"), "event_type"))
+    return log.read(F.lit("2024-01-05 13:00:00").cast("timestamp")).groupBy("event_type").agg(F.count("*").alias("events"))
+
+
 # ---- cleaning
 
 LABEL_ROWS = "rows as (select doc_id as row_number, text, case when doc_id % 17 = 0 then ' Normal ' when doc_id % 23 = 0 then 'odd' when doc_id % 29 = 0 then null when lang = 'en' and length(text) % 3 = 0 then 'ad' else label end as label from docs)"
@@ -229,13 +250,21 @@ def c15b(spark, sf):
     return C.content_fingerprint(d, "doc_id", "text", d.where("doc_id % 2 = 0").select("doc_id"))
 
 
-@query("c14_source_profile", "select source, count(*) as lines, count(*) filter (trim(line) <> '') as nonblank_lines from (select source, unnest(string_split(text, chr(10))) as line from documents) group by source")
+def line_files(df, folders, order, value, path):
+    """df's values as files of lines, one in each folder of the columns `folders`, in ascending order."""
+    rows = df.select(*folders, order, F.col(value).alias("value")).repartition(*folders).sortWithinPartitions(*folders, order)
+    rows.select(*folders, "value").write.partitionBy(*folders).text(path)
+
+
+#: Files of lines: the texts of a thousand documents of a source.
+FILES_SQL = "ld as (select doc_id, text, source, doc_id // 1000 as b from documents), lf as (select source, b, string_agg(text || chr(10), '' order by doc_id) as content from ld group by all)"
+
+
+@query("c14_source_profile", f"with {FILES_SQL}, n as (select source, b, count(*) as lines, count(*) filter (trim(line) <> '') as nonblank_lines from (select source, b, unnest(string_split(text, chr(10))) as line from ld) group by all) select 'source=' || source || '/b=' || b as folder, strlen(content)::BIGINT as bytes, sha256(content) as sha256, lines, nonblank_lines from lf join n using (source, b)")
 def c14(spark, sf):
-    # each source's texts as files of lines, profiled file by file
     path = place(spark, "files")
-    table(spark, sf, "documents").select("source", F.col("text").alias("value")).write.partitionBy("source").text(path)
-    files = C.source_profile(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path))
-    return files.groupBy(F.regexp_extract("path", "source=([^/]*)", 1).alias("source")).agg(F.sum("lines").alias("lines"), F.sum("nonblank_lines").alias("nonblank_lines"))
+    line_files(table(spark, sf, "documents").withColumn("b", F.expr("doc_id div 1000")), ["source", "b"], "doc_id", "text", path)
+    return C.source_profile(spark, path, "*.txt").select(F.regexp_extract("path", "(source=[^/]*/b=[^/]*)/", 1).alias("folder"), "bytes", "sha256", "lines", "nonblank_lines")
 
 
 @query("c15_content_fingerprint", "with r as (select doc_id::varchar as id, sha256(doc_id::varchar || chr(9) || coalesce(text, '')) as h from documents), q as (select substr(h, 1, 5) as bucket, sha256(array_to_string(list_sort(list(h)), chr(10))) as h, count(*) as n from r group by 1), p as (select substr(bucket, 1, 2) as bucket, sha256(array_to_string(list(h order by bucket), chr(10))) as h, sum(n) as n from q group by 1) select sha256(array_to_string(list(h order by bucket), chr(10))) as fingerprint, sum(n)::BIGINT as rows from p")
@@ -945,13 +974,21 @@ def m16(spark, sf):
 # ---- sources and sinks
 
 
-@query("s1_read_lexicon", "select source as category, count(*) as words from (select distinct source, unnest(string_split(lower(text), ' ')) as w from documents) where length(w) between 3 and 8 and regexp_matches(w, '^[a-z]+$') group by source")
+@query("s1_read_lexicon", "with w as (select distinct source, unnest(string_split(lower(text), ' ')) as w from documents), k as (select source, w, row_number() over (partition by source order by w) as pos from w where length(w) between 3 and 8 and regexp_matches(w, '^[a-z]+$')) select source as category, count(*) as words, sum(pos)::BIGINT as places, md5(string_agg(w, ' ' order by pos)) as md5 from k group by source")
 def s1(spark, sf):
-    words = table(spark, sf, "documents").select("source", F.explode(F.split(F.lower("text"), " ")).alias("value")).where("value rlike '^[a-z]{3,8}$'").distinct()
+    """Each source's words in a file named after it, read as a lexicon."""
+    words = table(spark, sf, "documents").select("source", F.explode(F.split(F.lower("text"), " ")).alias("word")).where("word rlike '^[a-z]{3,8}$'").distinct()
     path = place(spark, "lexicon")
-    words.repartition("source").write.partitionBy("source").text(path)
-    rows = S.read_lexicon(spark, f"{path}/*")
-    return rows.join(words.select("source", F.col("value").alias("word")), "word").where("category like 'part%'").select("word", "source").distinct().groupBy(F.col("source").alias("category")).agg(F.count("*").alias("words"))
+    line_files(words, ["source"], "word", "word", path)
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(top, "source=*")):  # a file a source
+        name = folder.getPath().getName().partition("=")[2]
+        for part in fs.listStatus(folder.getPath()):
+            fs.rename(part.getPath(), spark._jvm.org.apache.hadoop.fs.Path(top, f"{name}.txt"))
+    rows = S.read_lexicon(spark, f"{path}/*.txt")
+    in_order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ")
+    return rows.groupBy("category").agg(F.count("*").alias("words"), F.sum("pos").alias("places"), F.md5(in_order).alias("md5"))
 
 
 @query("s2_read_regex_rules", "select event_type as category, count(distinct user_id)::BIGINT as rules from events where user_id % 7 <> 0 group by event_type")
@@ -983,11 +1020,12 @@ def s4(spark, sf):
     return S.merge_maps(maps).agg(F.count("*").alias("entries"), F.count_if(F.col("target") == "b").alias("overridden"))
 
 
-@query("s5_read_labelled_lines", "select lang as label, count(*) as lines from (select lang, unnest(string_split(text, chr(10))) as l from documents where lang in ('en', 'de')) where regexp_replace(l, '^\\s+|\\s+$', '', 'g') <> '' and not starts_with(regexp_replace(l, '^\\s+|\\s+$', '', 'g'), '#') group by lang")
+@query("s5_read_labelled_lines", "with l as (select lang, doc_id, doc_id // 1000 as b, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as k from documents where lang in ('en', 'de')), n as (select lang, b, regexp_replace(l, '^\\s+|\\s+$', '', 'g') as t, row_number() over (partition by lang, b order by doc_id, k) as line from l) select lang as label, count(*) as lines, sum(line)::BIGINT as places, sum(line * length(t))::BIGINT as placed from n where t <> '' and not starts_with(t, '#') group by lang")
 def s5(spark, sf):
     path = place(spark, "lines")
-    table(spark, sf, "documents").select("lang", F.col("text").alias("value")).write.partitionBy("lang").text(path)
-    return S.read_labelled_lines(spark, {"en": f"{path}/lang=en", "de": f"{path}/lang=de"}).groupBy("label").agg(F.count("*").alias("lines"))
+    line_files(table(spark, sf, "documents").withColumn("b", F.expr("doc_id div 1000")), ["lang", "b"], "doc_id", "text", path)
+    rows = S.read_labelled_lines(spark, {"en": f"{path}/lang=en", "de": f"{path}/lang=de"})
+    return rows.groupBy("label").agg(F.count("*").alias("lines"), F.sum("source_line").alias("places"), F.sum(F.col("source_line") * F.length("text")).alias("placed"))
 
 
 @query("s6_read_table_csv", "select lang, count(*) as rows, count(distinct text) as texts from documents group by lang")

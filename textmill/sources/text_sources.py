@@ -12,22 +12,14 @@ from pyspark.sql import types as T
 
 from textmill.functions.detect import compiles, confidence_bucket
 from textmill.functions.normalize import trim
+from textmill.sources.lines import numbered_lines
 
 STEM = r"([^/\\]+?)(?:\.[^./\\]*)?$"
 
 
-def _whole_lines(spark: SparkSession, path: str, pattern: str | None) -> DataFrame:
-    """(file, line_number from 1, line) of each line of the files."""
-    reader = spark.read.option("wholetext", True)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    whole = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^﻿", "").alias("value"))
-    return whole.select("file", F.posexplode(F.split("value", r"\r\n|\r|\n", -1)).alias("pos", "line")).select("file", (F.col("pos") + 1).alias("line_number"), "line")
-
-
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """(category: the file's stem, pos, word) of all *.txt, trimmed, without blank and # lines."""
-    rows = _whole_lines(spark, path, "*.txt").withColumn("word", trim(F.col("line")))
+    rows = numbered_lines(spark, path, "*.txt").withColumn("word", trim(F.col("line")))
     return rows.where((F.col("word") != "") & ~F.col("word").startswith("#")).select(F.url_decode(F.regexp_extract("file", STEM, 1)).alias("category"), F.col("line_number").alias("pos"), "word")
 
 
@@ -93,7 +85,7 @@ def read_labelled_lines(spark: SparkSession, paths: Mapping[str, str]) -> DataFr
     """(text, label, source_file, source_line, source_order) of line files by label; blank and # lines go."""
     out = None
     for i, (label, path) in enumerate(paths.items()):
-        rows = _whole_lines(spark, path, None).withColumn("text", trim(F.col("line"))).where((F.col("text") != "") & ~F.col("text").startswith("#"))
+        rows = numbered_lines(spark, path, None).withColumn("text", trim(F.col("line"))).where((F.col("text") != "") & ~F.col("text").startswith("#"))
         part = rows.select("text", F.lit(label).alias("label"), F.regexp_extract("file", r"([^/\\]+)$", 1).alias("source_file"), F.col("line_number").alias("source_line"), F.lit(i).alias("source_order"))
         out = part if out is None else out.unionByName(part)
     return out
