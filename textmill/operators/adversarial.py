@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions import fixed_values as V
 from textmill.operators.cleaning import stable_id
+from textmill.operators.tables import side, stored
 
 #: An entry of a substitution map: (variant, target, confidence, level, rationale, kind).
 Entry = tuple[str, str, float, str, str, str]
@@ -224,24 +225,37 @@ def build_v1(seeds: DataFrame, rules: Rules, order: str, most: int = 10, text: s
 def build_v2(seeds: DataFrame, rules: Rules, order: str, targets: Mapping[str, int] = V.KIND_TARGETS, text: str = "text", label: str = "label", kinds: Sequence[str] = V.KINDS) -> DataFrame:
     """Strict variants, of each (kind, label) the first in seed order up to the label's quota, every text once
     in all. Blocks of (kind, label) go in order. A block needs at most its quota of rows besides those that
-    earlier blocks took, so each block's first quota + (all quotas before it) distinct texts are enough: that
-    bounded table decides."""
+    earlier blocks took, so each block's first quota + (all quotas before it) distinct texts are enough: that bounded table
+    of hashes decides. A text that several seeds of a block give comes from the first of them."""
     rows = variants(seeds.where(F.col(label).isin(*targets)), rules, kinds, text, label)
-    labels = list(targets)
+    keys = {"_h": F.sha2("adversarial_text", 256), "_label": F.array_position(F.array(*map(F.lit, targets)), F.col(label))}
+    rows = stored(rows.withColumns(keys).withColumn("_block", F.col("kind_order") * len(targets) + F.col("_label")), "variants")
     bound = sum(targets.values()) * len(kinds)
-    distinct = rows.groupBy("kind_order", "perturbation_type", label, "adversarial_text").agg(F.min(order).alias(order))
-    top = distinct.withColumn("_n", F.row_number().over(Window.partitionBy("kind_order", label).orderBy(order, "adversarial_text"))).where(F.col("_n") <= bound).drop("_n")
-    found = sorted(top.collect(), key=lambda r: (r["kind_order"], labels.index(r[label]), r[order], r["adversarial_text"]))  # at most blocks x bound rows
-    taken, used, count = [], set(), {}
-    for r in found:
-        block = (r["kind_order"], r[label])
-        if r["adversarial_text"] not in used and count.get(block, 0) < targets[r[label]]:
-            used.add(r["adversarial_text"])
-            count[block] = count.get(block, 0) + 1
-            taken.append((r["perturbation_type"], r[label], r["adversarial_text"], r[order]))
-    kind = seeds.schema[order].dataType.simpleString()
-    chosen = seeds.sparkSession.createDataFrame(taken, f"perturbation_type string, {label} string, adversarial_text string, {order} {kind}")
-    return _ids(rows.join(F.broadcast(chosen), ["perturbation_type", label, "adversarial_text", order], "left_semi"), text, label, "adversarial_v2")
+    # a text's hash stands for it from here on
+    distinct = rows.groupBy("_block", label, "_h").agg(F.min(F.struct(order, "adversarial_text")).alias("_first"))
+    heads = distinct.withColumn("_n", F.row_number().over(Window.partitionBy("_block").orderBy("_first"))).where(F.col("_n") <= bound)
+    quota = F.create_map(*[F.lit(x) for pair in targets.items() for x in pair])[F.col(label)]
+    chosen = stored(greedy_blocks(heads.select("_block", "_n", "_h", F.col(f"_first.{order}").alias(order), quota.alias("_quota"))), "chosen")
+    return _ids(rows.join(side(chosen), ["_block", "_h", order], "left_semi").drop("_h", "_label", "_block"), text, label, "adversarial_v2")
+
+
+def greedy_blocks(heads: DataFrame) -> DataFrame:
+    """Of (_block, _n: place in it, _h, _quota, …) the rows that blocks take in order, each its first _quota whose _h no earlier
+    row took; a block has an _h once.
+
+    Rounds: a row within its block's quota of rows left is taken for sure if no row before it has its _h; rows after it with that
+    _h go, and so does all beyond the quota of a block whose rows within it are all sure. The first block that isn't settled
+    is settled in every round, and all others that share nothing with blocks before them."""
+    left, in_block, of_text = heads, Window.partitionBy("_block"), Window.partitionBy("_h").orderBy("_block", "_n")
+    while True:
+        placed = left.withColumn("_in", F.row_number().over(in_block.orderBy("_n")) <= F.col("_quota"))
+        placed = placed.withColumn("_sure", F.col("_in") & (F.row_number().over(of_text) == 1))
+        placed = placed.withColumn("_gone", F.coalesce(F.bool_or("_sure").over(of_text.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
+        placed = placed.withColumn("_settled", F.bool_and(~F.col("_in") | F.col("_sure")).over(in_block))
+        left = stored(placed.where(~F.col("_gone") & (F.col("_in") | ~F.col("_settled"))), "heads")
+        if not left.where(~F.col("_sure")).limit(1).count():
+            return left.drop("_in", "_sure", "_gone", "_settled", "_quota", "_n")
+        left = left.drop("_in", "_sure", "_gone", "_settled")
 
 
 def build_v3(v2: DataFrame, rules: Rules, seeds: DataFrame, order: str, text: str = "text", label: str = "label", dropped: Sequence[str] = V.DEPRECATED_KINDS) -> DataFrame:

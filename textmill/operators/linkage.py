@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmill.operators.tables import numbered, side, stored
+
 #: Kinds of equality, the strongest first; keys are given as Columns by kind.
 Keys = Mapping[str, Column]
 
@@ -77,26 +79,47 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def _prefixes(sets: DataFrame, df: DataFrame, threshold: float) -> DataFrame:
-    """Each set under its |A| - ceil(t |A|) + 1 rarest members: two sets of the similarity share one of them."""
-    members = sets.select("id", "size", F.explode("members").alias("member")).join(df.hint("shuffle_hash"), "member")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "member"))
-    return members.withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - F.lit(1e-9)) + 1).select("id", "size", "member")
+def _least_overlap(threshold: float, a: str, b: str) -> Column:
+    """How many members two sets of these sizes share at least, if their Jaccard similarity is the threshold or more."""
+    return F.ceil(F.lit(threshold / (1 + threshold)) * (F.col(a) + F.col(b)) - F.lit(1e-9))
+
+
+def ranked_sets(sides: Sequence[DataFrame], threshold: float, id_col: str = "id", members_col: str = "members") -> list[DataFrame]:
+    """(id, size, ranks) of the sets of each side whose size some set of the other side can match, as one stored table: members as
+    numbers in order of how many sets hold them, ascending, so rare members come first."""
+    own = [x.select(F.lit(i).alias("side"), F.col(id_col).alias("id"), F.array_distinct(members_col).alias("members")).withColumn("size", F.size("members")).where("size > 0") for i, x in enumerate(sides)]
+    both = stored(own[0].unionByName(own[1]), "sets")
+    spans = {r["side"]: (r["low"], r["high"]) for r in both.groupBy("side").agg(F.min("size").alias("low"), F.max("size").alias("high")).collect()}  # a row a side
+    low, high = (F.create_map(*[F.lit(x) for i in (0, 1) for x in (i, spans.get(1 - i, (0, -1))[k])])[F.col("side")] for k in (0, 1))
+    members = both.where((F.col("size") >= threshold * low) & (F.col("size") * threshold <= high)).select("side", "id", "size", F.explode("members").alias("member"))
+    often = members.groupBy("member").agg(F.count("*").alias("df"))
+    words = numbered(often, ["df", "member"], "rank").select("member", "rank")
+    sets = members.join(side(words), "member").groupBy("side", "id").agg(F.any_value("size").alias("size"), F.sort_array(F.collect_list("rank")).alias("ranks"))
+    sets = stored(sets, "ranked")
+    return [sets.where(F.col("side") == i).drop("side") for i in (0, 1)]
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(left_id, right_id) of ranked sets that may have the similarity. An index holds each set's |A| - ceil(t |A|) + 1 rarest
+    members with their positions; two sets of the similarity share one of them. At a meeting no more can be shared than what
+    lies before and behind it in the smaller part; when all meetings of a pair are together, those before the last one are
+    known one by one."""
+    index = lambda x, p: x.select(F.col("id").alias(f"{p}_id"), F.col("size").alias(f"{p}_size"), F.posexplode(F.slice("ranks", F.lit(1), (F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - F.lit(1e-9)) + 1).cast("int"))).alias(f"{p}_at", "rank"))
+    rest = F.least(F.col("left_size") - F.col("left_at"), F.col("right_size") - F.col("right_at")) - 1
+    need = _least_overlap(threshold, "left_size", "right_size")
+    met = index(left, "left").join(index(right, "right").hint("merge"), "rank")
+    met = met.where((F.col("left_size") >= threshold * F.col("right_size")) & (F.col("right_size") >= threshold * F.col("left_size")) & (F.least("left_at", "right_at") + 1 + rest >= need))
+    pairs = met.groupBy("left_id", "right_id").agg(F.count("*").alias("met"), F.max_by(F.struct(rest.alias("rest"), need.alias("need")), "rank").alias("last"))
+    # a pair of the similarity has kept all its meetings, as the bound holds at each of them
+    return pairs.where(F.col("met") + F.col("last.rest") >= F.col("last.need")).select("left_id", "right_id")
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, id_col: str = "id", members_col: str = "members") -> DataFrame:
-    """All (left_id, right_id, similarity) of Jaccard threshold or more: sets meet by their rarest members, the
-    sizes must allow the similarity, exact Jaccard decides. Sets whose size no set of the other side can
-    match are left out before anything is exploded."""
-    sets = [x.select(F.col(id_col).alias("id"), F.col(members_col).alias("members"), F.size(members_col).alias("size")).where("size > 0") for x in (left, right)]
-    spans = [x.agg(F.min("size").alias("low"), F.max("size").alias("high")) for x in sets]
-    fit = [a.join(F.broadcast(s), (F.col("size") >= threshold * F.col("low")) & (F.col("size") * threshold <= F.col("high"))).drop("low", "high") for a, s in zip(sets, reversed(spans), strict=True)]  # spans: one row
-    both = fit[0].select(F.explode("members").alias("member")).unionAll(fit[1].select(F.explode("members").alias("member")))
-    df = both.groupBy("member").agg(F.count("*").alias("df"))
-    a = _prefixes(fit[0], df, threshold).toDF("left_id", "left_size", "member")
-    b = _prefixes(fit[1], df, threshold).toDF("right_id", "right_size", "member")
-    pairs = a.join(b.hint("shuffle_hash"), "member").where((F.col("left_size") >= threshold * F.col("right_size")) & (F.col("right_size") >= threshold * F.col("left_size"))).select("left_id", "right_id").distinct()
-    full = pairs.join(fit[0].select(F.col("id").alias("left_id"), F.col("members").alias("_a")).hint("shuffle_hash"), "left_id").join(fit[1].select(F.col("id").alias("right_id"), F.col("members").alias("_b")).hint("shuffle_hash"), "right_id")
+    """All (left_id, right_id, similarity) of Jaccard threshold or more, found through an index of their rarest members with
+    positions and decided on the whole sets. Ids tell the rows of a side apart; empty and null sets are similar to none."""
+    a, b = ranked_sets([left, right], threshold, id_col, members_col)
+    pairs = stored(candidate_pairs(a, b, threshold), "pairs")
+    full = pairs.join(a.select(F.col("id").alias("left_id"), F.col("ranks").alias("_a")).hint("merge"), "left_id").join(b.select(F.col("id").alias("right_id"), F.col("ranks").alias("_b")).hint("merge"), "right_id")
     return full.select("left_id", "right_id", jaccard(F.col("_a"), F.col("_b")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
