@@ -10,6 +10,7 @@ import re
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,14 +25,36 @@ Lexicons = Mapping[str, Sequence[str]]
 Rules = Sequence[tuple[str, str, str, int, str]]
 
 
+#: A detector of the user's own: text -> array of detections.
+Detector = Callable[[Column], Column]
+
+
 class Pack:
-    """A rule pack: lexicons by category (kept in ascending order of category), regex rules, and maps."""
+    """A rule pack: lexicons by category (kept in ascending order of category), regex rules, maps, and detectors of the user's own
+    by name, which come after the rules in their order; `off` names those that are switched off (keyword and regex too)."""
 
-    def __init__(self, lexicons: Lexicons, rules: Rules, maps=None):
+    def __init__(self, lexicons: Lexicons, rules: Rules, maps=None, detectors: Mapping[str, Detector] | None = None, off: Sequence[str] = ()):
         from .normalize import Maps
 
         self.lexicons = {c: tuple(lexicons[c]) for c in sorted(lexicons)}
-        self.rules, self.maps = tuple(rules), maps or Maps()
+        self.rules, self.maps, self.detectors, self.off = tuple(rules), maps or Maps(), dict(detectors or {}), frozenset(off)
+        absent = self.off - {"keyword", "regex", *self.detectors}
+        if absent or {"keyword", "regex"} & self.detectors.keys():
+            raise ValueError(f"there are no detectors {sorted(absent)}" if absent else "keyword and regex are the pack's own detectors")
+
+
+def user_detector(find: Callable[[str], list[dict]]) -> Detector:
+    """A detector of a Python function from one text to detections, dicts of category, level, score, reason, source and
+    matches (absent: null), run on Arrow batches. Null text has none; the function isn't called for it."""
+    names = ("category", "level", "score", "reason", "source", "matches")
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string())]
+    kind = pa.list_(pa.struct(list(zip(names, kinds, strict=True))))
+
+    @F.arrow_udf(DETECTIONS)
+    def found(texts: pa.Array) -> pa.Array:
+        return pa.array([[] if t is None else [{n: d.get(n) for n in names} for d in find(t)] for t in texts.to_pylist()], kind)
+
+    return found.asNondeterministic()
 
 
 def detection(category, level, score, reason, source, matches: Column) -> Column:
@@ -80,8 +103,10 @@ def detect_regex(text: Column, rules: Rules) -> Column:
 
 
 def detect_rules(text: Column, pack: Pack) -> Column:
-    """D3."""
-    return F.concat(detect_keywords(text, pack.lexicons), detect_regex(text, pack.rules))
+    """D3, and the detectors of the user's own."""
+    made = {"keyword": lambda t: detect_keywords(t, pack.lexicons), "regex": lambda t: detect_regex(t, pack.rules), **pack.detectors}
+    parts = [find(text) for name, find in made.items() if name not in pack.off]
+    return F.concat(*parts) if parts else no_detections()
 
 
 def detect_high_risk(text: Column, phrases: Mapping[str, Sequence[str]] = V.HIGH_RISK) -> Column:

@@ -6,9 +6,10 @@ stays null in every step.
 
 from __future__ import annotations
 
+import copy
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import pyarrow as pa
@@ -123,17 +124,52 @@ def norm_repeat(text: Column, most: int = 2) -> Column:
     return F.regexp_replace(text, rf"(?s)(.)\1{{{most},}}", "$1" * most)
 
 
+Step = Callable[[Column], Column]
+
+
+def user_function(change: Callable[[str], str]) -> Step:
+    """A step of a Python function on one text, run on Arrow batches. Null stays null; the function isn't called for it."""
+
+    @F.arrow_udf(T.StringType())
+    def changed(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else change(t) for t in texts.to_pylist()], pa.string())
+
+    return _kept_apart(changed)
+
+
 class Maps:
-    """The substitution maps of a rule pack, each a sequence of (source, target)."""
+    """What normalization works with: the substitution maps of a rule pack, each a sequence of (source, target); steps of the
+    user's own, and the names of steps that are switched off."""
 
     def __init__(self, emoji: Entries = (), symbol: Entries = (), variant: Entries = (), homophone: Entries = (), pinyin: Entries = (), abbreviation: Entries = ()):
         self.emoji, self.symbol, self.variant = tuple(emoji), tuple(symbol), tuple(variant)
         self.homophone, self.pinyin, self.abbreviation = tuple(homophone), tuple(pinyin), tuple(abbreviation)
-
-
-def steps(maps: Maps) -> list[tuple[str, object]]:
-    """The named steps in their order, each a function of a Column."""
-    return [
+        self.own: tuple[tuple[str, Step, str | None], ...] = ()
+        self.off: frozenset[str] = frozenset()
+
+    def with_step(self, name: str, step: Step, before: str | None = None) -> Maps:
+        """A copy with one more step, a function of a Column (user_function makes one of a Python function), before the first
+        step of that name, else last. Steps for one place keep the order in which they were added."""
+        names = [n for n, _ in steps(self, every=True)]
+        if name in names or (before is not None and before not in names):
+            raise ValueError(f"step {name}: the name is taken" if name in names else f"there is no step {before}")
+        out = copy.copy(self)
+        out.own = (*self.own, (name, step, before))
+        return out
+
+    def without(self, *names: str) -> Maps:
+        """A copy with these steps switched off, wherever they stand."""
+        absent = set(names) - {n for n, _ in steps(self, every=True)}
+        if absent:
+            raise ValueError(f"there are no steps {sorted(absent)}")
+        out = copy.copy(self)
+        out.off = self.off | set(names)
+        return out
+
+
+def steps(maps: Maps, every: bool = False) -> list[tuple[str, Step]]:
+    """The named steps in their order, each a function of a Column; those switched off only with `every`."""
+    made = [
         ("unicode", norm_unicode),
         ("case", norm_case),
         ("emoji", lambda t: norm_map(t, maps.emoji)),
@@ -146,6 +182,10 @@ def steps(maps: Maps) -> list[tuple[str, object]]:
         ("abbreviation", lambda t: norm_token_map(t, maps.abbreviation)),
         ("noise_char", norm_noise),
     ]
+    for name, step, before in maps.own:
+        at = next((i for i, (n, _) in enumerate(made) if n == before), len(made))
+        made.insert(at, (name, step))
+    return [(n, f) for n, f in made if every or n not in maps.off]
 
 
 def normalize(text: Column, maps: Maps) -> Column:

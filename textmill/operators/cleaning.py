@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions.fixed_values import LABELS
 from textmill.functions.normalize import trim
+from textmill.operators.tables import side, stored
 from textmill.sources.lines import text_lines
 
 UNIT = "\x1f"
@@ -69,9 +70,24 @@ def audit_issues(df: DataFrame, text: str = "text", label: str = "label", row: s
     return df.select(F.col(row).alias("row_number"), F.explode(issues).alias("issue"))
 
 
+def duplicate_classes(df: DataFrame, text: str = "text", label: str = "label", row: str = "row_number") -> DataFrame:
+    """Texts that occur more than once: text, count, labels, first_row. Counted within tasks first, so copies that are a third
+    of all rows are no large group."""
+    found = df.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("text")).agg(F.count("*").alias("count"), F.array_sort(F.collect_set(label)).alias("labels"), F.min(row).alias("first_row"))
+    return found.where("count > 1").select("text", "count", F.array_join("labels", "|").alias("labels"), "first_row")
+
+
+def duplicate_members(df: DataFrame, text: str = "text", row: str = "row_number") -> DataFrame:
+    """The rows of these classes one by one: row, first_row, count. Texts travel as hashes; the classes are joined, and a
+    large one's rows may be split over tasks."""
+    keyed = df.where(F.col(text).isNotNull()).select(F.col(row).alias("row"), F.sha2(text, 256).alias("_key"))
+    classes = stored(keyed.groupBy("_key").agg(F.count("*").alias("count"), F.min("row").alias("first_row")).where("count > 1"), "classes")
+    return keyed.join(side(classes), "_key").select("row", "first_row", "count")
+
+
 def duplicate_groups(df: DataFrame, text: str = "text", label: str = "label", row: str = "row_number") -> DataFrame:
-    """Texts that occur more than once: count, labels, row numbers. The list of rows is the report's
-    content; its group sizes are those of the copies."""
+    """C5 as the report has it: text, count, labels and the list of row numbers, which is as long as the group is large: for
+    reports of moderate groups. duplicate_classes and duplicate_members say the same in rows."""
     found = df.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("text")).agg(F.count("*").alias("count"), F.array_sort(F.collect_set(label)).alias("labels"), F.array_sort(F.collect_list(F.col(row))).alias("rows"))
     return found.where("count > 1").select("text", "count", F.array_join("labels", "|").alias("labels"), F.array_join(F.transform("rows", lambda x: x.cast("string")), "|").alias("row_numbers"))
 

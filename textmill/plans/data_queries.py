@@ -178,6 +178,16 @@ def c5(spark, sf):
     return C.duplicate_groups(table(spark, sf, "documents"), "text", "lang", "doc_id").withColumn("text", F.md5("text"))
 
 
+@query("c5_duplicate_classes", "select md5(text) as text, count(*) as count, array_to_string(list_sort(list(distinct lang)), '|') as labels, min(doc_id) as first_row from documents where text is not null group by text having count(*) > 1")
+def c5_classes(spark, sf):
+    return C.duplicate_classes(table(spark, sf, "documents"), "text", "lang", "doc_id").withColumn("text", F.md5("text"))
+
+
+@query("c5_duplicate_members", "select doc_id as row, min(doc_id) over (partition by text) as first_row, count(*) over (partition by text) as count from documents where text is not null qualify count(*) over (partition by text) > 1")
+def c5_members(spark, sf):
+    return C.duplicate_members(table(spark, sf, "documents"), "text", "doc_id")
+
+
 @query("c6_conflicting_labels", "select md5(text) as text, count(*) as count, array_to_string(list_sort(list(distinct source)), '|') as labels from documents where text is not null group by text having count(distinct source) > 1")
 def c6(spark, sf):
     return C.conflicting_labels(table(spark, sf, "documents"), "text", "source").withColumn("text", F.md5("text"))
@@ -996,8 +1006,9 @@ def s2(spark, sf):
     bad = F.col("user_id") % 7 == 0
     rules = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("name"), F.col("event_type").alias("category"), F.when(bad, "(").otherwise(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("pattern")).distinct()
     path = place(spark, "rules")
-    # a rule file is one small array
-    rules.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).write.text(path)
+    # a rule file is one small array: the rules of ten users
+    one = rules.groupBy(F.expr("cast(name as bigint) div 10").alias("b")).agg(F.to_json(F.collect_list(F.struct("*"))).alias("value"))
+    one.repartition("b").write.partitionBy("b").text(path)
     return S.read_regex_rules(spark, path).groupBy("category").agg(F.count("*").alias("rules"))
 
 
@@ -1007,9 +1018,9 @@ def s3(spark, sf):
     key = F.concat(F.lit("u"), F.col("user_id").cast("string"))
     value = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit('"t'), F.col("user_id").cast("string"), F.lit('"'))).otherwise(F.concat(F.lit('{"target":"t'), F.col("user_id").cast("string"), F.lit('","confidence":0.9}')))
     path = place(spark, "map")
-    # map files are small: one object in one file
-    one = users.select(F.concat(F.lit('"'), key, F.lit('":'), value).alias("e")).agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list("e")), ","), F.lit("}")).alias("value"))
-    one.write.text(path)
+    # a map file is one small object: the entries of a hundred users
+    one = users.select(F.expr("user_id div 100").alias("b"), F.concat(F.lit('"'), key, F.lit('":'), value).alias("e")).groupBy("b").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list("e")), ","), F.lit("}")).alias("value"))
+    one.repartition("b").write.partitionBy("b").text(path)
     return S.read_map(spark, path).agg(F.count("*").alias("entries"), F.count_if(F.col("confidence").isNull()).alias("plain"))
 
 
@@ -1077,7 +1088,7 @@ def s11(spark, sf):
 
 @query("s12_label_catalog_rows", "with l as (select lang as label, source as scenario, md5(text) as t, row_number() over (partition by lang, source order by md5(text)) - 1 as pos from (select distinct lang, source, text from documents)) select label, case when pos < 10 then 'medium' else 'high' end as risk_level, count(*) as rows, count(distinct substr(sha256(label || chr(31) || t), 1, 16)) as ids from l group by all")
 def s12(spark, sf):
-    texts = table(spark, sf, "documents").groupBy(F.col("lang").alias("label"), F.col("source").alias("scenario")).agg(F.array_sort(F.collect_set(F.md5("text"))).alias("texts"))
+    texts = S.catalog_places(table(spark, sf, "documents").select("lang", "source", F.md5("text").alias("t")), "lang", "source", "t")
     return S.label_catalog_rows(texts, "catalog").groupBy("label", "risk_level").agg(F.count("*").alias("rows"), F.count_distinct("sample_id").alias("ids"))
 
 

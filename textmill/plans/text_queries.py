@@ -77,6 +77,18 @@ def n8(spark, sf):
     return df.select("doc_id", F.md5("normalized").alias("md5"), F.array_join(F.transform("steps", lambda s: s["normalizer"]), ",").alias("changed"))
 
 
+_C = "array_to_string([lower(x) for x in string_split(text, 'C++')], 'C++')"
+
+
+@query("n8_user_steps", f"""with a as (select doc_id, text as t0, {_C} as t1 from documents), b as (select *, replace(t1, 'ou', 'u') as t2 from a), c as (select *, replace(t2, '|', ' ') as t3 from b), d as (select *, replace(t3, 'th', 'z') as t4 from c)
+select doc_id, md5(t4) as md5, array_to_string([n for n in [case when t0 <> t1 then 'case' end, case when t1 <> t2 then 'short_ou' end, case when t2 <> t3 then 'emoji' end, case when t3 <> t4 then 'th' end] if n is not null], ',') as steps from d""")
+def n8_user(spark, sf):
+    """Two steps of the user's own, one in Python and one of Columns; those that SQL can't say are switched off."""
+    own = N.Maps(emoji=[("|", " ")]).with_step("short_ou", N.user_function(lambda t: t.replace("ou", "u")), before="emoji").with_step("th", lambda t: F.replace(t, F.lit("th"), F.lit("z")))
+    df = N.normalize_with_trace(docs(spark, sf), "text", own.without("unicode", "noise_char", "repeat_char"))
+    return df.select("doc_id", F.md5("normalized").alias("md5"), F.array_join(F.transform("steps", lambda x: x["normalizer"]), ",").alias("steps"))
+
+
 @query("n9_map_match_counts", f"""with a as (select doc_id, text as t0, replace(text, 'shuns', 'SHUNS') as t1 from documents), b as (select *, replace(t1, 'tion', 'shun') as t2 from a), c as (select *, replace(t2, 'the', 'da') as t3 from b),
 m as (select doc_id, unnest([{{'source': 'shuns', 'count': (length(t0) - length(replace(t0, 'shuns', ''))) // 5}}, {{'source': 'tion', 'count': (length(t1) - length(replace(t1, 'tion', ''))) // 4}}, {{'source': 'the', 'count': (length(t2) - length(replace(t2, 'the', ''))) // 3}}, {{'source': 'nd', 'count': (length(t3) - length(replace(t3, 'nd', ''))) // 2}}]) as m from c)
 select doc_id, m.source as source, m.count::BIGINT as count from m where m.count > 0""")
@@ -178,6 +190,17 @@ def d3(spark, sf):
 PHRASES = {"ad": ["withthe", "Andthe"], "illegal": ["ofthe"], "self_harm": ["undder"]}
 
 
+@query("d3_user_detector", f"with {FOUND_SQL} select doc_id, category, source, matches from (select doc_id, category, 'regex' as source, matches from rx union all select doc_id, 'privacy', 'long_number', array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[0-9]{{6,}}'))), '|') from documents where regexp_matches(text, '[0-9]{{6,}}'))")
+def d3_user(spark, sf):
+    """A detector of the user's own beside the regex rules, keywords switched off."""
+    import re
+
+    find = lambda t: [{"category": "privacy", "level": "low", "score": 20, "source": "long_number", "matches": sorted(m)} for m in [set(re.findall("[0-9]{6,}", t))] if m]
+    pack = D.Pack(LEXICONS, RULES, detectors={"long_number": D.user_detector(find)}, off=["keyword"])
+    df = docs(spark, sf).select("doc_id", F.explode(D.detect_rules(F.col("text"), pack)).alias("d"))
+    return df.select("doc_id", "d.category", "d.source", F.array_join(F.array_sort("d.matches"), "|").alias("matches"))
+
+
 @query("d4_detect_high_risk_phrases", "with p as (select * from (values " + ", ".join(f"('{c}', {i}, '{w}')" for c, ws in PHRASES.items() for i, w in enumerate(ws)) + ") t(category, pos, word)) select doc_id, category, string_agg(word, '|' order by pos) as matches from documents join p on contains(lower(regexp_replace(text, '\\s+', '', 'g')), lower(word)) group by doc_id, category")
 def d4(spark, sf):
     df = docs(spark, sf).select("doc_id", F.explode(D.detect_high_risk(F.col("text"), PHRASES)).alias("d"))

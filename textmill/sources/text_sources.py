@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from textmill.functions.detect import compiles, confidence_bucket
 from textmill.functions.normalize import trim
+from textmill.operators.tables import numbered, side, stored
 from textmill.sources.lines import numbered_lines
 
 STEM = r"([^/\\]+?)(?:\.[^./\\]*)?$"
@@ -40,16 +42,20 @@ def _exists(read) -> DataFrame | None:
         raise
 
 
+@F.arrow_udf(T.BooleanType())
+def _compiles(patterns: pa.Array) -> pa.Array:
+    return pa.array([p is not None and compiles(p) for p in patterns.to_pylist()], pa.bool_())
+
+
 RULE_SCHEMA = "name string, category string, pattern string, level string, score int, reason string"
 
 
 def read_regex_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Rules whose pattern isn't empty and compiles; an absent file has none."""
+    """Rules whose pattern isn't empty and compiles; an absent file has none. Patterns are checked in tasks."""
     found = _exists(lambda: spark.read.schema(RULE_SCHEMA).json(path, multiLine=True))
     if found is None:
         return spark.createDataFrame([], RULE_SCHEMA)
-    good = [r.asDict() for r in found.where("pattern <> ''").collect() if compiles(r["pattern"])]  # a rule file
-    return spark.createDataFrame(good, RULE_SCHEMA) if good else spark.createDataFrame([], RULE_SCHEMA)
+    return found.where("pattern <> ''").where(_compiles("pattern"))
 
 
 MAP_COLUMNS = ("source", "target", "type", "category_hint", "confidence", "confidence_score", "rationale")
@@ -146,10 +152,19 @@ def sample_union(tables: Mapping[str, tuple[DataFrame, str, str, Sequence[str],
     return out
 
 
+def catalog_places(df: DataFrame, label: str, scenario: str, text: str) -> DataFrame:
+    """(label, scenario, pos, text): the distinct texts of each label and scenario with their places from 0, in order of the text.
+    Places come from one numbering of all rows in ranges, so a label that most rows have isn't one task."""
+    rows = numbered(df.select(F.col(label).alias("label"), F.col(scenario).alias("scenario"), F.col(text).alias("text")).distinct(), ["label", "scenario", "text"])
+    first = stored(rows.groupBy("label", "scenario").agg(F.min("index").alias("_first")), "first")
+    same = rows.alias("r").join(side(first).alias("f"), F.col("r.label").eqNullSafe(F.col("f.label")) & F.col("r.scenario").eqNullSafe(F.col("f.scenario")))
+    return same.select("r.label", "r.scenario", (F.col("index") - F.col("_first")).alias("pos"), "text")
+
+
 def label_catalog_rows(catalog: DataFrame, source_type: str, sanitize_first: int = 10) -> DataFrame:
-    """A catalogue (label, scenario, texts: array) as candidate rows: normal passes; of a risk label's texts the
-    first `sanitize_first` are medium and to be sanitized, the others high and to be blocked."""
-    rows = catalog.select("label", "scenario", F.posexplode("texts").alias("pos", "text"))
+    """A catalogue (label, scenario, texts: array; or a row a text: pos from 0, text) as candidate rows: normal passes; of
+    a risk label's texts the first `sanitize_first` are medium and to be sanitized, the others high and to be blocked."""
+    rows = catalog.select("label", "scenario", F.posexplode("texts").alias("pos", "text")) if "texts" in catalog.columns else catalog.select("label", "scenario", "pos", "text")
     soft = F.col("pos") < sanitize_first
     return rows.select(
         F.concat(F.lit("siev1_"), F.substring(F.sha2(F.concat_ws("\x1f", "label", "text"), 256), 1, 16)).alias("sample_id"), "text", "label",
