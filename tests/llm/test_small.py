@@ -574,6 +574,29 @@ def test_common_license_lines(spark):
     assert len(license_scan.rules()) >= 300
 
 
+def test_license_20000_matches_in_one_text(spark):
+    """Time in proportion: forty times the matches take a few times as long, most of which is planning."""
+    import time
+
+    took = []
+    for n in (500, 10_000):
+        one = spark.createDataFrame([(1, "under the mit license and gpl v2 " * n)], "doc_id long, text string")
+        began = time.time()
+        found = license_scan.scan_licenses(one).first()["detections"]
+        took.append(time.time() - began)
+        assert len(found) == n and [d["start"] for d in found] == sorted(d["start"] for d in found)
+    assert took[1] < 4 * took[0] + 10
+
+
+def test_running_maximum(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [[rng.randrange(-1, 50) for _ in range(n)] for n in (0, 1, 2, 127, 128, 129, 500)]
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, v array<int>").select("i", license_scan.let(F.col("v"), license_scan._before).alias("b")).orderBy("i").collect()
+    assert [r["b"] for r in got] == [[max([-1, *v[:k]]) for k in range(len(v))] for v in rows]
+
+
 def test_license_matches_of_a_long_text(spark):
     """Against plain Python: all matches, and which of them stand."""
     import random

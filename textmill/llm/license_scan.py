@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textmill.functions.columns import let
+
 from .common import table, text_of
 
 #: What separates words: ASCII other than digits and letters.
@@ -382,32 +384,50 @@ def _detections(hits: Column) -> Column:
     return F.array_sort(F.flatten(F.transform(hits, lambda x: F.transform(x["hits"], lambda h: one(x["rule"], h)))))
 
 
+#: Places of a block of the running maximum.
+BLOCK = 128
+
+
+def _before(values: Column) -> Column:
+    """For each place of an array the largest value before it, -1 for none: that of the blocks before its own, then of at most
+    BLOCK values. values must be bound (let), so that it isn't made anew at each place."""
+    top = lambda x: F.coalesce(F.array_max(x), F.lit(-1))
+    blocks = F.transform(F.sequence(F.lit(0), (F.size(values) / BLOCK).cast("int")), lambda c: top(F.slice(values, c * BLOCK + 1, F.lit(BLOCK))))
+    placed = lambda tops: F.transform(values, lambda _, i: F.greatest(F.get(tops, (i / BLOCK).cast("int")), top(F.slice(values, i - F.pmod(i, F.lit(BLOCK)) + 1, F.pmod(i, F.lit(BLOCK))))))
+    return let(blocks, lambda b: let(F.transform(b, lambda _, c: top(F.slice(b, F.lit(1), c))), placed))
+
+
 def _stand(found: Column) -> Column:
     """The sorted matches without suppressed ones. What can hold a match stands before it, so the largest stop
-    up to it, of a higher priority or before its own interval's first match of the same, tells. The look back is a
-    primitive maximum: some nanoseconds a pair, so 10,000 matches in one text cost under a second or so."""
-    key = F.transform(found, lambda x: x["start"].cast("long") * F.lit(1 << 32) - x["back"])
-    with_key = F.arrays_zip(found.alias("x"), key.alias("key"))
+    up to it, of a higher priority or before its own interval's first match of the same, tells. These running maxima are made
+    once a level, so a text's matches cost time in proportion but for one step in BLOCK squared."""
     levels = sorted({r[3] for r in rules()})
 
-    def stops_at(p: int) -> Column:
-        return F.transform(found, lambda x: F.when(x["rank"] == -p, -x["back"]).otherwise(-1))
+    def stand(own: Column) -> Column:
+        key = F.transform(own, lambda x: x["start"].cast("long") * F.lit(1 << 32) - x["back"])
+        new = lambda k: F.transform(k, lambda x, i: F.when((i > 0) & (F.get(k, i - 1) == x), F.lit(0)).otherwise(i))
+        # where the first match of the same interval stands
+        first = let(let(key, new), lambda f: F.zip_with(_before(f), f, lambda a, b: F.greatest(a, b)))
+        stops = lambda p: F.transform(own, lambda x: F.when(x["rank"] == -p, -x["back"]).otherwise(-1))
+        runs = F.struct(first.alias("first"), *(let(stops(p), _before).alias(f"p{k}") for k, p in enumerate(levels)))
+
+        def kept(made: Column) -> Column:
+            def keep(x: Column, i: Column) -> Column:
+                held = F.lit(False)
+                for k, p in enumerate(levels):
+                    before = F.when(x["rank"] == -p, F.get(made["first"], i)).otherwise(i)
+                    held = held | ((x["rank"] >= -p) & (F.get(made[f"p{k}"], before) >= -x["back"]))
+                return ~held
+
+            return F.filter(own, keep)
 
-    stops = {p: stops_at(p) for p in levels}
+        return let(runs, kept)
 
-    def keep(x: Column, i: Column) -> Column:
-        stop, rank = -x["x"]["back"], x["x"]["rank"]
-        held = F.lit(False)
-        for p in levels:
-            before = F.when(rank == -p, F.array_position(key, x["key"]) - 1).otherwise(i.cast("long"))
-            longest = F.coalesce(F.array_max(F.slice(stops[p], 1, before.cast("int"))), F.lit(-1))
-            held = held | ((rank >= -p) & (longest >= stop))
-        return ~held
+    def strong(kept: Column) -> Column:
+        return let(F.exists(kept, lambda x: x["rank"] < 0), lambda some: F.filter(kept, lambda x: (x["rank"] < 0) | ~some))
 
-    kept = F.filter(with_key, keep)
-    strong = F.exists(kept, lambda x: x["x"]["rank"] < 0)
-    kept = F.filter(kept, lambda x: (x["x"]["rank"] < 0) | ~strong)
-    return F.transform(kept, lambda x: F.struct(x["x"]["start"].alias("start"), (-x["x"]["back"]).alias("stop"), (-x["x"]["rank"]).alias("priority"), x["x"]["label"].alias("label"), x["x"]["confidence"].alias("confidence")))
+    kept = let(let(found, stand), strong)
+    return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), (-x["back"]).alias("stop"), (-x["rank"]).alias("priority"), x["label"].alias("label"), x["confidence"].alias("confidence")))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
