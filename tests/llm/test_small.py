@@ -113,6 +113,35 @@ def test_private_keys_in_every_wrapping(name):
         assert secret_scan.scan(f"tls: {twice}") == [("key", 5, 5 + len(twice), True)]
 
 
+@pytest.mark.parametrize("name", PRIVATE)
+def test_hex_keys_stop_at_their_own_length(name):
+    body = PRIVATE[name].hex().upper()
+    for before, after in (("", "0A"), ("7", ""), ("00", "C0FFEE"), ("ABC", "D"), ("30820", "2D2D")):
+        assert spans(f"k {before}{body}{after}.", "hexkey") == [("hexkey", 2 + len(before), 2 + len(before) + len(body))]
+    for gap in ("\n", "\r\n    ", "\\n"):
+        wrapped = gap.join(body[i : i + 64] for i in range(0, len(body), 64))
+        assert spans(f"é {wrapped}{gap}bed time", "hexkey") == [("hexkey", 2, 2 + len(wrapped))]
+    low = body.lower()
+    assert secret_scan.scan(f"k 00{low}ff") == [("hex", 2, len(low) + 6, True)]
+    assert spans(f"k {body[:-2]}", "hexkey") == []
+    pem = (pem_of(PRIVATE[name]) + "\n").encode().hex().upper()
+    assert spans(pem, "hexkey") == [("hexkey", 0, len(pem) - 2)] and spans(f"{body}{body}", "hexkey") == [("hexkey", 0, len(body)), ("hexkey", len(body), 2 * len(body))]
+
+
+def test_keys_of_any_size():
+    def long_der(tag, body):
+        return bytes([tag, 0x84]) + len(body).to_bytes(4, "big") + body
+
+    big = long_der(0x30, number(1, 0) + b"".join(number(n) for n in (128, 3, 128, 64, 64, 64, 64)) + long_der(2, b"Z" * (3 << 20)))
+    run = base64_of(big)
+    assert spans(f"k {run} z", "key") == [("key", 2, 2 + len(run))]
+    assert spans(f"k {big.hex().upper()}", "hexkey") == [("hexkey", 2, 2 + 2 * len(big))]
+    many = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (40).to_bytes(4, "big") + 41 * ((9).to_bytes(4, "big") + b"publickey")
+    assert secret_scan.is_key(many) and not secret_scan.is_key(many[:-1])
+    lines = "\n".join(["MIIE" + "A" * 60] * 20_000)  # starts that each claim a key, in one run
+    assert spans(lines, "key") == []
+
+
 @pytest.mark.parametrize("name", PUBLIC)
 def test_public_keys_are_no_secrets(name):
     body = PUBLIC[name]

@@ -31,9 +31,12 @@ _NAMES = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{24,}")
-_HEX_RUN = re.compile(rb"[0-9a-fA-F]{48,}")
 #: A line end, as it is or escaped (as in a JSON string), with indents.
 _GAP = rb"[ \t]*+(?:\r?\n|\\+[nrt])[ \t]*+"
+_HEX_RUN = re.compile(rb"[0-9a-fA-F]{16,}+(?:" + _GAP + rb"[0-9a-fA-F]++)*+")
+_HEX_PART = re.compile(rb"[0-9a-fA-F]+|(" + _GAP + rb")")
+#: Where hex of a key starts: a DER sequence whose first field is a version or a sequence, an OpenSSH key, PEM text.
+_HEX_START = re.compile(rb"30(?=(?:[0-7][0-9a-f]|81[0-9a-f]{2}|82[0-9a-f]{4}|83[0-9a-f]{6}|84[0-9a-f]{8})(?:02010[013]|30))|6f70656e7373682d6b65792d7631(?=00)|2d2d2d2d2d424547494e20", re.IGNORECASE)
 _PEM_BEGIN = re.compile(rb"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----")
 _PEM_HEADER = re.compile(rb"(?:\s|\\+[nrt])*+[A-Za-z][A-Za-z0-9-]*: ?([^\r\n\\]*)")
 _PEM_GAP = re.compile(rb"\\+[nrt]|\s+")
@@ -43,6 +46,7 @@ _TOKEN = re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 #: places that a byte can have), and what may follow.
 _BASE64_START = re.compile(rb"(?<![A-Za-z0-9])(?:M[A-P](?=[A-Za-z0-9+/_-]{20})|b3BlbnNzaC1rZXktdjE)|LS0tLS1CRUdJTi|0tLS0tQkVHSU4g|tLS0tLUJFR0lOI")
 _BASE64_RUN = re.compile(rb"[A-Za-z0-9+/_-]++(?:" + _GAP + rb"[A-Za-z0-9+/_-]++)*+={0,2}")
+_BASE64_PART = re.compile(rb"[A-Za-z0-9+/_-]+|(" + _GAP + rb")")
 _ALPHABET = bytes.maketrans(b"-_", b"+/")
 _LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 #: Bytes of a signature by algorithm; RSA's are at least as long as a 512-bit modulus (fixed values).
@@ -114,27 +118,21 @@ def is_der_key(data: bytes) -> bool:
     return version in (b"\0", b"\1") and set(tags[:9]) == {0x02} and (len(tags) in (6, 9) or (len(tags) == 10 and tags[9] == 0x30)) and all(e > s for _, s, e in items)
 
 
-def is_openssh_key(data: bytes) -> bool:
-    """cipher, key derivation, its options, number of keys, each public key, then the private part: all tile."""
-    if not data.startswith(b"openssh-key-v1\0"):
-        return False
-    at, fields = 15, 3
+def openssh_stop(data: bytes, start: int = 0) -> int:
+    """Where the OpenSSH key at start ends, 0 if there is none: cipher, key derivation, its options, number of keys, each
+    public key, then the private part, all within the data."""
+    if not data.startswith(b"openssh-key-v1\0", start):
+        return 0
+    at, keys, fields = start + 15, 0, 3
     while fields:
         if at + 4 > len(data):
-            return False
+            return 0
         at += 4 + int.from_bytes(data[at : at + 4], "big")
         fields -= 1
-    if at + 4 > len(data):
-        return False
-    keys = int.from_bytes(data[at : at + 4], "big")
-    at += 4
-    if not 1 <= keys <= 16:
-        return False
-    for _ in range(keys + 1):
-        if at + 4 > len(data):
-            return False
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at <= len(data)
+        if not fields and not keys:
+            keys = int.from_bytes(data[at : at + 4], "big")
+            at, fields = at + 4, keys and keys + 1
+    return at if keys and at <= len(data) else 0
 
 
 def is_pgp_key(data: bytes) -> bool:
@@ -152,7 +150,7 @@ def is_pgp_key(data: bytes) -> bool:
 
 def is_key(data: bytes) -> bool:
     """A private key in DER or OpenSSH form."""
-    return is_der_key(data) or is_openssh_key(data)
+    return is_der_key(data) or openssh_stop(data) > 0
 
 
 def is_private_pem(body: bytes) -> bool:
@@ -173,15 +171,16 @@ def is_private_pem(body: bytes) -> bool:
     return is_key(data) or is_pgp_key(data)
 
 
+def pem_stop(raw: bytes, m: re.Match) -> int:
+    """Where the private key in PEM form ends whose BEGIN line is m, 0 if it is none."""
+    end = raw.find(b"-----", m.end())
+    mark = b"-----END " + m[1] + b"-----"
+    return end + len(mark) if end >= 0 and raw.startswith(mark, end) and is_private_pem(raw[m.end() : end]) else 0
+
+
 def pem_spans(raw: bytes) -> list[tuple[int, int]]:
     """(start, stop) of the private keys in PEM form; each text is read once."""
-    found = []
-    for m in _PEM_BEGIN.finditer(raw):
-        end = raw.find(b"-----", m.end())
-        mark = b"-----END " + m[1] + b"-----"
-        if end >= 0 and raw.startswith(mark, end) and is_private_pem(raw[m.end() : end]):
-            found.append((m.start(), end + len(mark)))
-    return found
+    return [(m.start(), stop) for m in _PEM_BEGIN.finditer(raw) if (stop := pem_stop(raw, m))]
 
 
 def holds_key(data: bytes) -> bool:
@@ -198,9 +197,34 @@ def decoded(run: bytes) -> bytes | None:
         return None
 
 
+class Joined:
+    """A run over several lines as one, with the places of its letters in the text."""
+
+    def __init__(self, run: re.Match, part: re.Pattern):
+        self.stop, self.letters, self.raws, own = run.end(), [], [], []
+        length = 0
+        for m in part.finditer(run[0]):
+            if m[1] is None:
+                self.letters.append(length)
+                self.raws.append(run.start() + m.start())
+                own.append(m[0])
+                length += len(m[0])
+        self.text = b"".join(own)
+
+    def letter(self, raw: int) -> int:
+        """The letter at a place of the text."""
+        i = bisect.bisect_right(self.raws, raw) - 1
+        return self.letters[i] + raw - self.raws[i]
+
+    def place(self, letter: int) -> int:
+        """The place in the text of a letter."""
+        i = bisect.bisect_right(self.letters, letter) - 1
+        return self.raws[i] + letter - self.letters[i]
+
+
 def base64_spans(raw: bytes) -> list[tuple[int, int]]:
-    """(start, stop) of keys in base64. A DER key's own length says where it stops."""
-    found, at = [], 0
+    """(start, stop) of keys in base64. A DER key's own length says where it stops, whatever it is; a run is joined once."""
+    found, at, run = [], 0, None
     for m in _BASE64_START.finditer(raw):
         if m.start() < at:
             continue
@@ -209,26 +233,22 @@ def base64_spans(raw: bytes) -> list[tuple[int, int]]:
             head = decoded(raw[m.start() : m.start() + 12])
             size = der_size(head) if head else 0
             # the first field is a number or a sequence
-            if not head or not 24 <= size <= 1 << 20 or head[min(size, 2 + (head[1] & 0x7F if head[1] & 0x80 else 0))] not in (0x02, 0x30):
+            if not head or size < 24 or head[min(size, 2 + (head[1] & 0x7F if head[1] & 0x80 else 0))] not in (0x02, 0x30):
                 continue
-            run = _BASE64_RUN.match(raw, m.start(), m.start() + 2 * size + 4096)
-            chars, stop, body = -(-size * 4 // 3), m.start(), []
-            for part in re.finditer(rb"[A-Za-z0-9+/_-]+|(" + _GAP + rb")", run[0]):
-                if part[1] is None:
-                    body.append(part[0][: chars])
-                    chars, stop = chars - len(body[-1]), m.start() + part.start() + len(body[-1])
-                if not chars:
-                    break
-            data = decoded(b"".join(body)) if not chars else None
+            if run is None or start >= run.stop:
+                run = Joined(_BASE64_RUN.match(raw, start), _BASE64_PART)
+            first, chars = run.letter(start), -(-size * 4 // 3)
+            data = decoded(run.text[first : first + chars]) if first + chars <= len(run.text) else None
             if not data or not is_der_key(data[:size]):
                 continue
+            stop = run.place(first + chars - 1) + 1
             stop += len(re.match(rb"={0,2}", raw[stop : stop + 2])[0])
         else:
             if not m[0].startswith(b"b3"):
                 start = at + len(raw[at:start].rstrip(_LETTERS))
-            run = _BASE64_RUN.match(raw, start)
-            data = decoded(_PEM_GAP.sub(b"", run[0]))
-            stop = at = run.end()
+            whole = _BASE64_RUN.match(raw, start)
+            data = decoded(_PEM_GAP.sub(b"", whole[0]))
+            stop = at = whole.end()
             if not data or not holds_key(data):
                 continue
         found.append((start, stop))
@@ -236,6 +256,37 @@ def base64_spans(raw: bytes) -> list[tuple[int, int]]:
     return found
 
 
+def hex_spans(raw: bytes) -> list[tuple[int, int]]:
+    """(start, stop) of keys in hex of either case, over lines or not. Whatever digits stand before or after, a key starts
+    where its structure does and its own lengths say where it stops."""
+    found = []
+    for m in _HEX_RUN.finditer(raw):
+        run, at, halves = None, 0, {}
+        if m.end() - m.start() < 48:
+            continue
+        run = Joined(m, _HEX_PART)
+        for s in _HEX_START.finditer(run.text):
+            first = s.start()
+            if first < at:
+                continue
+            odd = first % 2
+            if odd not in halves:  # the run from its first or second digit
+                halves[odd] = binascii.unhexlify(run.text[odd : odd + (len(run.text) - odd) // 2 * 2])
+            data, own = halves[odd], (first - odd) // 2
+            if data[own] == 0x30:
+                stop = own + der_size(data[own : own + 6])
+                stop = stop if own + 24 <= stop <= len(data) and is_der_key(data[own:stop]) else 0
+            elif data[own] == 0x6F:
+                stop = openssh_stop(data, own)
+            else:
+                begin = _PEM_BEGIN.match(data, own)
+                stop = pem_stop(data, begin) if begin else 0
+            if stop:
+                at = odd + 2 * stop
+                found.append((run.place(first), run.place(at - 1) + 1))
+    return found
+
+
 def is_token(run: bytes) -> bool:
     """A signed token: a JSON header that names an algorithm, a JSON payload, and a signature of that
     algorithm's length (others: 16 bytes or more)."""
@@ -253,10 +304,10 @@ def is_token(run: bytes) -> bool:
 
 
 def has_structure(run: bytes) -> bool:
-    """Whether a base64 or hex run, or a part after its name, decodes to a key or is a signed token."""
+    """Whether what is assigned to a name is a signed token, has a key in hex or is one in base64."""
     if run.startswith(b"eyJ") and run.count(b".") >= 2:
         return is_token(run)
-    if len(run) % 2 == 0 and re.fullmatch(rb"[0-9a-fA-F]+", run) and holds_key(binascii.unhexlify(run)):
+    if hex_spans(run):
         return True
     return len(run) >= 40 and (data := decoded(run)) is not None and holds_key(data)
 
@@ -274,8 +325,17 @@ def scan(text: str) -> list[tuple[str, int, int, bool]]:
         for m in _ACCESS.finditer(raw):
             if m.end() - m.start() >= 20:
                 found.append((m.start(), 1, m.end(), m.end() - m.start() == 20 and not re.search(rb"[0189]", m[0][4:])))
-    for m in _HEX.finditer(raw):
-        found.append((m.start(), 2, m.end(), has_structure(m[0])))
+    plain = [m.span() for m in _HEX.finditer(raw)]
+    keys = hex_spans(raw)
+    starts = [s for s, _ in plain]
+    sure = set()
+    for s, e in keys:  # a key within a base span confirms it, others are spans of their own
+        i = bisect.bisect_right(starts, s) - 1
+        if i >= 0 and e <= plain[i][1]:
+            sure.add(i)
+        else:
+            found.append((s, 6, e, True))
+    found += [(s, 2, e, i in sure) for i, (s, e) in enumerate(plain)]
     if b"-----BEGIN " in raw:
         found += [(s, 3, e, True) for s, e in pem_spans(raw)]
     inside = [(s, e) for s, k, e, _ in found if k == 3]
@@ -283,10 +343,6 @@ def scan(text: str) -> list[tuple[str, int, int, bool]]:
         i = bisect.bisect_right(inside, (s, len(raw))) - 1
         if i < 0 or s >= inside[i][1]:
             found.append((s, 4, e, True))
-    plain = {(s, e) for s, k, e, _ in found if k == 2}
-    for m in _HEX_RUN.finditer(raw):
-        if m.span() not in plain and has_structure(m[0]):
-            found.append((m.start(), 6, m.end(), True))
     if b"eyJ" in raw:
         for m in _TOKEN.finditer(raw):
             if is_token(m[0]):
