@@ -1,5 +1,6 @@
 """Cleaning, linkage, selection, disguise, metrics, events and streams on small tables."""
 
+import hashlib
 import itertools
 import random
 
@@ -163,3 +164,34 @@ def test_stream_counts_hold_every_window(spark, sf_dir):
     got = entry.queries()["t2_event_counts_stream"](spark, sf_dir)
     assert got.columns == names and sorted(repr(tuple(r)) for r in got.collect()) == rows
     assert len(rows) > 2
+
+
+def test_structure_metadata_of_nulls_and_other_columns(spark):
+    from textmill.operators import selection as P
+
+    texts, marks = ", ".join(f"{c} string" for c in P.SPEC_TEXTS), ", ".join(f"{c} boolean" for c in P.SPEC_MARKS)
+    row = ("t", "ad", "dialogue", "end", "o", "f", "s", "g", "why", True, None, False, None, 1)
+    df = spark.createDataFrame([row, row, (None,) * 14], f"text string, label string, {texts}, {marks}, sample_id int")
+    made = P.structure_metadata(df)
+    got = made.collect()
+    key = hashlib.sha256("ad\x1ft".encode()).hexdigest()[:16]
+    assert [r["sample_id"] for r in got].count(f"siev1_{key}") == 2 and [r[c] for r in got[:1] for c in P.SPEC_MARKS] == ["true", "false", "false", "false"]
+    assert sorted(r["text"] for r in got) == ["", "t", "t"]
+    said = P.linkage_rows(made, {"dialogue": "talk"}, "else", "so.").select("linkage_reason").collect()
+    assert sorted(r[0] for r in said) == ["why；talk，so."] * 2 + ["；else，so."]
+    assert P.linkage_rows(P.structure_metadata(df.limit(0))).count() == 0
+
+
+def test_variant_diff_and_coverage_report(spark):
+    from textmill.operators import adversarial as G
+
+    names = "sample_id string, text string, label string, adversarial_text string, perturbation_type string, pair_id string, notes string"
+    old = spark.createDataFrame([("a", "t", "x", "T", "emoji", "p", "n"), ("b", "t", "x", "U", "pinyin", "p", None), ("c", "t", "y", "V", "homophone", "q", "n")], names)
+    new = spark.createDataFrame([("a", "t", "x", "T", "emoji", "p", "m"), ("b", "t", "x", "U", "pinyin", "p", None), ("d", "s", "y", "W", "emoji", "r", "n")], names)
+    diff = G.variant_diff(old, new)
+    assert {(r["old_id"], r["new_id"]): r["change_type"] for r in diff.collect()} == {("a", "a"): "changed", ("b", "b"): "unchanged", ("c", ""): "removed", ("", "d"): "added"}
+    rows = {tuple(r)[:3]: r["count"] for r in G.coverage_report(new, new.limit(0), diff, {"x": 1, "y": 2}, kinds=("emoji", "pinyin")).collect()}
+    assert rows[("total", None, None)] == 3 and rows[("label_kind", "pinyin", "y")] == 0 and rows[("shortfall", "emoji", None)] == 1 and rows[("shortfall", "pinyin", None)] == 2
+    assert rows[("shortfall_total", None, None)] == 3 and rows[("duplicate_pairs", None, None)] == 0 and rows[("diff", "removed", None)] == 1
+    empty = G.coverage_report(new.limit(0), new.limit(0), G.variant_diff(old.limit(0), new.limit(0)), {"x": 1}, kinds=("emoji",))
+    assert {tuple(r)[:3]: r["count"] for r in empty.collect()}[("shortfall_total", None, None)] == 1

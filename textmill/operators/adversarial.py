@@ -281,6 +281,51 @@ def generation_shortfall(made: DataFrame, targets: Mapping[str, int] = V.KIND_TA
     return out.withColumn("shortfall", short).withColumn("reason", reason)
 
 
+def variant_diff(old: DataFrame, new: DataFrame, id_col: str = "sample_id", text: str = "text", label: str = "label", carry: Sequence[str] = ("pair_id", "notes")) -> DataFrame:
+    """What changed between two sets of variants, a row an id: change_type (removed, added, changed, unchanged), old_id, new_id,
+    original_text, the texts and kinds of both (empty where absent), label, reason. A row is unchanged if text, label, kind and the
+    columns carried are equal."""
+    said = ["adversarial_text", "perturbation_type"]
+    own = lambda df: df.select(F.col(id_col).alias("_id"), F.struct(F.col(text).alias("original_text"), F.col(label).alias("label"), *said, *carry).alias("_row"))
+    both = own(old).withColumnRenamed("_row", "_old").join(own(new).withColumnRenamed("_row", "_new"), "_id", "full_outer")
+    kind = F.col("_old.perturbation_type")
+    gone, come = F.col("_new").isNull(), F.col("_old").isNull()
+    change = F.when(gone, "removed").when(come, "added").when(F.col("_old").eqNullSafe(F.col("_new")), "unchanged").otherwise("changed")
+    removed = F.when(kind == "character_split", "character_split deprecated").when(kind == "variant_character", "invalid symbol-based variant_character").when(kind == "homophone", "low-confidence homophone excluded").otherwise("removed by quality rules")
+    at = lambda side, c: F.coalesce(F.col(f"{side}.{c}"), F.lit(""))
+    return both.select(
+        change.alias("change_type"), F.when(come, "").otherwise(F.col("_id")).alias("old_id"), F.when(gone, "").otherwise(F.col("_id")).alias("new_id"),
+        F.coalesce("_new.original_text", "_old.original_text").alias("original_text"), at("_old", said[0]).alias("old_text"), at("_new", said[0]).alias("new_text"),
+        F.coalesce("_new.label", "_old.label").alias("label"), at("_old", said[1]).alias("old_kind"), at("_new", said[1]).alias("new_kind"),
+        F.when(gone, removed).when(come, "strict generation").when(change == "changed", "generation metadata updated").otherwise("").alias("reason"),
+    )
+
+
+def coverage_report(made: DataFrame, duplicates: DataFrame, diff: DataFrame, targets: Mapping[str, int] = V.KIND_TARGETS, label: str = "label", kinds: Sequence[str] = V.KINDS) -> DataFrame:
+    """The whole report as rows (dimension, kind, label, count): total; by kind; by label; every cell of label and kind, empty ones
+    as 0; what each kind and all are short of the targets; candidate pairs of duplicates; changes by type."""
+    none = F.lit(None).cast("string")
+    row = lambda df, dimension, kind, name, count: df.select(F.lit(dimension).alias("dimension"), kind.alias("kind"), name.alias("label"), count.cast("long").alias("count"))
+    kind, name = F.col("perturbation_type"), F.col("label")
+    cells = stored(generation_shortfall(made, targets, label, kinds))
+    types = made.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ("added", "changed", "removed", "unchanged")))).alias("change_type"))
+    changes = types.join(F.broadcast(diff.groupBy("change_type").count()), "change_type", "left")  # a row a type
+    parts = [
+        row(made.agg(F.count("*").alias("n")), "total", none, none, F.col("n")),
+        row(made.groupBy("perturbation_type").count(), "kind", kind, none, F.col("count")),
+        row(made.groupBy(F.col(label).alias("label")).count(), "label", none, name, F.col("count")),
+        row(cells, "label_kind", kind, name, F.col("actual")),
+        row(cells.groupBy("perturbation_type").agg(F.sum("shortfall").alias("n")), "shortfall", kind, none, F.col("n")),
+        row(cells.agg(F.sum("shortfall").alias("n")), "shortfall_total", none, none, F.coalesce("n", F.lit(0))),
+        row(duplicates.agg(F.count("*").alias("n")), "duplicate_pairs", none, none, F.col("n")),
+        row(changes, "diff", F.col("change_type"), none, F.coalesce("count", F.lit(0))),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def adversarial_coverage(made: DataFrame, label: str = "label") -> DataFrame:
     """Counts by kind, label and both, and in all (null: all), with distinct pairs."""
     return made.cube(F.col("perturbation_type").alias("kind"), F.col(label).alias("label")).agg(F.count("*").alias("count"), F.count_distinct("pair_id").alias("pairs"))

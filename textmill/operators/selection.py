@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmill.functions import fixed_values as V
+
 UNIT = "\x1f"
 SPLITS = (("train", 0.70), ("validation", 0.15), ("test", 0.15))
 
@@ -274,10 +276,33 @@ def replacement_faults(df: DataFrame, strata: Sequence[str], id_col: str, expect
     return out.withColumn("valid", (F.col("wrong_strata") == 0) & (F.col("repeated_ids") == 0) & (F.col("forbidden_ids") == 0))
 
 
-def structure_metadata(df: DataFrame, lookup: Mapping[str, str], kind: str, default: str) -> DataFrame:
-    """Adds linkage_reason, the kind's text or the default."""
-    table = F.create_map(*[F.lit(x) for kv in lookup.items() for x in kv])
-    return df.withColumn("linkage_reason", F.coalesce(table[F.col(kind)], F.lit(default)))
+#: Columns of a structured sample's specification that are texts, and those that are marks.
+SPEC_TEXTS = ("structure_type", "risk_position", "sanitize_operation", "risk_fragment", "sanitized_text", "template_signature", "semantic_relation")
+SPEC_MARKS = ("obvious_two_part", "safe_context_reference", "severe_core_intent", "uses_real_identifier")
+
+
+def spec_id(text: Column, label: Column, prefix: str) -> Column:
+    """prefix_ and 16 hex digits of the SHA-256 over label and text."""
+    return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(F.concat_ws(UNIT, label, text), 256), 1, 16))
+
+
+def structure_metadata(specs: DataFrame, prefix: str = "siev1", text: str = "text", label: str = "label") -> DataFrame:
+    """A row a specification (text, label, SPEC_TEXTS, SPEC_MARKS): sample_id, text, label, the texts, and the marks
+    as true or false in words. A null text counts as empty, a null mark as false; other columns are ignored."""
+    own = lambda c: F.coalesce(F.col(c), F.lit(""))
+    marks = [F.coalesce(F.col(c).cast("boolean"), F.lit(False)).cast("string").alias(c) for c in SPEC_MARKS]
+    return specs.select(spec_id(own(text), own(label), prefix).alias("sample_id"), own(text).alias("text"), own(label).alias("label"), *(own(c).alias(c) for c in SPEC_TEXTS), *marks)
+
+
+def linkage_rows(metadata: DataFrame, mechanisms: Mapping[str, str] = V.LINKAGE_MECHANISMS, default: str = V.LINKAGE_DEFAULT, closing: str = V.LINKAGE_CLOSING, note: str = V.LINKAGE_NOTE) -> DataFrame:
+    """The audit of how each sample's fragment belongs to its context, from the rows of structure_metadata: linkage_reason is the
+    sample's relation, its structure type's mechanism (or the default) and the closing words."""
+    table = F.create_map(*[F.lit(x) for kv in mechanisms.items() for x in kv])
+    reason = F.concat("semantic_relation", F.lit("；"), F.coalesce(table[F.col("structure_type")], F.lit(default)), F.lit("，"), F.lit(closing))
+    return metadata.select(
+        "sample_id", "label", "text", "structure_type", "risk_position", "sanitize_operation", F.col("sanitized_text").alias("legal_context"), "risk_fragment",
+        reason.alias("linkage_reason"), F.lit("linked").alias("linkage_status"), F.lit(note).alias("notes"),
+    )
 
 
 def coverage_rows(df: DataFrame, dims: Sequence[str], targets: Mapping[str, Mapping[str, int]], duplicates: DataFrame, leakage: DataFrame) -> DataFrame:

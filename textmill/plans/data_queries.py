@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions import detect as D
 from textmill.functions import normalize as N
-from textmill.functions.fixed_values import LABELS
+from textmill.functions.fixed_values import DEPRECATED_KINDS, KINDS, LABELS, LINKAGE_CLOSING, LINKAGE_DEFAULT, LINKAGE_MECHANISMS, LINKAGE_NOTE
 from textmill.operators import adversarial as G
 from textmill.operators import audit_log as A
 from textmill.operators import cleaning as C
@@ -225,9 +225,9 @@ def c10(spark, sf):
     return C.duplicate_report(normal_docs(spark, sf), "text", "normalized", "lang", ["doc_id"], "doc_id")
 
 
-@query("c11_label_conflict_report", "select sha256(normalized) as group_id, array_to_string(list_sort(list(distinct source)), '|') as labels, count(*) as occurrence_count from (select lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) as normalized, source from documents) group by normalized having count(distinct source) > 1")
+@query("c11_label_conflict_report", "select sha256(normalized) as group_id, array_to_string(list_sort(list(distinct source)), '|') as labels, count(*) as occurrence_count, '[\"' || array_to_string(list_sort(list(distinct lang)), '\",\"') || '\"]' as sources from (select lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) as normalized, source, lang from documents) group by normalized having count(distinct source) > 1")
 def c11(spark, sf):
-    return C.label_conflict_report(normal_docs(spark, sf), "normalized", "source", "lang").select("group_id", "labels", "occurrence_count")
+    return C.label_conflict_report(normal_docs(spark, sf), "normalized", "source", "lang")
 
 
 SPLIT_SQL = "case when source in ('src0', 'src1', 'src2') then 'test' when source = 'src3' then 'validation' else 'train' end"
@@ -486,9 +486,13 @@ def p2(spark, sf):
     return P.gold_split(table(spark, sf, "documents").select("doc_id", "lang", "source"), "lang", "source", "doc_id")
 
 
-@query("p3_gold_faults", f"with {REVIEWS} select 0::BIGINT as invalid_status, count(*) filter (s1 = 'pending') as pending, 0::BIGINT as without_reviewer, count(*) filter (s1 = 'verified') as verified, (select count(*) from (select source from a where s1 = 'verified' group by source having count(*) > 1)) as duplicate_groups, false as ready from a")
+@query("p3_gold_faults", f"""with {REVIEWS}, x as (select case when {sql_number('sample_id', 13)} % 11 = 0 then 'unsure' else s1 end as s, {sql_number('sample_id', 17)} % 5 = 0 as blank, source from a),
+y as (select count(*) filter (s = 'unsure') as invalid_status, count(*) filter (s = 'pending') as pending, count(*) filter (s <> 'pending' and blank) as without_reviewer, count(*) filter (s = 'verified') as verified, (select count(*) from (select source from x where s = 'verified' group by source having count(*) > 1)) as duplicate_groups from x)
+select *, invalid_status = 0 and pending = 0 and without_reviewer = 0 and verified > 0 and duplicate_groups = 0 as ready from y""")
 def p3(spark, sf):
-    return P.gold_faults(reviews(spark, sf)[0], "review_status", "reviewer", "source")
+    n = lambda at, k: F.pmod(number(F.col("sample_id"), at), F.lit(k))
+    own = reviews(spark, sf)[0].withColumns({"review_status": F.when(n(13, 11) == 0, "unsure").otherwise(F.col("review_status")), "reviewer": F.when(n(17, 5) == 0, " ").otherwise(F.col("reviewer"))})
+    return P.gold_faults(own, "review_status", "reviewer", "source")
 
 
 @query("p3_build_gold", f"with {REVIEWS} select sample_id, s1 as review_status from a where s1 = 'verified'")
@@ -575,13 +579,14 @@ def p13(spark, sf):
     return P.linkage_gates(structures(spark, sf), ids.where("source <> 'src1'"), ids.where("source = 'src2'"))
 
 
-@query("p14_publish_if_passed", "select count(*) as rows from documents")
+@query("p14_publish_if_passed", "select doc_id, lang, source, n_chars, md5(text) as text from documents")
 def p14(spark, sf):
     d, path = table(spark, sf, "documents"), place(spark, "published")
     gates = d.agg((F.count("*") > 0).alias("passed"))
-    if not P.publish_if_passed(d, gates, path) or P.publish_if_passed(d, gates.select((~F.col("passed")).alias("passed")), path):
+    failed = gates.select((~F.col("passed")).alias("passed"))
+    if not P.publish_if_passed(d, gates, path) or P.publish_if_passed(d.where("lang = 'en'"), gates.union(failed), path):
         raise ValueError("gates")
-    return spark.read.parquet(path).agg(F.count("*").alias("rows"))
+    return spark.read.parquet(path).select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text"))  # the second one wrote nothing
 
 
 @query("p15_validate_manifest", f"select count(*) as rows, count(*) filter (lang = 'es') as bad_labels, count(*) filter ({SPLIT_SQL} = 'validation') as bad_splits, false as valid from documents")
@@ -606,9 +611,29 @@ def p17b(spark, sf):
     return P.replacement_faults(d, ["lang"], "doc_id", expected, d.where("source = 'src2'"))
 
 
-@query("p18_structure_metadata", "select coalesce(map {'en': 'english', 'de': 'german'}[lang], 'other') as linkage_reason, count(*) as rows from documents group by 1")
+SPEC_TYPES = (*tuple(LINKAGE_MECHANISMS), "other_pollution")
+SPECS_SQL = f"""n as (select *, {sql_number('doc_id', 1)} as a, {sql_number('doc_id', 5)} as b, {sql_number('doc_id', 9)} as c from documents),
+m as (select 'siev1_' || substr(sha256(lang || chr(31) || text), 1, 16) as sample_id, doc_id, lang as label, text, {sql_list(SPEC_TYPES)}[a % {len(SPEC_TYPES)} + 1] as structure_type, ['start', 'middle', 'end'][b % 3 + 1] as risk_position, 'o' || c % 4 as sanitize_operation, substr(text, 3, 5) as risk_fragment, case when substr(text, 3, 5) = '' then text else replace(text, substr(text, 3, 5), '***') end as sanitized_text, substr(text, 1, 20) as template_signature, case when b % 7 = 0 then '' else 'of ' || source end as semantic_relation, a % 50 = 0 as obvious_two_part, b % 2 = 0 as safe_context_reference, coalesce(case when c % 3 > 0 then c % 3 = 1 end, false) as severe_core_intent, false as uses_real_identifier from n)"""
+
+
+def specs(spark, sf):
+    n = lambda at, k: F.pmod(number(F.col("doc_id"), at), F.lit(k))
+    pick = lambda words, at: F.get(F.array(*map(F.lit, words)), n(at, len(words)).cast("int"))
+    return table(spark, sf, "documents").select(
+        "doc_id", F.col("lang").alias("label"), "text", pick(SPEC_TYPES, 1).alias("structure_type"), pick(("start", "middle", "end"), 5).alias("risk_position"), F.concat(F.lit("o"), n(9, 4).cast("string")).alias("sanitize_operation"),
+        F.substring("text", 3, 5).alias("risk_fragment"), F.replace("text", F.substring("text", 3, 5), F.lit("***")).alias("sanitized_text"), F.substring("text", 1, 20).alias("template_signature"), F.when(n(5, 7) != 0, F.concat(F.lit("of "), F.col("source"))).alias("semantic_relation"),
+        (n(1, 50) == 0).alias("obvious_two_part"), (n(5, 2) == 0).alias("safe_context_reference"), F.when(n(9, 3) > 0, n(9, 3) == 1).alias("severe_core_intent"), F.lit(False).alias("uses_real_identifier"),
+    )
+
+
+@query("p18_structure_metadata", f"with {SPECS_SQL} select sample_id, label, md5(text) as text, structure_type, risk_position, sanitize_operation, risk_fragment, md5(sanitized_text) as sanitized_text, template_signature, semantic_relation, obvious_two_part::VARCHAR as obvious_two_part, safe_context_reference::VARCHAR as safe_context_reference, severe_core_intent::VARCHAR as severe_core_intent, uses_real_identifier::VARCHAR as uses_real_identifier from m")
 def p18(spark, sf):
-    return P.structure_metadata(table(spark, sf, "documents"), {"en": "english", "de": "german"}, "lang", "other").groupBy("linkage_reason").agg(F.count("*").alias("rows"))
+    return P.structure_metadata(specs(spark, sf)).withColumns({"text": F.md5("text"), "sanitized_text": F.md5("sanitized_text")})
+
+
+@query("p18_linkage_rows", f"with {SPECS_SQL}, w as (select unnest({sql_list(LINKAGE_MECHANISMS)}) as k, unnest({sql_list(LINKAGE_MECHANISMS.values())}) as mechanism) select sample_id, label, md5(text) as text, structure_type, risk_position, sanitize_operation, md5(sanitized_text) as legal_context, risk_fragment, semantic_relation || '；' || coalesce(mechanism, '{LINKAGE_DEFAULT}') || '，{LINKAGE_CLOSING}' as linkage_reason, 'linked' as linkage_status, '{LINKAGE_NOTE}' as notes from m left join w on k = structure_type")
+def p18b(spark, sf):
+    return P.linkage_rows(P.structure_metadata(specs(spark, sf))).withColumns({"text": F.md5("text"), "legal_context": F.md5("legal_context")})
 
 
 @query("p19_evaluation_coverage", "select 'lang' as dimension, lang as name, count(*) as count from documents group by lang union all select 'source', source, count(*) from documents group by source")
@@ -711,13 +736,86 @@ def g10(spark, sf):
     return changed(spark, sf, G.mixed_language(F.col("text"), G_RULES.mixed))
 
 
-@query("g11_perturb_loose", "select 'space_insertion' as kind, count(*) as rows, sum(2 * length(text) - 1)::BIGINT as chars from documents where length(text) >= 2 union all select 'symbol_insertion', count(*), sum(length(text) + 1)::BIGINT from documents where length(text) >= 2 union all select 'character_split', count(*), sum(length(text) + 1)::BIGINT from documents where length(text) >= 2")
+LOOSE_RULES = G.Rules({**ENTRIES, "variant_char": [("đ", "d", 0.5, "low", "", ""), ("ŧhe", "the", 0.5, "low", "", "")]}, WORDS, G_RULES.mixed)
+
+
+def loose_sql(texts: str, rules: G.Rules) -> str:
+    """CTEs up to `lv` (doc_id, label, text, i, kind, t, note): every text under every kind of the first version's rules."""
+    quote = lambda w: "'" + w + "'"
+    maps = {"homophone": "homophone", "pinyin": "pinyin", "abbreviation": "abbreviation", "variant_character": "variant_char", "emoji": "emoji"}
+    made = {}
+    for kind, name in maps.items():
+        entries = G.ordered_entries(rules.maps.get(name, ()))
+        cases = " ".join(f"when contains(text, {quote(e[1])}) then {first_sql(quote(e[1]), quote(e[0]))}" for e in entries)
+        made[kind] = (f"case {cases} end" if entries else "null", f"'reverse replacement from {name}_map'")
+    made["traditional_simplified"] = ("nullif(translate(text, '网学', '網學'), text)", "'fixed simplified-to-traditional character table'")
+    made["phone_obfuscation"] = (f"case when ph <> '' then {first_sql('ph', 'array_to_string(regexp_extract_all(ph, chr(46)), chr(45))')} end", "'hyphenate phone digits'")
+    made["url_obfuscation"] = ("case when ur <> '' then substr(text, 1, strpos(text, ur) - 1) || replace(substr(text, strpos(text, ur)), '.', '[.]') end", "'replace URL dots with [.]'")
+    made["repeat_character"] = (f"case when w is not null then {first_sql('w', 'substr(w, 1, 1) || w')} end", "'repeat inside risk keyword: ' || w")
+    made["character_split"] = ("substr(text, 1, 1) || ' ' || substr(text, 2)", "'split first two characters'")
+    made["space_insertion"] = ("substr(regexp_replace(text, '(?s)(.)', '\\1 ', 'g'), 1, 2 * length(text) - 1)", "'insert spaces between all characters'")
+    made["symbol_insertion"] = ("substr(text, 1, 1) || '@' || substr(text, 2)", "'insert @ after first character'")
+    cases = " ".join(f"when contains(text, {quote(a)}) then {{}}" for a, _ in rules.mixed)
+    made["mixed_language"] = (f"case {cases} else text || ' online' end".format(*(first_sql(quote(a), quote(b)) for a, b in rules.mixed)), f"case {cases} else 'append mixed-language context token' end".format(*(f"'replace {a} with {b}'" for a, b in rules.mixed)))
+    short = ("phone_obfuscation", "repeat_character", "character_split", "space_insertion", "symbol_insertion", "mixed_language")
+    parts = " union all ".join(f"select doc_id, label, text, {i} as i, '{k}' as kind, {made[k][0]} as t, {made[k][1]} as note from lx where {'length(text) >= 2' if k in short else 'true'}" for i, k in enumerate(KINDS))
+    word = "case " + " ".join(f"when contains(text, '{w}') then '{w}'" for ws in rules.keywords.values() for w in ws) + " end"
+    return f"ls as ({texts}), lx as (select *, {word} as w, regexp_extract(text, '1[3-9][0-9]{{9}}') as ph, regexp_extract(text, '(?i)https?://|www\\.') as ur from ls), lv as (select * from ({parts}) where t is not null)"
+
+
+@query("g11_perturb_loose", "with " + loose_sql(f"select doc_id, lang as label, case when {sql_number('doc_id', 1)} % 2 = 0 then '网学 ' || text || ' 138' || lpad(doc_id::VARCHAR, 8, '0') || ' https://a.b/' || source || '.html' else text end as text from documents", LOOSE_RULES) + " select doc_id, kind, md5(t) as text, note from lv")
 def g11(spark, sf):
-    rows = G.variants(seeds(spark, sf), G_RULES, ("space_insertion", "symbol_insertion", "character_split"), loose=True)
-    return rows.groupBy(F.col("perturbation_type").alias("kind")).agg(F.count("*").alias("rows"), F.sum(F.length("adversarial_text")).alias("chars"))
+    more = F.concat(F.lit("网学 "), F.col("text"), F.lit(" 138"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(" https://a.b/"), F.col("source"), F.lit(".html"))
+    own = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("label"), F.when(F.pmod(number(F.col("doc_id"), 1), F.lit(2)) == 0, more).otherwise(F.col("text")).alias("text"))
+    return G.variants(own, LOOSE_RULES, loose=True).select("doc_id", F.col("perturbation_type").alias("kind"), F.md5("adversarial_text").alias("text"), F.col("notes").alias("note"))
+
+
+V1_SQL = loose_sql("select doc_id, lang as label, text from documents", G_RULES) + """, lf as (select kind, t, min(doc_id) as doc_id from lv group by all), lr as (select *, row_number() over (partition by kind order by doc_id, t) as n from lf),
+v1 as (select kind, doc_id, label, text, t, note, n, 'pair_' || substr(sha256(concat_ws(chr(31), text, label, 'adversarial_v1')), 1, 16) as pair_id, 'adv_' || substr(sha256(concat_ws(chr(31), t, label, 'adversarial_v1:' || kind)), 1, 16) as sample_id from lv join lr using (kind, t, doc_id) where n <= 10)"""
+#: Two sets: the first has fewer variants a kind, the second lacks two kinds and notes one anew.
+V1_NEXT_SQL = f"""{V1_SQL}, old as (select * from v1 where n <= 8), new as (select * replace (case when kind = 'emoji' then 'seen' else note end as note) from v1 where kind not in {(*DEPRECATED_KINDS, 'homophone')}),
+df as (select o.sample_id as old_id, w.sample_id as new_id, coalesce(w.text, o.text) as text, coalesce(w.label, o.label) as label, o.t as ot, w.t as wt, o.kind as ok, w.kind as wk, case when w.sample_id is null then 'removed' when o.sample_id is null then 'added' when o.note = w.note then 'unchanged' else 'changed' end as change_type from old o full join new w on o.sample_id = w.sample_id)"""
+
+
+def v1(spark, sf, most=10):
+    return G.build_v1(seeds(spark, sf), G_RULES, "doc_id", most)
+
+
+def v1_pair(spark, sf):
+    """The second set and the first."""
+    kind = F.col("perturbation_type")
+    new = v1(spark, sf).where(~kind.isin(*DEPRECATED_KINDS, "homophone")).withColumn("notes", F.when(kind == "emoji", "seen").otherwise(F.col("notes")))
+    return stored(new, "new"), stored(v1(spark, sf, 8), "old")
+
+
+@query("g16_variant_diff", f"with {V1_NEXT_SQL} select change_type, coalesce(old_id, '') as old_id, coalesce(new_id, '') as new_id, md5(text) as original_text, md5(coalesce(ot, '')) as old_text, md5(coalesce(wt, '')) as new_text, label, coalesce(ok, '') as old_kind, coalesce(wk, '') as new_kind, case change_type when 'removed' then case ok when 'character_split' then 'character_split deprecated' when 'homophone' then 'low-confidence homophone excluded' else 'removed by quality rules' end when 'added' then 'strict generation' when 'changed' then 'generation metadata updated' else '' end as reason from df")
+def g16b(spark, sf):
+    new, old = v1_pair(spark, sf)
+    return G.variant_diff(old, new).withColumns({c: F.md5(c) for c in ("original_text", "old_text", "new_text")})
+
+
+CELLS_SQL = f"""cells as (select x.l as label, k as kind, x.t as target from (select unnest([{', '.join(f"{{'l': '{a}', 't': {t}}}" for a, t in {'en': 3, 'de': 3, 'fr': 2, 'es': 2}.items())}]) as x), (select unnest({sql_list(KINDS)}) as k)),
+short as (select c.label, c.kind, any_value(target) as target, count(v.kind) as actual, greatest(0, any_value(target) - count(v.kind)) as shortfall from cells c left join made v on v.label = c.label and v.kind = c.kind group by 1, 2)"""
+
+
+@query("g15_shortfall_v1", f"with {V1_SQL}, made as (select * from v1), {CELLS_SQL} select label, kind as perturbation_type, target::BIGINT as target, actual, shortfall::BIGINT as shortfall, case when shortfall = 0 then '' when kind in {DEPRECATED_KINDS[:1] * 2} then 'deprecated' else 'insufficient_candidates' end as reason from short")
+def g15b(spark, sf):
+    return G.generation_shortfall(v1(spark, sf), G_TARGETS)
+
+
+@query("g16_coverage_report", f"""with {V1_NEXT_SQL}, made as (select * from new), {CELLS_SQL}
+select 'total' as dimension, null as kind, null as label, count(*) as count from made union all select 'kind', kind, null, count(*) from made group by kind union all select 'label', null, label, count(*) from made group by label
+union all select 'label_kind', kind, label, actual from short union all select 'shortfall', kind, null, sum(shortfall)::BIGINT from short group by kind union all select 'shortfall_total', null, null, sum(shortfall)::BIGINT from short
+union all select 'duplicate_pairs', null, null, count(*) from made a join made b on a.pair_id = b.pair_id and a.sample_id < b.sample_id
+union all select 'diff', c, null, count(change_type) from (select unnest(['added', 'changed', 'removed', 'unchanged']) as c) left join df on change_type = c group by c""")
+def g16c(spark, sf):
+    new, old = v1_pair(spark, sf)
+    ids = new.select("pair_id", "sample_id")  # at most ten rows a kind
+    pairs = ids.join(ids.withColumnRenamed("sample_id", "other"), "pair_id").where("sample_id < other")
+    return G.coverage_report(new, pairs, G.variant_diff(old, new), G_TARGETS)
 
 
-@query("g12_build_adversarial_v1")
+@query("g12_build_adversarial_v1", f"with {V1_SQL} select kind as perturbation_type, doc_id, sample_id, pair_id from v1")
 def g12(spark, sf):
     return G.build_v1(seeds(spark, sf), G_RULES, "doc_id").select("perturbation_type", "doc_id", "sample_id", "pair_id")
 
