@@ -138,8 +138,16 @@ NAMES = (
 CONTEXTS = (
     ("(?:(?:re)?(?:licensed|licenced|released|distributed|published|offered|provided|available|covered|use|used|usage|shared) )?under (?:the )?(?:terms (?:and conditions )?of (?:the |a )?)?{}(?: licen[cs]e)?", 4, 0.95),
     ("(?:spdx )?licen[cs]e(?: identifier| type| name| info| id| is)? (?:the )?{}(?: licen[cs]e)?", 4, 0.95),
-    ("{} licen[cs]e", 3, 0.8),
+    ("{} licen[cs]e(?! (?:plates?|keys?|numbers?|fees?)(?![^ ]))", 3, 0.8),
 )
+#: Names that are common words too: "under" alone before them says nothing, it takes a verb, terms or a license word.
+COMMON = ("mit", "expat", "x11", "isc", "ruby", "python-2", "boost-1", "artistic", "zlib", "libpng", "openssl", "postgresql", "ncsa", "proprietary", "commercial")
+COMMON_UNDER = (
+    "(?:(?:(?:re)?(?:licensed|licenced|released|distributed|published|offered|provided|available|covered|shared) under (?:the |an? )?(?:terms (?:and conditions )?of (?:the |an? )?)?|under (?:the )?terms (?:and conditions )?of (?:the |an? )?){}(?: licen[cs]e)?"
+    "|(?:use|used|usage) under (?:the |an? )?{} licen[cs]e|under (?:the |an? )?{} licen[cs]e)"
+)
+#: "commercial license" alone may be what somebody must buy.
+COMMERCIAL = "commercial licen[cs]e agreement"
 #: Identifiers that name a license wherever they stand: label, keyword, pattern.
 IDENTIFIERS = (
     ("apache-2", "apache", "apache 2 0"), ("apache-1", "apache", "apache 1 [01]"),
@@ -153,6 +161,7 @@ IDENTIFIERS = (
     ("cc-by-nc", "cc by nc", "cc by nc [1-4] [05]"), ("cc-by-nc-sa", "cc by nc sa", "cc by nc sa [1-4] [05]"), ("cc-by-nc-nd", "cc by nc nd", "cc by nc nd [1-4] [05]"),
     ("odbl-1", "odbl", "odbl 1 0"), ("python-2", "psf", "psf 2 0"), ("php-3", "php", "php 3 0[01]?"), ("upl-1", "upl", "upl 1 0"), ("sspl-1", "sspl", "sspl 1 0"), ("ms-pl", "ms pl", "ms pl"), ("ms-rl", "ms rl", "ms rl"),
     ("wtfpl", "wtfpl", "wtfpl"), ("unlicense", "unlicense", "unlicense"), ("postgresql", "postgresql licen", "postgresql licence"),
+    ("gpl-classpath", "classpath exception", "classpath exception(?: 2 0)?"), ("proprietary", "proprietary", "(?:now|became|becomes|remains) proprietary"),
 )
 #: Full names with a version, wherever they stand: label, keyword, pattern.
 VERSIONED = (
@@ -163,7 +172,7 @@ VERSIONED = (
     ("epl-1", "eclipse public", "eclipse public licen[cs]e(?: epl)?" + version("1", "0")), ("epl-2", "eclipse public", "eclipse public licen[cs]e(?: epl)?" + version("2", "0")),
 )
 #: Texts that are nothing but an identifier.
-ALONE = (("mit", "mit"), ("isc", "isc"), ("zlib", "zlib"), ("ruby", "ruby"), ("openssl", "openssl"), ("libpng", "libpng"), ("ncsa", "ncsa"), ("x11", "x11"))
+ALONE = (("mit", "mit"), ("isc", "isc"), ("zlib", "zlib"), ("ruby", "ruby"), ("openssl", "openssl"), ("libpng", "libpng"), ("ncsa", "ncsa"), ("x11", "x11"), ("cc0-1", "cc0"))
 #: Signatures of license texts, headers and notices: label, keyword, pattern, priority, confidence.
 SIGNATURES = (
     ("mit", "granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy of this software", 6, 1.0),
@@ -304,9 +313,16 @@ NEEDLES = (
 )
 
 
+def _around(context: int, label: str, name: str) -> str:
+    """The pattern of a name in a context."""
+    if context == 2 and label == "commercial":
+        return COMMERCIAL
+    return (COMMON_UNDER if context == 0 and label in COMMON else CONTEXTS[context][0]).replace("{}", f"(?:{name})")
+
+
 def rules() -> list[tuple[str, str, str, int, float]]:
     """(label, keyword, pattern, priority, confidence) of every rule, in order. A keyword is a string that each match holds."""
-    named = [(label, key, context.replace("{}", f"(?:{name})"), priority, confidence) for context, priority, confidence in CONTEXTS for label, key, name in NAMES]
+    named = [(label, key, _around(i, label, name), priority, confidence) for i, (_, priority, confidence) in enumerate(CONTEXTS) for label, key, name in NAMES]
     return [*SIGNATURES, *named, *((label, key, name, 3, 0.85) for label, key, name in VERSIONED), *((label, key, name, 2, 0.75) for label, key, name in IDENTIFIERS)]
 
 
