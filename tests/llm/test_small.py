@@ -365,6 +365,24 @@ def test_short_way_equals_whole_text():
         assert np.frombuffer(own.encode(text), "<u4").tolist() == [*tok.encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_tasks_fall_back_to_the_tokenizer():
+    """A short way that gives other ids is noticed on a task's first texts and left."""
+
+    class Wrong:
+        def encode_ordinary(self, text):
+            return [7] * (text.count("\0"))
+
+    tok, own = encoder(), tokens.WordEncoder(tokens.default_path())
+    assert own.pieces and own.unchecked == tokens.CHECKED
+    own.pieces = Wrong()
+    for text in ["don't stop", "naïve 漢字 café", "a b", ""]:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == [*tok.encode(text, add_special_tokens=False).ids, 2]
+    assert own.pieces is None
+    made = tokens.WordEncoder.of(tokens.default_path())
+    made.encode("word " * (tokens.CHECKED + 1))
+    assert made.unchecked <= 0 and made.pieces and tokens.WordEncoder.of(tokens.default_path()).unchecked == tokens.CHECKED
+
+
 def test_packing(docs, none):
     rows = packing.pack(docs, with_ids=True).collect()
     tok = encoder()
@@ -457,6 +475,32 @@ def test_files(docs, none, spark):
     assert pfor.read_ids(spark, empty).count() == 0
 
 
+def test_damaged_files_are_no_files():
+    ids = [np.arange(3000, dtype="<u4").tobytes(), np.array([5, 1 << 31], "<u4").tobytes()]
+    data = pfor.encode_shard([None, 4], ids)
+    doc_ids, counts, found, unnamed = pfor.decode_shard(data + b"\n")
+    assert (doc_ids.tolist(), counts.tolist(), unnamed) == ([0, 4], [3000, 2], 1) and found.astype("<u4").tobytes() == b"".join(ids)
+    for at in (len(pfor.MAGIC) + pfor._HEAD.size, len(data) // 2, len(data) - 1):
+        with pytest.raises(ValueError, match="damaged"):
+            pfor.decode_shard(data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :])
+    with pytest.raises(ValueError, match="cut short"):
+        pfor.decode_shard(data[:-1])
+
+
+def test_files_of_equal_ids(spark, monkeypatch):
+    """Rows of one id, and rows without, are dealt to several files in order of their texts."""
+    monkeypatch.setattr(pfor, "PART_CHARS", 400)
+    rows = [(i, f"{'same words here ' * 8}{k:03d}") for k in range(20) for i in (None, 5)] + [(9, "x")] + [(5, f"{k:02d} ends") for k in range(40)]
+    path = shared_path(spark, "ids")
+    pfor.write_ids(spark.createDataFrame(rows, "doc_id long, text string"), path)
+    got = pfor.read_ids(spark, path, with_ids=True).orderBy("start").collect()
+    want, at, tok = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])), 0, encoder()
+    for r, (i, t) in zip(got, want, strict=True):
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
+        assert (r["doc_id"], r["start"], r["ids"]) == (i, at, ids)
+        at += len(ids)
+
+
 def test_quality_learns_lines(spark):
     rng = np.random.default_rng(0)
     word = lambda: "".join(rng.choice(list("etaoinshr"), rng.integers(2, 8)))

@@ -2,8 +2,9 @@
 
 A shard file holds the documents of one interval of doc_ids, at most SHARD_IDS ids or one document:
 
-    magic b"TMPF2\\n", then seven little-endian unsigned 64-bit numbers: documents, ids, blocks, ids a
-    block, bytes of the block data, bytes of the whole file, and how many documents, the first ones, have no doc_id;
+    magic b"TMPF3\\n", then eight little-endian unsigned 64-bit numbers: documents, ids, blocks, ids a
+    block, bytes of the block data, bytes of the whole file, how many documents, the first ones, have no doc_id, and the
+    crc32 of all that follows;
     documents x (signed 64-bit doc_id, unsigned 64-bit ids of it);
     blocks x unsigned 64-bit start of the block in the block data;
     block data. A block: unsigned 32-bit minimum, 8-bit width, 16-bit count of exceptions, then its
@@ -30,13 +31,15 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import portions, shared_path, table, text_of, written
 
-MAGIC = b"TMPF2\n"
+MAGIC = b"TMPF3\n"
 BLOCK_IDS = 1024
 PERCENTILE = 0.9
 SHARD_IDS = 2_000_000
 #: Characters per partition of the ordered table.
 PART_CHARS = 8_000_000
-_HEAD = struct.Struct("<7Q")
+#: Characters by which rows of equal doc_ids are dealt to partitions.
+DEALT = 64
+_HEAD = struct.Struct("<8Q")
 _BLOCK = struct.Struct("<IBH")
 
 
@@ -107,17 +110,20 @@ def encode_shard(doc_ids: list[int | None], ids: list[bytes], block_ids: int = B
     index = np.empty((len(doc_ids), 2), "<i8")
     index[:, 0], index[:, 1] = [d or 0 for d in doc_ids], [len(x) // 4 for x in ids]
     size = len(MAGIC) + _HEAD.size + index.nbytes + 8 * len(blocks) + int(starts[-1])
-    return b"".join((MAGIC, _HEAD.pack(len(doc_ids), len(flat), len(blocks), block_ids, int(starts[-1]), size, doc_ids.count(None)), index.tobytes(), starts[:-1].tobytes(), *blocks))
+    body = b"".join((index.tobytes(), starts[:-1].tobytes(), *blocks))
+    return b"".join((MAGIC, _HEAD.pack(len(doc_ids), len(flat), len(blocks), block_ids, int(starts[-1]), size, doc_ids.count(None), zlib.crc32(body)), body))
 
 
 def decode_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """doc_ids, counts, the ids of all documents one after another, and how many of the first documents have no doc_id."""
     if data[: len(MAGIC)] != MAGIC:
         raise ValueError("not a shard file")
-    docs, ids, blocks, block_ids, _, size, unnamed = _HEAD.unpack_from(data, len(MAGIC))
+    docs, ids, blocks, block_ids, _, size, unnamed, crc = _HEAD.unpack_from(data, len(MAGIC))
     if len(data) < size:
         raise ValueError("the shard file is cut short")
     at = len(MAGIC) + _HEAD.size
+    if zlib.crc32(memoryview(data)[at:size]) != crc:
+        raise ValueError("the shard file is damaged")
     index = np.frombuffer(data, "<i8", 2 * docs, at).reshape(-1, 2)
     at += index.nbytes
     starts = np.frombuffer(data, "<u8", blocks, at)
@@ -127,11 +133,12 @@ def decode_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
 def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = tokens.END_ID, shard_ids: int = SHARD_IDS) -> None:
     """Writes the ids of every whole text in ascending doc_id order as shard files under path.
 
-    Equal doc_ids go by their text. A null text is empty; a null doc_id comes first."""
+    Equal doc_ids go by their text, and their first characters deal them, so that rows of one id or none aren't
+    one task. A null text is empty; a null doc_id comes first."""
     vocabulary = tokenizer or tokens.default_path()
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     parts = portions(docs, F.length(text_of(text_col)) + 1, PART_CHARS)
-    ordered = own.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = own.repartitionByRange(parts, "doc_id", F.substring("text", 1, DEALT)).sortWithinPartitions("doc_id", "text")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, ids, found, total = tokens.WordEncoder.of(vocabulary), [], [], 0
