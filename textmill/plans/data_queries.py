@@ -506,7 +506,14 @@ def p4(spark, sf):
     return P.random_stratified_split(table(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id")
 
 
-@query("p5_quota_unique_select")
+#: One row after another in order of labels and ids: taken holds the keys of all rows selected so far, k how many their label has.
+P5_SQL = """with recursive r as (select *, row_number() over (order by o, doc_id) as n from (select doc_id, lang, o, quota, 'e' || md5(text) as e, 'f' || md5(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) as f from documents join (values ('en', 1, 80), ('de', 2, 60), ('fr', 3, 60), ('es', 4, 30)) q(l, o, quota) on l = lang where text is not null)),
+s as (select 0::BIGINT as n, 0 as o, 0 as k, false as p, []::VARCHAR[] as taken union all select n, o, k + p::INT, p, case when p then list_concat(taken, [e, f]) else taken end from
+(select *, k < quota and not list_contains(taken, e) and not list_contains(taken, f) as p from (select r.n, r.o, r.e, r.f, r.quota, s.taken, case when r.o = s.o then s.k else 0 end as k from s join r on r.n = s.n + 1)))
+select doc_id, lang from s join r using (n) where p"""
+
+
+@query("p5_quota_unique_select", P5_SQL)
 def p5(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang", F.md5("text").alias("exact"), F.md5(F.lower(N.trim(F.col("text")))).alias("folded"))
     return P.quota_unique_select(d, ["exact", "folded"], "lang", {"en": 80, "de": 60, "fr": 60, "es": 30}, "doc_id", write=stored).select("doc_id", "lang")
@@ -798,7 +805,10 @@ CELLS_SQL = f"""cells as (select x.l as label, k as kind, x.t as target from (se
 short as (select c.label, c.kind, any_value(target) as target, count(v.kind) as actual, greatest(0, any_value(target) - count(v.kind)) as shortfall from cells c left join made v on v.label = c.label and v.kind = c.kind group by 1, 2)"""
 
 
-@query("g15_shortfall_v1", f"with {V1_SQL}, made as (select * from v1), {CELLS_SQL} select label, kind as perturbation_type, target::BIGINT as target, actual, shortfall::BIGINT as shortfall, case when shortfall = 0 then '' when kind in {DEPRECATED_KINDS[:1] * 2} then 'deprecated' else 'insufficient_candidates' end as reason from short")
+SHORTFALL_ROWS = f"select label, kind as perturbation_type, target::BIGINT as target, actual, shortfall::BIGINT as shortfall, case when shortfall = 0 then '' when kind in {DEPRECATED_KINDS[:1] * 2} then 'deprecated' else 'insufficient_candidates' end as reason from short"
+
+
+@query("g15_shortfall_v1", f"with {V1_SQL}, made as (select * from v1), {CELLS_SQL} {SHORTFALL_ROWS}")
 def g15b(spark, sf):
     return G.generation_shortfall(v1(spark, sf), G_TARGETS)
 
@@ -823,26 +833,73 @@ def g12(spark, sf):
 G_TARGETS = {"en": 3, "de": 3, "fr": 2, "es": 2}
 
 
+def strict_sql(texts: str, rules: G.Rules) -> str:
+    """CTEs up to `sv` (doc_id, label, text, i, kind, t, note): every text under every strict kind; rules without a map of variant characters."""
+    quote = lambda w: "'" + w + "'"
+
+    def by_map(name, wanted, note):
+        own = [e for e in G.ordered_entries(rules.maps.get(name, ())) if wanted(e)]
+        cases = lambda said: "case " + " ".join(f"when contains(text, {quote(e[1])}) then {said(e)}" for e in own) + " end"
+        return (cases(lambda e: first_sql(quote(e[1]), quote(e[0]))), cases(lambda e: quote(note(e)))) if own else ("null::VARCHAR", "null::VARCHAR")
+
+    def by_word(new, note):
+        return f"case when w is not null then {first_sql('w', new)} end", f"'{note}: ' || w"
+
+    spaced = "array_to_string(string_split(w, ''), ' ')"
+    sure = lambda e: f"high-confidence map replacement ({e[2]:.2f})"
+    mixed = lambda said: "case " + " ".join(f"when contains(text, {quote(a)}) then {said(a, b)}" for a, b in rules.mixed) + " end"
+    made = {
+        "homophone": by_map("homophone", lambda e: e[3] in ("high", "medium"), G.homophone_note),
+        "pinyin": by_map("pinyin", lambda e: e[2] >= 0.85, sure),
+        "abbreviation": by_map("abbreviation", lambda e: e[2] >= 0.85, sure),
+        "variant_character": ("null::VARCHAR", "null::VARCHAR"),
+        "traditional_simplified": ("nullif(translate(text, '网学', '網學'), text)", "'fixed simplified-to-traditional character table'"),
+        "character_split": by_word(spaced, "split risk keyword"),
+        "space_insertion": by_word(spaced, "insert spaces inside risk keyword"),
+        "symbol_insertion": by_word("substr(w, 1, 1) || '@' || substr(w, 2)", "insert symbol inside risk keyword"),
+        "emoji": by_map("emoji", lambda e: e[2] >= 0.70, lambda e: "replace core risk expression with mapped emoji"),
+        "mixed_language": (mixed(lambda a, b: first_sql(quote(a), quote(b))), mixed(lambda a, b: f"'replace {a} with {b}'")),
+        "url_obfuscation": (f"case when ur <> '' then {first_sql('ur', 'replace(regexp_replace(regexp_replace(ur, ' + quote('(?i)^https') + ', ' + quote('hxxps') + '), ' + quote('(?i)^http') + ', ' + quote('hxxp') + '), chr(46), ' + quote('[.]') + ')')} end", "'obfuscate existing URL scheme and dots'"),
+        "phone_obfuscation": (f"case when ph <> '' then regexp_replace(text, '{_PHONE}', '\\1' || array_to_string(regexp_extract_all(ph, '.'), '-') || '\\3') end", "'hyphenate existing phone number'"),
+        "repeat_character": by_word("substr(w, 1, 1) || w", "repeat character inside risk keyword"),
+    }
+    short = ("character_split", "space_insertion", "symbol_insertion", "mixed_language")
+    parts = " union all ".join(f"select doc_id, label, text, {i} as i, '{k}' as kind, {made[k][0]} as t, {made[k][1]} as note from sx where {'length(text) >= 2' if k in short else 'true'}" for i, k in enumerate(KINDS))
+    word = "case label " + " ".join(f"when '{a}' then case " + " ".join(f"when contains(text, '{w}') then '{w}'" for w in ws) + " end" for a, ws in rules.keywords.items()) + " end"
+    return f"ss as ({texts}), sx as (select *, {word} as w, regexp_extract(text, '{_PHONE}', 2) as ph, regexp_extract(text, '(?i)(?:https?://|www\\.)[^\\s，。；、]+') as ur from ss), sv as (select * from ({parts}) where t is not null)"
+
+
+#: Blocks of kind and label one after another: taken holds the texts of all blocks so far, own what the block takes.
+V2_SQL = f"""with recursive {strict_sql("select doc_id, lang as label, text from documents", G_RULES)},
+q as (select unnest({sql_list(G_TARGETS)}) as label, unnest(range({len(G_TARGETS)})) as place, unnest([{', '.join(map(str, G_TARGETS.values()))}]) as quota),
+first as (select i * {len(G_TARGETS)} + place as b, quota, label, kind, t, min(doc_id) as doc_id from sv join q using (label) group by all),
+block as (select range as b, any_value(quota) as quota, list(t order by doc_id, t) filter (t is not null) as ts from range({len(G_TARGETS) * len(KINDS)}) left join first on b = range group by range),
+taking as (select -1::BIGINT as b, []::VARCHAR[] as taken, []::VARCHAR[] as own union all
+select b, list_concat(taken, own), own from (select n.b, s.taken, coalesce(list_filter(n.ts, lambda x: not list_contains(s.taken, x))[1:n.quota], []) as own from taking s join block n on n.b = s.b + 1)),
+v2 as (select f.kind, f.label, f.doc_id, f.t, v.text, v.note, 'pair_' || substr(sha256(concat_ws(chr(31), v.text, v.label, 'adversarial_v2')), 1, 16) as pair_id, 'adv_' || substr(sha256(concat_ws(chr(31), f.t, v.label, 'adversarial_v2:' || v.kind)), 1, 16) as sample_id
+from (select b, unnest(own) as t from taking) c join first f on f.b = c.b and f.t = c.t join sv v on v.kind = f.kind and v.doc_id = f.doc_id)"""
+
+
 def v2(spark, sf):
     return stored(G.build_v2(seeds(spark, sf), G_RULES, "doc_id", G_TARGETS))
 
 
-@query("g13_build_adversarial_v2")
+@query("g13_build_adversarial_v2", f"{V2_SQL} select kind as perturbation_type, label, doc_id, sample_id, pair_id from v2")
 def g13(spark, sf):
     return v2(spark, sf).select("perturbation_type", "label", "doc_id", "sample_id", "pair_id")
 
 
-@query("g14_build_adversarial_v3")
+@query("g14_build_adversarial_v3", f"{V2_SQL} select kind as perturbation_type, label, doc_id, note as notes, 'pending' as review_status from v2 where kind not in {(*DEPRECATED_KINDS, 'variant_character')}")
 def g14(spark, sf):
     return G.build_v3(v2(spark, sf), G_RULES, seeds(spark, sf), "doc_id").select("perturbation_type", "label", "doc_id", "notes", "review_status")
 
 
-@query("g15_generation_shortfall")
+@query("g15_generation_shortfall", f"{V2_SQL}, made as (select * from v2), {CELLS_SQL} {SHORTFALL_ROWS}")
 def g15(spark, sf):
     return G.generation_shortfall(v2(spark, sf), G_TARGETS)
 
 
-@query("g16_adversarial_coverage")
+@query("g16_adversarial_coverage", f"{V2_SQL} select kind, label, count(*) as count, count(distinct pair_id) as pairs from v2 group by cube (kind, label)")
 def g16(spark, sf):
     return G.adversarial_coverage(v2(spark, sf))
 
