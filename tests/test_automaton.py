@@ -48,3 +48,25 @@ def test_fifty_thousand_words(spark):
     got = df.select(D.detect_keywords(F.col("text"), {"ad": many})[0]["matches"].alias("m")).distinct().collect()
     assert [r["m"] for r in got] == [[many[3], many[7]]]
     assert automaton._places(automaton._machine("none", [""]), "abc") == {0}
+
+
+def test_cascade_looks_through_a_text_once_and_about_its_replacements(monkeypatch):
+    rng, read = random.Random(5), []
+    places = automaton._places
+    monkeypatch.setattr(automaton, "_places", lambda machine, t: read.append(len(t)) or places(machine, t))
+    many = sorted({"".join(rng.choices("abcdefgh", k=6)) for _ in range(400)})
+    pairs, text, want = [(w, w[::-1] + "_") for w in many], " ".join(many), " ".join(many)
+    got = automaton._applied(automaton._machine("once", many), pairs, 6, text)
+    for s, t in pairs:
+        want = want.replace(s, t)
+    assert got["text"] == want and len(got["matches"]) >= 400
+    assert sum(read) < 10 * len(text)
+    for _ in range(2000):
+        pairs = [tuple("".join(rng.choices("ab", k=rng.randrange(k, 4))) for k in (1, 0)) for _ in range(8)]
+        text = "".join(rng.choices("ab", k=30))
+        want, counts = text, []
+        for s, t in pairs:
+            counts += [want.count(s)] if s in want else []
+            want = want.replace(s, t)
+        got = automaton._applied(automaton._machine(repr(pairs), [s for s, _ in pairs]), pairs, 3, text)
+        assert (got["text"], [m["count"] for m in got["matches"]]) == (want, counts)
