@@ -195,3 +195,15 @@ def test_variant_diff_and_coverage_report(spark):
     assert rows[("shortfall_total", None, None)] == 3 and rows[("duplicate_pairs", None, None)] == 0 and rows[("diff", "removed", None)] == 1
     empty = G.coverage_report(new.limit(0), new.limit(0), G.variant_diff(old.limit(0), new.limit(0)), {"x": 1}, kinds=("emoji",))
     assert {tuple(r)[:3]: r["count"] for r in empty.collect()}[("shortfall_total", None, None)] == 1
+
+
+def test_replacement_numbers_of_more_than_four_digits(spark, tmp_path):
+    import duckdb
+
+    from textmill.plans import registry
+
+    spark.range(10_002).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang")).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(registry.oracle_sql()["p17_number_replacements"]).fetchall()
+    assert sorted(map(tuple, registry.queries()["p17_number_replacements"](spark, str(tmp_path)).collect())) == sorted(want)
