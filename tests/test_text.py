@@ -102,3 +102,10 @@ def test_gate(spark):
     assert gate(probs(normal=0.6, ad=0.4)) is None and gate(probs(normal=0.49, ad=0.51)) is None and gate(probs(violence=0.5)) is None
     got = one(spark, "x", D.semantic_detection(D.semantic_gate(probs(normal=0.05, porn=0.95))))[0]
     assert (got["score"], got["level"], got["matches"]) == (95, "high", ["porn: 95.00%"])
+
+
+def test_a_filter_on_the_verdict_copies_no_pattern(spark):
+    """Its condition would otherwise hold the whole of normalization and detection again."""
+    df = R.guard_output(spark.createDataFrame([("a",)], "text string"), "text", D.Pack({"ad": ["x"]}, []), recheck=False).where("rewritten")
+    filters = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+    assert filters and not any("regexp" in line for line in filters)
