@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -214,9 +214,21 @@ def _ids(df: DataFrame, text: str, label: str, source: str) -> DataFrame:
     return df.withColumn("pair_id", stable_id(F.col(text), F.col(label), F.lit(source), "pair")).withColumn("sample_id", stable_id(F.col("adversarial_text"), F.col(label), F.concat(F.lit(f"{source}:"), F.col("perturbation_type")), "adv"))
 
 
+def first_variants(seeds: DataFrame, make: Callable[[DataFrame], DataFrame], by: Sequence[str], order: str, most: int) -> DataFrame:
+    """Of make(seeds), variants with the columns `by` and _h, the hash of their text: a stored table of those that may be among the
+    first `most` distinct texts of their group in seed order. Only hashes are grouped; texts are made anew of the few seeds that
+    give these."""
+    first = make(seeds).groupBy(*by, "_h").agg(F.min(order).alias(order))
+    # all that share the last place, as their texts decide between them
+    near = stored(first.withColumn("_n", F.rank().over(Window.partitionBy(*by).orderBy(order))).where(F.col("_n") <= most).drop("_n"), "near")
+    own = seeds.join(side(near.select(order).distinct()), order, "left_semi").select(*seeds.columns)
+    return stored(make(own).join(side(near), [*by, "_h", order], "left_semi"), "variants")
+
+
 def build_v1(seeds: DataFrame, rules: Rules, order: str, most: int = 10, text: str = "text", label: str = "label", kinds: Sequence[str] = V.KINDS) -> DataFrame:
     """Of each kind the first `most` distinct variants in seed order."""
-    rows = variants(seeds, rules, kinds, text, label, loose=True)
+    make = lambda df: variants(df, rules, kinds, text, label, loose=True).withColumn("_h", F.sha2("adversarial_text", 256))
+    rows = first_variants(seeds, make, ["perturbation_type"], order, most).drop("_h")
     first = rows.groupBy("perturbation_type", "adversarial_text").agg(F.min(F.col(order)).alias(order))
     ranked = first.withColumn("_n", F.row_number().over(Window.partitionBy("perturbation_type").orderBy(order, "adversarial_text"))).where(F.col("_n") <= most).drop("_n")
     return _ids(rows.join(F.broadcast(ranked), ["perturbation_type", "adversarial_text", order], "left_semi"), text, label, "adversarial_v1")  # at most kinds x most rows
@@ -227,16 +239,19 @@ def build_v2(seeds: DataFrame, rules: Rules, order: str, targets: Mapping[str, i
     in all. Blocks of (kind, label) go in order. A block needs at most its quota of rows besides those that
     earlier blocks took, so each block's first quota + (all quotas before it) distinct texts are enough: that bounded table
     of hashes decides. A text that several seeds of a block give comes from the first of them."""
-    rows = variants(seeds.where(F.col(label).isin(*targets)), rules, kinds, text, label)
-    keys = {"_h": F.sha2("adversarial_text", 256), "_label": F.array_position(F.array(*map(F.lit, targets)), F.col(label))}
-    rows = stored(rows.withColumns(keys).withColumn("_block", F.col("kind_order") * len(targets) + F.col("_label")), "variants")
+    place = F.array_position(F.array(*map(F.lit, targets)), F.col(label))
+
+    def make(df: DataFrame) -> DataFrame:
+        return variants(df, rules, kinds, text, label).withColumns({"_h": F.sha2("adversarial_text", 256), "_block": F.col("kind_order") * len(targets) + place})
+
     bound = sum(targets.values()) * len(kinds)
+    rows = first_variants(seeds.where(F.col(label).isin(*targets)), make, ["_block"], order, bound)
     # a text's hash stands for it from here on
     distinct = rows.groupBy("_block", label, "_h").agg(F.min(F.struct(order, "adversarial_text")).alias("_first"))
     heads = distinct.withColumn("_n", F.row_number().over(Window.partitionBy("_block").orderBy("_first"))).where(F.col("_n") <= bound)
     quota = F.create_map(*[F.lit(x) for pair in targets.items() for x in pair])[F.col(label)]
     chosen = stored(greedy_blocks(heads.select("_block", "_n", "_h", F.col(f"_first.{order}").alias(order), quota.alias("_quota"))), "chosen")
-    return _ids(rows.join(side(chosen), ["_block", "_h", order], "left_semi").drop("_h", "_label", "_block"), text, label, "adversarial_v2")
+    return _ids(rows.join(side(chosen), ["_block", "_h", order], "left_semi").drop("_h", "_block"), text, label, "adversarial_v2")
 
 
 def greedy_blocks(heads: DataFrame) -> DataFrame:
