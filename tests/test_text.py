@@ -43,6 +43,21 @@ def test_char_ngrams(spark):
         assert set(df.select(N.char_ngrams(F.col("d")).alias("g")).first()["g"]) == wanted
 
 
+@pytest.mark.parametrize("n, at_once, wide", [(3, 1 << 20, 1 << 62), (1, 4, 1 << 62), (5, 30, 1 << 62), (4, 1 << 20, 1 << 12)])
+def test_gram_sets_of_many_texts(monkeypatch, n, at_once, wide):
+    import pyarrow as pa
+
+    from textmill.functions import gram_sets as S
+
+    monkeypatch.setattr(S, "AT_ONCE", at_once)
+    monkeypatch.setattr(S, "WIDE", wide)
+    texts = ["", "a", None, "ab", "abcabcabc", "\U0001f600\U0001f600x\x00y\x00", "", "漢字漢字漢字", "aaaaaaaaaa", "zß" * 30, None]
+    want = [None if t is None else {t[i : i + n] for i in range(max(len(t) - n + 1, 1))} - {""} for t in texts]
+    got = S.gram_sets(pa.array(texts, pa.string()), n).to_pylist()
+    assert [g if g is None else set(g) for g in got] == want and all(g is None or len(g) == len(set(g)) for g in got)
+    assert S.gram_sets(pa.array([], pa.string()), n).to_pylist() == []
+
+
 @pytest.mark.parametrize("text, masked, names", [
     ("幸福路88号", "[地址]", ["address"]), ("教室聊天室", "教室聊天室", []), ("a@b.com", "[邮箱]", ["email"]), ("电话13812345678", "电话[手机号]", ["phone"]), ("1.2.3.4", "[IP地址]", ["ip"]),
 ])
