@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textmill.operators import adversarial as G
 from textmill.operators import linkage as J
-from textmill.operators import tables
+from textmill.operators import set_blocks, tables
 
 
 def sets(n, seed, start=0):
@@ -42,6 +42,18 @@ def test_similar_pairs(spark, monkeypatch, threshold, sent):
     assert near == {i: (j, round(-s, 6)) for i, (s, j) in best.items()}
 
 
+def test_a_small_side_is_not_shuffled_and_gives_the_same(spark, monkeypatch):
+    one, two = (spark.createDataFrame(x, "id long, members array<string>") for x in (sets(60, 1), sets(300, 2, 100)))
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    small, swapped = J.similar_pairs(one, two, 0.4), J.similar_pairs(two, one, 0.4)
+    assert "Exchange" not in small._jdf.queryExecution().executedPlan().toString() and small.count() > 50
+    monkeypatch.setattr(set_blocks, "CELLS", 500)  # many blocks
+    blocked = rows(J.similar_pairs(one, two, 0.4))
+    monkeypatch.setattr(J, "FEW_SETS", 0)
+    indexed = rows(J.similar_pairs(one, two, 0.4))
+    assert rows(small) == blocked == indexed == {(b, a, s) for a, b, s in rows(swapped)}
+
+
 def test_similar_pairs_of_nothing(spark):
     none = spark.createDataFrame([], "id long, members array<string>")
     some = spark.createDataFrame(sets(5, 1), none.schema)

@@ -6,15 +6,20 @@ texts are never expanded into all pairs: a row is linked with the first row of i
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from textmill.operators import set_blocks
 from textmill.operators.tables import numbered, side, stored
 
 #: Kinds of equality, the strongest first; keys are given as Columns by kind.
 Keys = Mapping[str, Column]
+#: Sets, and members of all sets, of a side that every task may have.
+FEW_SETS, FEW_MEMBERS = 1 << 13, 1 << 21
 
 
 def stacked(df: DataFrame, keys: Keys, keep: Sequence[str]) -> DataFrame:
@@ -114,9 +119,41 @@ def candidate_pairs(left: DataFrame, right: DataFrame, threshold: float) -> Data
     return pairs.where(F.col("met") + F.col("last.rest") >= F.col("last.need")).select("left_id", "right_id")
 
 
+def _few_sets(df: DataFrame, id_col: str, members_col: str) -> pa.Table | None:
+    """A small side's sets (id, members), which every task can have; None for a larger one."""
+    if df.count() > FEW_SETS:
+        return None
+    own = stored(df.select(F.col(id_col).alias("id"), F.array_compact(F.array_distinct(members_col)).alias("members")).where(F.size("members") > 0), "few")
+    return own.toArrow() if (own.agg(F.sum(F.size("members"))).first()[0] or 0) <= FEW_MEMBERS else None
+
+
+def _similar_to_few(few: pa.Table, many: DataFrame, threshold: float, id_col: str, members_col: str, swapped: bool) -> DataFrame:
+    """J8 of a small side's sets with all of the other side's; swapped: the small side is the right one."""
+    spark = many.sparkSession
+    sent = spark.sparkContext.broadcast(few)
+    sides = [spark.createDataFrame(few.select(["id"]).slice(0, 0)).schema["id"].dataType, many.schema[id_col].dataType]
+    ids = dict(zip(("right_id", "left_id") if swapped else ("left_id", "right_id"), sides, strict=True))
+    schema = StructType([*(StructField(c, ids[c]) for c in ("left_id", "right_id")), StructField("similarity", DoubleType())])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = set_blocks.blocks(sent.value)
+        for batch in batches:
+            for own, other, similarity in set_blocks.similar(blocks, batch, threshold):
+                pair = (other, own) if swapped else (own, other)
+                yield pa.RecordBatch.from_arrays([*pair, similarity], names=["left_id", "right_id", "similarity"])
+
+    return many.select(F.col(id_col).alias("id"), F.col(members_col).alias("members")).mapInArrow(make, schema)
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, id_col: str = "id", members_col: str = "members") -> DataFrame:
     """All (left_id, right_id, similarity) of Jaccard threshold or more, found through an index of their rarest members with
-    positions and decided on the whole sets. Ids tell the rows of a side apart; empty and null sets are similar to none."""
+    positions and decided on the whole sets. Where one side is small, every task has its sets and counts what the other side's
+    share with each of those whose size can match: one pass, nothing shuffled. Ids tell the rows of a side apart; empty and null
+    sets are similar to none."""
+    few = _few_sets(left, id_col, members_col), _few_sets(right, id_col, members_col)
+    if few[0] is not None or few[1] is not None:
+        swapped = few[0] is None or (few[1] is not None and few[1].num_rows < few[0].num_rows)
+        return _similar_to_few(few[swapped], left if swapped else right, threshold, id_col, members_col, swapped)
     a, b = ranked_sets([left, right], threshold, id_col, members_col)
     pairs = stored(candidate_pairs(a, b, threshold), "pairs")
     full = pairs.join(a.select(F.col("id").alias("left_id"), F.col("ranks").alias("_a")).hint("merge"), "left_id").join(b.select(F.col("id").alias("right_id"), F.col("ranks").alias("_b")).hint("merge"), "right_id")
