@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions import decide as R
 from textmill.functions import detect as D
+from textmill.functions import fixed_values as V
 from textmill.functions import normalize as N
 
 MAPS = N.Maps(homophone=[("加薇", "加微信")], pinyin=[("jia vx", "加微信")], abbreviation=[("vx", "微信")], emoji=[("🔞", "色情")])
@@ -43,6 +44,34 @@ def test_char_ngrams(spark):
         assert set(df.select(N.char_ngrams(F.col("d")).alias("g")).first()["g"]) == wanted
 
 
+@pytest.mark.parametrize("pattern, mark", [
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "@"), (r"a@?b", None), (r"a@*b", None), (r"a@{0,2}b", None), (r"a@+b", "@"), (r"(a@)?b", None), (r"a@b|c", None), (r"(a|b)@", "@"), (r"[@[:]]x", None),
+    (r"[\]@]x", None), (r"\@b", None), (r"\Qa@b?\E", None), (r"https?://x", ":"), ("", None), (r"[]@]", None), (r"(?x)a # @", None), (r"\p{sc=Han}", None), (r"(?<=@)b", None), (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", None),
+])
+def test_needed_mark(pattern, mark):
+    assert D.needed_mark(pattern) == mark
+
+
+def test_signs_keep_texts_from_costly_patterns(spark):
+    """Each gate is in the plan, and rows that pass or don't pass it give what the patterns alone give."""
+    texts = ["a@b.com or C@D.ORG", "no mark", None, "", "约\u3000炮 here", "加 微 信", "plain ascii", "幸福路88号", "x y", "微 信", "a|b", "中 文", "vx: abcde1", "WWW.x.y http://z"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("low", F.lower(F.regexp_replace("text", r"(?U)\s+", "")))
+    rule = ("ad", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "low", 1, "mail")
+    mail = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?iU){rule[1]}"), F.lit(0)))
+    got = df.select("text", D.detect_regex(F.col("text"), [rule]).alias("r"), F.coalesce(mail, F.array().cast("array<string>")).alias("mail"), D.detect_high_risk(F.col("text")).alias("h"), "low", N.norm_noise(F.col("text")).alias("n"), F.regexp_replace("text", f"({N._MAIL})|{N._DROPPED}", "$1").alias("plain"), D.masked_privacy(F.col("text")).alias("masked"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(text" in plan or "contains(text" in plan.lower()
+    for r in got.collect():
+        assert [m for d in r["r"] for m in d["matches"]] == r["mail"] and r["n"] == r["plain"]
+        want = {(c, w) for c, words in V.HIGH_RISK.items() for w in words if r["low"] is not None and w in r["low"]}
+        assert {(d["category"], m) for d in r["h"] for m in d["matches"]} == want
+        masked = r["text"]
+        for _, pattern, mask in V.PRIVACY:
+            one = spark.createDataFrame([(masked,)], "t string").select(F.regexp_replace("t", F.lit(pattern), F.lit(mask))).first()[0]
+            masked = one
+        assert r["masked"] == masked
+
+
 @pytest.mark.parametrize("n, at_once, wide", [(3, 1 << 20, 1 << 62), (1, 4, 1 << 62), (5, 30, 1 << 62), (4, 1 << 20, 1 << 12)])
 def test_gram_sets_of_many_texts(monkeypatch, n, at_once, wide):
     import pyarrow as pa
