@@ -4,9 +4,11 @@ import random
 
 from pyspark.sql import functions as F
 
-from textmill.functions.decide import turn_pairs
+from textmill.functions.decide import moderate_turns, turn_pairs
+from textmill.functions.detect import Pack
 from textmill.operators import audit_log as A
 from textmill.streaming import cells as K
+from textmill.streaming.streams import moderate_stream
 from textmill.streaming.turns import keyed_state, turn_pairs_stream
 
 TURNS = "conv_id long, turn long, role string, text string, at double"
@@ -90,3 +92,16 @@ def test_a_stopped_compaction_counts_once(spark, tmp_path):
     (tmp_path / "cells" / "base=7").mkdir()
     own.put(part(3), 3)
     assert same(K.stats(own.cells()), A.event_stats(events(spark, 100)))
+
+
+def test_turns_moderated_on_a_stream_equal_the_batch(spark, tmp_path):
+    pack = Pack({"ad": ["wxyz"], "porn": ["foul"]}, [("ad", r"\d{6}", "medium", 60, "number")])
+    words = [None, "", "fine", "foul", "wxyz now", "call 123456", "a@b.com", "1234567 and wxyz"]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate((a, b) for a in words[1:] for b in words)], "id long, message string, reply string")
+    df.write.parquet(f"{tmp_path}/in")
+    out = moderate_stream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), pack)
+    q = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    want = moderate_turns(df, pack)
+    assert {r["out_action"] for r in want.select("out_action").collect()} == {None, "pass", "sanitize", "block"}
+    assert same(spark.read.schema(out.schema).parquet(f"{tmp_path}/out"), want)
