@@ -109,3 +109,30 @@ def test_numbered(spark, monkeypatch):
     df = spark.range(100).select((F.col("id") * 37 % 101).alias("k")).repartition(5)
     assert [r["index"] for r in tables.numbered(df, ["k"]).orderBy("k").collect()] == list(range(100))
     assert tables.numbered(df.limit(0), ["k"]).count() == 0
+
+
+def test_training_sends_a_gradient_a_core_and_joins_no_features(spark, monkeypatch):
+    for name, value in (("KNOWN", 0), ("BATCH", 300), ("RANGE", 200)):
+        monkeypatch.setattr(X, name, value)
+    monkeypatch.setattr(M, "KNOWN", 0)
+    seen, fit = [], M.LogisticRegression.fit
+    monkeypatch.setattr(M.LogisticRegression, "fit", lambda self, points: seen.append(points) or fit(self, points))
+    rows = texts(60)
+    df = spark.createDataFrame(rows, "id long, text string, label string")
+    model = M.train_classifier(df, "text", "label", "char", tol=1e-12)
+    (points,) = seen
+    plan = points._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashpartitioning" not in plan and model.words.counts.batches > points.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    own = [(t, y) for _, t, y in rows if y]
+    assert points.count() == len(own)  # those without n-grams too
+    kept, x = plain_features("char", [t for t, _ in own], [t for t, _ in own])
+    order = sorted(range(len(kept)), key=lambda i: kept[i].encode())
+    got = sorted([round(r["number"]), *np.round(r["features"].toArray(), 9)] for r in points.collect())
+    assert np.allclose(got, sorted([["abc".index(y), *np.round(v[order], 9)] for v, (_, y) in zip(x, own, strict=True)]))
+    # scores: only they are joined with the rows
+    scored = M.score_table(model, df, "text")
+    monkeypatch.setattr(M, "KNOWN", 1 << 16)
+    p = lambda d: {r["id"]: [q["p"] for q in r["probs"]] for r in d.collect()}
+    wide, want = p(scored), p(M.score_table(model, df, "text"))
+    assert "indices" not in scored._jdf.queryExecution().executedPlan().toString() and wide.keys() == want.keys()
+    assert all(np.allclose(wide[k], want[k]) for k in want)
